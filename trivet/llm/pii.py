@@ -24,7 +24,7 @@ CONTEXT_CHARS = 40
 
 
 def _byte_sized() -> str:
-    return "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+    return "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})?"
 
 
 def digits_of(value: Column) -> Column:

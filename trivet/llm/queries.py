@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trivet.llm import exact_dedup, pii
+from trivet.llm import exact_dedup, licenses, pii
 from trivet.llm.common import table
 
 
@@ -14,12 +14,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op7_pii": op7_pii,
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
+    "op3_license_scan": licenses.ORACLE,
+}
