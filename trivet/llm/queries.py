@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trivet.llm import exact_dedup, licenses, pii
+from trivet.llm import exact_dedup, licenses, mixing, pii
 from trivet.llm.common import table
 
 
@@ -22,12 +23,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("weight", F.round("weight", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op7_pii": op7_pii,
+    "op8_source_mix": op8_source_mix,
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_license_scan": licenses.ORACLE,
+    "op8_source_mix": mixing.ORACLE,
 }
