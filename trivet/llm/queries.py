@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivet.llm import exact_dedup, licenses, mixing, pii, token_count
+from trivet.llm import bpe_words, exact_dedup, licenses, mixing, pii, token_count
 from trivet.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_words.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_token_count": op4_token_count,
+    "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_pii": op7_pii,
     "op8_source_mix": op8_source_mix,
 }
