@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivet.llm import bpe_words, exact_dedup, licenses, mixing, pii, token_count
+from trivet.llm import bpe_words, exact_dedup, licenses, mixing, ngram_join, pii, token_count
 from trivet.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).drop("set_print")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -44,6 +48,7 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_token_count": op4_token_count,
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
 }
 ORACLES: dict[str, str] = {
+    "op1_ngram_join": ngram_join.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op8_source_mix": mixing.ORACLE,
