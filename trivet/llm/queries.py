@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivet.llm import bpe_words, exact_dedup, licenses, mixing, ngram_join, pii, token_count
+from trivet.llm import bpe_words, exact_dedup, language, licenses, mixing, ngram_join, pii, token_count
 from trivet.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs))
+
+
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_words.encode_decode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_token_count": op4_token_count,
+    "op5_language_id": op5_language_id,
     "op6_bpe_roundtrip": op6_bpe_roundtrip,
     "op7_pii": op7_pii,
     "op8_source_mix": op8_source_mix,
