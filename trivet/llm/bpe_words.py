@@ -1,8 +1,10 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words in Spark's tasks; every distinct word is encoded once, and an id-to-piece join gives its
-decoded form. Ids then go back to the words' positions: the most frequent words, a fixed number of them, travel as a
-broadcast, and all other words through a join on the word, back to their documents. Both ways give the same rows.
+Texts are split into words in Spark's tasks; every distinct word that occurs again is encoded once, and the id-to-piece
+table gives its decoded form. Ids then go back to the words' positions. Words of a count that keeps the list within
+``broadcast_words`` travel as a broadcast; were there more, the others go through a join on the word, back to their
+documents. A word that the broadcast lacks although it has all that occur twice occurs once, and is encoded there, once.
+Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -10,12 +12,16 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -23,24 +29,40 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from trivet.llm.common import cut
+from trivet.llm.shingles import batches_of
 
-#: Words with a broadcast encoding, at most: about 280 bytes each in a worker.
-FREQUENT = 400_000
-COUNTED = 400_000
+#: Words whose encodings travel as a broadcast, at most: about 40 bytes each in the driver and a worker.
+BROADCAST_WORDS = 2_000_000
+COUNTED = 300_000
+KEPT = 250_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
+_MARK = "\ud800"
+_ODD = re.compile("[\x1c-\x1f]")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
 
-def words_of(text: str, special: re.Pattern | None) -> list[str]:
-    """The words that merges never cross, in order; a special token's string is a word of its own."""
+def normal(text: str) -> str:
+    """Case is mapped character by character: a final sigma is no exception."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
+def tokens_of(text: str, special: re.Pattern | None) -> list[str]:
+    """Stretches between white space, normalised; no word crosses white space. A special token's string is looked for in
+    the text as it is and stands for itself, behind a mark. Separators that only Python takes for white space keep their
+    stretch whole."""
     if special is not None and (parts := special.split(text))[1:]:
-        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else words_of(part, None))]
-    if text.isascii():
-        return _ASCII.findall(text.lower())
-    # Case is mapped character by character: a final sigma is no exception.
-    return _ANY.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return [t for i, part in enumerate(parts) for t in ([_MARK + part] if i % 2 else tokens_of(part, None))]
+    text = normal(text)
+    return [text] if _ODD.search(text) else text.split()
+
+
+def words_of(token: str) -> list[str]:
+    """The words that merges never cross, in order."""
+    if token[:1] == _MARK:
+        return [token[1:]]
+    return _ASCII.findall(token) if token.isascii() else _ANY.findall(token)
 
 
 class WordCoder:
@@ -73,40 +95,121 @@ def special_pattern(special: list[str]) -> re.Pattern | None:
     return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
 
-def word_table(src: DataFrame, spec: Broadcast, special: re.Pattern | None, pieces: DataFrame) -> DataFrame:
-    """``word, n, ids array<int>, ids_text, pieces_text`` for every distinct word. Words meet once, counted before they
-    move; encoding and the join with pieces keep their place."""
+def word_counts(src: DataFrame, special: re.Pattern | None) -> DataFrame:
+    """``word, n`` of every distinct word, counted before it moves."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["word", "n"])
+            words: Counter[str] = Counter()
+            for token, n in held.items():
+                for word in words_of(token):
+                    words[word] += n
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
         for batch in batches:
             for text in batch.column("text"):
-                held.update(words_of(text.as_py(), special))
+                held.update(tokens_of(text.as_py(), special))
                 if len(held) > COUNTED:
                     yield flush()
         yield flush()
 
-    @F.pandas_udf("array<int>")
+    return src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_table(counted: DataFrame, spec: Broadcast) -> DataFrame:
+    """``word, n, ids binary``: each distinct word is encoded where its count has been added up."""
+
+    @F.pandas_udf("binary")
     def encode(words: pd.Series) -> pd.Series:
-        return pd.Series(WordCoder.of(spec.value).encode(words.tolist()))
+        return pd.Series([np.array(ids, np.int32).tobytes() for ids in WordCoder.of(spec.value).encode(words.tolist())])
+
+    return counted.withColumn("ids", encode("word"))
+
+
+def count_limit(table: DataFrame, most: int) -> int:
+    """The smallest count, 2 or more, such that ``most`` words or fewer have it or a larger one. The counts are
+    collected in steps of an eighth of a power of two, a few hundred rows whatever the input."""
+    step = F.ceil(F.log2("n") * 8).cast("int")
+    sizes = table.filter("n > 1").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for row in sizes:
+        total += row.words
+        if total > most:
+            return least or sizes[0].least + 1
+        least = row.least
+    return 2
+
+
+class Known:
+    """Encodings of the words that travel as a broadcast, in arrays ordered by print; words are told apart by 96 bits."""
+
+    def __init__(self, rows: pa.Table):
+        prints = rows.column("print").to_numpy()
+        order = np.argsort(prints, kind="stable")
+        prints = prints[order]
+        alone = np.ones(len(prints), bool)
+        alone[1:] &= prints[1:] != prints[:-1]
+        alone[:-1] &= prints[1:] != prints[:-1]
+        order = order[alone]
+        self.prints, self.checks = prints[alone], rows.column("check").to_numpy()[order]
+        ids = rows.column("ids").take(pa.array(order)).to_pylist()
+        self.ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
+        self.ids = np.frombuffer(b"".join(ids), np.int32)
+
+    def get(self, words: list[str]) -> list[list[int] | None]:
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        prints = np.array([xxhash.xxh64_intdigest(r, 42) for r in raw], np.uint64).view(np.int64)
+        checks = np.array([zlib.crc32(r) for r in raw], np.int64)
+        if not len(self.prints):
+            return [None] * len(words)
+        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
+        ok = (self.prints[at] == prints) & (self.checks[at] == checks)
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        return [self.ids[b:e].tolist() if good else None for good, b, e in zip(ok.tolist(), begin.tolist(), self.ends[at].tolist())]
+
+
+class Speller:
+    """Ids and pieces, as text, of the stretches between white space; a bounded number of them is kept by a worker."""
+
+    _live: dict[str, Speller] = {}
+
+    def __init__(self, known: Known, spec: str):
+        self.known, self.coder = known, WordCoder.of(spec)
+        self.pieces = dict(self.coder.pieces)
+        self.kept: dict[str, tuple[str, str]] = {}
 
-    counted = src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    placed = counted.withColumn("ids", encode("word")).select("word", "n", F.posexplode("ids").alias("pos", "id"))
-    joined = placed.join(F.broadcast(pieces), "id")  # as many rows as the vocabulary has tokens, whatever the input
-    each = F.sort_array(F.collect_list(F.struct("pos", "id", "piece")))
-    return joined.groupBy("word").agg(F.first("n").alias("n"), each.alias("p")).select(
-        "word",
-        "n",
-        F.col("p.id").alias("ids"),
-        F.array_join(F.transform("p", lambda x: x["id"].cast("string")), " ").alias("ids_text"),
-        F.array_join(F.col("p.piece"), " ").alias("pieces_text"),
-    )
+    @classmethod
+    def of(cls, key: str, known: Broadcast, spec: str) -> Speller:
+        if key not in cls._live:
+            cls._live.clear()
+            cls._live[key] = cls(known.value, spec)
+        return cls._live[key]
+
+    def learn(self, tokens: set[str], own: dict[str, list[int]] | None = None) -> dict[str, tuple[str, str]]:
+        """Spellings of tokens: known words by the table, ``own`` words by the join, any other word is encoded here."""
+        parts = {t: words_of(t) for t in tokens}
+        words = list({w for ws in parts.values() for w in ws})
+        ids = dict(zip(words, self.known.get(words)))
+        ids.update({w: (own or {}).get(w) for w, i in ids.items() if i is None})
+        lacking = [w for w, i in ids.items() if i is None]
+        ids.update(zip(lacking, self.coder.encode(lacking)))
+        out = {}
+        for t, ws in parts.items():
+            row = [i for w in ws for i in ids[w]]
+            out[t] = (" ".join(map(str, row)), " ".join([self.pieces[i] for i in row]))
+        return out
+
+    def spell(self, texts: list[list[str]], own: dict[str, list[int]] | None = None) -> Iterator[tuple[str, str]]:
+        kept = self.kept
+        if len(kept) > KEPT:
+            kept.clear()
+        kept.update(self.learn({t for tokens in texts for t in tokens}.difference(kept), own))
+        for tokens in texts:
+            both = [kept[t] for t in tokens]
+            yield " ".join([b[0] for b in both if b[0]]), " ".join([b[1] for b in both if b[0]])
 
 
 def encode_decode(
@@ -114,7 +217,7 @@ def encode_decode(
     tokenizer_path: str,
     id_col: str = "doc_id",
     text_col: str = "text",
-    frequent: int = FREQUENT,
+    broadcast_words: int = BROADCAST_WORDS,
     texts: bool = False,
 ) -> DataFrame:
     """Return ``doc_id, n_tokens long, ids_sha256, decoded_sha256`` for every row, with ``texts`` also ``ids array<int>``
@@ -123,29 +226,57 @@ def encode_decode(
     * null and empty texts have no tokens and decode to the empty text; an empty table gives no rows.
     * repeated rows each give a row; null ids are allowed; special strings inside texts are their tokens.
     * very long texts are encoded whole; other columns of the input are not read.
-    * ``frequent`` only decides which words travel as a broadcast; at 0 every word goes through the join.
+    * ``broadcast_words`` only decides which words travel as a broadcast; at 0 every word goes through the join.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
-    coder = WordCoder(spec)
-    special = special_pattern(coder.special)
+    special = special_pattern(WordCoder.of(spec).special)
     shared_spec = spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = spark.createDataFrame(coder.pieces, "id int, piece string")
-    table = cut(word_table(src, shared_spec, special, pieces))
-    top = table.orderBy(F.desc("n"), "word").limit(frequent).select("word", "ids_text", "pieces_text")
-    known = spark.sparkContext.broadcast({r.word: (r.ids_text, r.pieces_text) for r in top.collect()})
+    table = cut(word_table(word_counts(src, special), shared_spec))
+    limit = count_limit(table, broadcast_words)
+    top = table.filter(F.col("n") >= limit).select(F.xxhash64("word").alias("print"), F.crc32("word").alias("check"), "ids")
+    known = spark.sparkContext.broadcast(Known(top.toArrow()))
+    key = uuid.uuid4().hex  # a worker may serve several queries
     kind = src.schema["doc_id"].dataType.simpleString()
+    more = ", ids array<int>, decoded string" if texts else ""
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
+
+    def report(ids: pa.Array, spelled: list[tuple[str, str]]) -> pa.RecordBatch:
+        columns = [
+            ids,
+            pa.array([s[0].count(" ") + 1 if s[0] else 0 for s in spelled], pa.int64()),
+            pa.array([hashlib.sha256(s[0].encode()).hexdigest() for s in spelled], pa.string()),
+            pa.array([hashlib.sha256(s[1].encode()).hexdigest() for s in spelled], pa.string()),
+        ]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if texts:
+            columns += [pa.array([[int(x) for x in s[0].split()] for s in spelled], pa.list_(pa.int32())), pa.array([s[1] for s in spelled], pa.string())]
+            names += ["ids", "decoded"]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        speller = Speller.of(key, known, shared_spec.value)
+        for batch in batches:
+            at = 0
+            for part in batches_of(x.as_py() for x in batch.column("text")):
+                spelled = list(speller.spell([tokens_of(t, special) for t in part]))
+                yield report(batch.column("doc_id").slice(at, len(part)), spelled)
+                at += len(part)
+
+    if limit <= 2:
+        return src.mapInArrow(in_place, schema)
+
     # Rows are told apart by id and text print; rows equal in both have equal results.
     keyed = src.withColumn("print", F.xxhash64("text"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = known.value
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column("text")):
-                new = set(words_of(text.as_py(), special)).difference(have)
+                words = list({w for t in set(tokens_of(text.as_py(), special)) for w in words_of(t)})
+                new = [w for w, ids in zip(words, known.value.get(words)) if ids is None]
                 at += [i] * len(new)
                 found += new
             take = pa.array(at, pa.int64())
@@ -158,37 +289,23 @@ def encode_decode(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), data], ["doc_id", "print", "data"])
 
     wanted = keyed.mapInArrow(rare, f"doc_id {kind}, print bigint, word string")
-    others = table.select("word", "ids_text", "pieces_text").join(wanted, "word")
-    others = others.groupBy("doc_id", "print").agg(F.collect_set(F.struct("word", "ids_text", "pieces_text")).alias("own"))
+    others = table.filter(F.col("n") < limit).select("word", "ids").join(wanted, "word")
+    others = others.groupBy("doc_id", "print").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
     others = others.select(F.col("doc_id").alias("own_id"), F.col("print").alias("own_print"), "own")
     moved = keyed.mapInArrow(packed, f"doc_id {kind}, print bigint, data binary")
     joined = moved.join(others, F.expr("print = own_print AND doc_id <=> own_id"), "left").select("doc_id", "data", "own")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = known.value
+        speller = Speller.of(key, known, shared_spec.value)
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            counts, ids_out, text_out, id_print, text_print = [], [], [], [], []
+            spelled = []
             for data, own in zip(batch.column("data"), batch.column("own")):
-                words = words_of(unpack(data.as_py()).decode("utf-8", "surrogatepass"), special)
-                local = {w["word"]: (w["ids_text"], w["pieces_text"]) for w in own.as_py() or ()}
-                coded = [have.get(w) or local[w] for w in words]
-                ids, text = " ".join([c[0] for c in coded]), " ".join([c[1] for c in coded])
-                counts.append(ids.count(" ") + 1 if ids else 0)
-                id_print.append(hashlib.sha256(ids.encode()).hexdigest())
-                text_print.append(hashlib.sha256(text.encode()).hexdigest())
-                if texts:
-                    ids_out.append([int(x) for x in ids.split()])
-                    text_out.append(text)
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_print, pa.string()), pa.array(text_print, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if texts:
-                columns += [pa.array(ids_out, pa.list_(pa.int32())), pa.array(text_out, pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                local = {w["word"]: np.frombuffer(w["ids"], np.int32).tolist() for w in own.as_py() or ()}
+                spelled += speller.spell([tokens_of(unpack(data.as_py()).decode("utf-8", "surrogatepass"), special)], local)
+            yield report(batch.column("doc_id"), spelled)
 
-    more = ", ids array<int>, decoded string" if texts else ""
-    return joined.mapInArrow(finish, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return joined.mapInArrow(finish, schema)
 
 
 def decode(coded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
