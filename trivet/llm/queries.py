@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivet.llm import bpe_words, exact_dedup, language, licenses, lm_trie, mixing, ngram_join, pii, token_count
+from trivet.llm import bpe_words, exact_dedup, kmeans_tree, language, licenses, lm_trie, mixing, ngram_join, pii, token_count
 from trivet.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_trie.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_pii": op7_pii,
     "op8_source_mix": op8_source_mix,
     "op9_lm_scoring": op9_lm_scoring,
+    "op10_nearest": op10_nearest,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
