@@ -1,8 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, copies, near copies, mixture, encoding.
 
-STAGES = []
+Each stage takes what its predecessor kept. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trivet.llm import bpe_words, exact_dedup, language, mixing, ngram_join
+from trivet.llm.common import cut, table
+from trivet.llm.queries import tokenizer
+
+#: Texts of which a smaller share of n-grams belongs to any one language are rejected.
+LEAST_SCORE = 0.4
+#: Every document is taken once at least; small sources repeat within the mixture's limit.
+MIXTURE = mixing.Mixture(budget="cover")
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text belongs to a language; null texts and texts without letters go. What is learned comes from
+    the documents given."""
+    found = language.language_of(spark, language.fit(docs))(F.col("text"))
+    rows = docs.select("*", found.alias("_found"))
+    return rows.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts; rows that repeat its id stay with it."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept.distinct(), F.expr("doc_id <=> _id"), "left_semi")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group that links join; documents without words stay."""
+    kept = ngram_join.jaccard_join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(kept.distinct(), F.expr("doc_id <=> _id"), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's weight asks for, once at least."""
+    return mixing.realise(docs, MIXTURE)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and its digest after decoding."""
+    return bpe_words.encode_decode(docs, tokenizer("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", keep_language),
+    ("exact_dedup", drop_copies),
+    ("near_copies", drop_near_copies),
+    ("mixture", mix),
+    ("encode", encode),
+]
+#: Language identification and word-piece merges are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

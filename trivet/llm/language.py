@@ -8,12 +8,13 @@ language is taken, corrected for the false positives expected at the language's
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trivet.llm.shingles import U, batches_of, mix
@@ -144,23 +145,27 @@ def identify(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text
     * very long texts are read whole; repeated rows each give a row; an empty table gives no rows.
     * a null id is not held out; other columns of the input are not read.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    found = language_of(docs.sparkSession, model)(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), found.alias("found"))
+    return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def language_of(spark: SparkSession, model: Filter | None) -> Callable[[Column], Column]:
+    """A function of a text column: ``struct<lang_pred string, score double>``. Only that column goes to Python."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def predict(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         found = shared.value
-        for batch in batches:
+        for column in columns:
             names, scores = [], []
-            for texts in batches_of(x.as_py() for x in batch.column("text")):
+            for texts in batches_of("" if x is None else x for x in column.tolist()):
                 if found is None:
                     names += ["und"] * len(texts)
                     scores += [0.0] * len(texts)
                     continue
                 part, _, has = found.hits(texts)
-                best = part.argmax(1)
-                names += [found.langs[b] if h else "und" for b, h in zip(best, has)]
+                names += [found.langs[b] if h else "und" for b, h in zip(part.argmax(1), has)]
                 scores += np.where(has, part.max(1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
 
-    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return F.pandas_udf(predict, "lang_pred string, score double")
