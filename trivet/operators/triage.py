@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trivet.functions import jsonx, tools
 from trivet.functions import text as T
+from trivet.operators.clusters import written
 
 Provider = Callable[[DataFrame, str, float], DataFrame]
 PREFILTER_ENTROPY = 2.5
@@ -110,8 +111,8 @@ def guarded(df: DataFrame, cheap: Column, if_cheap: Callable[[DataFrame], DataFr
 
 
 def _decided(df: DataFrame, strategy: str, model: str) -> DataFrame:
-    d = jsonx.decision(jsonx.json_object(F.col("raw_response")), F.lit(strategy), F.lit(model))
-    return df.withColumn("decision", d)
+    rows = df.withColumn("_obj", jsonx.json_object(F.col("raw_response")))
+    return rows.withColumn("decision", jsonx.decision(F.col("_obj"), F.lit(strategy), F.lit(model))).drop("_obj")
 
 
 def ask(detections: DataFrame, provider: Provider, strategy: str = "direct_json", model: str = "native", temperature: float = 0.0) -> DataFrame:
@@ -153,7 +154,7 @@ def self_consistency(detections: DataFrame, id_col: str, provider: Provider = na
     A tie between statuses goes to the one of higher mean confidence, then to REVIEW. ``escalated``, ``votes_real`` and
     ``sample_statuses`` tell what happened. Samples of a row are few by construction.
     """
-    first = ask(detections, provider, "self_consistency", model)
+    first = written(ask(detections, provider, "self_consistency", model))  # both ways read it; no call is made twice
     gate = (F.col("decision.status") == "REVIEW") | F.col("decision.confidence").between(LOWER, UPPER)
     names = detections.columns
 
@@ -162,7 +163,7 @@ def self_consistency(detections: DataFrame, id_col: str, provider: Provider = na
 
     def vote(df: DataFrame) -> DataFrame:
         again = df.select(*names).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))))
-        more = ask(again, provider, "self_consistency", model, temperature).select(*names, "sample", "decision")
+        more = written(ask(again, provider, "self_consistency", model, temperature).select(*names, "sample", "decision"))
         every = df.select(*names, F.lit(0).alias("sample"), "decision").unionByName(more)
         s = F.col("decision.status")
         of = lambda name: F.struct(F.count_if(s == name).alias("n"), F.coalesce(F.avg(F.when(s == name, F.col("decision.confidence"))), F.lit(0.0)).alias("c"), F.lit(int(name == "REVIEW")).alias("r"), F.lit(name).alias("status"))
@@ -207,12 +208,12 @@ def react(detections: DataFrame, provider: Provider = policy_provider, fallback:
     for step in range(max_steps):
         asked = provider(_prompted(active, "react_triage").withColumn("prompt", F.concat("prompt", F.when(F.size("tool_calls") > 0, F.concat(F.lit("\n\nSo far:\n"), F.to_json("tool_calls"))).otherwise(""))), model, 0.0)
         turn = F.from_json(jsonx.json_object(F.col("raw_response")), "final string, action string, args map<string,string>")
-        asked = asked.withColumn("turn", turn).withColumn("steps", F.lit(step + 1))
+        asked = written(asked.withColumn("turn", turn).withColumn("steps", F.lit(step + 1)))  # ended and open rows both read it
         ended = asked.filter(F.coalesce(F.col("turn.final").startswith("{"), F.lit(False)))
         done.append(ended.select(*names, jsonx.decision(F.col("turn.final"), F.lit("react_triage"), F.lit(model)).alias("decision"), "tool_calls", "steps", F.lit("final").alias("terminated")))
         open_ = asked.filter(~F.coalesce(F.col("turn.final").startswith("{"), F.lit(False)))
         args = F.coalesce("turn.args", F.create_map().cast("map<string,string>"))
-        open_ = open_.withColumn("seen", tools.observation(F.col("turn.action"), args, fields)).withColumn("args", args)
+        open_ = written(open_.withColumn("seen", tools.observation(F.col("turn.action"), args, fields)).withColumn("args", args))
         call = F.struct(F.col("turn.action").alias("tool"), F.col("args").alias("args"), F.col("seen").alias("observation"))
         stuck.append(open_.filter("seen IS NULL").select(*names, "tool_calls", "steps"))
         active = open_.filter("seen IS NOT NULL").select(*names, F.array_append("tool_calls", call).alias("tool_calls"), "steps")

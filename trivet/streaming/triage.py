@@ -35,9 +35,15 @@ def write_counts(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
+def _timed(rows: DataFrame, time_col: str) -> DataFrame:
+    """Watermarks need a timestamp with a time zone; times without one are read in the session's."""
+    return rows.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def windowed_counts(rows: DataFrame, time_col: str, by: str, width: str = "1 hour", slide: str | None = None, late: str = "1 day") -> DataFrame:
     """Rows in tumbling or sliding windows; rows that come later than ``late`` are left out."""
     w = F.window(time_col, width, slide) if slide else F.window(time_col, width)
+    rows = _timed(rows, time_col)
     out = rows.withWatermark(time_col, late).groupBy(w.alias("w"), F.col(by)).agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("w.start").alias("window_start"), by, "n")
 
@@ -47,7 +53,8 @@ def decision_metrics(decided: DataFrame, time_col: str, width: str = "5 minutes"
     w = F.window(time_col, width)
     s = F.col("status")
     return (
-        decided.withWatermark(time_col, late)
+        _timed(decided, time_col)
+        .withWatermark(time_col, late)
         .groupBy(w.alias("w"))
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(s == "REAL").alias("real"), F.count_if(s == "REVIEW").alias("review"), F.count_if(~F.col("json_valid")).alias("json_invalid"), F.avg("latency_ms").alias("avg_latency_ms"), F.max("latency_ms").alias("max_latency_ms"))
         .select(F.col("w.start").alias("window_start"), "n", "real", "review", "json_invalid", "avg_latency_ms", "max_latency_ms")
@@ -57,13 +64,13 @@ def decision_metrics(decided: DataFrame, time_col: str, width: str = "5 minutes"
 def owner_sessions(rows: DataFrame, time_col: str, owner_col: str, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Sessions of an owner: rows with pauses shorter than ``gap``."""
     s = F.session_window(time_col, gap)
-    out = rows.withWatermark(time_col, late).groupBy(F.col(owner_col), s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    out = _timed(rows, time_col).withWatermark(time_col, late).groupBy(F.col(owner_col), s.alias("s")).agg(F.count(F.lit(1)).alias("n"))
     return out.select(owner_col, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "n")
 
 
 def distinct_values(detections: DataFrame, time_col: str, late: str = "1 day") -> DataFrame:
     """The first row of every value inside the watermark."""
-    return detections.withColumn("value_hash", value_hash(F.col("matched_value"))).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["value_hash"])
+    return _timed(detections, time_col).withColumn("value_hash", value_hash(F.col("matched_value"))).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["value_hash"])
 
 
 def mark_duplicates(detections: DataFrame, id_col: str = "event_id") -> DataFrame:
