@@ -53,7 +53,8 @@ def read_tuples(spark: SparkSession, path: str, fallback: bool = True) -> DataFr
 
 def read_detections(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Detections from JSON arrays or lines; a byte order mark is no hindrance. Missing fields are null."""
-    return spark.read.schema(schema.DETECTION).option("encoding", "UTF-8").json(path, multiLine=multi_line)
+    text = spark.read.text(path, wholetext=multi_line).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter("length(trim(value)) > 0")
+    return text.select(F.inline(F.from_json("value", f"array<struct<{schema.DETECTION}>>")))
 
 
 def read_json_lines(spark: SparkSession, path: str, fields: str) -> DataFrame:
