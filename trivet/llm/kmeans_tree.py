@@ -23,7 +23,8 @@ from trivet.llm.common import cut
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, about
 BRANCHES = 8
-LEAF = 40  # sampled vectors in a leaf, at most
+LEAVES = 64  # leaves that the tree has, about; blocks part large ones
+LEAF = 40  # sampled vectors in a leaf, at the least
 TRIALS = 200  # queries of the calibration, about
 BLOCK_ROWS = 4096
 
@@ -130,7 +131,7 @@ def nearest(
     k: int = 20,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
-    recall: float = 0.97,
+    recall: float = 0.95,
     sample: int = SAMPLE,
     leaf: int = LEAF,
 ) -> DataFrame:
@@ -154,7 +155,7 @@ def nearest(
     n = rows.count()
     luck = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     fitted = matrix(rows.filter(luck < sample / max(n, 1)).select("v").distinct().orderBy("v").toArrow().column("v").combine_chunks())
-    tree = Tree(fitted, leaf=leaf)
+    tree = Tree(fitted, leaf=max(leaf, len(fitted) // LEAVES))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,28 +185,30 @@ def nearest(
 
     def search(left, right):
         """All queries that visit a block, against its rows; the best k + 1 entries of each."""
-        mine, theirs = left.column("v").combine_chunks(), right.column("v").combine_chunks()
-        q, rows_ = matrix(mine), matrix(theirs)
-        out: tuple[list, list, list] = ([], [], [])
+        q, rows_ = matrix(left.column("v").combine_chunks()), matrix(right.column("v").combine_chunks())
+        asked_, taken, score = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        ids = right.column("ids").combine_chunks()
         if len(q) and len(rows_):
-            ids = right.column("ids").combine_chunks()
-            least = np.array([x[0].as_py() for x in ids])
-            names = left.column("q").to_pylist()
-            for s in range(0, len(q), 512):
-                rough = q[s : s + 512] @ rows_.T
-                for i, line in enumerate(rough):
-                    some = np.argpartition(-line, k + 8)[: k + 9] if len(line) > k + 9 else np.arange(len(line))
-                    # Rounding may order a rough sum otherwise: take all that are as good as the last one, to rounding.
-                    some = np.flatnonzero(line >= line[some].min() - 1e-9 * (1 + abs(line[some].min())))
-                    score = exact_scores(q[s + i], rows_[some])
-                    best = np.lexsort((least[some], -score))[: k + 1]
-                    out[0].extend([names[s + i]] * len(best))
-                    out[1].extend(score[best].tolist())
-                    out[2].extend(some[best].tolist())
-            found = ids.take(pa.array(out[2], pa.int64()))
-        else:
-            found = pa.array([], pa.list_(pa.int64()))
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), found], ["q", "s", "ids"])
+            least = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets.to_numpy()[0]]
+            keep = min(k + 1, len(rows_))
+            for start in range(0, len(q), 512):
+                rough = q[start : start + 512] @ rows_.T
+                # Rounding may order rough sums otherwise: all that are as good as the last one, to rounding, are summed exactly.
+                last = np.partition(rough, len(rows_) - keep, axis=1)[:, len(rows_) - keep]
+                i, j = np.nonzero(rough >= (last - 1e-9 * (1 + np.abs(last)))[:, None])
+                i += start
+                s = np.zeros(len(i))
+                for d in range(q.shape[1]):
+                    s += q[i, d] * rows_[j, d]
+                order = np.lexsort((least[j], -s, i))
+                i, j, s = i[order], j[order], s[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                best = place < keep
+                asked_.append(i[best])
+                taken.append(j[best])
+                score.append(s[best])
+        names = left.column("q").combine_chunks().take(pa.array(np.concatenate(asked_)))
+        return pa.Table.from_arrays([names, pa.array(np.concatenate(score)), ids.take(pa.array(np.concatenate(taken)))], ["q", "s", "ids"])
 
     block_of = F.create_map(*[F.lit(x) for i, b in sorted(blocks.items()) for x in (i, b)]) if blocks else F.create_map(F.lit(0), F.lit(1))
     filed = indexed.select("v", "ids", "leaf", F.pmod(F.xxhash64("v", F.lit(2)), block_of[F.col("leaf")]).cast("int").alias("block"))
