@@ -10,7 +10,7 @@ The order only has to be the same everywhere, so the count may be a bitmap of fi
 
 Copies (equal shingle sets) are one node. A list of many different sets is not expanded into pairs: its members first
 link to a few hubs, and after the components of verified links are known, only members of different components still
-meet. So large groups of near copies cost a few verifications a member, and no link between components is lost.
+meet, in blocks. So large groups of near copies cost a few verifications a member, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivet.llm.common import cut
+from trivet.llm.common import batches_of_rows, cut
 from trivet.llm.graph import components
 from trivet.llm.shingles import U, batches_of, mix, set_print, shingle_sets
 
@@ -216,13 +216,11 @@ def candidates(lists: DataFrame, parts_log2: int, share: int, short: int) -> Dat
     return lists.repartition(1 << parts_log2, "part").mapInArrow(run, "print bigint, a bigint, b bigint, n bigint")
 
 
-def verified(pairs: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, share: int, size: int) -> DataFrame:
-    """The pairs whose sets reach the similarity, by exact overlap: the smaller set's shingles are probed in the larger."""
-    spark = src.sparkSession
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    chosen = cut(nodes.join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+def texts_of(sids: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, size: int) -> DataFrame:
+    """``sid, data``: one packed text for each set print. A bitmap of fixed size keeps most other texts from moving."""
+    chosen = cut(nodes.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
-    wanted = spark.sparkContext.broadcast(fixed_map(chosen.select(place.alias("place"))))
+    wanted = src.sparkSession.sparkContext.broadcast(fixed_map(chosen.select(place.alias("place"))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, pack = np.frombuffer(wanted.value, np.uint8), zstandard.ZstdCompressor(level=3).compress
@@ -236,7 +234,14 @@ def verified(pairs: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, shar
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(sids, pa.int64()), data], ["doc_id", "sid", "data"])
 
     found = src.withColumn("place", place).mapInArrow(fetch, f"doc_id {kind}, sid bigint, data binary")
-    texts = found.join(chosen, ["doc_id", "sid"]).select("sid", "data").dropDuplicates(["sid"])
+    same = F.expr("found.sid = chosen.sid AND found.doc_id <=> chosen.doc_id")
+    return found.alias("found").join(chosen.alias("chosen"), same).select("found.sid", "data").dropDuplicates(["sid"])
+
+
+def verified(pairs: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, share: int, size: int) -> DataFrame:
+    """The pairs whose sets reach the similarity, by exact overlap: the smaller set's shingles are probed in the larger."""
+    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
+    texts = texts_of(needed, src, nodes, kind, size)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack_text = zstandard.ZstdDecompressor().decompress
@@ -264,7 +269,57 @@ def verified(pairs: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, shar
 
     joined = pairs.join(texts.select(F.col("sid").alias("b"), F.col("data").alias("data_b")), "b")
     joined = joined.join(texts.select(F.col("sid").alias("a"), F.col("data").alias("data_a")), "a")
-    return cut(joined.select("a", "b", "data_a", "data_b").mapInArrow(probe, "a bigint, b bigint"))
+    with batches_of_rows(src.sparkSession, 256):  # a hub's text stands in each of its pairs
+        return cut(joined.select("a", "b", "data_a", "data_b").mapInArrow(probe, "a bigint, b bigint"))
+
+
+def closing_links(entries: DataFrame, known: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, share: int, size: int, block: int = 512) -> DataFrame:
+    """Links between the components that still stand apart in long lists.
+
+    Lists whose members are of one component are done. Components that meet in other lists form a cluster. Inside a
+    cluster, the members outside its largest component are queries against all of its members, which are dealt into
+    blocks of about ``block`` sets, each with one merged list of its shingles. So no list is ever turned into pairs.
+    """
+    placed = cut(entries.join(known.withColumnRenamed("node", "a"), "a", "left").select("print", "a", F.coalesce("component", "a").alias("c")))
+    mixed = placed.groupBy("print").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("print", "lo")
+    open_ = cut(placed.join(mixed, "print").select("a", "c", "lo").distinct())
+    clusters = components(open_.select(F.col("c").alias("a"), F.col("lo").alias("b")).distinct())
+    members = cut(open_.select("a", "c").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c"))
+    sizes = members.groupBy("cluster", "c").count().groupBy("cluster").agg(F.sum("count").alias("all"), F.max(F.struct("count", "c")).alias("top"))
+    sizes = sizes.select("cluster", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.count")) / (4 * block)).cast("int").alias("turns"), F.col("top.c").alias("main"))
+    dealt = cut(members.join(sizes, "cluster").join(texts_of(members.select(F.col("a").alias("sid")).distinct(), src, nodes, kind, size).withColumnRenamed("sid", "a"), "a"))
+    luck = F.xxhash64("a")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    filed = dealt.select("cluster", F.pmod(luck, F.col("blocks")).cast("int").alias("block"), upto("turns").alias("turn"), "a", "c", "data")
+    asking = dealt.filter("c <> main").select("cluster", upto("blocks").alias("block"), F.pmod(luck, F.col("turns")).cast("int").alias("turn"), "a", "c", "data")
+
+    def probe(left, right):
+        unpack_text = zstandard.ZstdDecompressor().decompress
+
+        def sets(rows) -> list[np.ndarray]:
+            return list(shingle_sets([unpack_text(x).decode("utf-8", "surrogatepass") for x in rows.column("data").to_pylist()], size))
+
+        theirs, mine = sets(right), sets(left)
+        out: tuple[list, list] = ([], [])
+        if theirs and mine:
+            lengths = np.array([len(x) for x in theirs])
+            prints, owner = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), lengths)
+            order = np.argsort(prints, kind="stable")
+            prints, owner = prints[order], owner[order]
+            a, c = right.column("a").to_numpy(), right.column("c").to_numpy()
+            for x, name, own in zip(mine, left.column("a").to_pylist(), left.column("c").to_pylist()):
+                lo, hi = np.searchsorted(prints, x, "left"), np.searchsorted(prints, x, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                both = np.bincount(owner[at], minlength=len(theirs))
+                hits = np.flatnonzero((100 * both >= share * (len(x) + lengths - both)) & (c != own))
+                _, first = np.unique(c[hits], return_index=True)  # one link to a component is enough
+                out[0].extend([name] * len(first))
+                out[1].extend(a[hits[first]].tolist())
+        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+
+    keys = ["cluster", "block", "turn"]
+    return cut(asking.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInArrow(probe, "a bigint, b bigint"))
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, heavy: int = 8, short: int = SHORT) -> DataFrame:
@@ -283,26 +338,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     parts_log2 = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
-    heavies = spark.sparkContext.broadcast(fixed_map(heavy_places(src.select("text"), parts_log2, heavy, size)))
-    rows = cut(short_lists(src, kind, parts_log2, percent, size, heavies))
+    with batches_of_rows(spark, 2000):
+        heavies = spark.sparkContext.broadcast(fixed_map(heavy_places(src.select("text"), parts_log2, heavy, size)))
+        rows = cut(short_lists(src, kind, parts_log2, percent, size, heavies))
     nodes = rows.filter("part IS NULL").select("doc_id", "sid", "n")
     found = cut(candidates(rows.filter("part IS NOT NULL").select("part", "data"), parts_log2, percent, short))
     pairs = cut(found.filter("b IS NOT NULL").select("a", "b").distinct())
     links = verified(pairs, src, nodes, kind, percent, size)
-    # Long lists: members of different components still have to meet.
-    entries = found.filter("b IS NULL").select("print", "a", "n")
+    known = cut(components(links))
+    # Long lists: components that stand apart still have to meet.
+    entries = found.filter("b IS NULL").select("print", "a")
     if not entries.isEmpty():
-        known = components(links).select(F.col("node").alias("a"), "component")
-        placed = cut(entries.join(known, "a", "left").select("print", "a", "n", F.coalesce("component", "a").alias("c")))
-        mixed = placed.groupBy("print").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("print")
-        open_ = cut(placed.join(mixed, "print"))
-        other = open_.select("print", F.col("a").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-        more = open_.join(other, "print").filter(f"a < b AND c <> d AND 100 * least(n, m) >= {percent} * greatest(n, m)").select("a", "b").distinct()
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            links = links.union(verified(more, src, nodes, kind, percent, size))
+        more = closing_links(entries, known, src, nodes, kind, percent, size)
+        known = cut(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     classes = nodes.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    grouped = cut(classes.join(components(links).withColumnRenamed("node", "sid"), "sid", "left"))
+    grouped = cut(classes.join(known.withColumnRenamed("node", "sid"), "sid", "left"))
     roots = grouped.filter("component IS NOT NULL").groupBy("component").agg(F.min("least_id").alias("root"))
     named = grouped.join(roots, "component", "left").select("sid", F.coalesce("root", "least_id").alias("root"), "copies", F.col("component").isNotNull().alias("linked"))
     # Both sides of the join back are read from files, so a hot class's rows are split by the skew join.
