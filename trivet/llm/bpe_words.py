@@ -10,31 +10,32 @@ Both ways give the same rows.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
-import xxhash
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from trivet.llm.common import cut
-from trivet.llm.shingles import batches_of
+from trivet.llm.common import batches_of_rows, cut, no_cycles
+from trivet.llm.shingles import batches_of, word_prints
 
-#: Words whose encodings travel as a broadcast, at most: about 40 bytes each in the driver and a worker.
+#: Words whose encodings travel as a broadcast, at most: about 60 bytes each in the driver and a worker.
 BROADCAST_WORDS = 2_000_000
-COUNTED = 300_000
-KEPT = 250_000
+COUNTED = 200_000
+KEPT = 80_000
+GROUP_CHARS = 500_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
@@ -62,6 +63,11 @@ def words_of(token: str) -> list[str]:
     """The words that merges never cross, in order."""
     if token[:1] == _MARK:
         return [token[1:]]
+    if token.isascii():  # most tokens: a word, or a word and a mark
+        if token.isalpha():
+            return [token]
+        if token[-1] in ",.!?;:" and token[:-1].isalpha():
+            return [token[:-1], token[-1]]
     return _ASCII.findall(token) if token.isascii() else _ANY.findall(token)
 
 
@@ -71,6 +77,7 @@ class WordCoder:
     _live: dict[str, WordCoder] = {}
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         whole = Tokenizer.from_str(spec)
         self.special = [t.content for t in whole.get_added_tokens_decoder().values()]
         self.pieces = sorted((i, piece) for piece, i in whole.get_vocab(with_added_tokens=True).items())
@@ -109,24 +116,29 @@ def word_counts(src: DataFrame, special: re.Pattern | None) -> DataFrame:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for text in batch.column("text"):
-                held.update(tokens_of(text.as_py(), special))
-                if len(held) > COUNTED:
-                    yield flush()
-        yield flush()
+        with no_cycles():
+            for batch in batches:
+                for text in batch.column("text"):
+                    held.update(tokens_of(text.as_py(), special))
+                    if len(held) > COUNTED:
+                        yield flush()
+            yield flush()
 
     return src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def word_table(counted: DataFrame, spec: Broadcast) -> DataFrame:
-    """``word, n, ids binary``: each distinct word is encoded where its count has been added up."""
+    """``word, n, print, ids_text, pieces_text``: each distinct word is encoded where its count has been added up."""
 
-    @F.pandas_udf("binary")
-    def encode(words: pd.Series) -> pd.Series:
-        return pd.Series([np.array(ids, np.int32).tobytes() for ids in WordCoder.of(spec.value).encode(words.tolist())])
+    @F.pandas_udf("print bigint, ids_text string, pieces_text string")
+    def encode(words: pd.Series) -> pd.DataFrame:
+        coder = WordCoder.of(spec.value)
+        ids = coder.encode(words.tolist())
+        pieces = dict(coder.pieces)
+        texts = [(" ".join(map(str, row)), " ".join([pieces[i] for i in row])) for row in ids]
+        return pd.DataFrame({"print": word_prints(words.tolist())[0].view(np.int64), "ids_text": [t[0] for t in texts], "pieces_text": [t[1] for t in texts]})
 
-    return counted.withColumn("ids", encode("word"))
+    return counted.withColumn("e", encode("word")).select("word", "n", "e.print", "e.ids_text", "e.pieces_text")
 
 
 def count_limit(table: DataFrame, most: int) -> int:
@@ -144,7 +156,7 @@ def count_limit(table: DataFrame, most: int) -> int:
 
 
 class Known:
-    """Encodings of the words that travel as a broadcast, in arrays ordered by print; words are told apart by 96 bits."""
+    """Encodings of the words that travel as a broadcast, ordered by print; words are told apart by 64 bits and length."""
 
     def __init__(self, rows: pa.Table):
         prints = rows.column("print").to_numpy()
@@ -155,20 +167,18 @@ class Known:
         alone[:-1] &= prints[1:] != prints[:-1]
         order = order[alone]
         self.prints, self.checks = prints[alone], rows.column("check").to_numpy()[order]
-        ids = rows.column("ids").take(pa.array(order)).to_pylist()
-        self.ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-        self.ids = np.frombuffer(b"".join(ids), np.int32)
-
-    def get(self, words: list[str]) -> list[list[int] | None]:
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        prints = np.array([xxhash.xxh64_intdigest(r, 42) for r in raw], np.uint64).view(np.int64)
-        checks = np.array([zlib.crc32(r) for r in raw], np.int64)
-        if not len(self.prints):
-            return [None] * len(words)
+        self.ids, self.pieces = (rows.column(c).combine_chunks().take(pa.array(order)) for c in ("ids_text", "pieces_text"))
+
+    def get(self, words: list[str]) -> dict[str, tuple[str, str]]:
+        """Spellings of the words that it has."""
+        if not words or not len(self.prints):
+            return {}
+        prints = word_prints(["\n".join(words)])[0].view(np.int64)
+        checks = np.fromiter(map(len, words), np.int32, len(words))
         at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
         ok = (self.prints[at] == prints) & (self.checks[at] == checks)
-        begin = np.where(at > 0, self.ends[at - 1], 0)
-        return [self.ids[b:e].tolist() if good else None for good, b, e in zip(ok.tolist(), begin.tolist(), self.ends[at].tolist())]
+        take = pa.array(at[ok])
+        return dict(zip(compress(words, ok.tolist()), zip(self.ids.take(take).to_pylist(), self.pieces.take(take).to_pylist())))
 
 
 class Speller:
@@ -180,6 +190,7 @@ class Speller:
         self.known, self.coder = known, WordCoder.of(spec)
         self.pieces = dict(self.coder.pieces)
         self.kept: dict[str, tuple[str, str]] = {}
+        self.before: dict[str, tuple[str, str]] = {}
 
     @classmethod
     def of(cls, key: str, known: Broadcast, spec: str) -> Speller:
@@ -188,28 +199,43 @@ class Speller:
             cls._live[key] = cls(known.value, spec)
         return cls._live[key]
 
-    def learn(self, tokens: set[str], own: dict[str, list[int]] | None = None) -> dict[str, tuple[str, str]]:
+    @classmethod
+    def forget(cls) -> None:
+        """Workers outlive a task; what they know must not stay beside the next job's data."""
+        cls._live.clear()
+
+    def learn(self, tokens: set[str], own: dict[str, tuple[str, str]] | None = None) -> dict[str, tuple[str, str]]:
         """Spellings of tokens: known words by the table, ``own`` words by the join, any other word is encoded here."""
         parts = {t: words_of(t) for t in tokens}
         words = list({w for ws in parts.values() for w in ws})
-        ids = dict(zip(words, self.known.get(words)))
-        ids.update({w: (own or {}).get(w) for w, i in ids.items() if i is None})
-        lacking = [w for w, i in ids.items() if i is None]
-        ids.update(zip(lacking, self.coder.encode(lacking)))
+        found = self.known.get(words)
+        if own:
+            found.update((w, own[w]) for w in words if w not in found and w in own)
+        lacking = [w for w in words if w not in found]
+        for w, row in zip(lacking, self.coder.encode(lacking)):
+            found[w] = (" ".join(map(str, row)), " ".join([self.pieces[i] for i in row]))
         out = {}
         for t, ws in parts.items():
-            row = [i for w in ws for i in ids[w]]
-            out[t] = (" ".join(map(str, row)), " ".join([self.pieces[i] for i in row]))
+            if len(ws) == 1:
+                out[t] = found[ws[0]]
+            else:
+                both = [found[w] for w in ws]
+                out[t] = (" ".join([b[0] for b in both]), " ".join([b[1] for b in both]))
         return out
 
     def spell(self, texts: list[list[str]], own: dict[str, list[int]] | None = None) -> Iterator[tuple[str, str]]:
+        if len(self.kept) > KEPT:  # what is used again comes over from the generation before
+            self.before, self.kept = self.kept, {}
         kept = self.kept
-        if len(kept) > KEPT:
-            kept.clear()
-        kept.update(self.learn({t for tokens in texts for t in tokens}.difference(kept), own))
+        new = {t for tokens in texts for t in tokens}.difference(kept)
+        kept.update((t, self.before[t]) for t in new.intersection(self.before))
+        kept.update(self.learn(new.difference(self.before), own))
         for tokens in texts:
-            both = [kept[t] for t in tokens]
-            yield " ".join([b[0] for b in both if b[0]]), " ".join([b[1] for b in both if b[0]])
+            if tokens:
+                ids, pieces = zip(*[kept[t] for t in tokens])
+                yield " ".join(ids), " ".join(pieces)
+            else:
+                yield "", ""
 
 
 def encode_decode(
@@ -234,9 +260,10 @@ def encode_decode(
     special = special_pattern(WordCoder.of(spec).special)
     shared_spec = spark.sparkContext.broadcast(spec)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    table = cut(word_table(word_counts(src, special), shared_spec))
+    with batches_of_rows(spark, 2000):
+        table = cut(word_table(word_counts(src, special), shared_spec))
     limit = count_limit(table, broadcast_words)
-    top = table.filter(F.col("n") >= limit).select(F.xxhash64("word").alias("print"), F.crc32("word").alias("check"), "ids")
+    top = table.filter(F.col("n") >= limit).select("print", F.length("word").alias("check"), "ids_text", "pieces_text")
     known = spark.sparkContext.broadcast(Known(top.toArrow()))
     key = uuid.uuid4().hex  # a worker may serve several queries
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -258,12 +285,14 @@ def encode_decode(
 
     def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller = Speller.of(key, known, shared_spec.value)
-        for batch in batches:
-            at = 0
-            for part in batches_of(x.as_py() for x in batch.column("text")):
-                spelled = list(speller.spell([tokens_of(t, special) for t in part]))
-                yield report(batch.column("doc_id").slice(at, len(part)), spelled)
-                at += len(part)
+        with no_cycles():
+            for batch in batches:
+                at = 0
+                for part in batches_of((x.as_py() for x in batch.column("text")), chars=GROUP_CHARS):
+                    spelled = list(speller.spell([tokens_of(t, special) for t in part]))
+                    yield report(batch.column("doc_id").slice(at, len(part)), spelled)
+                    at += len(part)
+        Speller.forget()
 
     if limit <= 2:
         return src.mapInArrow(in_place, schema)
@@ -276,7 +305,8 @@ def encode_decode(
             at, found = [], []
             for i, text in enumerate(batch.column("text")):
                 words = list({w for t in set(tokens_of(text.as_py(), special)) for w in words_of(t)})
-                new = [w for w, ids in zip(words, known.value.get(words)) if ids is None]
+                have = known.value.get(words)
+                new = [w for w in words if w not in have]
                 at += [i] * len(new)
                 found += new
             take = pa.array(at, pa.int64())
@@ -289,8 +319,8 @@ def encode_decode(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), data], ["doc_id", "print", "data"])
 
     wanted = keyed.mapInArrow(rare, f"doc_id {kind}, print bigint, word string")
-    others = table.filter(F.col("n") < limit).select("word", "ids").join(wanted, "word")
-    others = others.groupBy("doc_id", "print").agg(F.collect_set(F.struct("word", "ids")).alias("own"))
+    others = table.filter(F.col("n") < limit).select("word", "ids_text", "pieces_text").join(wanted, "word")
+    others = others.groupBy("doc_id", "print").agg(F.collect_set(F.struct("word", "ids_text", "pieces_text")).alias("own"))
     others = others.select(F.col("doc_id").alias("own_id"), F.col("print").alias("own_print"), "own")
     moved = keyed.mapInArrow(packed, f"doc_id {kind}, print bigint, data binary")
     joined = moved.join(others, F.expr("print = own_print AND doc_id <=> own_id"), "left").select("doc_id", "data", "own")
@@ -301,9 +331,10 @@ def encode_decode(
         for batch in batches:
             spelled = []
             for data, own in zip(batch.column("data"), batch.column("own")):
-                local = {w["word"]: np.frombuffer(w["ids"], np.int32).tolist() for w in own.as_py() or ()}
+                local = {w["word"]: (w["ids_text"], w["pieces_text"]) for w in own.as_py() or ()}
                 spelled += speller.spell([tokens_of(unpack(data.as_py()).decode("utf-8", "surrogatepass"), special)], local)
             yield report(batch.column("doc_id"), spelled)
+        Speller.forget()
 
     return joined.mapInArrow(finish, schema)
 

@@ -68,7 +68,7 @@ def set_print(prints: np.ndarray) -> int:
     return int.from_bytes(blake2b(prints.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def batches_of(texts: Iterable[str], chars: int = 2_000_000, rows: int = 2_000) -> Iterator[list[str]]:
+def batches_of(texts: Iterable[str], chars: int = 1_000_000, rows: int = 2_000) -> Iterator[list[str]]:
     """Runs of texts of about ``chars`` characters; a longer text stands alone."""
     held: list[str] = []
     size = 0
