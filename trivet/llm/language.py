@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trivet.llm.common import cut
 from trivet.llm.shingles import U, batches_of, mix
 
 SIZES = (2, 3, 4)
@@ -129,9 +128,8 @@ def fit(docs: DataFrame, per_language: int = 3000, share: float = 0.25, id_col:
                     own, n = np.unique(prints[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "g", "n"])
 
-    counts = cut(sample.mapInArrow(count, "l int, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n")))
-    totals = counts.groupBy("l").agg(F.sum("n").alias("all"))  # a row for each language
-    rates = counts.join(F.broadcast(totals), "l").withColumn("rate", F.col("n") / F.col("all"))
+    counts = sample.mapInArrow(count, "l int, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
+    rates = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("l")))  # bounded by the sample
     best = rates.withColumn("top", F.max("rate").over(Window.partitionBy("g")))
     kept = best.filter((F.col("n") >= 2) & (F.col("rate") >= share * F.col("top")))
     masks = kept.groupBy("g").agg(F.expr("bit_or(shiftleft(1L, l))").alias("m")).toArrow()
