@@ -45,7 +45,8 @@ def _budget(total: Column, w: Column, share: Column, budget: int | str, least: C
     """Tokens for a source of weight ``w``; ``least``: the smallest weight to share ratio."""
     if budget == "cover":
         return F.greatest(F.floor(w * total / least), F.floor(share * total + 0.5))
-    return F.floor(w * (total if budget == "total" else F.lit(budget)))
+    # A weight times the whole may fall short of a whole number by rounding, and differently with the order of addition.
+    return F.floor(w * (total if budget == "total" else F.lit(budget)) + 1e-6)
 
 
 def measure(sources: DataFrame, alphas: list[float], mix: Mixture) -> dict[float, tuple[float, float]]:
@@ -204,7 +205,7 @@ ends AS (SELECT -list_sum(list_transform(p, lambda x: x * ln(x))) >= {mix.entrop
 alpha AS (SELECT greatest(CASE WHEN as_found THEN 1.0 ELSE elo END, CASE WHEN flat THEN 0.0 ELSE rhi END) AS a
           FROM bis, ends WHERE i = {DEPTH * ROUNDS}),
 budgets AS (
-  SELECT source, tokens, docs, weight, CASE WHEN tokens > 0 THEN floor(weight * (SELECT sum(tokens) FROM sums)::DOUBLE)::BIGINT ELSE 0 END AS target
+  SELECT source, tokens, docs, weight, CASE WHEN tokens > 0 THEN floor(weight * (SELECT sum(tokens) FROM sums)::DOUBLE + 1e-6)::BIGINT ELSE 0 END AS target
   FROM (SELECT *, CASE WHEN share > 0 THEN pow(share, a) / (SELECT sum(pow(share, a)) FROM shares WHERE share > 0) ELSE 0.0 END AS weight FROM shares, alpha)),
 goals AS (
   SELECT *, target - whole * tokens AS rest, greatest(1, docs // {mix.block_docs}) AS blocks
