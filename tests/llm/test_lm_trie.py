@@ -55,6 +55,20 @@ def test_equals_brute_force(spark, broadcast_words):
             assert got[i].score == pytest.approx(score, abs=n / 1000)
 
 
+def test_score_does_not_depend_on_the_size_of_the_broadcast(spark):
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 60), p=np.arange(300, 0, -1) / 45150))) for i in range(200)]
+    rows += [(1000, None), (1001, "onlyhere " * 3000), (1002, "never seen w1 w2 w299 w298 w298"), (1003, "once w299 w299 w298")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute(rows, 30.0)
+    got = {size: {r.doc_id: r.score for r in lm_trie.lm_scores(docs, broadcast_words=size, mu=30.0).collect()} for size in (2_000_000, 40, 0)}
+    for i, (n, _, _, _, score) in want.items():
+        assert got[2_000_000][i] == pytest.approx(score, abs=n / 1000)
+        assert got[40][i] == pytest.approx(got[2_000_000][i], abs=1e-6)
+        assert got[0][i] == pytest.approx(got[2_000_000][i], abs=1e-6)
+
+
 def test_repeated_rows_empty_table_and_no_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
     from pyspark.sql import functions as F

@@ -5,11 +5,13 @@ The model is a bigram model, smoothed towards the add-one unigram model p1 by a
     p(w | v) = (c(v, w) + mu * p1(w)) / (c(v) + mu)
 
 A text's score is therefore its unigram score plus one gain for each token, log10(p(w | v) / p1(w)), and a gain needs
-nothing but one bigram. Word counts are added up in Spark; the words of a count that keeps the list within
-``broadcast_words`` travel as a broadcast and are the model's vocabulary (other words are contexts of gain 0). Bigram
-occurrences move once, packed, to the task of their key range. There the training counts become a trie: monotone pointers
-and successor lists in Elias-Fano form with quantised gains. Every occurrence is looked up in it, and sums go back to the
-texts. No task holds more than its range of keys, and the model grows with the corpus without ever being in one place.
+nothing but one bigram. The vocabulary is every word seen twice or more in training (words seen once are contexts of gain
+0, and unseen as successors). Word counts are added up in Spark; the most frequent words, ``broadcast_words`` at most, travel
+as a broadcast. Bigram occurrences of two such words move once, packed, to the task of their key range. There the training
+counts become a trie: monotone pointers and successor lists in Elias-Fano form with quantised gains. Every occurrence is
+looked up in it, and sums go back to the texts. Bigrams with a word that does not travel are counted in Spark by their two
+prints, and joins with the table of counts give their gains, quantised alike: the broadcast's size steers the work only. No
+task holds more than its range of keys, and the model grows with the corpus without ever being in one place.
 """
 
 from __future__ import annotations
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 from trivet.llm.common import cut
 from trivet.llm.shingles import U, batches_of, mix, word_prints
 
-#: Words that travel as a broadcast, at most; 16 bytes each.
+#: Words that travel as a broadcast, at most; 16 bytes each. Scores do not depend on it.
 BROADCAST_WORDS = 2_000_000
 END, START = -1, -2  # prints of the token that ends a text, and of the context that begins one
 STEP = 512  # quantisation: steps in one unit of log10
 ID_BITS = 24
+FIXED = 1 << 32  # gains are added up as whole numbers of this fraction, so the order of addition does not matter
 
 
 def held_out(doc_id: Column) -> Column:
@@ -172,6 +175,7 @@ def lm_scores(
     * ``held`` marks the rows that nothing is learned from; repeated rows each count and each give a row.
     * without any training row every count is 0 and ``score`` equals ``base_score``; an empty table gives no rows.
     * null ids are training rows; other columns of the input are not read.
+    * ``broadcast_words`` steers the work only.
     """
     from trivet.llm.bpe_words import count_limit
 
@@ -199,7 +203,8 @@ def lm_scores(
         return at, known[at] == words
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of ``batch, part, data``: packed bigrams and packed rare words for each part; the texts go to part -1."""
+        """Rows of ``batch, part, data``: packed bigrams and packed rare words for each part; the texts go to part -1,
+        bigrams with a word that did not travel to part -2."""
         _, c = vocabulary.value
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -229,8 +234,8 @@ def lm_scores(
                 context, fits = np.empty_like(ids), np.empty_like(ok)
                 context[1:], fits[1:] = ids[:-1], ok[:-1]
                 context[start], fits[start] = look_up(np.array([START]))[0][0], True
-                # A context without the word gives its gain here; only pairs of the vocabulary move.
-                gains = np.bincount(own, weights=np.where(fits & ~ok, np.log10(mu / (c[context] + mu)), 0.0), minlength=k)
+                # A word seen once or never leaves its context's gain, given here if all others travel; else counts decide.
+                gains = np.bincount(own, weights=np.where(fits & ~ok & (limit <= 2), np.log10(mu / (c[context] + mu)), 0.0), minlength=k)
                 name = f"{task}:{number}"
                 number += 1
                 meta = pa.array([{"doc_id": d, "held_out": bool(h), "n_tokens": int(s) + 1, "n_known": int(x), "base": b, "gain": g} for d, h, s, x, b, g in zip(batch.column("doc_id").slice(done, k).to_pylist(), is_held, sizes, known, base, gains)], META(batch.schema.field("doc_id").type))
@@ -248,6 +253,12 @@ def lm_scores(
                         who_p, each = np.unique(who[some], return_counts=True)
                         out_part.append(int(p))
                         out_data.append(what + packed(key[some], who_p, each, is_held[who_p], what == b"b"))
+                if limit > 2 and not pair.all():
+                    left = np.append(START, tokens[:-1])
+                    left[start] = START
+                    some = ~pair
+                    out_part.append(-2)
+                    out_data.append(packed_open(own[some], left[some], tokens[some], np.where(fits, c[context], -1)[some], np.where(ok, c[ids], -1)[some], is_held))
                 metas = pa.ListArray.from_arrays(pa.array([0, k] + [k] * (len(out_part) - 1), pa.int32()), meta)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(out_part)), pa.array(out_part, pa.int32()), pa.array(out_data, pa.binary()), metas], ["batch", "part", "data", "texts"])
 
@@ -329,13 +340,65 @@ def lm_scores(
     text_type = f"array<struct<doc_id:{kind},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,gain:double>>"
     doc_type = to_arrow(src.schema["doc_id"].dataType)
     moved_schema = f"batch string, part int, data binary, texts {text_type}"
-    moved = src.mapInArrow(deal, moved_schema).union(counts.filter(F.col("c") < limit).mapInArrow(table_parts, moved_schema))
+    moved = src.mapInArrow(deal, moved_schema)
+    far = None
+    if limit > 2:
+        moved = cut(moved)
+        rest = counts.filter((F.col("c") > 1) & (F.col("c") < limit))
+        far = open_gains(moved.filter("part = -2").select("batch", "data"), rest, mu, norm).select("batch", F.lit(None).cast(text_type).alias("texts"), "sums")
+        moved = moved.filter("part > -2")
+    moved = moved.union(counts.filter(F.col("c") < limit).mapInArrow(table_parts, moved_schema))
     # Texts' own rows, of part -1, spread over the tasks.
     place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts))).otherwise(F.col("part"))
     settled = moved.repartition(parts, place).mapInArrow(settle, f"batch string, texts {text_type}, sums binary")
+    settled = settled if far is None else settled.union(far)
     return settled.groupBy("batch").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
+def open_gains(moved: DataFrame, rest: DataFrame, mu: float, norm: float) -> DataFrame:
+    """``batch, sums``: gains of bigrams with a word that did not travel, added up by text, from rows ``batch, data`` of
+    :func:`packed_open` and the counts (``print, c``) of the vocabulary's words that did not travel."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist()):
+                who, n, held, left, right, c_left, c_right = np.frombuffer(data, np.int64).reshape(7, -1)
+                columns = [pa.array([name] * len(who)), *map(pa.array, (who, n, held, left, right, c_left, c_right))]
+                yield pa.RecordBatch.from_arrays(columns, ["batch", "t", "n", "held", "l", "r", "cl", "cr"])
+
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen, c_left, c_right = (batch.column(x).to_numpy() for x in ("seen", "cl", "cr"))
+            gains = np.log10(mu / (c_left + mu))
+            had = (seen > 0) & (c_right > 0)
+            known = np.log10((seen[had] / ((c_right[had] + 1) / norm) + mu) / (c_left[had] + mu))
+            gains[had] = np.rint(known * STEP) / STEP
+            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array(np.rint(gains * FIXED).astype(np.int64))], ["l", "r", "gain"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, t, gain = batch.column("batch").dictionary_encode(), batch.column("t").to_numpy(), batch.column("gain").to_numpy() / FIXED
+            of = names.indices.to_numpy()
+            for i, name in enumerate(names.dictionary.to_pylist()):
+                own = of == i
+                sums = np.zeros((int(own.sum()), 4))
+                sums[:, 0], sums[:, 1] = t[own], gain[own]
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums.tobytes()], pa.binary())], ["batch", "sums"])
+
+    each = cut(moved.mapInArrow(unpack, "batch string, t bigint, n bigint, held bigint, l bigint, r bigint, cl bigint, cr bigint"))
+    pairs = each.groupBy("l", "r").agg(F.sum(F.when(F.col("held") == 0, F.col("n")).otherwise(0)).alias("seen"), F.max("cl").alias("cl"), F.max("cr").alias("cr"))
+    for side in ("l", "r"):
+        # Words that travelled bring their counts: their rows are spread by the whole pair and match nothing that counts.
+        key = F.when(F.col(f"c{side}") < 0, F.col(side)).otherwise(F.xxhash64("l", "r"))
+        words = rest.select(F.col("print").alias("_print"), F.col("c").alias("_c"))
+        own = F.when(F.col(f"c{side}") < 0, F.coalesce("_c", F.lit(0))).otherwise(F.col(f"c{side}"))
+        pairs = pairs.withColumn("_key", key).join(words, F.col("_key") == F.col("_print"), "left").withColumn(f"c{side}", own).drop("_key", "_print", "_c")
+    # A context that is seen once or never has gain 0.
+    gains = cut(pairs.filter("cl > 0").mapInArrow(price, "l bigint, r bigint, gain bigint"))
+    sums = each.join(gains, ["l", "r"]).groupBy("batch", "t").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
+    return sums.mapInArrow(pack, "batch string, sums binary")
+
+
 def META(doc_type: pa.DataType) -> pa.DataType:
     return pa.struct([("doc_id", doc_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
 
@@ -352,6 +415,15 @@ def packed(keys: np.ndarray, who: np.ndarray, each: np.ndarray, is_held: np.ndar
     return np.array([len(who), len(keys)], np.int64).tobytes() + who.astype(np.int32).tobytes() + each.astype(np.int32).tobytes() + is_held.astype(np.bool_).tobytes() + body
 
 
+def packed_open(own: np.ndarray, left: np.ndarray, right: np.ndarray, c_left: np.ndarray, c_right: np.ndarray, is_held: np.ndarray) -> bytes:
+    """Text, occurrences, whether the text is held out, both prints and both counts (-1: not known) of each text's bigrams."""
+    order = np.lexsort((right, left, own))
+    own, left, right, c_left, c_right = (x[order] for x in (own, left, right, c_left, c_right))
+    new = np.append(True, (own[1:] != own[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+    each = np.diff(np.append(np.flatnonzero(new), len(own)))
+    return np.stack([own[new], each, is_held[own[new]], left[new], right[new], c_left[new], c_right[new]]).astype(np.int64).tobytes()
+
+
 def opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, texts, keys of each text, and whether the text is held out."""
     texts, n = np.frombuffer(data, np.int64, 2, 1).tolist()
