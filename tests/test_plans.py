@@ -140,6 +140,15 @@ def test_clusters(spark):
     assert {r.id: r.cluster for r in clusters.entity_clusters(rows, "id", ("p", "q")).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+def test_clusters_of_long_chains(spark):
+    """Rows 1, n, n - 1, ..., 2 share a value with their neighbours in this order."""
+    n = 130
+    chain = [1, *range(n, 1, -1)]
+    rows = spark.createDataFrame([(i, k // 2, (k + 1) // 2) for k, i in enumerate(chain)] + [(500, None, None)], "id long, p long, q long")
+    got = {r.id: r.cluster for r in clusters.entity_clusters(rows, "id", ("p", "q")).collect()}
+    assert got == {i: 1 for i in chain} | {500: 500}
+
+
 def test_streams(spark, tmp_path):
     rows = [(i, f"2024-01-01 00:{i:02d}:00", f"v{i % 3}", "o") for i in range(12)]
     data = spark.createDataFrame(rows, "event_id long, t string, matched_value string, owner string").withColumn("ts", F.col("t").cast("timestamp")).drop("t")

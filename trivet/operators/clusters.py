@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet.functions.text import value_hash
+from trivet.graph import components
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,24 +43,16 @@ def duplicate_groups(detections: DataFrame, value_col: str = "matched_value") ->
     return out.filter("n > 1")
 
 
-def entity_clusters(detections: DataFrame, id_col: str, keys: tuple[str, ...], max_rounds: int = 50) -> DataFrame:
+def entity_clusters(detections: DataFrame, id_col: str, keys: tuple[str, ...]) -> DataFrame:
     """``id, cluster``: the smallest id among detections that are joined by equal values of any of ``keys`` (nulls join
-    nothing). Labels alternate between detections and values, each way one aggregation, until they rest; a round is
-    written to the shared folder."""
+    nothing). Each detection is linked with the smallest id that has its value, and links are contracted until every
+    cluster has come to rest, however long its chains are."""
     pairs = None
     for k in keys:
-        part = detections.filter(F.col(k).isNotNull()).select(F.col(id_col).alias("id"), F.concat(F.lit(f"{k}="), F.col(k).cast("string")).alias("value"))
+        part = detections.filter(F.col(id_col).isNotNull() & F.col(k).isNotNull()).select(F.col(id_col).alias("id"), F.concat(F.lit(f"{k}="), F.col(k).cast("string")).alias("value"))
         pairs = part if pairs is None else pairs.unionByName(part)
     pairs = written(pairs.distinct())
-    labels = written(detections.select(F.col(id_col).alias("id"), F.col(id_col).alias("cluster")).distinct())
-    for _ in range(max_rounds):
-        by_value = pairs.join(labels, "id").groupBy("value").agg(F.min("cluster").alias("least"))
-        offers = pairs.join(by_value, "value").groupBy("id").agg(F.min("least").alias("offer"))
-        moved = labels.join(offers, "id", "left").select("id", F.least("cluster", F.coalesce("offer", "cluster")).alias("next"), "cluster")
-        # Jump: a label is an id itself and may have moved on.
-        jump = moved.select(F.col("id").alias("cluster_id"), F.col("next").alias("jump"))
-        new = written(moved.join(jump, F.col("next") == F.col("cluster_id"), "left").select("id", F.least("next", F.coalesce("jump", "next")).alias("cluster"), (F.least("next", F.coalesce("jump", "next")) != F.col("cluster")).alias("changed")))
-        labels = new.select("id", "cluster")
-        if new.filter("changed").isEmpty():
-            break
-    return labels
+    least = pairs.groupBy("value").agg(F.min("id").alias("least"))
+    found = components(pairs.join(least, "value").select(F.col("id").alias("a"), F.col("least").alias("b")), written)
+    ids = detections.select(F.col(id_col).alias("id")).distinct()
+    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
