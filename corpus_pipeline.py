@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet.llm import bpe_words, exact_dedup, language, mixing, ngram_join
-from trivet.llm.common import cut, table
+from trivet.llm.common import ascii_lower, cut, table
 from trivet.llm.queries import tokenizer
 
 #: Texts of which a smaller share of n-grams belongs to any one language are rejected.
@@ -28,16 +28,35 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
 
 
+def text_print(text: Column, digest: Callable[[Column], Column]) -> Column:
+    """What equal texts, in the sense of ``exact_dedup``, have in common."""
+    return digest(ascii_lower(F.coalesce(text, F.lit(""))))
+
+
+def only(docs: DataFrame, digest: Callable[[Column], Column], kept: DataFrame) -> DataFrame:
+    """The documents named by ``_id, _own`` (id and digest of the text). A row whose id is null has no name but its
+    text: of such rows with equal texts one stays, the least one."""
+    kept = cut(kept.distinct())
+    rows = docs.withColumn("_print", text_print(F.col("text"), digest))
+    named = rows.filter("doc_id IS NOT NULL").join(kept.filter("_id IS NOT NULL"), F.expr("doc_id = _id AND _print = _own"), "left_semi")
+    nameless = rows.filter("doc_id IS NULL").join(kept.filter("_id IS NULL"), F.expr("_print = _own"), "left_semi")
+    one = nameless.groupBy("_print").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return named.select(docs.columns).unionByName(one.select("_row.*"))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat its id stay with it."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), F.expr("doc_id <=> _id"), "left_semi")
+    """One document of each group of equal texts; rows that repeat its id and its text stay with it. A group of null ids
+    only keeps one row."""
+    found = exact_dedup.exact_dedup(docs).filter("kept AND doc_id IS NOT NULL OR keep_id IS NULL")
+    return only(docs, lambda t: F.sha2(t, 256), found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_own")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that links join; documents without words stay."""
-    kept = ngram_join.jaccard_join(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept.distinct(), F.expr("doc_id <=> _id"), "left_semi")
+    """The document of the smallest id of each group that links join; documents without words stay. Among rows of one id
+    the print of the text decides, and so it does in a group of null ids only."""
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_print(F.col("text"), F.xxhash64).alias("own"))
+    found = ngram_join.jaccard_join(docs.select(name.alias("doc_id"), "text")).filter("doc_id = component_id")
+    return only(docs, F.xxhash64, found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.own").alias("_own")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

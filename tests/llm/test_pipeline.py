@@ -50,3 +50,16 @@ def test_every_stage_takes_an_empty_table(spark):
     docs = corpus(spark).limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, "").count() == 0
+
+
+def test_stages_keep_one_of_the_copies_without_an_id(spark):
+    a, b, c, d = EN, FR, "one two three four five six seven eight nine ten", "red green blue white black brown pink grey gold teal"
+    rows = [(None, a), (None, a.upper()), (None, a), (None, b), (7, b), (None, c), (8, d), (8, d), (9, d), (8, a + " twice")]
+    docs = docs_of(spark, [(i, t, "en", "a", 0) for i, t in rows])
+    got = sorted(((r.doc_id or 0, r.text.lower()) for r in cp.drop_copies(spark, docs, "").collect()))
+    assert got == sorted([(0, a.lower()), (7, b), (0, c), (9, d), (8, a + " twice")])
+    near = docs_of(spark, [(i, t, "en", "a", 0) for i, t in [(None, a), (None, a + " more"), (None, a + " yet more"), (None, b), (7, b + " encore"), (None, c), (None, c), (None, d), (1, c + " z" * 40), (1, b + " si")]])
+    left = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, near, "").collect()]
+    assert [i for i, t in left if t.startswith(a)] == [None]
+    assert sorted(t for i, t in left if i is not None) == sorted([c + " z" * 40, b + " si"])
+    assert sorted(t for i, t in left if i is None and not t.startswith(a)) == sorted([c, d])
