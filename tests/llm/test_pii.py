@@ -43,3 +43,17 @@ def test_base_spans_equal_brute_force(spark):
         assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(b.startswith(k) for b in base) for k in ("email", "ip", "card", "phone"))
     assert got[None].n_email == 1 and "iban" in got[7].spans
     assert pii.pii_report(docs.limit(0)).count() == 0
+
+
+def test_ibans_before_words_and_digits(spark):
+    spaced, close = "DE89 3704 0044 0532 0130 00", "DE89370400440532013000"
+    texts = {
+        f"IBAN {spaced} Please pay": [spaced], f"{close} Thanks": [close], f"{close} BIC COBADEFF": [close], f"{spaced} IBAN {close}": [spaced, close],
+        f"{close} 12 345": [close], f"{spaced}": [spaced], f"x {spaced} GB29 NWBK 6016 1331 9268 19 END": [spaced, "GB29 NWBK 6016 1331 9268 19"],
+        "DE88370400440532013000 BIC": [], f"{close}a": [], f"A{close} B": [], "NO93 8601 1117 947 KR 100": ["NO93 8601 1117 947"],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [s["value"] for s in r.spans if s["kind"] == "iban"] for r in pii.find_pii(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+    at = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == "iban"] for r in pii.find_pii(docs).collect()}
+    assert all([t[a:b] for a, b in at[i]] == want for i, (t, want) in enumerate(texts.items()))

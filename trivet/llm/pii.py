@@ -60,13 +60,43 @@ def mod97(value: Column) -> Column:
     return let(F.regexp_replace(value, " ", ""), rest)
 
 
+#: Characters of an IBAN by country, as registered.
+IBAN_LENGTHS = {
+    n: codes.split()
+    for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+
+
+def iban_of(run: Column) -> Column:
+    """The IBAN that a run of letters and digits begins with, null without one. It ends where a word does and passes mod
+    97: at its country's length, or else the whole run, or any length (the longest) where the country is not registered."""
+    code = F.substring(run, 1, 2)
+    want = F.coalesce(*[F.when(code.isin(*codes), F.lit(n)) for n, codes in IBAN_LENGTHS.items()])
+
+    def ends(words: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, F.lit(1), i), " "))
+
+    def choose(valid: Column) -> Column:
+        own = F.filter(valid, lambda v: F.length(F.regexp_replace(v, " ", "")) == want)
+        other = F.filter(valid, lambda v: want.isNull() | (v == run))
+        return F.coalesce(F.get(own, F.lit(0)), F.try_element_at(other, F.lit(-1)))
+
+    proper = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}$"
+    return let(F.filter(let(F.split(run, " "), ends), lambda v: v.rlike(proper) & mod97(v)), choose)
+
+
 def _digit_count(value: Column, low: int, high: int) -> Column:
     return F.length(digits_of(value)).between(low, high)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """``hint``: a cheap test that every text with a match passes. ``score``: before context; kept at ``limit`` and above."""
+    """``hint``: a cheap test that every text with a match passes. ``score``: before context; kept at ``limit`` and above.
+    ``whole``: where the pattern matches the head of a value only and looks ahead at the rest (its group 1), the value that
+    both begin with, or null; what follows that value is searched again."""
 
     name: str
     pattern: str
@@ -75,6 +105,7 @@ class Kind:
     score: float
     context: str
     limit: float = 0.5
+    whole: Callable[[Column], Column] | None = None
 
 
 #: The base kinds are the given patterns with possessive loops and look-behinds that leave the same matches but never
@@ -85,7 +116,7 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda t: t.rlike(r"[0-9]\.[0-9]"), lambda v: v.rlike(rf"^{_byte_sized()}(?:\.{_byte_sized()}){{3}}$"), 0.6, r"\bip\b|address|host|server|adresse"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])", lambda t: t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9]"), luhn, 0.8, r"card|visa|credit|karte|carte|tarjeta|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda v: _digit_count(v, 9, 15), 0.7, r"phone|call|tel|mobile|fax|numero|nummer"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), mod97, 0.9, r"iban|account|konto|compte|cuenta|bank"),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))", lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), lambda v: v.isNotNull(), 0.9, r"iban|account|konto|compte|cuenta|bank", whole=iban_of),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", lambda t: t.rlike(r"[0-9]-[0-9]{2}-[0-9]"), lambda v: ~v.rlike(r"^(?:000|666|9)|-00-|-0000$"), 0.3, r"\bssn\b|social security|tax id|identity"),
     Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])", lambda t: t.rlike(r"[0-9][\x20.-][0-9]{4}"), lambda v: _digit_count(v, 10, 10), 0.3, r"phone|call|tel|mobile|fax"),
 )
@@ -122,12 +153,17 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 def find_kind(text: Column, kind: Kind, keep_low: bool = False) -> Column:
     """Confirmed spans of one kind in order, ``array<struct<kind,start,end,value,score>>``; positions are code points."""
 
-    def located(found: Column) -> Column:
+    def located(found: Column, tails: Column | None = None) -> Column:
         def in_pieces(pieces: Column) -> Column:
             lengths = F.zip_with(pieces, found, lambda p, m: F.length(p) + F.coalesce(F.length(m), F.lit(0)))
 
             def spans(starts: Column) -> Column:
-                def span(m: Column, i: Column) -> Column:
+                def span(head: Column, i: Column) -> Column:
+                    if kind.whole is None:
+                        return placed(head, i)
+                    return let(kind.whole(F.concat(head, F.get(tails, i))), lambda m: placed(m, i))
+
+                def placed(m: Column, i: Column) -> Column:
                     piece = F.get(pieces, i)
                     start = F.get(starts, i) + F.length(piece)
                     near = F.lower(F.substring(piece, -CONTEXT_CHARS, CONTEXT_CHARS)).rlike(kind.context)
@@ -140,8 +176,14 @@ def find_kind(text: Column, kind: Kind, keep_low: bool = False) -> Column:
 
         return let(F.split(text, kind.pattern, -1), in_pieces)
 
-    proposed = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, located(found)))
+    def located_whole(found: Column) -> Column:
+        return let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)), lambda tails: located(found, tails))
+
+    proposed = let(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, located_whole(found) if kind.whole else located(found)))
     kept = F.filter(proposed, lambda s: kind.confirm(s["value"]) & (F.lit(keep_low) | (s["score"] >= kind.limit)))
+    if kind.whole:  # a head inside a value is none
+        none = F.from_json(F.lit("[]"), SPAN)
+        kept = F.aggregate(kept, none, lambda a, s: F.when(F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0)) > s["start"], a).otherwise(F.concat(a, F.array(s))))
     return F.coalesce(F.when(kind.hint(text), kept), F.from_json(F.lit("[]"), SPAN))
 
 
@@ -149,7 +191,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
     """Return ``doc_id`` and ``spans array<struct<kind,start,end,value,score>>``, ordered by kind as listed, then start.
 
     * null and empty texts have no spans; repeated rows each give a row; an empty table gives no rows.
-    * a value that fails its checksum or rule is dropped and nothing inside it is tried again.
+    * a value that fails its checksum or rule is dropped and nothing inside it is tried again (IBANs: later words are).
     * spans of different kinds may overlap; spans of one kind never do. Very long texts are searched whole.
     * context is the text between the previous match of the kind and this one, the last 40 characters at most.
     * other columns of the input, whatever their names, are not read.
