@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame], free: Callable[[DataFrame], None] = lambda _: None) -> DataFrame:
     """``node, component`` for every node of ``a, b``; the component is its smallest node. ``cut`` writes a table to the
-    shared folder and reads it back.
+    shared folder and reads it back, ``free`` removes one that a later round has replaced.
 
     Large stars hang a node's larger neighbours on its smallest one, small stars the smaller ones; they are done when
     every node hangs on one node that hangs on none. Minima are pre-aggregated and joined back, no neighbourhood is collected,
@@ -23,7 +23,9 @@ def components(links: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataF
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, edges = edges, cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        free(before)
+        free(large)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
