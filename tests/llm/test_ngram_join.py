@@ -77,5 +77,16 @@ def test_components(spark):
 
 
 def test_shingles_of_long_words_and_texts():
-    a, b, c = shingle_sets(["x" * 100000, "y " * 50000, "x" * 99999 + "z"])
+    a, b, c = (x[0] for x in shingle_sets(["x" * 100000, "y " * 50000, "x" * 99999 + "z"]))
     assert len(a) == len(b) == len(c) == 1 and len({int(a[0]), int(b[0]), int(c[0])}) == 3
+
+
+@pytest.mark.parametrize("rounds", [10, 11, 12])
+def test_words_that_sums_of_powers_confuse(spark, rounds):
+    x, y = "a", "b"
+    for _ in range(rounds):
+        x, y = x + y, y + x
+    rest = " c d e f"
+    rows = [(1, x + rest), (2, y + rest), (3, x + rest)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}

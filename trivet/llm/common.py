@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -20,21 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="trivet-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trivet-scratch"
     return base.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, any executor can reread it,
     and the planner knows its true size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trivet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).cut(df)
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder, and removes as soon as later ones replace them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/trivet-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def free(self, *tables: DataFrame) -> None:
+        """Remove tables of :meth:`cut` that nothing reads any more; other tables are left alone."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for _, path in [h for h in self.held if any(h[0] is t for t in tables)]:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.held = [h for h in self.held if not any(h[0] is t for t in tables)]
 
 
 @contextmanager

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from trivet import graph
-from trivet.llm.common import cut
+from trivet.llm.common import Scratch
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``node, component`` for every node of ``a, b``; the component is its smallest node."""
-    return graph.components(links, cut)
+    scratch = scratch or Scratch(links.sparkSession)
+    return graph.components(links, scratch.cut, scratch.free)

@@ -1,22 +1,29 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip).
 
-A document can only reach the similarity with another one if at least T of its shingles stand in the other's set. Its
-inverted lists are divided: the T - 1 longest are set aside, so a partner must occur in one of the remaining short lists.
-Short lists are merged (each range of shingles in one task, list heads in order of shingle and document); the set-aside
-shingles are never merged but probed by binary search, once for each candidate pair, until the exact overlap is known.
+A document of n shingles reaches the similarity with another one only if it shares T = 0.8 n of them or more. Its inverted
+lists are divided: the longest ones, L of them, are set aside, so a partner must occur T - L times or more in the short
+ones. Short lists are merged by a heap over sorted runs, each range of shingles in one task; occurrences are counted for
+each pair of documents and added up over the ranges, and pairs below T - L are dropped. The set-aside lists are never
+merged: the entries of the documents that candidates need are built into sorted lists where the pairs meet, and probed by
+binary search, which gives the exact overlap.
 
 "Long" is a corpus-wide fact: shingles of more than ``heavy`` sets come last in the one order that all documents share.
 The order only has to be the same everywhere, so the count may be a bitmap of fixed size without touching results.
 
-Copies (equal shingle sets) are one node. A list of many different sets is not expanded into pairs: its members first
-link to a few hubs, and after the components of verified links are known, only members of different components still
-meet, in blocks. So large groups of near copies cost a few verifications a member, and no link between components is lost.
+Copies (equal shingle sets) are one node. Each node is first verified with its best candidate; of the other pairs only
+those whose components still differ are. A list of many different sets is not expanded into pairs: its members are
+candidates of a few hubs, and after the components of verified links are known, only members of different components
+still meet, in blocks. So large groups of near copies cost a few verifications a member, and no link between components
+is lost. Texts move once for each role of a document in a verification, never in the counting.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
+import heapq
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +31,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivet.llm.common import batches_of_rows, cut
+from trivet.llm.common import Scratch, batches_of_rows
 from trivet.llm.graph import components
-from trivet.llm.shingles import U, batches_of, mix, set_print, shingle_sets
+from trivet.llm.shingles import U, Index, Lanes, batches_of, mix, set_print, shingle_sets
 
 #: Bits of the fixed-size maps (8 MB each) that travel to every task.
 MAP_BITS = 26
 COUNTED_BITS = 63  # shingles in the lower half of the prints are counted
-SHORT = 16
+SHORT = 12
+#: Short lists of a document beyond the fewest that must be merged, so that one shared shingle makes no candidate.
+SPARE = 2
+PART_BYTES = 8 << 20  # text for each range of shingles
+BLOCK_SHINGLES = 200_000  # of the sets that meet in one block
+PARTNERS = 128  # texts that come to one document's verification at once
 
 
 def least_overlap(n: np.ndarray | int, share: int) -> np.ndarray | int:
@@ -61,7 +73,7 @@ def heavy_places(src: DataFrame, parts_log2: int, heavy: int, size: int) -> Data
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in batches_of(x.as_py() for x in batch.column("text")):
-                sets = {u.tobytes(): u for u in shingle_sets(texts, size)}  # copies in a batch count once
+                sets = {u[0].tobytes(): u[0] for u in shingle_sets(texts, size)}  # copies in a batch count once
                 prints = np.concatenate([*sets.values(), np.empty(0, np.uint64)])
                 prints = np.sort(prints[prints < U(1 << COUNTED_BITS)] >> U(low))
                 edges = np.searchsorted(prints, np.arange((1 << parts_log2) + 1, dtype=np.uint64) << U(32))
@@ -94,29 +106,33 @@ def short_lists(src: DataFrame, kind: str, parts_log2: int, share: int, size: in
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(map_of_heavy.value, np.uint8)
         for batch in batches:
-            sids: list[int | None] = []
+            sids: list[bytes | None] = []
             ns: list[int] = []
             parts, blobs = [], []
             for texts in batches_of(x.as_py() for x in batch.column("text")):
-                lists, who, many, seen = [], [], [], set()
-                for u in shingle_sets(texts, size):
+                lists, who, many, aside, seen = [], [], [], [], set()
+                for shingles in shingle_sets(texts, size):
+                    u = shingles[0]
                     n = len(u)
                     ns.append(n)
                     if not n:
                         sids.append(None)
                         continue
-                    sid = set_print(u)
+                    sid = set_print(shingles)
                     sids.append(sid)
                     if sid in seen:
                         continue
                     seen.add(sid)
-                    k = n - least_overlap(n, share) + 1
+                    least = least_overlap(n, share)
+                    k = n - least + min(SPARE, least)
                     counted = np.searchsorted(u, U(1 << COUNTED_BITS))
                     long = np.zeros(n, bool)
                     long[:counted] = marked(bits, (u[:counted] >> U(COUNTED_BITS - MAP_BITS)).astype(np.int64))
-                    lists.append(np.concatenate([u[~long][:k], u[long][: max(0, k - n + int(long.sum()))]]))
+                    own = np.unique(np.concatenate([u[~long][:k], u[long][: max(0, k - n + int(long.sum()))]]))
+                    lists.append(own)
                     who.append(sid)
                     many.append(n)
+                    aside.append(n - len(own))
                 if not lists:
                     continue
                 lengths = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -126,206 +142,228 @@ def short_lists(src: DataFrame, kind: str, parts_log2: int, share: int, size: in
                 order = np.argsort(part, kind="stable")
                 prints, owner, part = prints[order], owner[order], part[order]
                 edges = np.searchsorted(part, np.arange((1 << parts_log2) + 1))
-                who_a, many_a = np.array(who, np.int64), np.array(many, np.int32)
+                names, sizes = np.frombuffer(b"".join(who), np.uint8).reshape(-1, 16), np.array([many, aside], np.int32)
                 for p in np.flatnonzero(np.diff(edges)):
                     own, each = np.unique(owner[edges[p] : edges[p + 1]], return_counts=True)
                     parts.append(p)
-                    blobs.append(np.int64(len(own)).tobytes() + who_a[own].tobytes() + many_a[own].tobytes() + each.astype(np.int32).tobytes() + prints[edges[p] : edges[p + 1]].tobytes())
+                    blobs.append(np.int64(len(own)).tobytes() + names[own].tobytes() + sizes[:, own].tobytes() + each.astype(np.int32).tobytes() + prints[edges[p] : edges[p + 1]].tobytes())
             a, b = len(sids), len(parts)
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([ids, pa.nulls(b, ids.type)]), pa.array(sids + [None] * b, pa.int64()), pa.array(ns + [0] * b, pa.int64()), pa.array([None] * a + [int(p) for p in parts], pa.int32()), pa.array([None] * a + blobs, pa.binary())],
+                [pa.concat_arrays([ids, pa.nulls(b, ids.type)]), pa.array(sids + [None] * b, pa.binary()), pa.array(ns + [0] * b, pa.int64()), pa.array([None] * a + [int(p) for p in parts], pa.int32()), pa.array([None] * a + blobs, pa.binary())],
                 ["doc_id", "sid", "n", "part", "data"],
             )
 
-    return src.mapInArrow(run, f"doc_id {kind}, sid bigint, n bigint, part int, data binary")
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(blob, np.int64, 1)[0])
-    sids = np.frombuffer(blob, np.int64, k, 8)
-    ns = np.frombuffer(blob, np.int32, k, 8 + 8 * k)
-    each = np.frombuffer(blob, np.int32, k, 8 + 12 * k)
-    return np.frombuffer(blob, np.uint64, -1, 8 + 16 * k), np.repeat(sids, each), np.repeat(ns, each)
-
-
-def list_members(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merged entries (print, sid, n) of the lists with two sets or more, and where each list begins."""
-    prints, sids, ns = (np.concatenate(x) for x in zip(*map(unpack, blobs)))
-    order = np.lexsort((sids, prints))
-    prints, sids, ns = prints[order], sids[order], ns[order]
-    new = np.append(True, (prints[1:] != prints[:-1]) | (sids[1:] != sids[:-1]))
-    prints, sids, ns = prints[new], sids[new], ns[new]
-    first = np.append(True, prints[1:] != prints[:-1])
-    several = ~first | np.append(~first[1:], False)
-    prints, sids, ns = prints[several], sids[several], ns[several]
-    return prints, sids, ns, np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.empty(0, np.int64)
+    return src.mapInArrow(run, f"doc_id {kind}, sid binary, n bigint, part int, data binary")
+
+
+def sorted_runs(blobs: list[bytes], parts_log2: int) -> tuple[list[bytes], np.ndarray, list[list[int]]]:
+    """The documents of a range, their sizes and set-aside lists, and a run for each blob: its entries (shingle and
+    document in one number) in order. Shingles that a sieve finds only once in the range have no list and are left out."""
+    number: dict[bytes, int] = {}
+    sizes: list[np.ndarray] = []
+    runs = []
+    bits = 20
+    sieve = np.zeros(1 << bits, np.uint32)
+    for blob in blobs:
+        k = int(np.frombuffer(blob, np.int64, 1)[0])
+        both = np.frombuffer(blob, np.int32, 2 * k, 8 + 16 * k).reshape(2, k)
+        docs = np.empty(k, np.int64)
+        for i in range(k):
+            sid = blob[8 + 16 * i : 24 + 16 * i]
+            at = number.get(sid)
+            if at is None:
+                at = number[sid] = len(number)
+                sizes.append(both[:, i])
+            docs[i] = at
+        prints = np.frombuffer(blob, np.uint64, -1, 8 + 28 * k)
+        runs.append((prints, np.repeat(docs, np.frombuffer(blob, np.int32, k, 8 + 24 * k))))
+        sieve += np.bincount((prints << U(parts_log2) >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+    out = []
+    for prints, docs in runs:
+        several = sieve[(prints << U(parts_log2) >> U(64 - bits)).astype(np.int64)] > 1
+        out.append(sorted([p << 32 | d for p, d in zip(prints[several].tolist(), docs[several].tolist())]))
+    return list(number), np.array(sizes, np.int64).reshape(-1, 2), out
+
+
+def merged_lists(runs: list[list[int]]) -> Iterator[tuple[int, list[int]]]:
+    """Shingles and the documents of their lists, by a heap over the heads of the runs."""
+    last, members = -1, []
+    for key in heapq.merge(*runs):
+        shingle, doc = key >> 32, key & 0xFFFFFFFF
+        if shingle != last:
+            if len(members) > 1:
+                yield last, members
+            last, members = shingle, [doc]
+        elif doc != members[-1]:
+            members.append(doc)
+    if len(members) > 1:
+        yield last, members
 
 
 def candidates(lists: DataFrame, parts_log2: int, share: int, short: int) -> DataFrame:
-    """Rows of pairs (``a < b``), and rows ``print, a, n`` of the entries of lists too long to give all their pairs."""
-
-    def fit(m: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 100 * np.minimum(m, n).astype(np.int64) >= share * np.maximum(m, n).astype(np.int64)
+    """Rows of pairs (``a < b``) with their occurrences ``c`` in the range's short lists and the number ``needed`` over
+    all ranges, pairs with hubs with ``c`` null, and rows ``print, a`` of the entries of lists too long to give pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, blobs in gathered(batches):
-            prints, sids, ns, starts = list_members(blobs)
-            sizes = np.diff(np.append(starts, len(prints)))
-            left, right = [], []
-
-            def take(i: np.ndarray, j: np.ndarray) -> None:
-                ok = fit(ns[i], ns[j]) & (sids[i] != sids[j])
-                x, y = sids[i[ok]], sids[j[ok]]
-                left.append(np.minimum(x, y))
-                right.append(np.maximum(x, y))
-
-            for size in range(2, short + 1):
-                own = starts[sizes == size]
-                for i in range(size):
-                    for j in range(i):
-                        take(own + j, own + i)
-            many = np.repeat(sizes > short, sizes)
-            if many.any():
-                entry = np.flatnonzero(many)
-                run_of = np.repeat(np.arange(len(starts)), sizes)[entry]
-                band = (np.log(ns[entry]) / np.log(100 / share)).astype(np.int64)
+            names, sizes, runs = sorted_runs(blobs, parts_log2)
+            n, aside = sizes[:, 0], sizes[:, 1]
+            of = n.tolist()
+            counts: Counter[tuple[int, int]] = Counter()
+            hubs: set[tuple[int, int]] = set()
+            prints, entries = [], []
+
+            def fit(i: int, j: int) -> bool:
+                return 100 * min(of[i], of[j]) >= share * max(of[i], of[j])
+
+            for shingle, members in merged_lists(runs):
+                if len(members) <= short:
+                    counts.update([p for p in combinations(members, 2) if fit(*p)])
+                    continue
+                prints += [shingle - (1 << 64) if shingle >> 63 else shingle] * len(members)
+                entries += members
+                own = np.array(members)
+                band = (np.log(n[own]) / np.log(100 / share)).astype(np.int64)
+                name = np.array([int.from_bytes(names[i][:8], "little") for i in members], np.uint64)
                 for seed in (1, 2):
-                    luck = mix(sids[entry].astype(np.uint64) + U(seed))
-                    order = np.lexsort((luck, band, run_of))
-                    key_run, key_band = run_of[order], band[order]
-                    head = np.append(True, (key_run[1:] != key_run[:-1]) | (key_band[1:] != key_band[:-1]))
-                    which = np.cumsum(head) - 1
-                    hubs = entry[order][head]
-                    take(entry[order], hubs[which])
-                    below = np.maximum(which - 1, 0)  # the neighbouring band's hub, where it is of the same list
-                    same = (key_run[head][below] == key_run) & (key_band[head][below] == key_band - 1) & (which > 0)
-                    take(entry[order][same], hubs[below[same]])
-            pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0) if left else np.empty((0, 2), np.int64)
-            k, m = len(pairs), int(many.sum())
+                    order = np.lexsort((mix(name + U(seed)), band))
+                    first = dict(zip(reversed(band[order].tolist()), reversed(own[order].tolist())))
+                    for i, b in zip(members, band.tolist()):
+                        for hub in (first[b], first.get(b - 1)):
+                            if hub is not None and hub != i and fit(i, hub):
+                                hubs.add((min(i, hub), max(i, hub)))
+            pairs = [*counts, *hubs]
+            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+            least = -(-share * (n[i] + n[j]) // (100 + share)) - np.maximum(aside[i], aside[j])
+            turned = [(names[x], names[y]) if names[x] < names[y] else (names[y], names[x]) for x, y in pairs]
+            k, m = len(pairs), len(entries)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(prints[many].view(np.int64))]),
-                    pa.array(np.append(pairs[:, 0], sids[many])),
-                    pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(ns[many].astype(np.int64))]),
+                    pa.array([None] * k + prints, pa.int64()),
+                    pa.array([x for x, _ in turned] + [names[x] for x in entries], pa.binary()),
+                    pa.array([y for _, y in turned] + [None] * m, pa.binary()),
+                    pa.array([*counts.values(), *[None] * (len(hubs) + m)], pa.int64()),
+                    pa.array([*least.tolist(), *[None] * m], pa.int64()),
+                    pa.array([*(n[i] + n[j]).tolist(), *[None] * m], pa.int64()),
                 ],
-                ["print", "a", "b", "n"],
+                ["print", "a", "b", "c", "needed", "n"],
             )
 
-    return lists.repartition(1 << parts_log2, "part").mapInArrow(run, "print bigint, a bigint, b bigint, n bigint")
+    return lists.repartition(1 << parts_log2, "part").mapInArrow(run, "print bigint, a binary, b binary, c bigint, needed bigint, n bigint")
 
 
-def texts_of(sids: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, size: int) -> DataFrame:
-    """``sid, data``: one packed text for each set print. A bitmap of fixed size keeps most other texts from moving."""
-    chosen = cut(nodes.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
+def texts_of(sids: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, size: int, scratch: Scratch) -> DataFrame:
+    """``sid, data``: one packed text for each set. A bitmap of fixed size keeps most other texts from moving."""
+    chosen = scratch.cut(nodes.join(sids, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id")))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS))
     wanted = src.sparkSession.sparkContext.broadcast(fixed_map(chosen.select(place.alias("place"))))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, pack = np.frombuffer(wanted.value, np.uint8), zstandard.ZstdCompressor(level=3).compress
+        bits, pack = np.frombuffer(wanted.value, np.uint8), zstandard.ZstdCompressor(level=6).compress
         for batch in batches:
             at = np.flatnonzero(marked(bits, batch.column("place").to_numpy(zero_copy_only=False)))
             for k in range(0, len(at), 1000):
                 rows = pa.array(at[k : k + 1000])
                 texts = batch.column("text").take(rows).to_pylist()
                 sids = [set_print(u) for part in batches_of(texts) for u in shingle_sets(part, size)]
-                data = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(sids, pa.int64()), data], ["doc_id", "sid", "data"])
+                data = pa.array([pack(t.encode()) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), pa.array(sids, pa.binary()), data], ["doc_id", "sid", "data"])
 
-    found = src.withColumn("place", place).mapInArrow(fetch, f"doc_id {kind}, sid bigint, data binary")
+    found = src.withColumn("place", place).mapInArrow(fetch, f"doc_id {kind}, sid binary, data binary")
     same = F.expr("found.sid = chosen.sid AND found.doc_id <=> chosen.doc_id")
-    return found.alias("found").join(chosen.alias("chosen"), same).select("found.sid", "data").dropDuplicates(["sid"])
+    out = scratch.cut(found.alias("found").join(chosen.alias("chosen"), same).select("found.sid", "data").dropDuplicates(["sid"]))
+    scratch.free(chosen)
+    return out
 
 
-def verified(pairs: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, share: int, size: int) -> DataFrame:
-    """The pairs whose sets reach the similarity, by exact overlap: the smaller set's shingles are probed in the larger."""
-    needed = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    texts = texts_of(needed, src, nodes, kind, size)
+def sets_of(data: pa.ChunkedArray, size: int) -> list[Lanes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [u for part in batches_of(unpack(x).decode() for x in data.to_pylist()) for u in shingle_sets(part, size)]
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack_text = zstandard.ZstdDecompressor().decompress
-        recent: OrderedDict[int, np.ndarray] = OrderedDict()
 
-        def prints(sid: int, data: bytes) -> np.ndarray:
-            if sid not in recent:
-                recent[sid] = next(shingle_sets([unpack_text(data).decode("utf-8", "surrogatepass")], size))
-                if len(recent) > 64:
-                    recent.popitem(last=False)
-            recent.move_to_end(sid)
-            return recent[sid]
+def verified(pairs: DataFrame, texts: DataFrame, share: int, size: int, scratch: Scratch) -> DataFrame:
+    """The pairs whose sets reach the similarity, by exact overlap. Partners come to one document, ``PARTNERS`` at a time,
+    into one index that its shingles probe."""
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups"))
+    dealt = pairs.select("a", "b").join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("turn"))
+    theirs = dealt.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "turn", "b", "data")
+    mine = dealt.select(F.col("a").alias("own"), F.col("turn").alias("own_turn")).distinct().join(texts.select(F.col("sid").alias("own"), F.col("data").alias("own_data")), "own")
 
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x = prints(batch.column("a")[i].as_py(), batch.column("data_a")[i].as_py())
-                y = prints(batch.column("b")[i].as_py(), batch.column("data_b")[i].as_py())
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                if 100 * both >= share * (len(x) + len(y) - both):
-                    keep.append(i)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], ["a", "b"])
-
-    joined = pairs.join(texts.select(F.col("sid").alias("b"), F.col("data").alias("data_b")), "b")
-    joined = joined.join(texts.select(F.col("sid").alias("a"), F.col("data").alias("data_a")), "a")
-    with batches_of_rows(src.sparkSession, 256):  # a hub's text stands in each of its pairs
-        return cut(joined.select("a", "b", "data_a", "data_b").mapInArrow(probe, "a bigint, b bigint"))
-
-
-def closing_links(entries: DataFrame, known: DataFrame, src: DataFrame, nodes: DataFrame, kind: str, share: int, size: int, block: int = 512) -> DataFrame:
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return right.slice(0, 0).select(["a", "b"])
+        x = sets_of(left.column("own_data"), size)[0]
+        index = Index(sets_of(right.column("data"), size))
+        both = index.overlaps(x)
+        take = np.flatnonzero(100 * both >= share * (len(x[0]) + index.sizes - both))
+        return right.select(["a", "b"]).take(pa.array(take))
+
+    return scratch.cut(mine.groupBy("own", "own_turn").cogroup(theirs.groupBy("a", "turn")).applyInArrow(probe, "a binary, b binary"))
+
+
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """For each document its pair of the largest share of occurrences."""
+    ends = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
+    top = ends.groupBy("x").agg(F.max(F.struct((F.col("c") / F.col("n")).alias("r"), "a", "b")).alias("p"))
+    return top.select("p.a", "p.b").distinct()
+
+
+def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs that no known component joins."""
+    for x in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(x), F.col("component").alias(f"_{x}")), x, "left")
+    return pairs.filter("_a IS NULL OR _b IS NULL OR _a <> _b").select("a", "b")
+
+
+def closing_links(entries: DataFrame, known: DataFrame, texts: DataFrame, nodes: DataFrame, share: int, size: int, scratch: Scratch, block: int = BLOCK_SHINGLES) -> DataFrame:
     """Links between the components that still stand apart in long lists.
 
     Lists whose members are of one component are done. Components that meet in other lists form a cluster. Inside a
     cluster, the members outside its largest component are queries against all of its members, which are dealt into
-    blocks of about ``block`` sets, each with one merged list of its shingles. So no list is ever turned into pairs.
+    blocks of about ``block`` shingles, each with one merged list. So no list is ever turned into pairs.
     """
-    placed = cut(entries.join(known.withColumnRenamed("node", "a"), "a", "left").select("print", "a", F.coalesce("component", "a").alias("c")))
+    placed = scratch.cut(entries.join(known.withColumnRenamed("node", "a"), "a", "left").select("print", "a", F.coalesce("component", "a").alias("c")))
     mixed = placed.groupBy("print").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("print", "lo")
-    open_ = cut(placed.join(mixed, "print").select("a", "c", "lo").distinct())
-    clusters = components(open_.select(F.col("c").alias("a"), F.col("lo").alias("b")).distinct())
-    members = cut(open_.select("a", "c").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c"))
-    sizes = members.groupBy("cluster", "c").count().groupBy("cluster").agg(F.sum("count").alias("all"), F.max(F.struct("count", "c")).alias("top"))
-    sizes = sizes.select("cluster", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.count")) / (4 * block)).cast("int").alias("turns"), F.col("top.c").alias("main"))
-    dealt = cut(members.join(sizes, "cluster").join(texts_of(members.select(F.col("a").alias("sid")).distinct(), src, nodes, kind, size).withColumnRenamed("sid", "a"), "a"))
+    open_ = scratch.cut(placed.join(mixed, "print").select("a", "c", "lo").distinct())
+    scratch.free(placed)
+    clusters = components(open_.select(F.col("c").alias("a"), F.col("lo").alias("b")).distinct(), scratch)
+    members = open_.select("a", "c").distinct().join(clusters.select(F.col("node").alias("c"), F.col("component").alias("cluster")), "c")
+    sizes_of = nodes.groupBy("sid").agg(F.first("n").alias("n")).withColumnRenamed("sid", "a")
+    members = scratch.cut(members.join(sizes_of, "a"))
+    scratch.free(open_)
+    sizes = members.groupBy("cluster", "c").agg(F.sum("n").alias("n")).groupBy("cluster").agg(F.sum("n").alias("all"), F.max(F.struct("n", "c")).alias("top"))
+    sizes = sizes.select("cluster", F.ceil(F.col("all") / block).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / (4 * block)).cast("int").alias("turns"), F.col("top.c").alias("main"))
+    dealt = scratch.cut(members.join(sizes, "cluster").join(texts.withColumnRenamed("sid", "a"), "a"))
+    scratch.free(members)
     luck = F.xxhash64("a")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     filed = dealt.select("cluster", F.pmod(luck, F.col("blocks")).cast("int").alias("block"), upto("turns").alias("turn"), "a", "c", "data")
     asking = dealt.filter("c <> main").select("cluster", upto("blocks").alias("block"), F.pmod(luck, F.col("turns")).cast("int").alias("turn"), "a", "c", "data")
 
-    def probe(left, right):
-        unpack_text = zstandard.ZstdDecompressor().decompress
-
-        def sets(rows) -> list[np.ndarray]:
-            return list(shingle_sets([unpack_text(x).decode("utf-8", "surrogatepass") for x in rows.column("data").to_pylist()], size))
-
-        theirs, mine = sets(right), sets(left)
+    def probe(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list] = ([], [])
-        if theirs and mine:
-            lengths = np.array([len(x) for x in theirs])
-            prints, owner = np.concatenate(theirs), np.repeat(np.arange(len(theirs)), lengths)
-            order = np.argsort(prints, kind="stable")
-            prints, owner = prints[order], owner[order]
-            a, c = right.column("a").to_numpy(), right.column("c").to_numpy()
-            for x, name, own in zip(mine, left.column("a").to_pylist(), left.column("c").to_pylist()):
-                lo, hi = np.searchsorted(prints, x, "left"), np.searchsorted(prints, x, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                both = np.bincount(owner[at], minlength=len(theirs))
-                hits = np.flatnonzero((100 * both >= share * (len(x) + lengths - both)) & (c != own))
-                _, first = np.unique(c[hits], return_index=True)  # one link to a component is enough
-                out[0].extend([name] * len(first))
-                out[1].extend(a[hits[first]].tolist())
-        return pa.Table.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64())], ["a", "b"])
+        if left.num_rows and right.num_rows:
+            index = Index(sets_of(right.column("data"), size))
+            names, c = right.column("a").to_pylist(), right.column("c").to_pylist()
+            for x, name, own in zip(sets_of(left.column("data"), size), left.column("a").to_pylist(), left.column("c").to_pylist()):
+                both = index.overlaps(x)
+                hits = np.flatnonzero(100 * both >= share * (len(x[0]) + index.sizes - both))
+                found = {c[h]: names[h] for h in hits if c[h] != own}  # one link to a component is enough
+                out[0].extend([name] * len(found))
+                out[1].extend(found.values())
+        return pa.Table.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
 
     keys = ["cluster", "block", "turn"]
-    return cut(asking.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInArrow(probe, "a bigint, b bigint"))
+    links = scratch.cut(asking.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInArrow(probe, "a binary, b binary"))
+    scratch.free(dealt)
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5, heavy: int = 8, short: int = SHORT) -> DataFrame:
     """Link texts whose sets of ``size``-word shingles have a Jaccard similarity of ``percent``/100 or more.
 
-    Returns ``doc_id, n_shingles long, component_id, set_print long``, a row for each input row. ``component_id`` is the
+    Returns ``doc_id, n_shingles long, component_id, set_print binary``, a row for each input row. ``component_id`` is the
     smallest id reachable by links, ``set_print`` names the class of equal sets (null for an empty set).
 
     * null texts, and texts without words, have an empty set, link with nothing and are their own component.
@@ -335,32 +373,51 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * ``heavy`` and ``short`` steer the work only.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    parts_log2 = max(6, (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    n_bytes = src.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0
+    parts_log2 = min(max(4, (n_bytes // PART_BYTES).bit_length()), 17)
     with batches_of_rows(spark, 2000):
         heavies = spark.sparkContext.broadcast(fixed_map(heavy_places(src.select("text"), parts_log2, heavy, size)))
-        rows = cut(short_lists(src, kind, parts_log2, percent, size, heavies))
-    nodes = rows.filter("part IS NULL").select("doc_id", "sid", "n")
-    found = cut(candidates(rows.filter("part IS NOT NULL").select("part", "data"), parts_log2, percent, short))
-    pairs = cut(found.filter("b IS NOT NULL").select("a", "b").distinct())
-    links = verified(pairs, src, nodes, kind, percent, size)
-    known = cut(components(links))
-    # Long lists: components that stand apart still have to meet.
-    entries = found.filter("b IS NULL").select("print", "a")
-    if not entries.isEmpty():
-        more = closing_links(entries, known, src, nodes, kind, percent, size)
-        known = cut(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
+        rows = scratch.cut(short_lists(src, kind, parts_log2, percent, size, heavies))
+    nodes = scratch.cut(rows.filter("part IS NULL").select("doc_id", "sid", "n"))
+    found = scratch.cut(candidates(rows.filter("part IS NOT NULL").select("part", "data"), parts_log2, percent, short))
+    scratch.free(rows)
+    # T-occurrence: what the short lists have counted, over all ranges; pairs with hubs are candidates whatever they count.
+    counted = found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.sum(F.coalesce("c", F.lit(0))).alias("c"), F.max("needed").alias("needed"), F.max("n").alias("n"), F.max(F.col("c").isNull()).alias("hub"))
+    pairs = scratch.cut(counted.filter("hub OR c >= needed").select("a", "b", "c", "n"))
+    entries = scratch.cut(found.filter("b IS NULL").select("print", "a"))
+    scratch.free(found)
+    sides = [pairs.select(F.col("a").alias("sid")), pairs.select(F.col("b").alias("sid")), entries.select(F.col("a").alias("sid"))]
+    texts = texts_of(reduce(DataFrame.union, sides).distinct(), src, nodes, kind, size, scratch)
+    links = verified(best_pairs(pairs), texts, percent, size, scratch)
+    known = scratch.cut(components(links, scratch))
+    more = verified(apart(pairs, known), texts, percent, size, scratch)
+    known = grown(known, more, scratch)
+    if not entries.isEmpty():  # long lists: components that stand apart still have to meet
+        known = grown(known, closing_links(entries, known, texts, nodes, percent, size, scratch), scratch)
+    scratch.free(texts, pairs, entries, links)
     classes = nodes.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
-    grouped = cut(classes.join(known.withColumnRenamed("node", "sid"), "sid", "left"))
+    grouped = scratch.cut(classes.join(known.withColumnRenamed("node", "sid"), "sid", "left"))
     roots = grouped.filter("component IS NOT NULL").groupBy("component").agg(F.min("least_id").alias("root"))
     named = grouped.join(roots, "component", "left").select("sid", F.coalesce("root", "least_id").alias("root"), "copies", F.col("component").isNotNull().alias("linked"))
     # Both sides of the join back are read from files, so a hot class's rows are split by the skew join.
-    named = cut(named.filter("linked OR copies > 1").select("sid", "root"))
+    named = scratch.cut(named.filter("linked OR copies > 1").select("sid", "root"))
+    scratch.free(grouped, known)
     out = nodes.join(named, "sid", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.col("sid").alias("set_print"))
 
 
+def grown(known: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after more links."""
+    if links.isEmpty():
+        return known
+    out = scratch.cut(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links), scratch))
+    scratch.free(known, links)
+    return out
+
+
 ORACLE = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
