@@ -130,11 +130,21 @@ def test_generator(spark):
     assert len({r.context for r in rows}) == 270 and all(len(r.context) <= 512 for r in rows)
     for r in rows:
         assert (r.password is not None) == (r.label != "FALSE_POSITIVE")
-        if r.label == "REVIEW" or r.label == "REAL" and r.category != "basic_auth" and len(r.context) < 512:
-            assert r.password in r.context or r.category == "bcrypt_hash", r
+        if r.label != "FALSE_POSITIVE" and len(r.context) < 512:
+            assert r.password in r.context, r
     assert sorted(map(str, rows)) == sorted(map(str, synth.generate(spark, 120, 120, 30, seed=8).repartition(3).collect()))
 
 
+def test_mined_words_reach_findings(spark):
+    texts = spark.createDataFrame([("see a.red.example and b.red.example, BLUE\\ann, FIX-1234, MAIN_KEY = 1",), (None,), ("",)], "text string")
+    words = synth.mine_vocabulary(texts)
+    assert {(r.kind, r.value, r.n) for r in words.collect()} == {("domain", "red.example", 1), ("account", "BLUE", 1), ("ticket", "FIX", 1), ("name", "MAIN_KEY", 1)}
+    rows = synth.generate(spark, 60, 60, 0, seed=3, vocabulary=words).collect()
+    every = " ".join(r.context for r in rows)
+    assert "red.example" in every and "MAIN_KEY" in every and "FIX-" in every and "BLUE" in every and "lab.example" not in every
+    assert synth.mine_vocabulary(texts.limit(0)).count() == 0 and synth.generate(spark, 5, 5, 5, vocabulary=words.limit(0)).count() == 15
+
+
 def test_clusters(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, "b", "x"), (4, "c", None), (5, None, None)], "id long, p string, q string")
     assert {r.id: r.cluster for r in clusters.entity_clusters(rows, "id", ("p", "q")).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}

@@ -27,10 +27,8 @@ def run_build(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def run_generate(spark: SparkSession, a: argparse.Namespace) -> None:
-    vocab = synth.Vocabulary()
-    if a.mine:
-        vocab = synth.mine_vocabulary(spark.read.text(a.mine).withColumnRenamed("value", "text"))
-    rows = written(synth.generate(spark, a.n_tp, a.n_fp, a.n_review, a.seed, vocab))
+    vocabulary = written(synth.mine_vocabulary(spark.read.text(a.mine).withColumnRenamed("value", "text"))) if a.mine else None
+    rows = written(synth.generate(spark, a.n_tp, a.n_fp, a.n_review, a.seed, vocabulary))
     writers.write_json_lines(rows, f"{a.out_dir}/records")
     writers.write_json_lines(rows.groupBy("label", "category").count().orderBy("label", "category"), f"{a.out_dir}/report")
 

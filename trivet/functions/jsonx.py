@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trivet.functions.text import is_real, normalize_status, strip
+from trivet.functions.text import is_real, let, normalize_status, strip
 from trivet.schema import RAW_DECISION, STATUSES
 
 REQUIRED = ("is_credentials", "status", "confidence", "reasoning", "evidence", "agent_trace")
@@ -14,21 +14,28 @@ GROUNDED_PREFIXES = ("source:", "distractor:", "near ", "high entropy", "low ent
 
 
 def _nested(depth: int) -> str:
-    inner = r"\{[^{}]*+\}"
+    """Balanced braces; those inside quoted texts do not count."""
+    quoted = r'"(?:[^"\\]++|\\.)*+"'
+    inner = rf'\{{(?:[^{{}}"]++|{quoted})*+\}}'
     for _ in range(depth - 1):
-        inner = rf"\{{(?:[^{{}}]++|{inner})*+\}}"
-    return inner
+        inner = rf'\{{(?:[^{{}}"]++|{quoted}|{inner})*+\}}'
+    return "(?s)" + inner
 
 
 def _is_object(text: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
 
 
-def json_object(text: Column, depth: int = 5) -> Column:
-    """The whole text if it is a JSON object, else the first stretch of balanced braces (``depth`` levels) that is one,
-    else null. Arrays and scalars are no answer."""
-    parts = F.filter(F.regexp_extract_all(text, F.lit(_nested(depth)), F.lit(0)), _is_object)
-    return F.when(_is_object(text), text).otherwise(F.get(parts, 0))
+def json_object(text: Column, depth: int = 24) -> Column:
+    """The whole text if it is a JSON object, else the first stretch of balanced braces that is one (of deeper braces than
+    ``depth``, the text from the first to the last brace), else null. Arrays and scalars are no answer."""
+
+    def found(t: Column) -> Column:
+        parts = F.filter(F.regexp_extract_all(t, F.lit(_nested(depth)), F.lit(0)), _is_object)
+        widest = F.filter(F.array(F.regexp_extract(t, r"(?s)\{.*\}", 0)), _is_object)
+        return F.when(_is_object(t), t).otherwise(F.coalesce(F.get(parts, 0), F.get(widest, 0)))
+
+    return let(text, found)
 
 
 def raw_fields(obj: Column) -> Column:
@@ -55,14 +62,16 @@ def decision(obj: Column, strategy: Column, model: Column, checks: tuple[str, ..
 
     REVIEW with a positive flag becomes REAL; other conflicts of status and flag stay and are flagged.
     """
-    raw = raw_fields(obj)
+    return let(obj, lambda o: let(raw_fields(o), lambda raw: _decision(o.isNotNull(), raw, strategy, model, checks)))
+
+
+def _decision(ok: Column, raw: Column, strategy: Column, model: Column, checks: tuple[str, ...]) -> Column:
     status = normalize_status(raw["status"])
     flag = F.coalesce(truth(raw["is_credentials"]), is_real(status))
     status = F.when((status == "REVIEW") & (flag == 1), "REAL").otherwise(status)
     confidence = F.coalesce(raw["confidence"].try_cast("double"), F.lit(0.5))
     evidence = F.when(raw["evidence"].isNotNull(), text_list(raw["evidence"])).otherwise(text_list(raw["indicators"]))
     given = F.from_json(raw["agent_trace"], "strategy string, checks array<string>, model string")
-    ok = obj.isNotNull()
     return F.struct(
         F.when(ok, flag).otherwise(0).alias("is_credentials"),
         F.when(ok, status).otherwise("REVIEW").alias("status"),
@@ -81,14 +90,14 @@ def decision(obj: Column, strategy: Column, model: Column, checks: tuple[str, ..
 
 def schema_valid(obj: Column, exact_case: bool = True) -> Column:
     """Whether an object's text has all fields with values of the contract."""
-    raw = raw_fields(obj)
-    status = raw["status"] if exact_case else F.upper(raw["status"])
-    conf = raw["confidence"].try_cast("double")
+
+    def valid(raw: Column) -> Column:
+        status = raw["status"] if exact_case else F.upper(raw["status"])
+        conf = raw["confidence"].try_cast("double")
+        return status.isin(*STATUSES) & raw["evidence"].startswith("[") & raw["agent_trace"].startswith("{") & conf.between(0.0, 1.0) & truth(raw["is_credentials"]).isNotNull()
+
     have = F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce(F.json_object_keys(obj), F.array().cast("array<string>")))) == 0
-    return F.coalesce(
-        have & status.isin(*STATUSES) & raw["evidence"].startswith("[") & raw["agent_trace"].startswith("{") & conf.between(0.0, 1.0) & truth(raw["is_credentials"]).isNotNull(),
-        F.lit(False),
-    )
+    return F.coalesce(have & let(raw_fields(obj), valid), F.lit(False))
 
 
 def extract_status(text: Column) -> Column:

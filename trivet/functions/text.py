@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +15,11 @@ NULL_WORDS = ("", "None", "null", "NULL")
 HIGH_ENTROPY = 3.5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` uses it and whatever the optimiser merges."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(v: Column) -> Column:
     """Without white space at both ends, Unicode's included (``trim`` only knows the space)."""
     return F.regexp_replace(v, rf"(?U)^{_BLANK}|{_BLANK}$", "")

@@ -84,13 +84,13 @@ def assign_splits(rows: DataFrame, val: float = 0.1, test: float = 0.1, seed: in
         if any(before < x < before + r["count"] for x in limits):
             open_.add(r["_b"])
         before += r["count"]
-    names = ("test", "validation", "train")
-    fixed = {b: names[sum(s >= x for x in limits)] for b, s in starts.items()}
-    if not fixed:
+    if not starts:
         return rows.withColumn("split", F.lit("train"))
-    by_range = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])[F.col("_b")]
-    start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("_b")]
+    # Ranges stand in order, so the first one at or behind a limit parts the splits; two at most hold a limit.
+    edges = [min((b for b, s in starts.items() if s >= x), default=4096) for x in limits]
+    by_range = F.when(F.col("_b") < edges[0], "test").when(F.col("_b") < edges[1], "validation").otherwise("train")
     is_open = F.col("_b").isin(*open_) if open_ else F.lit(False)
+    start = F.coalesce(*[F.when(F.col("_b") == b, starts[b]) for b in sorted(open_)], F.lit(0))
     place = start + F.row_number().over(Window.partitionBy("_b").orderBy("_k", "_g")) - 1
     exact = groups.filter(is_open).withColumn("_p", place)
     exact = exact.select("_g", F.when(F.col("_p") < limits[0], "test").when(F.col("_p") < limits[1], "validation").otherwise("train").alias("_s"))

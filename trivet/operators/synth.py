@@ -1,371 +1,388 @@
-"""Synthetic labelled corpora: credential shapes, carriers and templates, drawn per row without any state.
+"""Synthetic labelled findings, made from small tables without any state.
 
-A row is its number; every choice is a digest of seed, row and slot, so any partition can be made again alone and no
-random stream runs through the job.
+The model: a finding is a *form* (how a value looks) in a *medium* (what it stands in). Forms are issued tokens of
+published formats, raw key material (an encoding and a number of bytes), texts that people choose, key blocks and
+structured credentials. Media are assignments (an opening, a sign, a closing), headers, shell lines, links with user
+information, messages in ten languages and blocks. A true finding is a form in a medium that it fits. A false one keeps
+the medium and puts a stand-in, a reference, a mask or an identifier in the value's place, or is prose. One for review has
+a value that a reader cannot settle: hidden in part, cut, digested, retired, a fallback, or without any medium.
+
+A row is its number; every choice is a digest of seed, slot and row, so any partition can be made again alone. Rows are
+described once, and an :class:`Ink` writes the description as SQL expressions; another dialect needs another ink only.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from functools import reduce
+from itertools import accumulate, product
+from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trivet.functions.text import draw, pick, random_text
-
-ALPHABETS = {
-    "d": "0123456789",
-    "h": "0123456789abcdef",
-    "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
-    "a": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
-    "l": "abcdefghijklmnopqrstuvwxyz",
-    "b": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-    "w": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-    "s": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789!@#$%^&*(-_=+)",
-    "t": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-}
-WORDS = ("Harbor", "Granite", "Meadow", "Lantern", "Orchid", "Copper", "Willow", "Summit", "Cinder", "Juniper", "Marble", "Thistle")
-KEYBOARD = ("Qwerty", "Asdfgh", "Zxcvbn", "1q2w3e4r", "Passw0rd")
-SYMBOLS = "!@#$%&*-_+="
-FIRST, LAST = ("ada", "noor", "ivo", "lena", "tomas", "mei", "jonas", "rosa"), ("keller", "okafor", "silva", "novak", "tan", "duval", "berg", "costa")
-ENVIRONMENTS, SYSTEMS = ("prod", "uat", "qa", "dev", "staging"), ("ledger", "billing", "claims", "orders", "payroll", "catalog")
-DOMAINS, TICKETS = ("corp.example", "intra.example.net", "ops.example.org"), ("INC", "RITM", "CHG")
-KEY = lambda kind: f"-----BEGIN {kind}-----\n<b64>\n<b64>\n<b64>\n-----END {kind}-----"
-#: Shapes: name, key names, carriers, pattern. ``<x16>`` is 16 characters of alphabet x; ``<pw>`` a password.
-SHAPES = (
-    ("password", ("password", "db_password", "user_password"), "kv cli connstring nl", "<pw>"),
-    ("admin_password", ("admin_password", "root_password"), "kv cli nl", "<pw>"),
-    ("ldap_password", ("ldap_bind_password", "bind_password"), "kv nl", "<pw>"),
-    ("keystore_password", ("keystore_password", "truststore_password"), "kv", "<pw>"),
-    ("smtp_password", ("smtp_password", "mail_password"), "kv nl", "<pw>"),
-    ("private_key_passphrase", ("key_passphrase",), "kv", "<pw>"),
-    ("pfx_password", ("pfx_password", "p12_password"), "kv", "<pw>"),
-    ("mainframe_password", ("racf_password", "tso_password"), "kv nl", "<u8>"),
-    ("sap_password", ("sap_password",), "kv cli nl", "<pw>"),
-    ("basic_auth", ("authorization",), "header cli", "<pw>"),
-    ("db_connection_uri", ("database_url", "jdbc_url"), "connstring", "<pw>"),
-    ("aws_access_key_id", ("aws_access_key_id",), "kv cli", "AKIA<u16>"),
-    ("aws_secret_access_key", ("aws_secret_access_key",), "kv cli", "<b40>"),
-    ("azure_storage_key", ("storage_account_key",), "kv", "<b86>=="),
-    ("azure_client_secret", ("azure_client_secret",), "kv header", "<a3>8Q~<w34>"),
-    ("azure_sas_token", ("sas_token",), "kv header", "sv=2023-01-03&ss=b&srt=sco&sp=rl&sig=<b43>%3D"),
-    ("azure_connection_string", ("storage_connection_string",), "kv", "DefaultEndpointsProtocol=https;AccountName=<l8>;AccountKey=<b86>==;EndpointSuffix=core.example.net"),
-    ("azure_devops_pat", ("ado_pat",), "kv header", "<a52>"),
-    ("gcp_api_key", ("gcp_api_key",), "kv header", "AIza<w35>"),
-    ("gcp_service_account_json", ("service_account",), "pem", '{"type": "service_account", "private_key_id": "<h40>", "private_key": "<b64>"}'),
-    ("payment_live_key", ("payment_secret_key",), "kv header", "sk_live_<a24>"),
-    ("payment_api_key", ("merchant_api_key",), "kv header", "AQE<b90>"),
-    ("github_pat", ("github_token", "gh_pat"), "kv header cli", "ghp_<a36>"),
-    ("gitlab_pat", ("gitlab_token",), "kv header", "glpat-<w20>"),
-    ("npm_token", ("npm_token",), "kv", "npm_<a36>"),
-    ("dockerhub_token", ("docker_pat",), "kv cli", "dckr_pat_<w27>"),
-    ("slack_token", ("slack_token",), "kv nl", "xoxb-<d11>-<d11>-<a24>"),
-    ("slack_webhook_url", ("webhook_url",), "kv nl", "https://hooks.example.com/services/T<u10>/B<u10>/<a24>"),
-    ("jwt", ("id_token", "access_token"), "kv header nl", "eyJ<w30>.<w40>.<w36>"),
-    ("oauth_client_secret", ("client_secret",), "kv header", "<a40>"),
-    ("bearer_token", ("api_token", "auth_token"), "kv header cli nl", "<w40>"),
-    ("api_key_generic", ("api_key", "x_api_key"), "kv header cli nl", "<h32>"),
-    ("hmac_secret", ("hmac_secret", "signing_secret"), "kv", "<h40>"),
-    ("encryption_key", ("encryption_key",), "kv", "<b44>"),
-    ("vault_token", ("vault_token",), "kv cli nl", "hvs.<a24>"),
-    ("llm_api_key", ("llm_api_key",), "kv header", "sk-<a48>"),
-    ("llm_api_key_long", ("assistant_api_key",), "kv header", "sk-api03-<w80>"),
-    ("model_hub_token", ("hf_token",), "kv header", "hf_<a34>"),
-    ("sms_auth_token", ("sms_auth_token",), "kv header", "<h32>"),
-    ("mail_api_key", ("mail_api_key",), "kv header", "SG.<w22>.<w43>"),
-    ("monitoring_api_key", ("dd_api_key",), "kv header", "<h32>"),
-    ("tracker_api_token", ("jira_api_token",), "kv header", "ATATT3xFfGF0<a40>"),
-    ("redis_url", ("redis_url",), "kv", "redis://:<pw>@cache01.corp.example:6379/0"),
-    ("amqp_url", ("broker_url",), "kv", "amqp://svc_mq:<pw>@mq01.corp.example:5672/main"),
-    ("saml_assertion", ("saml_response",), "kv header", "<b220>"),
-    ("kerberos_keytab", ("keytab",), "pem", "<b200>"),
-    ("framework_secret_key", ("secret_key_base",), "kv", "<s50>"),
-    ("bcrypt_hash", ("password_hash",), "kv", "$2b$12$<a53>"),
-    ("totp_seed", ("totp_secret",), "kv nl", "<t32>"),
-    ("ssh_private_key", ("id_rsa",), "pem", KEY("OPENSSH PRIVATE KEY")),
-    ("rsa_private_key", ("rsa_private_key",), "pem", KEY("RSA PRIVATE KEY")),
-    ("ec_private_key", ("ec_private_key",), "pem", KEY("EC PRIVATE KEY")),
-    ("dsa_private_key", ("dsa_private_key",), "pem", KEY("DSA PRIVATE KEY")),
-    ("pkcs8_private_key", ("private_key",), "pem", KEY("PRIVATE KEY")),
-    ("pgp_private_key", ("pgp_private_key",), "pem", KEY("PGP PRIVATE KEY BLOCK")),
+from trivet.functions.text import draw
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+HEX, BASE32, ALNUM = DIGITS + "abcdef", UPPER + "234567", UPPER + LOWER + DIGITS
+BASE64, BASE64URL, PRINTABLE = ALNUM + "+/", ALNUM + "-_", ALNUM + "!#%&()*+,-.:;?@_~"
+
+#: Formats that issuers publish, as fixed letters and (alphabet, length).
+ISSUED: tuple[tuple[str, tuple], ...] = (
+    ("aws_access_key_id", ("AKIA", (BASE32, 16))),
+    ("github_pat", ("ghp_", (ALNUM, 36))),
+    ("github_app_token", ("ghs_", (ALNUM, 36))),
+    ("gitlab_pat", ("glpat-", (BASE64URL, 20))),
+    ("npm_token", ("npm_", (ALNUM, 36))),
+    ("pypi_token", ("pypi-AgEIcHlwaS5vcmc", (BASE64URL, 70))),
+    ("slack_bot_token", ("xoxb-", (DIGITS, 12), "-", (DIGITS, 12), "-", (ALNUM, 24))),
+    ("gcp_api_key", ("AIza", (BASE64URL, 35))),
+    ("stripe_live_key", ("sk_live_", (ALNUM, 24))),
+    ("sendgrid_key", ("SG.", (BASE64URL, 22), ".", (BASE64URL, 43))),
+    ("vault_service_token", ("hvs.", (BASE64URL, 24))),
+    ("docker_pat", ("dckr_pat_", (BASE64URL, 27))),
+    ("hugging_face_token", ("hf_", (ALNUM, 34))),
+    ("jwt", ("eyJhbGciOiJIUzI1NiJ9.eyJ", (BASE64URL, 48), ".", (BASE64URL, 43))),
+)
+#: Raw key material: every encoding at every size in bytes; its length follows.
+ENCODINGS = {"hex": (HEX, lambda n: 2 * n), "base32": (BASE32, lambda n: -(-8 * n // 5)), "base64url": (BASE64URL, lambda n: -(-4 * n // 3))}
+SIZES = (16, 20, 24, 32, 48, 64)
+#: Labels of key blocks. RFC 7468, RFC 4880 and common practice.
+BLOCKS = ("PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "EC PRIVATE KEY", "RSA PRIVATE KEY", "DSA PRIVATE KEY", "OPENSSH PRIVATE KEY", "PGP PRIVATE KEY BLOCK")
+STRUCTURED: tuple[tuple[str, tuple], ...] = (
+    ("service_account_json", ('{"kind": "robot", "id": "', (HEX, 24), '", "material": "', (BASE64, 88), '"}')),
+    ("storage_settings", ("Account=", (LOWER, 9), ";Secret=", (BASE64, 86), "==;Secure=true")),
+    ("signed_query", ("expires=", (DIGITS, 10), "&scope=read&sign=", (BASE64URL, 43))),
+    ("webhook_link", ("https://hooks.example.net/in/", (UPPER, 9), "/", (ALNUM, 24))),
+    ("assertion", ("PHNhbWxwOlJlc3BvbnNl", (BASE64, 180))),
 )
-PASSWORD_SHAPES = tuple(s for s in SHAPES if s[3] == "<pw>" and s[0] not in ("basic_auth", "db_connection_uri"))
-#: Languages: password words, placeholders, and sentences for chat, reset, audit, comment and expiry.
+PLACES_OF = {"issued": "assign header shell message", "raw": "assign header message", "chosen": "assign shell link message", "block": "block", "structured": "assign"}
+
+WORDS = ("anchor", "birch", "canyon", "drizzle", "ember", "falcon", "glacier", "hazel", "island", "jigsaw", "kettle", "lagoon", "mosaic", "nectar", "orbit", "pebble")
+FIRST, LAST = ("ana", "bo", "chidi", "dara", "elif", "femi", "gita", "hugo"), ("abel", "brandt", "cruz", "dupont", "eze", "ferrari", "gupta", "haas")
+SYSTEMS = ("archive", "booking", "checkout", "dispatch", "estimates", "forecast", "gateway", "helpdesk")
+NAMES = ("db_password", "service_secret", "api_token", "signing_key", "smtp_pass", "client_secret", "backup_passphrase", "deploy_token", "session_key", "admin_pwd")
+SYMBOLS = "!#%&*+-?@_"
+#: Look-alike digits of letters.
+LOOKS = {"a": "4", "e": "3", "i": "1", "o": "0", "s": "5", "t": "7"}
+#: Assignments: opening, sign and closing around a name and its value.
+ASSIGN = (
+    ("", "=", ""), ("export ", "='", "'"), ("  ", ": ", ""), ('  "', '": "', '",'), ("set ", " ", ""), ("<entry name=\"", '">', "</entry>"),
+    ("let ", ' = "', '";'), ("", " := `", "`"), ("-- ", " => '", "'"), ("private static final String ", ' = "', '";'), ("[secrets]\n", ' = "', '"'), ("ENV ", "=", ""),
+)
+HEADERS = ("Authorization: Bearer ", "Authorization: token ", "X-Auth-Key: ", "Proxy-Authorization: Bearer ", "Cookie: session=")
+#: Shell lines; {u} is a user, {v} the value, {h} a host.
+SHELL = ("curl --user {u}:{v} https://{h}/status", "psql \"host={h} user={u} password={v}\"", "mysql -h {h} -u {u} -p{v}", "rclone copy --ftp-pass {v} {h}: .", "vault login -address=https://{h} {v}")
+SCHEMES = ("postgresql", "mysql", "mongodb+srv", "redis", "amqps", "ftp", "ldaps", "smtp")
+#: Languages: words for a password, stand-ins, a sentence that tells a value and one that tells none; {n} is the word, {v}
+#: the value, {s} a system, {t} a ticket, {d} a date, {a} an account.
 LANGUAGES = {
-    "en": (("password", "pwd"), ("your_password", "changeme"), "the {env} {sys} {noun} is {val}, please update", "Ticket {tk}: account reset done, first {noun}: {val}", "[{date}] AUDIT {noun} set for {user}: {val}", "TODO: move this {noun} to the vault", "{acct} password expired, please reset"),
-    "fr": (("mot_de_passe", "mdp"), ("votre_mot_de_passe", "changez_moi"), "le {noun} {sys} en {env} est {val}", "Ticket {tk} : compte remis, premier {noun} : {val}", "[{date}] AUDIT {noun} pour {user} : {val}", "A FAIRE : ranger ce {noun} au coffre", "{acct} mot de passe expire"),
-    "de": (("passwort", "kennwort"), ("dein_passwort", "bitte_aendern"), "das {noun} fuer {sys} in {env} ist {val}", "Ticket {tk}: Konto neu, erstes {noun}: {val}", "[{date}] AUDIT {noun} fuer {user}: {val}", "TODO: {noun} in den Tresor", "{acct} Passwort abgelaufen"),
-    "es": (("contrasena", "clave"), ("tu_contrasena", "cambiame"), "la {noun} de {sys} en {env} es {val}", "Ticket {tk}: cuenta lista, primera {noun}: {val}", "[{date}] AUDIT {noun} de {user}: {val}", "PENDIENTE: guardar esta {noun}", "{acct} clave caducada"),
-    "it": (("parola_chiave", "pw"), ("tua_password", "cambiami"), "la {noun} di {sys} in {env} e {val}", "Ticket {tk}: account pronto, prima {noun}: {val}", "[{date}] AUDIT {noun} per {user}: {val}", "DA FARE: spostare questa {noun}", "{acct} password scaduta"),
-    "pt": (("senha",), ("sua_senha", "mude_me"), "a {noun} de {sys} em {env} e {val}", "Ticket {tk}: conta pronta, primeira {noun}: {val}", "[{date}] AUDIT {noun} de {user}: {val}", "FAZER: guardar esta {noun}", "{acct} senha expirada"),
-    "nl": (("wachtwoord",), ("jouw_wachtwoord",), "het {noun} van {sys} in {env} is {val}", "Ticket {tk}: account klaar, eerste {noun}: {val}", "[{date}] AUDIT {noun} voor {user}: {val}", "TODO: {noun} naar de kluis", "{acct} wachtwoord verlopen"),
-    "pl": (("haslo",), ("twoje_haslo",), "{noun} do {sys} w {env} to {val}", "Ticket {tk}: konto gotowe, pierwsze {noun}: {val}", "[{date}] AUDIT {noun} dla {user}: {val}", "TODO: przeniesc {noun}", "{acct} haslo wygaslo"),
-    "tr": (("parola", "sifre"), ("parolaniz",), "{env} {sys} {noun}: {val}", "Ticket {tk}: hesap hazir, ilk {noun}: {val}", "[{date}] AUDIT {user} {noun}: {val}", "YAPILACAK: bu {noun} kasaya", "{acct} parola suresi doldu"),
-    "sv": (("losenord",), ("ditt_losenord",), "{noun} for {sys} i {env} ar {val}", "Ticket {tk}: konto klart, forsta {noun}: {val}", "[{date}] AUDIT {noun} for {user}: {val}", "ATT GORA: flytta detta {noun}", "{acct} losenord har gatt ut"),
+    "en": (("password", "passphrase"), ("enter-password-here", "to-be-set"), "for {s} use the {n} {v} from now on ({t})", "on {d} the {n} rules for {a} were read out again"),
+    "fr": (("mot-de-passe", "code"), ("a-remplir", "saisir-ici"), "pour {s}, le {n} est desormais {v} ({t})", "le {d}, rappel des regles de {n} pour {a}"),
+    "de": (("Passwort", "Zugangscode"), ("hier-eintragen", "noch-offen"), "ab jetzt gilt fuer {s} {n} {v} ({t})", "am {d} wurden die Regeln zum {n} von {a} erklaert"),
+    "es": (("clave", "contrasenia"), ("completar-aqui", "pendiente"), "para {s} la {n} pasa a ser {v} ({t})", "el {d} se repasaron las reglas de {n} de {a}"),
+    "it": (("parola-chiave", "codice"), ("inserire-qui", "da-definire"), "per {s} ora vale {n} {v} ({t})", "il {d} sono state lette le regole per {n} di {a}"),
+    "pt": (("senha", "palavra-passe"), ("preencher-aqui", "por-definir"), "em {s} a {n} agora e {v} ({t})", "em {d} as regras de {n} de {a} foram lidas"),
+    "nl": (("wachtwoord", "toegangscode"), ("hier-invullen", "nog-bepalen"), "voor {s} geldt nu {n} {v} ({t})", "op {d} zijn de regels voor {n} van {a} besproken"),
+    "pl": (("haslo", "kod"), ("wpisz-tutaj", "do-ustalenia"), "dla {s} obowiazuje {n} {v} ({t})", "{d} omowiono zasady {n} konta {a}"),
+    "tr": (("parola", "erisim-kodu"), ("buraya-yazin", "belirlenecek"), "{s} icin yeni {n}: {v} ({t})", "{d} gunu {a} icin {n} kurallari okundu"),
+    "sv": (("losenord", "kod"), ("fyll-i-har", "ej-bestamt"), "for {s} galler nu {n} {v} ({t})", "den {d} gicks reglerna for {n} till {a} igenom"),
 }
+#: References to a value that stands elsewhere; {k} is its name.
+REFERENCES = ("${{k}}", "%{k}%", "{{ secrets.{k} }}", "$({k})", "env(\"{k}\")", "@Microsoft.KeyVault({k})")
+MASKS = tuple(mark * n for mark, n in product("*x#.", (6, 8, 12)))
+#: Identifiers that are no secrets, and the words before them.
+IDENTIFIERS: tuple[tuple[str, str, tuple], ...] = (
+    ("order_number", "order ", ("ORD", (DIGITS, 9))),
+    ("revision", "built from revision ", ((HEX, 40),)),
+    ("trace_id", "trace ", ((HEX, 8), "-", (HEX, 4), "-", (HEX, 4), "-", (HEX, 4), "-", (HEX, 12))),
+    ("test_mode_key", "sandbox key ", ("sk_test_", (ALNUM, 24))),
+    ("account_number", "sample account ", ("NL00BANK", (DIGITS, 10))),
+    ("parcel", "parcel ", ((UPPER, 2), (DIGITS, 11), (UPPER, 2))),
+)
+DOMAINS, ACCOUNTS, TICKETS = ("lab.example", "plant.example.net", "shop.example.org"), ("LAB", "PLANT", "SHOP"), ("OPS", "HELP", "REQ")
 CONTEXT_CHARS = 512
+#: What texts tell about the place they come from: domains below a host's own label, domains of accounts, ticket
+#: prefixes, and names that something is assigned to.
+MINED = {
+    "domain": r"\b[a-z][a-z0-9-]*\.((?:[a-z0-9-]+\.)+[a-z]{2,})\b",
+    "account": r"\b([A-Z][A-Z0-9-]{1,14})\\[A-Za-z]",
+    "ticket": r"\b([A-Z]{2,6})-?\d{4,}\b",
+    "name": r"\b([A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+)\s*[=:]",
+}
 
 
-@dataclass(frozen=True)
-class Vocabulary:
-    domains: tuple[str, ...] = DOMAINS
-    tickets: tuple[str, ...] = TICKETS
-    keys: tuple[str, ...] = ("DB_PASSWORD", "ADMIN_PASSWORD", "API_SECRET", "JWT_SECRET")
-
-
-def mine_vocabulary(texts: DataFrame, text_col: str = "text", most: int = 200) -> Vocabulary:
-    """Domains, ticket prefixes and key names that texts hold, most frequent first, ``most`` of each at most; built-in ones
-    where there are none."""
-    patterns = {
-        "domains": r"\b[a-z][a-z0-9-]*\.((?:[a-z0-9-]+\.)+[a-z]{2,})\b",
-        "tickets": r"\b(INC|RITM|CHG)\d",
-        "keys": r"\b([A-Z][A-Z0-9_]{2,}(?:PASSWORD|TOKEN|SECRET|PWD|KEY))\b",
-    }
-    found = F.array(*[F.struct(F.lit(k).alias("k"), F.array_distinct(F.regexp_extract_all(text_col, F.lit(p), F.lit(1))).alias("v")) for k, p in patterns.items()])
-    rows = texts.select(F.explode(found).alias("x")).select("x.k", F.explode("x.v").alias("v")).groupBy("k", "v").count()
-    out = {}
-    for k in patterns:
-        got = tuple(sorted(r.v for r in rows.filter(F.col("k") == k).orderBy(F.desc("count"), "v").limit(most).collect()))
-        if got:
-            out[k] = got
-    return Vocabulary(**out)
-
-
-class Row:
-    """Drawn parts of one row, as columns."""
-
-    def __init__(self, seed: int, number: Column, vocab: Vocabulary):
-        self.seed, self.number, self.vocab, self._slot = seed, number, vocab, 0
-
-    def key(self) -> tuple:
-        self._slot += 1
-        return (self.seed, self._slot, self.number)
-
-    def of(self, options) -> Column:
-        return pick(tuple(options), *self.key())
+def casings(name: str) -> list[str]:
+    """A name in six casings."""
+    parts = name.split("_")
+    pascal = "".join(p.capitalize() for p in parts)
+    return [name, name.upper(), "-".join(parts), ".".join(parts), pascal, pascal[0].lower() + pascal[1:]]
 
-    def text(self, alphabet: str, n: int) -> Column:
-        return random_text(ALPHABETS[alphabet], n, *self.key())
 
-    def case(self, arms: list[Column]) -> Column:
-        place = draw(len(arms), *self.key())
-        out = F.when(place == 0, arms[0])
-        for i, arm in enumerate(arms[1:], 1):
-            out = out.when(place == i, arm)
-        return out
+def look_alikes(word: str) -> list[str]:
+    """The word with any of its letters that look like digits replaced."""
+    at = [i for i, c in enumerate(word) if c in LOOKS]
+    return ["".join(LOOKS[c] if i in chosen else c for i, c in enumerate(word)) for chosen in ({at[k] for k in range(len(at)) if bits >> k & 1} for bits in range(1 << len(at)))]
 
-    def password(self) -> Column:
-        word, tail = self.of(WORDS), F.concat(self.text("d", 2), random_text(SYMBOLS, 1, *self.key()))
-        weight = draw(100, *self.key())
-        leet = F.transform(F.split(word, ""), lambda c: F.when(draw(10, *self.key(), c) < 7, F.translate(c, "aeiost", "431057")).otherwise(c))
-        return (
-            F.when(weight < 35, F.concat(word, self.of(WORDS), tail))
-            .when(weight < 50, F.concat(F.array_join(leet, ""), tail))
-            .when(weight < 70, F.concat(F.lower(word), F.lower(self.of(WORDS)), self.text("d", 3)))
-            .when(weight < 90, self.text("s", 14))
-            .otherwise(F.concat(self.of(KEYBOARD), tail))
-        )
 
-    def shape(self, pattern: str) -> Column:
-        parts = []
-        for lit, kind, n, pw in re.findall(r"([^<]+)|<([a-z])(\d+)>|<(pw)>", pattern):
-            parts.append(F.lit(lit) if lit else self.password() if pw else self.text(kind, int(n)))
-        return F.concat(*parts)
+class Ink:
+    """Writes expressions of row ``n`` as Spark SQL text. ``slot`` names a choice; the same slot is the same draw."""
 
-    def user(self) -> Column:
-        first, last = self.of(FIRST), self.of(LAST)
-        return self.case([F.concat(first, F.lit("."), last), F.concat(F.substring(first, 1, 1), last), F.concat(F.lit("svc_"), self.of(SYSTEMS)), F.concat(last, self.text("d", 2)), F.concat(F.upper(F.substring(last, 1, 1)), self.text("d", 6)), F.concat(F.lit("app-"), self.of(SYSTEMS))])
+    def __init__(self, seed: int):
+        self.seed, self._bound = seed, 0
 
-    def date(self) -> Column:
-        y, m, d = F.concat(F.lit("20"), F.lpad((draw(8, *self.key()) + 19).cast("string"), 2, "0")), F.lpad((draw(12, *self.key()) + 1).cast("string"), 2, "0"), F.lpad((draw(28, *self.key()) + 1).cast("string"), 2, "0")
-        return self.case([F.concat_ws("-", y, m, d), F.concat_ws("/", d, m, y), F.concat_ws(".", d, m, y), F.concat_ws("/", y, m, d)])
+    def lit(self, text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    def col(self, name: str) -> str:
+        return name
+
+    def cat(self, *parts: str) -> str:
+        return "(" + " || ".join(parts) + ")"
+
+    def draw(self, n: int, slot: str, *more: str) -> str:
+        """The number that :func:`trivet.functions.text.draw` gives for seed, slot and row."""
+        return f"pmod(cast(conv(substr(md5(concat_ws('|', '{self.seed}', '{slot}', n{''.join(', ' + m for m in more)})), 1, 15), 16, 10) as bigint), {n})"
+
+    def choose(self, arms: Sequence[str], slot: str, weights: Sequence[int] | None = None) -> str:
+        ends = list(accumulate(weights or [1] * len(arms)))
+        self._bound += 1
+        p = f"p{self._bound}"
+        case = " ".join(f"WHEN {p} < {end} THEN {arm}" for end, arm in zip(ends, arms[:-1]))
+        return self.bind(self.draw(ends[-1], slot), p, f"CASE {case} ELSE {arms[-1]} END" if case else arms[-1])
+
+    def bind(self, value: str, name: str, body: str) -> str:
+        return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+    def pick(self, options: Sequence[str], slot: str) -> str:
+        return f"element_at(array({', '.join(map(self.lit, options))}), cast({self.draw(len(options), slot)} as int) + 1)"
+
+    def switch(self, on: str, arms: dict[str, str]) -> str:
+        return f"CASE {on} " + " ".join(f"WHEN {self.lit(k)} THEN {arm}" for k, arm in arms.items()) + " END"
+
+    def text(self, alphabet: str, n: int, slot: str) -> str:
+        return f"array_join(transform(sequence(1, {n}), i -> substr({self.lit(alphabet)}, cast({self.draw(len(alphabet), slot, 'i')} as int) + 1, 1)), '')"
+
+    def part(self, text: str, start: int, n: int) -> str:
+        return f"substr({text}, {start}, {n})"
+
+    def known(self, text: str, otherwise: str) -> str:
+        return f"coalesce({text}, {otherwise})"
+
+
+class Writer:
+    """Parts of findings in one ink."""
+
+    def __init__(self, ink: Ink):
+        self.ink = ink
+
+    def pick(self, options: Sequence[str], slot: str) -> Any:
+        return self.ink.pick(options, slot)
+
+    def form(self, parts: tuple, slot: str) -> Any:
+        return self.ink.cat(*[self.ink.lit(p) if isinstance(p, str) else self.ink.text(*p, f"{slot}/{i}") for i, p in enumerate(parts)])
+
+    def fill(self, template: str, **slots: Any) -> Any:
+        out, rest = [], template
+        while rest:
+            at, mark = min((rest.find(f"{{{m}}}"), m) if f"{{{m}}}" in rest else (len(rest), "") for m in slots)
+            if at:
+                out.append(self.ink.lit(rest[:at]))
+            if mark:
+                out.append(slots[mark])
+            rest = rest[at + (len(mark) + 2 if mark else 0) :]
+        return self.ink.cat(*out)
+
+    def weighted(self, arms: list[tuple[int, Any]], slot: str) -> Any:
+        return self.ink.choose([arm for _, arm in arms], slot, [weight for weight, _ in arms])
+
+    def chosen(self, slot: str) -> dict[str, Any]:
+        """What people choose: joined words, a look-alike word with a tail, a capital with year and symbol, typed noise."""
+        ink = self.ink
+        word, other = self.pick(WORDS, f"{slot}/word"), self.pick([w.capitalize() for w in WORDS], f"{slot}/other")
+        tail = ink.cat(ink.text(DIGITS, 2, f"{slot}/digits"), ink.text(SYMBOLS, 1, f"{slot}/symbol"))
+        look = ink.choose([self.pick(look_alikes(w), f"{slot}/look") for w in WORDS], f"{slot}/word")
+        return {
+            "passphrase": ink.cat(word, ink.lit("-"), other, ink.lit("-"), ink.text(DIGITS, 3, f"{slot}/three")),
+            "look_alike_password": ink.cat(look, tail),
+            "dated_password": ink.cat(other, ink.lit("20"), tail),
+            "typed_password": ink.text(PRINTABLE, 15, f"{slot}/typed"),
+            "managed_password": ink.text(ALNUM, 20, f"{slot}/managed"),
+        }
+
+    def password(self, slot: str) -> Any:
+        kinds = self.chosen(slot)
+        return self.weighted(list(zip((3, 2, 2, 2, 1), kinds.values())), f"{slot}/kind")
+
+    def forms(self) -> list[tuple[str, str, Any]]:
+        """Kind, family and value of every form."""
+        ink = self.ink
+        out = [(kind, "issued", self.form(parts, kind)) for kind, parts in ISSUED]
+        for (name, (alphabet, length)), size in product(ENCODINGS.items(), SIZES):
+            out.append((f"raw_{name}_{8 * size}", "raw", ink.text(alphabet, length(size), f"raw/{name}/{size}")))
+        out += [(kind, "chosen", value) for kind, value in self.chosen("chosen").items()]
+        for label in BLOCKS:
+            lines = [ink.cat(ink.text(BASE64, 64, f"block/{label}/{i}"), ink.lit("\n")) for i in range(3)]
+            out.append((label.lower().replace(" ", "_"), "block", ink.cat(ink.lit(f"-----BEGIN {label}-----\n"), *lines, ink.lit(f"-----END {label}-----"))))
+        return out + [(kind, "structured", self.form(parts, kind)) for kind, parts in STRUCTURED]
+
+    def user(self, slot: str) -> Any:
+        ink, first, last = self.ink, self.pick(FIRST, f"{slot}/first"), self.pick(LAST, f"{slot}/last")
+        styles = [(4, ink.cat(first, ink.lit("."), last)), (2, ink.cat(last, ink.text(DIGITS, 2, f"{slot}/n"))), (2, ink.cat(ink.lit("svc-"), self.pick(SYSTEMS, f"{slot}/system"))), (1, ink.cat(ink.lit("u"), ink.text(DIGITS, 6, f"{slot}/staff"))), (1, ink.cat(ink.part(first, 1, 1), last))]
+        return self.weighted(styles, f"{slot}/style")
+
+    def date(self, slot: str) -> Any:
+        ink = self.ink
+        d, m, y = (self.pick([f"{i:02d}" for i in span], f"{slot}/{k}") for k, span in (("d", range(1, 29)), ("m", range(1, 13)), ("y", range(19, 27))))
+        year = ink.cat(ink.lit("20"), y)
+        dash, dot, slash = (ink.lit(x) for x in "-./")
+        return ink.choose([ink.cat(year, dash, m, dash, d), ink.cat(d, dot, m, dot, year), ink.cat(d, slash, m, slash, year), ink.cat(year, slash, m, slash, d)], f"{slot}/order")
+
+    def shared(self) -> dict[str, Any]:
+        """Columns that every label's contexts may need. Mined words, where there are any, come as ``mined_*``."""
+        ink = self.ink
+        domain = ink.known(ink.col("mined_domain"), self.pick(DOMAINS, "domain"))
+        return {
+            "who": self.user("who"),
+            "host": ink.cat(self.pick(SYSTEMS, "server"), ink.text(DIGITS, 2, "server number"), ink.lit("."), domain),
+            "name": ink.known(ink.col("mined_name"), self.pick([c for n in NAMES for c in casings(n)], "name")),
+            "ticket": ink.cat(ink.known(ink.col("mined_ticket"), self.pick(TICKETS, "ticket")), ink.lit("-"), ink.text(DIGITS, 6, "ticket number")),
+            "account": ink.cat(ink.known(ink.col("mined_account"), self.pick(ACCOUNTS, "account")), ink.lit("\\"), self.user("account user")),
+        }
+
+    def by_language(self, which: int, value: Any) -> Any:
+        ink = self.ink
+        slots = {"v": value, "s": self.pick(SYSTEMS, "system"), "t": ink.col("ticket"), "d": self.date("date"), "a": ink.col("account")}
+        return ink.choose([self.fill(words[which], n=self.pick(words[0], "noun"), **slots) for words in LANGUAGES.values()], "language")
+
+    def assigned(self, value: Any) -> Any:
+        ink, name = self.ink, self.ink.col("name")
+        return ink.choose([ink.cat(ink.lit(a), name, ink.lit(b), value, ink.lit(c)) if a else ink.cat(name, ink.lit(b), value, ink.lit(c)) for a, b, c in ASSIGN], "assignment")
+
+    def real(self) -> list[dict[str, Any]]:
+        """Stages of a true finding."""
+        ink, forms = self.ink, self.forms()
+        v, who, host = ink.col("password"), ink.col("who"), ink.col("host")
+        media = {
+            "assign": self.assigned(v),
+            "header": ink.cat(self.pick(HEADERS, "header"), v),
+            "shell": ink.choose([self.fill(s, u=who, v=v, h=host) for s in SHELL], "shell"),
+            "link": ink.cat(self.pick(SCHEMES, "scheme"), ink.lit("://"), who, ink.lit(":"), v, ink.lit("@"), host, ink.lit("/"), self.pick(SYSTEMS, "path")),
+            "message": self.by_language(2, v),
+            "block": ink.cat(ink.lit("# "), host, ink.lit("\n"), v),
+        }
+        families = {family: self.pick(PLACES_OF[family].split(), "medium") for family in PLACES_OF}
+        medium = ink.col("medium")
+        return [
+            {**self.shared(), "category": self.pick([kind for kind, _, _ in forms], "form"), "family": self.pick([family for _, family, _ in forms], "form")},
+            {"password": ink.switch(ink.col("category"), {kind: value for kind, _, value in forms}), "medium": ink.switch(ink.col("family"), families)},
+            {"context": ink.switch(medium, media), "username": ink.switch(medium, {m: who if m in ("link", "shell") else ink.lit("") for m in media})},
+        ]
 
-    def ticket(self) -> Column:
-        return F.concat(self.of(self.vocab.tickets), self.text("d", 7))
+    def false(self) -> list[dict[str, Any]]:
+        """Stages of a false finding; an identifier or an account stands in the user's place."""
+        ink, langs, way, stand = self.ink, LANGUAGES.values(), self.ink.col("way"), self.ink.col("stand")
+        none = ink.lit("")
+        weights = {"stand_in": 3, "reference": 2, "mask": 1, "identifier": 3, "rules": 2, "reset_link": 1}
+        stands = {
+            "stand_in": ink.choose([self.pick(w[1], "stand-in") for w in langs], "language"),
+            "reference": ink.choose([self.fill(r, k=ink.cat(self.pick([s.upper() for s in SYSTEMS], "reference system"), ink.lit("_SECRET"))) for r in REFERENCES], "reference"),
+            "mask": self.pick(MASKS, "mask"),
+            "identifier": ink.choose([self.form(parts, kind) for kind, _, parts in IDENTIFIERS], "identifier"),
+            "rules": ink.col("account"),
+            "reset_link": ink.cat(ink.lit("https://"), ink.col("host"), ink.lit("/renew?id="), ink.text(HEX, 10, "renewal")),
+        }
+        names = {"stand_in": self.pick([f"stand_in_{x}" for x in LANGUAGES], "language"), "rules": self.pick([f"rules_{x}" for x in LANGUAGES], "language"), "identifier": self.pick([kind for kind, _, _ in IDENTIFIERS], "identifier")}
+        before = self.pick([before for _, before, _ in IDENTIFIERS], "identifier")
+        return [
+            {**self.shared(), "way": self.weighted([(n, ink.lit(k)) for k, n in weights.items()], "way"), "password": none},
+            {"stand": ink.switch(way, stands), "prose": self.by_language(3, none), "category": ink.switch(way, {k: names.get(k, ink.lit(k)) for k in weights})},
+            {"assigned": self.assigned(stand)},
+            {
+                "context": ink.switch(way, {k: {"identifier": ink.cat(before, stand, ink.lit("; "), ink.col("prose")), "rules": ink.col("prose"), "reset_link": ink.cat(ink.lit("reset link: "), stand)}.get(k, ink.col("assigned")) for k in weights}),
+                "username": ink.switch(way, {k: stand if k in ("identifier", "rules") else none for k in weights}),
+            },
+        ]
 
-    def host(self) -> Column:
-        return F.concat(self.of(("pgsql", "mssql", "mongo", "redis", "db")), self.text("d", 2), F.lit("."), self.of(self.vocab.domains))
+    def review(self) -> list[dict[str, Any]]:
+        """Stages of a finding that a reader cannot settle."""
+        ink, secret, way = self.ink, self.ink.col("secret"), self.ink.col("category")
+        v, name = ink.col("password"), ink.col("name")
+        values = {
+            "hidden_part": ink.cat(ink.part(secret, 1, 2), ink.lit("*****"), ink.part(secret, -2, 2)),
+            "cut_off": ink.cat(ink.lit("ghp_"), ink.text(ALNUM, 9, "cut"), ink.lit("...")),
+            "digest": ink.text(HEX, 64, "digest"),
+            "retired": secret,
+            "fallback": secret,
+            "no_medium": secret,
+            "plausible_example": ink.cat(ink.lit("Example"), ink.text(DIGITS, 4, "example"), ink.text(SYMBOLS, 1, "example symbol")),
+        }
+        contexts = {
+            "cut_off": ink.cat(ink.lit("request failed, token "), v, ink.lit(" refused by "), ink.col("host")),
+            "digest": ink.cat(name, ink.lit(" (sha256): "), v),
+            "retired": ink.cat(ink.lit("until "), self.date("date"), ink.lit(" it was "), v, ink.lit(", see "), ink.col("ticket")),
+            "fallback": ink.cat(name, ink.lit("=${OVERRIDE:-"), v, ink.lit("}")),
+            "no_medium": ink.cat(ink.col("who"), ink.lit(" "), v),
+        }
+        return [
+            {**self.shared(), "secret": self.password("secret"), "category": self.pick(list(values), "way")},
+            {"password": ink.switch(way, values)},
+            {"assigned": self.assigned(v)},
+            {"context": ink.switch(way, {k: contexts.get(k, ink.col("assigned")) for k in values}), "username": ink.switch(way, {k: ink.col("who") if k == "no_medium" else ink.lit("") for k in values})},
+        ]
 
 
-def cased(row: Row, key: Column) -> Column:
-    """A key name in one of six casings."""
-    parts = F.split(key, "_")
-    camel = F.array_join(F.transform(parts, lambda p: F.initcap(p)), "")
-    return row.case([key, F.upper(key), F.replace(key, F.lit("_"), F.lit("-")), F.replace(key, F.lit("_"), F.lit(".")), camel, F.concat(F.lower(F.substring(camel, 1, 1)), F.substring(camel, 2, 99))])
+LABELS = {"REAL": Writer.real, "FALSE_POSITIVE": Writer.false, "REVIEW": Writer.review}
 
 
-def _fill(template: str, **slots: Column) -> Column:
-    parts = [slots[p[1:-1]] if p.startswith("{") else F.lit(p) for p in re.findall(r"\{[a-z]+\}|[^{]+", template)]
-    return F.concat(*parts)
+def mine_vocabulary(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``kind, value, n``: every distinct word of :data:`MINED` that texts hold and in how many texts; one pass over the
+    texts, counted before words move. Null and empty texts have none."""
+    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(F.regexp_extract_all(text_col, F.lit(p), F.lit(1))).alias("v")) for k, p in MINED.items()])
+    rows = texts.filter(F.col(text_col).isNotNull()).select(F.explode(found).alias("x")).select("x.kind", F.explode("x.v").alias("value"))
+    return rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _by_language(row: Row, i: int, **slots: Column) -> Column:
-    return row.case([_fill(v[i], **slots) for v in LANGUAGES.values()])
+def numbered(vocabulary: DataFrame) -> DataFrame:
+    """``kind, value, i``: words of a kind numbered from 0. Words are counted in 4096 ranges of their digest, so only
+    ranges are put in order."""
+    words = vocabulary.select("kind", "value").distinct().withColumn("_r", F.conv(F.substring(F.md5("value"), 1, 3), 16, 10).cast("int"))
+    before = F.sum("count").over(Window.partitionBy("kind").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    starts = words.groupBy("kind", "_r").count().withColumn("_s", F.coalesce(before, F.lit(0))).select("kind", "_r", "_s")  # 4096 rows a kind
+    place = F.row_number().over(Window.partitionBy("kind", "_r").orderBy("value")) - 1
+    return words.withColumn("_at", place).join(F.broadcast(starts), ["kind", "_r"]).select("kind", "value", (F.col("_s") + F.col("_at")).alias("i"))
 
 
-def true_positives(spark: SparkSession, count: int, seed: int, vocab: Vocabulary) -> DataFrame:
-    """Rows with a secret in a carrier: the shape decides which carriers fit. Stages are columns, so each is made once."""
+def findings(spark: SparkSession, label: str, count: int, seed: int, words: DataFrame | None = None, sizes: dict[str, int] | None = None) -> DataFrame:
+    """``n, context, username, password, label, category`` of rows 0 to ``count`` - 1. Mined words come by joins on a
+    drawn number."""
     rows = spark.range(count).withColumnRenamed("id", "n")
-    r = Row(seed, F.col("n"), vocab)
-    s = draw(len(SHAPES), *r.key())
-    rows = rows.withColumn("s", s)
-    arm = lambda values: F.get(F.array(*values), F.col("s").cast("int"))
-    value = F.when(F.col("s") == 0, r.shape(SHAPES[0][3]))
-    for i, shape in enumerate(SHAPES[1:], 1):
-        value = value.when(F.col("s") == i, r.shape(shape[3]))
-    keys = arm([F.array(*map(F.lit, x[1])) for x in SHAPES])
-    groups = arm([F.array(*map(F.lit, x[2].split())) for x in SHAPES])
-    one = lambda a: F.get(a, draw(F.size(a), *r.key()).cast("int"))
-    rows = rows.withColumn("val", value).withColumn("keys", keys).withColumn("groups", groups)
-    mined = F.when((draw(100, *r.key()) < 20) & F.col("val").isNotNull(), r.of(vocab.keys)).otherwise(cased(r, one(F.col("keys"))))
-    rows = rows.withColumn("name", mined).withColumn("group", one(F.col("groups"))).withColumn("category", arm([F.lit(x[0]) for x in SHAPES]))
-    rows = rows.withColumn("who", r.user()).withColumn("noun", r.case([r.of(v[0]) for v in LANGUAGES.values()])).withColumn("host", r.host())
-    key, val, who, host = F.col("name"), F.col("val"), F.col("who"), F.col("host")
-    env_key = F.upper(F.translate(key, ".-", "__"))
-    note = _by_language(r, 5, noun=F.col("noun"))
-    c = F.concat
-    t = F.lit
-    kv = r.case(
-        [
-            F.when(draw(10, *r.key()) < 4, c(t("# "), note, t("\n"), key, t("="), val)).otherwise(c(key, t("="), val)),
-            c(t("datasource:\n  host: "), host, t("\n  "), key, t(": "), val),
-            c(t('{ "'), key, t('": "'), val, t('" }')),
-            c(t('<add key="'), key, t('" value="'), val, t('" />')),
-            c(t("# .env\n"), env_key, t("="), val),
-            c(t("String "), key, t(' = "'), val, t('";  // '), note),
-            c(key, t(' = "'), val, t('"  # '), note),
-            c(t("var "), key, t(' = "'), val, t('"; // '), note),
-            c(t("const "), key, t(" = '"), val, t("'; // "), note),
-            c(key, t(' := "'), val, t('" // '), note),
-        ]
-    )
-    header = c(r.of(("Authorization: Bearer", "X-API-Key:", "X-Auth-Token:", "Private-Token:")), t(" "), val)
-    basic = c(t("Authorization: Basic "), F.base64(c(who, t(":"), val).cast("binary")))
-    with_user = F.col("category").isin(*[x[0] for x in PASSWORD_SHAPES], "basic_auth")
-    cli = F.when(with_user, r.case([c(t("curl -u "), who, t(":"), val, t(" https://"), host), c(t("sshpass -p '"), val, t("' ssh "), who, t("@"), host), c(t("docker login -u "), who, t(" -p "), val, t(" "), host)])).otherwise(
-        c(t('curl -H "Authorization: Bearer '), val, t('" https://'), host)
-    )
-    system = r.of(SYSTEMS)
-    uri = r.case(
-        [
-            c(t("jdbc:postgresql://"), host, t(":5432/"), system, t("?user="), who, t("&password="), val),
-            c(t("jdbc:sqlserver://"), host, t(";databaseName="), system, t(";user="), who, t(";password="), val),
-            c(t("mongodb://"), who, t(":"), val, t("@"), host, t(":27017/"), system),
-            c(t("postgres://"), who, t(":"), val, t("@"), host, t("/"), system),
-        ]
-    )
-    rows = rows.withColumn("talk", draw(4, *r.key()))
-    talk = F.col("talk")
-    nl = (
-        F.when(talk == 0, _by_language(r, 2, env=r.of(ENVIRONMENTS), sys=system, noun=F.col("noun"), val=val))
-        .when(talk == 1, _by_language(r, 3, tk=r.ticket(), noun=F.col("noun"), val=val))
-        .when(talk == 2, _by_language(r, 4, date=r.date(), noun=F.col("noun"), user=who, val=val))
-        .otherwise(c(note, t(': "'), val, t('"')))
-    )
-    g = F.col("group")
-    context = F.when(g == "kv", kv).when((g == "header") & (F.col("category") == "basic_auth"), basic).when(g == "header", header).when(g == "cli", cli).when(g == "connstring", uri).when(g == "pem", c(t("# "), note, t("\n"), val)).otherwise(nl)
-    has_user = (g == "connstring") | ((g == "cli") & with_user) | ((g == "header") & (F.col("category") == "basic_auth")) | ((g == "nl") & (talk == 2))
-    return rows.select("n", F.substring(context, 1, CONTEXT_CHARS).alias("context"), F.when(has_user, who).alias("username"), val.alias("password"), t("REAL").alias("label"), "category")
-
-
-def _with(r: Row, value: Column, make) -> Column:
-    """A struct made from one drawn value: the value is bound, so it is the same wherever it stands."""
-    return F.transform(F.array(value), make)[0]
-
-
-def false_positives(spark: SparkSession, count: int, seed: int, vocab: Vocabulary) -> DataFrame:
-    """Thirteen slots, placeholders twice."""
-    r = Row(seed, F.col("n"), vocab)
-    c, t = F.concat, F.lit
-    key = lambda: r.of([k for s in PASSWORD_SHAPES for k in s[1]])
-    any_key = lambda: F.upper(r.of([s[1][0] for s in SHAPES]))
-    null = t(None).cast("string")
-    langs = list(LANGUAGES)
-
-    def row(ctx: Column, cat: Column | str, user: Column | None = None) -> Column:
-        return F.struct(ctx.alias("context"), (null if user is None else user).alias("username"), null.alias("password"), (t(cat) if isinstance(cat, str) else cat).alias("category"))
-
-    def placeholder() -> Column:
-        return r.case([row(c(key(), t("="), r.of(LANGUAGES[lang][1])), f"placeholder_{lang}") for lang in langs])
-
-    def found(value: Column, before: str, after: str, cat: str) -> Column:
-        return _with(r, value, lambda v: row(c(t(before), v, t(after)), cat, v))
-
-    arms = [
-        placeholder(),
-        placeholder(),
-        _with(r, any_key(), lambda k: row(c(t("# .env.example, copy and fill in\n"), k, t("=your-value-here")), "env_example")),
-        _with(r, any_key(), lambda k: row(r.case([c(t('password = os.getenv("'), k, t('")')), c(t("spring.datasource.password=${"), k, t("}")), c(t('String s = System.getenv("'), k, t('");')), c(t("value: {{ .Values.secret."), k, t(" }}"))]), "var_reference")),
-        row(c(key(), t("="), r.of(("********", "[hidden]", "xxxxxxxx", "<redacted>", "******"))), "masked"),
-        r.case(
-            [
-                found(c(t("POL"), r.text("d", 9)), "policy ", ": check the holder's password", "insurance_id"),
-                found(c(t("CLM-2025-"), r.text("d", 6)), "claim reference ", " logged; reset mail queued", "insurance_id"),
-                found(r.text("d", 14), "company number ", ", password policy attached", "insurance_id"),
-                found(c(t("CTR"), F.upper(r.text("h", 10))), "contract id ", " needs password confirmation", "insurance_id"),
-            ]
-        ),
-        found(c(t("sk_test_"), r.text("a", 24)), "# sandbox only\npayment.api.key=", "", "sandbox_key"),
-        found(r.text("h", 40), "deployed commit ", ", password module unchanged", "commit_hash"),
-        found(c(t("FR76"), r.text("d", 20)), "sample account for the form: ", " (not real)", "iban_example"),
-        found(F.concat_ws("-", *[r.text("h", n) for n in (8, 4, 4, 4, 12)]), "correlation id ", " of the password reset request", "uuid"),
-        row(
-            r.case(
-                [
-                    c(t("password policy: at least "), (draw(9, *r.key()) + 8).cast("string"), t(" characters")),
-                    c(t("longueur minimale du mot de passe : "), (draw(9, *r.key()) + 8).cast("string")),
-                    c(t("Passwort: mindestens "), (draw(9, *r.key()) + 8).cast("string"), t(" Zeichen")),
-                    c(t("password audit completed "), r.date()),
-                    c(t("next password rotation due "), r.date()),
-                ]
-            ),
-            "policy_line",
-        ),
-        row(c(t("self-service password reset: https://auth."), r.of(vocab.domains), t("/account/"), r.text("h", 8)), "reset_url"),
-        _with(r, c(F.upper(r.of(SYSTEMS)), t("\\"), r.user()), lambda a: r.case([row(_fill(LANGUAGES[lang][6], acct=a), f"account_mention_{lang}", a) for lang in langs])),
-    ]
-    rows = spark.range(count).withColumnRenamed("id", "n").withColumn("x", r.case(arms))
-    return rows.select("n", F.substring("x.context", 1, CONTEXT_CHARS).alias("context"), "x.username", "x.password", t("FALSE_POSITIVE").alias("label"), "x.category")
-
-
-def reviews(spark: SparkSession, count: int, seed: int, vocab: Vocabulary) -> DataFrame:
-    """Seven kinds that a reader cannot settle."""
-    r = Row(seed, F.col("n"), vocab)
-    c, t = F.concat, F.lit
-    null = t(None).cast("string")
-    key = lambda: r.of([k for s in PASSWORD_SHAPES for k in s[1]])
-
-    def kind(value: Column, make, cat: str, user: Column = null) -> Column:
-        return _with(r, F.struct(value.alias("v"), user.alias("u")), lambda x: F.struct(make(x["v"], x["u"]).alias("context"), x["u"].alias("username"), x["v"].alias("password"), t(cat).alias("category")))
-
-    masked = _with(r, r.password(), lambda p: c(F.substring(p, 1, 3), t("****"), F.substring(p, -2, 2)))
-    arms = [
-        kind(masked, lambda v, u: c(key(), t("="), v), "partial_mask"),
-        kind(r.password(), lambda v, u: c(t("the old password was "), v, t("; it has been rotated, do not reuse")), "historical"),
-        kind(r.text("h", 40), lambda v, u: c(t("password hash stored for the account: "), v), "hash_or_password"),
-        kind(r.password(), lambda v, u: c(u, t(" / "), v), "bare_value", r.user()),
-        kind(c(t("ChangeMe"), r.text("d", 4), r.of(("!", "#", "$"))), lambda v, u: c(key(), t("="), v), "example_plausible"),
-        kind(r.password(), lambda v, u: c(key(), t("=${PASSWORD:-"), v, t("}")), "default_fallback"),
-        kind(c(t("ghp_"), r.text("a", 8), t("...")), lambda v, u: c(t("token logged (cut): "), v), "truncated_token"),
-    ]
-    rows = spark.range(count).withColumnRenamed("id", "n").withColumn("x", r.case(arms))
-    return rows.select("n", F.substring("x.context", 1, CONTEXT_CHARS).alias("context"), "x.username", "x.password", t("REVIEW").alias("label"), "x.category")
-
-
-def generate(spark: SparkSession, n_true: int = 4000, n_false: int = 4000, n_review: int = 700, seed: int = 42, vocab: Vocabulary = Vocabulary(), extra: float = 1.5, most: float = 60.0) -> DataFrame:
-    """``context, username, password, label, category`` with contexts that are unique over all labels (true positives go
+    for kind in MINED:
+        size = (sizes or {}).get(kind, 0)
+        if not size:
+            rows = rows.withColumn(f"mined_{kind}", F.lit(None).cast("string"))
+            continue
+        own = words.filter(F.col("kind") == kind).select(F.col("i").alias("_i"), F.col("value").alias(f"mined_{kind}"))
+        rows = rows.withColumn("_d", draw(size, seed, label, "mined", kind, F.col("n"))).join(own, F.col("_d") == F.col("_i"), "left").drop("_d", "_i")
+    for stage in LABELS[label](Writer(Ink(seed))):
+        rows = rows.withColumns({name: F.expr(text) for name, text in stage.items()})
+    null = lambda c: F.nullif(F.col(c), F.lit("")).alias(c)
+    return rows.select("n", F.substring("context", 1, CONTEXT_CHARS).alias("context"), null("username"), null("password"), F.lit(label).alias("label"), "category")
+
+
+def generate(spark: SparkSession, n_true: int = 4000, n_false: int = 4000, n_review: int = 700, seed: int = 42, vocabulary: DataFrame | None = None, extra: float = 1.5, most: float = 60.0) -> DataFrame:
+    """``context, username, password, label, category`` with contexts that are unique over all labels (true ones go
     first). More rows than wanted are made, at once; a label that still lacks some is made again with twice as many, up
-    to ``most`` times the wanted number."""
+    to ``most`` times the wanted number. ``vocabulary`` is that of :func:`mine_vocabulary`; kinds that it lacks, and all
+    without it, come from built-in words."""
     wanted = {"REAL": n_true, "FALSE_POSITIVE": n_false, "REVIEW": n_review}
-    makers = {"REAL": true_positives, "FALSE_POSITIVE": false_positives, "REVIEW": reviews}
+    words = numbered(vocabulary) if vocabulary is not None else None
+    sizes = {r["kind"]: r["count"] for r in words.groupBy("kind").count().collect()} if words is not None else {}
+    cols = ["n", "username", "password", "label", "category"]
     while True:
-        every = None
-        for rank, (label, n) in enumerate(wanted.items()):
-            part = makers[label](spark, int(n * extra) + 20 if n else 0, seed, vocab).withColumn("rank", F.lit(rank))
-            every = part if every is None else every.unionByName(part)
-        cols = ["n", "context", "username", "password", "label", "category"]
-        unique = every.groupBy("context").agg(F.min_by(F.struct(*[c for c in cols if c != "context"]), F.struct("rank", "n")).alias("r")).select("context", "r.*")
+        parts = [findings(spark, label, int(n * extra) + 20 if n else 0, seed, words, sizes).withColumn("rank", F.lit(rank)) for rank, (label, n) in enumerate(wanted.items())]
+        every = reduce(DataFrame.unionByName, parts)
+        unique = every.groupBy("context").agg(F.min_by(F.struct(*cols), F.struct("rank", "n")).alias("r")).select("context", "r.*")
         have = {r.label: r["count"] for r in unique.groupBy("label").count().collect()}
         if extra >= most or all(have.get(k, 0) >= n for k, n in wanted.items()):
             break
@@ -374,9 +391,9 @@ def generate(spark: SparkSession, n_true: int = 4000, n_false: int = 4000, n_rev
     limits = F.create_map(*[F.lit(x) for kv in wanted.items() for x in kv])
     width = max(1, int(max(wanted.values()) * extra) // 1024)
     ranged = unique.withColumn("_b", F.floor(F.col("n") / width))
-    sizes = ranged.groupBy("label", "_b").count()
+    counts = ranged.groupBy("label", "_b").count()
     before = F.sum("count").over(Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("label", "_b", F.coalesce(before, F.lit(0)).alias("_s"))  # about 1024 rows a label
+    starts = counts.select("label", "_b", F.coalesce(before, F.lit(0)).alias("_s"))  # about 1024 rows a label
     place = F.col("_s") + F.row_number().over(Window.partitionBy("label", "_b").orderBy("n"))
     rows = ranged.join(F.broadcast(starts), ["label", "_b"]).withColumn("_p", place)
     return rows.filter(F.col("_p") <= limits[F.col("label")]).select("context", "username", "password", "label", "category")

@@ -1,7 +1,7 @@
 """Decisions for detections: a cheap filter first, a model for the rest, strategies around the model.
 
 A provider is a function ``(df, model, temperature) -> df`` that adds ``raw_response`` (text, null for a failed call) to
-rows with ``prompt`` and ``system``. :func:`native_provider` answers in the JVM; :func:`callable_provider` calls any
+rows with ``prompt`` and ``system``; a row whose prompt is null is not asked. :func:`native_provider` answers in the JVM; :func:`callable_provider` calls any
 Python function in batches.
 """
 
@@ -36,9 +36,13 @@ SHOTS = (
 
 
 def responder(prompt: Column) -> Column:
-    """JSON answer of fixed rules to a prompt."""
-    value = T.strip(F.coalesce(T.prompt_field(prompt, "matched_value"), F.lit("")))
-    low, low_value = F.lower(prompt), F.lower(value)
+    """JSON answer of fixed rules to a prompt; null to a null one."""
+    answer = T.let(prompt, lambda p: T.let(T.strip(F.coalesce(T.prompt_field(p, "matched_value"), F.lit(""))), lambda v: T.let(F.lower(p), lambda low: _response(v, low))))
+    return F.when(prompt.isNotNull(), answer)
+
+
+def _response(value: Column, low: Column) -> Column:
+    low_value = F.lower(value)
     harmless = low_value.rlike("|".join(RESPONDER_PLACEHOLDERS)) | low.rlike("|".join(RESPONDER_RESETS))
     dashes = F.length(value) - F.length(F.replace(value, F.lit("-"), F.lit("")))
     likely = ((F.length(value) > 20) & value.rlike("[!@#$%^&*]")) | F.contains(low, F.lit("bearer ")) | value.startswith("AKIA") | ((dashes >= 4) & (F.length(value) > 30))
@@ -65,7 +69,9 @@ def callable_provider(fn: Callable[[str, str, str, float], str], retries: int =
     Spark may run a task again, so calls must be repeatable."""
 
     def provide(df: DataFrame, model: str, temperature: float) -> DataFrame:
-        def call(prompt: str, system: str) -> str | None:
+        def call(prompt: str | None, system: str) -> str | None:
+            if prompt is None:
+                return None
             for _ in range(retries + 1):
                 try:
                     return fn(prompt, system, model, temperature)
@@ -84,8 +90,9 @@ def callable_provider(fn: Callable[[str, str, str, float], str], retries: int =
     return provide
 
 
-def _prompted(detections: DataFrame, strategy: str) -> DataFrame:
+def _prompted(detections: DataFrame, strategy: str, wanted: Column | None = None) -> DataFrame:
     base = T.prompt(*[F.col(c) for c in ("file_path", "source", "pattern_name", "matched_value", "context")])
+    base = base if wanted is None else F.when(wanted, base)
     suffix = {
         "few_shot": F.lit("\n\nAnswer as in the examples, with the JSON object only."),
         "cot_distilled": F.lit("\n\nGive short reasons and evidence; no hidden reasoning."),
@@ -111,8 +118,7 @@ def guarded(df: DataFrame, cheap: Column, if_cheap: Callable[[DataFrame], DataFr
 
 
 def _decided(df: DataFrame, strategy: str, model: str) -> DataFrame:
-    rows = df.withColumn("_obj", jsonx.json_object(F.col("raw_response")))
-    return rows.withColumn("decision", jsonx.decision(F.col("_obj"), F.lit(strategy), F.lit(model))).drop("_obj")
+    return df.withColumn("decision", jsonx.decision(jsonx.json_object(F.col("raw_response")), F.lit(strategy), F.lit(model)))
 
 
 def ask(detections: DataFrame, provider: Provider, strategy: str = "direct_json", model: str = "native", temperature: float = 0.0) -> DataFrame:
@@ -121,26 +127,23 @@ def ask(detections: DataFrame, provider: Provider, strategy: str = "direct_json"
     return _decided(rows, strategy, model).drop("base_prompt", "prompt", "system")
 
 
-def prefiltered(detections: DataFrame) -> DataFrame:
-    """The decision for values of low entropy."""
-    d = F.struct(
+def low_entropy_decision() -> Column:
+    """The decision for values of low entropy, of the fields of :func:`trivet.functions.jsonx.decision`."""
+    return F.struct(
         F.lit(0).alias("is_credentials"), F.lit("FALSE_POSITIVE").alias("status"), F.lit(0.95).alias("confidence"), F.lit("Low entropy: likely a placeholder.").alias("reasoning"),
         F.array(F.lit(f"entropy < {PREFILTER_ENTROPY}")).alias("evidence"),
         F.struct(F.lit("deterministic_prefilter").alias("strategy"), F.array(F.lit("entropy")).alias("checks"), F.lit("prefilter").alias("model")).alias("agent_trace"),
         F.lit(True).alias("json_valid"), F.lit(False).alias("label_conflict"),
     )
-    return detections.withColumn("raw_response", F.lit(None).cast("string")).withColumn("decision", d)
 
 
 def classify(detections: DataFrame, provider: Provider = native_provider, model: str = "native") -> DataFrame:
-    """Every detection with ``decision``, ``raw_response`` and ``skipped_model``; null and empty values have entropy 0."""
-    low = T.entropy(F.col("matched_value")) < PREFILTER_ENTROPY
-    return guarded(
-        detections,
-        low,
-        lambda d: prefiltered(d).withColumn("skipped_model", F.lit(True)),
-        lambda d: ask(d, provider, "direct_json", model).withColumn("skipped_model", F.lit(False)),
-    )
+    """Every detection with ``decision``, ``raw_response`` and ``skipped_model``, in one pass; null and empty values have
+    entropy 0. Rows that the entropy settles have a null prompt, so no provider is asked about them."""
+    rows = detections.withColumn("skipped_model", T.let(F.col("matched_value"), T.entropy) < PREFILTER_ENTROPY)
+    asked = provider(_prompted(rows, "direct_json", ~F.col("skipped_model")), model, 0.0).drop("base_prompt", "prompt", "system")
+    decided = jsonx.decision(jsonx.json_object(F.col("raw_response")), F.lit("direct_json"), F.lit(model))
+    return asked.withColumn("decision", F.when(F.col("skipped_model"), low_entropy_decision()).otherwise(decided))
 
 
 def flat(decided: DataFrame) -> DataFrame:

@@ -28,15 +28,20 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
     """A detection for each document: its first assigned token, else its first address, else its first word."""
     x = F.coalesce("text", F.lit(""))
     first = lambda p: F.nullif(F.regexp_extract(x, p, 1), F.lit(""))
-    token, mail = first(r'token = "([0-9a-f]+)"'), first(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)")
+
+    def found(name: str) -> Callable[[Column], Column]:
+        return lambda v: F.struct(F.lit(name).alias("name"), v.alias("value"), v.isNotNull().alias("ok"))
+
+    of = lambda name, p, rest: T.let(T.let(first(p), found(name)), lambda f: F.when(f["ok"], f).otherwise(rest))
+    match = of("TOKEN", r'token = "([0-9a-f]+)"', of("EMAIL", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", T.let(first(r"([^\x00-\x20]+)"), found("WORD"))))
     folder = F.get(F.array(*map(F.lit, ("src", "docs", "tests", "config"))), (F.col("doc_id") % 4).cast("int"))
-    return _table(spark, sf, "documents").select(
+    return _table(spark, sf, "documents").withColumn("match", match).select(
         "doc_id",
         F.concat(folder, F.lit("/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"),
         F.when(F.col("doc_id") % 11 != 0, F.col("source")).alias("owner"),
         F.lit("scanner").alias("source"),
-        F.when(token.isNotNull(), "TOKEN").when(mail.isNotNull(), "EMAIL").otherwise("WORD").alias("pattern_name"),
-        F.coalesce(token, mail, first(r"([^\x00-\x20]+)")).alias("matched_value"),
+        F.col("match.name").alias("pattern_name"),
+        F.col("match.value").alias("matched_value"),
         F.col("doc_id").cast("int").alias("match_line_number"),
         x.alias("context"),
     )
@@ -443,23 +448,52 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.value_counts(bench(spark, sf), "distractor_type", "original")
 
 
-@query(f"""WITH {DET}, s AS (SELECT unnest(regexp_extract_all(context, '\\b[a-z][a-z0-9-]*\\.((?:[a-z0-9-]+\\.)+[a-z]{{2,}})\\b', 1)) AS v, doc_id FROM det)
-  SELECT v AS domain FROM (SELECT v, count(DISTINCT doc_id) AS n FROM s GROUP BY v ORDER BY n DESC, v LIMIT 200)""")
-def mined_domains(spark: SparkSession, sf: str) -> DataFrame:
-    vocab = synth.mine_vocabulary(detections(spark, sf).select(F.col("context").alias("text")))
-    found = [] if vocab.domains == synth.DOMAINS else [(d,) for d in vocab.domains]
-    return spark.createDataFrame(found, "domain string")
+@query(f"""WITH {DET}, s AS ({" UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(list_distinct(regexp_extract_all(context, '{p}', 1))) AS value FROM det" for k, p in synth.MINED.items())})
+  SELECT kind, value, count(*) AS n FROM s GROUP BY 1, 2""")
+def mined_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    return synth.mine_vocabulary(detections(spark, sf).select(F.col("context").alias("text")))
 
 
-@query()
+class _DuckInk(synth.Ink):
+    """The generator's rows in DuckDB's SQL."""
+
+    def lit(self, text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    def draw(self, n: int, slot: str, *more: str) -> str:
+        return f"(('0x' || substr(md5(concat_ws('|', '{self.seed}', '{slot}', n{''.join(', ' + m for m in more)})), 1, 15))::BIGINT % {n})"
+
+    def bind(self, value: str, name: str, body: str) -> str:
+        return f"list_extract(list_transform([{value}], lambda {name}: {body}), 1)"
+
+    def pick(self, options, slot: str) -> str:
+        return f"list_extract([{', '.join(map(self.lit, options))}], {self.draw(len(options), slot)}::INT + 1)"
+
+    def text(self, alphabet: str, n: int, slot: str) -> str:
+        return f"array_to_string(list_transform(range(1, {n + 1}), lambda i: substr({self.lit(alphabet)}, ({self.draw(len(alphabet), slot, 'i')} + 1)::INT, 1)), '')"
+
+
+def _generated(wanted: dict[str, int], seed: int = 42, extra: float = 1.5) -> str:
+    """SQL of ``synth.generate`` without mined words, where the first attempt has rows enough."""
+    every = []
+    for rank, (label, n) in enumerate(wanted.items()):
+        rows = "SELECT range AS n, " + ", ".join(f"NULL::VARCHAR AS mined_{k}" for k in synth.MINED) + f" FROM range({int(n * extra) + 20})"
+        for stage in synth.LABELS[label](synth.Writer(_DuckInk(seed))):
+            rows = "SELECT *, " + ", ".join(f"{text} AS {name}" for name, text in stage.items()) + f" FROM ({rows})"
+        every.append(f"SELECT n, substr(context, 1, {synth.CONTEXT_CHARS}) AS context, nullif(username, '') AS username, nullif(password, '') AS password, '{label}' AS label, category, {rank} AS rank, {n} AS wanted FROM ({rows})")
+    return f"""WITH every AS ({" UNION ALL ".join(every)}),
+  uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY rank, n) AS k FROM every) WHERE k = 1)
+  SELECT context, username, password, label, category FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n) AS place FROM uniq) WHERE place <= wanted"""
+
+
+@query(_generated({"REAL": 4000, "FALSE_POSITIVE": 4000, "REVIEW": 700}))
 def synthetic_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return synth.generate(spark)
 
 
 @query()
 def strategy_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    rows = synth.generate(spark, 400, 400, 100)
-    recs = rows.select(F.sha2("context", 256).alias("record_id"), "context", "password", F.col("label").alias("status"), T.is_real(F.col("label")).alias("is_credentials"), F.col("category").alias("distractor_type"))
+    recs = _records(spark, sf)
     return metrics.benchmark_summary(benchmark.bench_rows(recs, {"native": triage.native_provider}))
 
 
