@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from trivet.llm.common import Scratch, batches_of_rows
 from trivet.llm.graph import components
 from trivet.llm.shingles import U, Index, Lanes, batches_of, mix, set_print, shingle_sets
+from trivet.llm.word_parts import pack, small, unpack
 
 #: Bits of the fixed-size maps (8 MB each) that travel to every task.
 MAP_BITS = 26
@@ -41,7 +42,7 @@ COUNTED_BITS = 63  # shingles in the lower half of the prints are counted
 SHORT = 12
 #: Short lists of a document beyond the fewest that must be merged, so that one shared shingle makes no candidate.
 SPARE = 2
-PART_BYTES = 8 << 20  # text for each range of shingles
+PART_BYTES = 16 << 20  # text for each range of shingles
 BLOCK_SHINGLES = 200_000  # of the sets that meet in one block
 PARTNERS = 128  # texts that come to one document's verification at once
 
@@ -142,11 +143,11 @@ def short_lists(src: DataFrame, kind: str, parts_log2: int, share: int, size: in
                 order = np.argsort(part, kind="stable")
                 prints, owner, part = prints[order], owner[order], part[order]
                 edges = np.searchsorted(part, np.arange((1 << parts_log2) + 1))
-                names, sizes = np.frombuffer(b"".join(who), np.uint8).reshape(-1, 16), np.array([many, aside], np.int32)
+                names, sizes = np.frombuffer(b"".join(who), np.uint8).reshape(-1, 16), np.array([many, aside])
                 for p in np.flatnonzero(np.diff(edges)):
                     own, each = np.unique(owner[edges[p] : edges[p + 1]], return_counts=True)
                     parts.append(p)
-                    blobs.append(np.int64(len(own)).tobytes() + names[own].tobytes() + sizes[:, own].tobytes() + each.astype(np.int32).tobytes() + prints[edges[p] : edges[p + 1]].tobytes())
+                    blobs.append(pack(names[own].ravel(), small(sizes[0, own]), small(sizes[1, own]), small(each), prints[edges[p] : edges[p + 1]]))
             a, b = len(sids), len(parts)
             ids = batch.column("doc_id")
             yield pa.RecordBatch.from_arrays(
@@ -161,23 +162,21 @@ def sorted_runs(blobs: list[bytes], parts_log2: int) -> tuple[list[bytes], np.nd
     """The documents of a range, their sizes and set-aside lists, and a run for each blob: its entries (shingle and
     document in one number) in order. Shingles that a sieve finds only once in the range have no list and are left out."""
     number: dict[bytes, int] = {}
-    sizes: list[np.ndarray] = []
+    sizes: list[tuple[int, int]] = []
     runs = []
     bits = 20
     sieve = np.zeros(1 << bits, np.uint32)
     for blob in blobs:
-        k = int(np.frombuffer(blob, np.int64, 1)[0])
-        both = np.frombuffer(blob, np.int32, 2 * k, 8 + 16 * k).reshape(2, k)
-        docs = np.empty(k, np.int64)
-        for i in range(k):
-            sid = blob[8 + 16 * i : 24 + 16 * i]
+        names, many, aside, each, prints = unpack(blob)
+        docs = np.empty(len(many), np.int64)
+        for i, both in enumerate(zip(many.tolist(), aside.tolist())):
+            sid = names[16 * i : 16 * i + 16].tobytes()
             at = number.get(sid)
             if at is None:
                 at = number[sid] = len(number)
-                sizes.append(both[:, i])
+                sizes.append(both)
             docs[i] = at
-        prints = np.frombuffer(blob, np.uint64, -1, 8 + 28 * k)
-        runs.append((prints, np.repeat(docs, np.frombuffer(blob, np.int32, k, 8 + 24 * k))))
+        runs.append((prints, np.repeat(docs, each)))
         sieve += np.bincount((prints << U(parts_log2) >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
     out = []
     for prints, docs in runs:
@@ -394,9 +393,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = verified(best_pairs(pairs), texts, percent, size, scratch)
     known = scratch.cut(components(links, scratch))
     more = verified(apart(pairs, known), texts, percent, size, scratch)
-    known = grown(known, more, scratch)
     if not entries.isEmpty():  # long lists: components that stand apart still have to meet
-        known = grown(known, closing_links(entries, known, texts, nodes, percent, size, scratch), scratch)
+        more = more.union(closing_links(entries, known, texts, nodes, percent, size, scratch))
+    known = grown(known, more, scratch)
     scratch.free(texts, pairs, entries, links)
     classes = nodes.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     grouped = scratch.cut(classes.join(known.withColumnRenamed("node", "sid"), "sid", "left"))
