@@ -1,10 +1,9 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words in Spark's tasks; every distinct word that occurs again is encoded once, and the id-to-piece
-table gives its decoded form. Ids then go back to the words' positions. Words of a count that keeps the list within
-``broadcast_words`` travel as a broadcast; were there more, the others go through a join on the word, back to their
-documents. A word that the broadcast lacks although it has all that occur twice occurs once, and is encoded there, once.
-Both ways give the same rows.
+Texts are split into words in Spark's tasks. The distinct words of each batch of texts go to the ranges that their hash
+names, every distinct word is encoded there, once, and its ids come back to the batches, where they are joined with the
+positions of the words (:mod:`trivet.llm.word_parts`). Decoding joins the ids with the table of pieces: in the query by
+position in that table, which has one row for each id of the tokenizer and no more, in :func:`decode` as a join of rows.
 """
 
 from __future__ import annotations
@@ -13,33 +12,21 @@ import hashlib
 import os
 import re
 import unicodedata
-import uuid
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import zstandard
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from trivet.llm.common import batches_of_rows, cut, no_cycles
-from trivet.llm.shingles import batches_of, word_prints
-
-#: Words whose encodings travel as a broadcast, at most: about 60 bytes each in the driver and a worker.
-BROADCAST_WORDS = 2_000_000
-COUNTED = 200_000
-KEPT = 80_000
-GROUP_CHARS = 500_000
+from trivet.llm.common import Scratch, no_cycles
+from trivet.llm.word_parts import answered, pack, parts_for, small, split, unpack, with_answers
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
-_MARK = "\ud800"
 _ODD = re.compile("[\x1c-\x1f]")
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
@@ -51,17 +38,17 @@ def normal(text: str) -> str:
 
 def tokens_of(text: str, special: re.Pattern | None) -> list[str]:
     """Stretches between white space, normalised; no word crosses white space. A special token's string is looked for in
-    the text as it is and stands for itself, behind a mark. Separators that only Python takes for white space keep their
-    stretch whole."""
+    the text as it is and stands for itself, behind a line break. Separators that only Python takes for white space keep
+    their stretch whole."""
     if special is not None and (parts := special.split(text))[1:]:
-        return [t for i, part in enumerate(parts) for t in ([_MARK + part] if i % 2 else tokens_of(part, None))]
+        return [t for i, part in enumerate(parts) for t in (["\n" + part] if i % 2 else tokens_of(part, None))]
     text = normal(text)
-    return [text] if _ODD.search(text) else text.split()
+    return [" " + text] if _ODD.search(text) else text.split()
 
 
 def words_of(token: str) -> list[str]:
     """The words that merges never cross, in order."""
-    if token[:1] == _MARK:
+    if token[:1] == "\n":
         return [token[1:]]
     if token.isascii():  # most tokens: a word, or a word and a mark
         if token.isalpha():
@@ -71,8 +58,12 @@ def words_of(token: str) -> list[str]:
     return _ASCII.findall(token) if token.isascii() else _ANY.findall(token)
 
 
+def special_pattern(special: list[str]) -> re.Pattern | None:
+    return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+
+
 class WordCoder:
-    """The tokenizer, for words that are already normalised and split."""
+    """The tokenizer, for words that are already normalised and split; one for each worker."""
 
     _live: dict[str, WordCoder] = {}
 
@@ -97,246 +88,100 @@ class WordCoder:
     def encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.coder.encode_batch(words, add_special_tokens=False)]
 
+    def piece_table(self) -> pa.Array:
+        """The piece of every id, by place; ids that are not used have null."""
+        out: list[str | None] = [None] * (self.pieces[-1][0] + 1 if self.pieces else 0)
+        for i, piece in self.pieces:
+            out[i] = piece
+        return pa.array(out, pa.string())
 
-def special_pattern(special: list[str]) -> re.Pattern | None:
-    return re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
+def positions_of(texts: list[str], special: re.Pattern | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words, every position's word by number, and each text's number of words."""
+    each = [tokens_of(t, special) for t in texts]
+    sizes = np.fromiter(map(len, each), np.int64, len(each))
+    tokens = pa.array([t for ts in each for t in ts], pa.large_string()).dictionary_encode()
+    number: dict[str, int] = {}
+    of_token = [[number.setdefault(w, len(number)) for w in words_of(t)] for t in tokens.dictionary.to_pylist()]
+    counts = np.fromiter(map(len, of_token), np.int64, len(of_token))
+    flat = np.fromiter((w for ws in of_token for w in ws), np.int64, int(counts.sum()))
+    at = tokens.indices.to_numpy()
+    positions = spread(flat, counts, at)
+    ends = np.append(0, np.cumsum(counts[at]))[np.append(0, np.cumsum(sizes))]
+    return list(number), positions, np.diff(ends)
 
-def word_counts(src: DataFrame, special: re.Pattern | None) -> DataFrame:
-    """``word, n`` of every distinct word, counted before it moves."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+def spread(flat: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The items of the lists ``at`` one after the other; list i has ``counts[i]`` items of ``flat``."""
+    starts, n = (np.cumsum(counts) - counts)[at], counts[at]
+    return flat[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
-        def flush() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            for token, n in held.items():
-                for word in words_of(token):
-                    words[word] += n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
 
-        with no_cycles():
-            for batch in batches:
-                for text in batch.column("text"):
-                    held.update(tokens_of(text.as_py(), special))
-                    if len(held) > COUNTED:
-                        yield flush()
-            yield flush()
-
-    return src.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def word_table(counted: DataFrame, spec: Broadcast) -> DataFrame:
-    """``word, n, print, ids_text, pieces_text``: each distinct word is encoded where its count has been added up."""
-
-    @F.pandas_udf("print bigint, ids_text string, pieces_text string")
-    def encode(words: pd.Series) -> pd.DataFrame:
-        coder = WordCoder.of(spec.value)
-        ids = coder.encode(words.tolist())
-        pieces = dict(coder.pieces)
-        texts = [(" ".join(map(str, row)), " ".join([pieces[i] for i in row])) for row in ids]
-        return pd.DataFrame({"print": word_prints(words.tolist())[0].view(np.int64), "ids_text": [t[0] for t in texts], "pieces_text": [t[1] for t in texts]})
-
-    return counted.withColumn("e", encode("word")).select("word", "n", "e.print", "e.ids_text", "e.pieces_text")
-
-
-def count_limit(table: DataFrame, most: int) -> int:
-    """The smallest count, 2 or more, such that ``most`` words or fewer have it or a larger one. The counts are
-    collected in steps of an eighth of a power of two, a few hundred rows whatever the input."""
-    step = F.ceil(F.log2("n") * 8).cast("int")
-    sizes = table.filter("n > 1").groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
-    total, least = 0, None
-    for row in sizes:
-        total += row.words
-        if total > most:
-            return least or sizes[0].least + 1
-        least = row.least
-    return 2
-
-
-class Known:
-    """Encodings of the words that travel as a broadcast, ordered by print; words are told apart by 64 bits and length."""
-
-    def __init__(self, rows: pa.Table):
-        prints = rows.column("print").to_numpy()
-        order = np.argsort(prints, kind="stable")
-        prints = prints[order]
-        alone = np.ones(len(prints), bool)
-        alone[1:] &= prints[1:] != prints[:-1]
-        alone[:-1] &= prints[1:] != prints[:-1]
-        order = order[alone]
-        self.prints, self.checks = prints[alone], rows.column("check").to_numpy()[order]
-        self.ids, self.pieces = (rows.column(c).combine_chunks().take(pa.array(order)) for c in ("ids_text", "pieces_text"))
-
-    def get(self, words: list[str]) -> dict[str, tuple[str, str]]:
-        """Spellings of the words that it has."""
-        if not words or not len(self.prints):
-            return {}
-        prints = word_prints(["\n".join(words)])[0].view(np.int64)
-        checks = np.fromiter(map(len, words), np.int32, len(words))
-        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        ok = (self.prints[at] == prints) & (self.checks[at] == checks)
-        take = pa.array(at[ok])
-        return dict(zip(compress(words, ok.tolist()), zip(self.ids.take(take).to_pylist(), self.pieces.take(take).to_pylist())))
-
-
-class Speller:
-    """Ids and pieces, as text, of the stretches between white space; a bounded number of them is kept by a worker."""
-
-    _live: dict[str, Speller] = {}
-
-    def __init__(self, known: Known, spec: str):
-        self.known, self.coder = known, WordCoder.of(spec)
-        self.pieces = dict(self.coder.pieces)
-        self.kept: dict[str, tuple[str, str]] = {}
-        self.before: dict[str, tuple[str, str]] = {}
-
-    @classmethod
-    def of(cls, key: str, known: Broadcast, spec: str) -> Speller:
-        if key not in cls._live:
-            cls._live.clear()
-            cls._live[key] = cls(known.value, spec)
-        return cls._live[key]
-
-    @classmethod
-    def forget(cls) -> None:
-        """Workers outlive a task; what they know must not stay beside the next job's data."""
-        cls._live.clear()
-
-    def learn(self, tokens: set[str], own: dict[str, tuple[str, str]] | None = None) -> dict[str, tuple[str, str]]:
-        """Spellings of tokens: known words by the table, ``own`` words by the join, any other word is encoded here."""
-        parts = {t: words_of(t) for t in tokens}
-        words = list({w for ws in parts.values() for w in ws})
-        found = self.known.get(words)
-        if own:
-            found.update((w, own[w]) for w in words if w not in found and w in own)
-        lacking = [w for w in words if w not in found]
-        for w, row in zip(lacking, self.coder.encode(lacking)):
-            found[w] = (" ".join(map(str, row)), " ".join([self.pieces[i] for i in row]))
-        out = {}
-        for t, ws in parts.items():
-            if len(ws) == 1:
-                out[t] = found[ws[0]]
-            else:
-                both = [found[w] for w in ws]
-                out[t] = (" ".join([b[0] for b in both]), " ".join([b[1] for b in both]))
-        return out
-
-    def spell(self, texts: list[list[str]], own: dict[str, list[int]] | None = None) -> Iterator[tuple[str, str]]:
-        if len(self.kept) > KEPT:  # what is used again comes over from the generation before
-            self.before, self.kept = self.kept, {}
-        kept = self.kept
-        new = {t for tokens in texts for t in tokens}.difference(kept)
-        kept.update((t, self.before[t]) for t in new.intersection(self.before))
-        kept.update(self.learn(new.difference(self.before), own))
-        for tokens in texts:
-            if tokens:
-                ids, pieces = zip(*[kept[t] for t in tokens])
-                yield " ".join(ids), " ".join(pieces)
-            else:
-                yield "", ""
-
-
-def encode_decode(
-    docs: DataFrame,
-    tokenizer_path: str,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    broadcast_words: int = BROADCAST_WORDS,
-    texts: bool = False,
-) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """Return ``doc_id, n_tokens long, ids_sha256, decoded_sha256`` for every row, with ``texts`` also ``ids array<int>``
     and ``decoded string``.
 
     * null and empty texts have no tokens and decode to the empty text; an empty table gives no rows.
     * repeated rows each give a row; null ids are allowed; special strings inside texts are their tokens.
     * very long texts are encoded whole; other columns of the input are not read.
-    * ``broadcast_words`` only decides which words travel as a broadcast; at 0 every word goes through the join.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     special = special_pattern(WordCoder.of(spec).special)
-    shared_spec = spark.sparkContext.broadcast(spec)
-    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    with batches_of_rows(spark, 2000):
-        table = cut(word_table(word_counts(src, special), shared_spec))
-    limit = count_limit(table, broadcast_words)
-    top = table.filter(F.col("n") >= limit).select("print", F.length("word").alias("check"), "ids_text", "pieces_text")
-    known = spark.sparkContext.broadcast(Known(top.toArrow()))
-    key = uuid.uuid4().hex  # a worker may serve several queries
-    kind = src.schema["doc_id"].dataType.simpleString()
+    shared = spark.sparkContext.broadcast(spec)  # of the tokenizer's size
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.lit(False).alias("held_out"))
+    parts = parts_for(src)
+
+    def tokenise(group: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        with no_cycles():
+            return positions_of(group, special)
+
+    dealt = split(src, parts, tokenise, scratch)
+
+    def encode(rows: Iterator[tuple[str, int, bytes]]) -> Iterator[tuple[str, int, bytes]]:
+        """Each distinct word of a range is encoded when it is met first."""
+        coder, known = WordCoder.of(shared.value), {}
+        for name, part, data in rows:
+            words = unpack(data)[0].tobytes().decode().split("\n")
+            new = [w for w in words if w not in known]
+            known.update(zip(new, (np.array(ids, np.uint32) for ids in coder.encode(new))))
+            ids = [known[w] for w in words]
+            yield name, part, pack(small(np.fromiter(map(len, ids), np.int64, len(ids))), small(np.concatenate(ids)))
+
     more = ", ids array<int>, decoded string" if texts else ""
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}"
-
-    def report(ids: pa.Array, spelled: list[tuple[str, str]]) -> pa.RecordBatch:
-        columns = [
-            ids,
-            pa.array([s[0].count(" ") + 1 if s[0] else 0 for s in spelled], pa.int64()),
-            pa.array([hashlib.sha256(s[0].encode()).hexdigest() for s in spelled], pa.string()),
-            pa.array([hashlib.sha256(s[1].encode()).hexdigest() for s in spelled], pa.string()),
-        ]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    kind = src.schema["doc_id"].dataType.simpleString()
+
+    def finish(ids: pa.Array, own: list[np.ndarray], found: list[list[np.ndarray]]) -> pa.Table:
+        sizes, _, positions, _, _ = own
+        counts = np.concatenate([*(f[0].astype(np.int64) for f in found), np.empty(0, np.int64)])
+        flat = np.concatenate([*(f[1].astype(np.int64) for f in found), np.empty(0, np.int64)])
+        ends = np.append(0, np.cumsum(counts[positions]))[np.append(0, np.cumsum(sizes.astype(np.int64)))]
+        at = pa.array(spread(flat, counts, positions))
+        pieces, names = Spelling.of(shared.value)
+        lists = lambda values: pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(at)), " ").to_pylist()
+        coded, decoded = lists(names), lists(pieces)
+        columns = [ids, pa.array(np.diff(ends)), *(pa.array([hashlib.sha256(x.encode()).hexdigest() for x in xs]) for xs in (coded, decoded))]
         if texts:
-            columns += [pa.array([[int(x) for x in s[0].split()] for s in spelled], pa.list_(pa.int32())), pa.array([s[1] for s in spelled], pa.string())]
-            names += ["ids", "decoded"]
-        return pa.RecordBatch.from_arrays(columns, names)
+            columns += [pa.array([[int(x) for x in t.split()] for t in coded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])])
 
-    def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller.of(key, known, shared_spec.value)
-        with no_cycles():
-            for batch in batches:
-                at = 0
-                for part in batches_of((x.as_py() for x in batch.column("text")), chars=GROUP_CHARS):
-                    spelled = list(speller.spell([tokens_of(t, special) for t in part]))
-                    yield report(batch.column("doc_id").slice(at, len(part)), spelled)
-                    at += len(part)
-        Speller.forget()
-
-    if limit <= 2:
-        return src.mapInArrow(in_place, schema)
-
-    # Rows are told apart by id and text print; rows equal in both have equal results.
-    keyed = src.withColumn("print", F.xxhash64("text"))
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, found = [], []
-            for i, text in enumerate(batch.column("text")):
-                words = list({w for t in set(tokens_of(text.as_py(), special)) for w in words_of(t)})
-                have = known.value.get(words)
-                new = [w for w in words if w not in have]
-                at += [i] * len(new)
-                found += new
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("print").take(take), pa.array(found, pa.string())], ["doc_id", "print", "word"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            data = pa.array([pack(t.as_py().encode("utf-8", "surrogatepass")) for t in batch.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("print"), data], ["doc_id", "print", "data"])
-
-    wanted = keyed.mapInArrow(rare, f"doc_id {kind}, print bigint, word string")
-    others = table.filter(F.col("n") < limit).select("word", "ids_text", "pieces_text").join(wanted, "word")
-    others = others.groupBy("doc_id", "print").agg(F.collect_set(F.struct("word", "ids_text", "pieces_text")).alias("own"))
-    others = others.select(F.col("doc_id").alias("own_id"), F.col("print").alias("own_print"), "own")
-    moved = keyed.mapInArrow(packed, f"doc_id {kind}, print bigint, data binary")
-    joined = moved.join(others, F.expr("print = own_print AND doc_id <=> own_id"), "left").select("doc_id", "data", "own")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        speller = Speller.of(key, known, shared_spec.value)
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            spelled = []
-            for data, own in zip(batch.column("data"), batch.column("own")):
-                local = {w["word"]: (w["ids_text"], w["pieces_text"]) for w in own.as_py() or ()}
-                spelled += speller.spell([tokens_of(unpack(data.as_py()).decode("utf-8", "surrogatepass"), special)], local)
-            yield report(batch.column("doc_id"), spelled)
-        Speller.forget()
-
-    return joined.mapInArrow(finish, schema)
+    return with_answers(dealt, answered(dealt, parts, encode), finish, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+
+
+class Spelling:
+    """Pieces and decimal texts of all ids, made once for each worker."""
+
+    _live: dict[str, tuple[pa.Array, pa.Array]] = {}
+
+    @classmethod
+    def of(cls, spec: str) -> tuple[pa.Array, pa.Array]:
+        if spec not in cls._live:
+            cls._live.clear()
+            pieces = WordCoder.of(spec).piece_table()
+            cls._live[spec] = pieces, pa.array(map(str, range(len(pieces))), pa.string())
+        return cls._live[spec]
 
 
 def decode(coded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
