@@ -153,11 +153,11 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     more = ", ids array<int>, decoded string" if texts else ""
     kind = src.schema["doc_id"].dataType.simpleString()
 
-    def finish(ids: pa.Array, own: list[np.ndarray], found: list[list[np.ndarray]]) -> pa.Table:
-        sizes, _, positions, _, _ = own
+    def finish(ids: pa.Array, own: tuple[np.ndarray, np.ndarray, np.ndarray], found: list[list[np.ndarray]]) -> pa.Table:
+        sizes, _, positions = own
         counts = np.concatenate([*(f[0].astype(np.int64) for f in found), np.empty(0, np.int64)])
         flat = np.concatenate([*(f[1].astype(np.int64) for f in found), np.empty(0, np.int64)])
-        ends = np.append(0, np.cumsum(counts[positions]))[np.append(0, np.cumsum(sizes.astype(np.int64)))]
+        ends = np.append(0, np.cumsum(counts[positions]))[np.append(0, np.cumsum(sizes))]
         at = pa.array(spread(flat, counts, positions))
         pieces, names = Spelling.of(shared.value)
         lists = lambda values: pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(at)), " ").to_pylist()

@@ -20,16 +20,16 @@ from pyspark.sql import functions as F
 from trivet.llm.common import Scratch, batches_of_rows
 from trivet.llm.shingles import U, batches_of
 
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 3_000_000
 PART_BYTES = 8 << 20  # text for each range of words
 KEY = "trivet word part"
 _KINDS = ["<u1", "<u2", "<u4", "<u8", "<i2", "<i4", "<i8", "<f8", "|u1", "|b1"]
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays in one compressed text."""
     head = np.array([len(arrays), *[x for a in arrays for x in (_KINDS.index(a.dtype.str), len(a))]], np.int64)
-    return zstandard.ZstdCompressor(level=1).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -58,35 +58,68 @@ def parts_for(src: DataFrame) -> int:
     return min(max(16, n_bytes // PART_BYTES), 1 << 17)
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Places by falling count: frequent words get small numbers, which pack well."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
+def planes(numbers: np.ndarray, top: int) -> list[np.ndarray]:
+    """Bytes of numbers up to ``top``, low ones first, each in an array of its own."""
+    return [(numbers >> 8 * k).astype(np.uint8) for k in range(max(1, -(-top.bit_length() // 8)))]
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[list[str], np.ndarray, pa.Array]]:
+    """Texts, flags and ids of about ``chars`` characters, across the batches of rows that come in."""
+    texts: list[str] = []
+    flags, ids, size = [], [], 0
+
+    def out() -> tuple[list[str], np.ndarray, pa.Array]:
+        return texts, np.concatenate(flags).astype(np.bool_), pa.concat_arrays(ids)
+
+    for batch in batches:
+        held, at = batch.column("held_out").to_numpy(zero_copy_only=False), 0
+        for part in batches_of((x.as_py() for x in batch.column("text")), chars, rows=1 << 30):
+            n = sum(map(len, part))
+            if texts and size + n > chars:
+                yield out()
+                texts, flags, ids, size = [], [], [], 0
+            texts, size = texts + part, size + n
+            flags.append(held[at : at + len(part)])
+            ids.append(batch.column("doc_id").slice(at, len(part)))
+            at += len(part)
+    if texts:
+        yield out()
+
+
 def split(src: DataFrame, parts: int, words_of: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
     """``batch, part, data, ids`` of texts (``doc_id, text, held_out``), written. A batch's own row has part -1, the ids of
-    its texts, and packed words of each text, flags, positions and the size of each part; the others have packed words and
-    their counts in texts that are not held out. ``words_of`` gives the distinct words of texts, every position's word by
-    number, and each text's number of words. Words hold no line break."""
+    its texts, and packed words of each text, flags, words of each part, counts and positions; the others have packed
+    words and their counts in texts that are not held out. ``words_of`` gives the distinct words of texts, every position's
+    word by number, and each text's number of words. Words hold no line break."""
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            flags, done = batch.column("held_out").to_numpy(zero_copy_only=False), 0
-            for texts in batches_of((x.as_py() for x in batch.column("text")), BATCH_CHARS):
-                words, positions, sizes = words_of(texts)
-                held = flags[done : done + len(texts)].astype(np.bool_)
-                ids = batch.column("doc_id").slice(done, len(texts))
-                done += len(texts)
-                seen = np.bincount(positions[~np.repeat(held, sizes)], minlength=len(words))
-                part = (hash_array(np.array(words, object), hash_key=KEY, categorize=False) % U(parts)).astype(np.int64) if words else np.empty(0, np.int64)
-                order = np.argsort(part, kind="stable")
-                place = np.empty(len(order), np.int64)
-                place[order] = np.arange(len(order))
-                own, starts = np.unique(part[order], return_index=True)
-                edges = np.append(starts, len(order))
-                data = [pack(small(sizes), held, small(place[positions]), small(own), small(np.diff(edges)))]
-                for a, b in zip(edges[:-1], edges[1:]):
-                    data.append(pack(joined([words[i] for i in order[a:b]]), small(seen[order[a:b]])))
-                lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(data), pa.int32()), ids)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{task}:{number}"] * len(data)), pa.array([-1, *own.tolist()], pa.int32()), pa.array(data, pa.binary()), lists], ["batch", "part", "data", "ids"])
-                number += 1
+        task = TaskContext.get().partitionId()
+        for number, (texts, held, ids) in enumerate(runs_of(batches, BATCH_CHARS)):
+            words, positions, sizes = words_of(texts)
+            names = np.array(words, object)
+            part = (hash_array(names, hash_key=KEY, categorize=False) % U(parts)).astype(np.int64) if words else np.empty(0, np.int64)
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)  # neighbours pack well
+            order = order[np.argsort(part[order], kind="stable")]
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            at = place[positions]
+            counts = np.bincount(at, minlength=len(words))
+            seen = np.bincount(at[~np.repeat(held, sizes)], minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[ranks(counts)] = np.arange(len(words))
+            own, starts = np.unique(part[order], return_index=True)
+            edges = np.append(starts, len(order))
+            data = [pack(small(sizes), held, small(np.diff(edges)), small(counts), *planes(rank[at], len(words)), level=3)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                data.append(pack(joined(names[order[a:b]].tolist()), small(seen[a:b]), level=9))
+            lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(data), pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{task}:{number}"] * len(data)), pa.array([-1, *own.tolist()], pa.int32()), pa.array(data, pa.binary()), lists], ["batch", "part", "data", "ids"])
 
     with batches_of_rows(src.sparkSession, 2000):
         return scratch.cut(src.mapInArrow(run, f"batch string, part int, data binary, ids array<{kind}>"))
@@ -103,8 +136,16 @@ def answered(dealt: DataFrame, parts: int, answer: Callable[[Iterator[tuple[str,
     return dealt.filter("part >= 0").select("batch", "part", "data").repartition(parts, "part").mapInArrow(run, "batch string, part int, data binary")
 
 
-def with_answers(dealt: DataFrame, answers: DataFrame, finish: Callable[[pa.ListArray, list[np.ndarray], list[list[np.ndarray]]], pa.Table], schema: str) -> DataFrame:
-    """What ``finish`` makes of each batch: its ids, the arrays of its own row, and those of its answers by part."""
+def positions_in(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, flags, and positions, of a batch's own row; words are counted through its parts."""
+    sizes, held, _, counts, *bytes_ = own
+    numbers = sum((b.astype(np.int64) << 8 * k for k, b in enumerate(bytes_)), np.int64(0))
+    return sizes.astype(np.int64), held.astype(np.bool_), ranks(counts)[numbers] if len(counts) else np.empty(0, np.int64)
+
+
+def with_answers(dealt: DataFrame, answers: DataFrame, finish: Callable[[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray], list[list[np.ndarray]]], pa.Table], schema: str, name: bool = False) -> DataFrame:
+    """What ``finish`` makes of each batch: its ids, what :func:`positions_in` gives, and the arrays of its answers by
+    part; with ``name`` the batch's name stands before."""
     none = F.lit(None).cast(dealt.schema["ids"].dataType)
     both = dealt.filter("part < 0").unionByName(answers.select("batch", "part", "data", none.alias("ids")))
 
@@ -113,6 +154,7 @@ def with_answers(dealt: DataFrame, answers: DataFrame, finish: Callable[[pa.List
         first = int(order[0])
         data = rows.column("data")
         ids = rows.column("ids")[first].values
-        return finish(ids, unpack(data[first].as_py()), [unpack(data[int(i)].as_py()) for i in order[1:]])
+        out = finish(ids, positions_in(unpack(data[first].as_py())), [unpack(data[int(i)].as_py()) for i in order[1:]])
+        return out.add_column(0, "batch", pa.array([rows.column("batch")[0].as_py()] * out.num_rows)) if name else out
 
-    return both.groupBy("batch").applyInArrow(run, schema)
+    return both.groupBy("batch").applyInArrow(run, f"batch string, {schema}" if name else schema)
