@@ -4,35 +4,37 @@ The model is a bigram model, smoothed towards the add-one unigram model p1 by a
 
     p(w | v) = (c(v, w) + mu * p1(w)) / (c(v) + mu)
 
-A text's score is therefore its unigram score plus one gain for each token, log10(p(w | v) / p1(w)), and a gain needs
-nothing but one bigram. The vocabulary is every word seen twice or more in training (words seen once are contexts of gain
-0, and unseen as successors). Word counts are added up in Spark; the most frequent words, ``broadcast_words`` at most, travel
-as a broadcast. Bigram occurrences of two such words move once, packed, to the task of their key range. There the training
-counts become a trie: monotone pointers and successor lists in Elias-Fano form with quantised gains. Every occurrence is
-looked up in it, and sums go back to the texts. Bigrams with a word that does not travel are counted in Spark by their two
-prints, and joins with the table of counts give their gains, quantised alike: the broadcast's size steers the work only. No
-task holds more than its range of keys, and the model grows with the corpus without ever being in one place.
+A token's log10 probability is that of an unseen bigram, which needs the counts of its two words only, and for a bigram
+seen in training the gain log10(1 + c(v, w) / (mu * p1(w))). Every word and every bigram of the training texts counts.
+
+Words are told apart by their letters. The distinct words of each batch of texts go to the ranges that their hash names and
+come back with a number and their count in training (:mod:`trivet.llm.word_parts`). Then every bigram of known words goes,
+packed, to the part of its context; a context of more than ``SALT`` occurrences is dealt over several parts by successor.
+There the training counts become a trie: contexts, monotone pointers to their successors, and the successors of all
+contexts in Elias-Fano form with quantised gains, written to a file that is mapped into memory. Bigrams of all texts are
+looked up in it, by successor search inside their context's range, and sums go back to the texts. No word list, count or
+part of the model is ever in the driver or in one place, and what a part holds is bounded by the number of parts.
 """
 
 from __future__ import annotations
 
+import mmap
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trivet.llm.common import cut
-from trivet.llm.shingles import U, batches_of, mix, word_prints
+from trivet.llm.common import Scratch
+from trivet.llm.shingles import U, mix
+from trivet.llm.shingles import words_of as split_words
+from trivet.llm.word_parts import answered, pack, parts_for, small, split, unpack, with_answers
 
-#: Words that travel as a broadcast, at most; 16 bytes each. Scores do not depend on it.
-BROADCAST_WORDS = 2_000_000
-END, START = -1, -2  # prints of the token that ends a text, and of the context that begins one
+START, END = 0, 1  # numbers of the context that begins a text, and of the token that ends one; words follow
 STEP = 512  # quantisation: steps in one unit of log10
-ID_BITS = 24
-FIXED = 1 << 32  # gains are added up as whole numbers of this fraction, so the order of addition does not matter
+SALT = 200_000  # training occurrences of a context in one part, about
 
 
 def held_out(doc_id: Column) -> Column:
@@ -40,6 +42,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 7 == 2, F.lit(False))
 
 
+class Levels:
+    """Arrays in one file without a name, mapped into memory: pages are read when they are asked for, and the file is gone
+    with the task."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+
+    def put(self, values: np.ndarray) -> np.ndarray:
+        if not values.nbytes:
+            return values
+        at = -(-self.file.tell() // mmap.ALLOCATIONGRANULARITY) * mmap.ALLOCATIONGRANULARITY
+        self.file.seek(at)
+        self.file.write(values.tobytes())
+        self.file.flush()
+        return np.frombuffer(mmap.mmap(self.file.fileno(), values.nbytes, access=mmap.ACCESS_READ, offset=at), values.dtype)
+
+    def __enter__(self) -> Levels:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary with zero counts for each 64-bit word."""
 
@@ -58,6 +83,11 @@ class EliasFano:
         self.high = np.packbits(unary, bitorder="little")
         self.zeros = np.cumsum(64 - unary.reshape(-1, 64).sum(1, dtype=np.int64))
 
+    def mapped(self, levels: Levels) -> EliasFano:
+        """The same sequence, read from a file."""
+        self.low, self.high, self.zeros = map(levels.put, (self.low, self.high, self.zeros))
+        return self
+
     def _low_bits(self, values: np.ndarray) -> np.ndarray:
         parts = [((values[i : i + 1_000_000, None] >> np.arange(self.low_bits, dtype=np.uint64)) & U(1)).astype(np.uint8).ravel() for i in range(0, len(values), 1_000_000)]
         return np.concatenate(parts)
@@ -109,346 +139,198 @@ class EliasFano:
 
 
 class BigramTrie:
-    """Two levels of a trie in flat arrays: contexts with monotone pointers to their successors, and the successors of all
-    contexts, each counted on from its context's base so that the whole level is monotone, with quantised gains."""
+    """Two levels of a trie in mapped arrays: contexts with monotone pointers to their successors, and the successors of
+    all contexts, each counted on from its context's base so that the whole level is monotone, with quantised gains."""
 
-    def __init__(self, left: np.ndarray, right: np.ndarray, gains: np.ndarray):
+    def __init__(self, left: np.ndarray, right: np.ndarray, gains: np.ndarray, levels: Levels):
         """``left, right`` are sorted and distinct as pairs."""
         first = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(left) else np.empty(0, np.int64)
-        self.contexts = EliasFano(left[first])
-        self.pointers = EliasFano(np.append(first, len(left)))
-        self.base = 1 << ID_BITS
+        self.base = int(right.max()) + 1 if len(right) else 1
         rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(left))))
-        self.successors = EliasFano(rank * self.base + right)
-        self.codes = np.rint(gains * STEP).astype(np.int16)
+        self.contexts = EliasFano(left[first]).mapped(levels)
+        self.pointers = EliasFano(np.append(first, len(left))).mapped(levels)
+        self.successors = EliasFano(rank * self.base + right).mapped(levels)
+        self.codes = levels.put(np.rint(gains * STEP).astype(np.uint16))
 
-    def gain(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Gains of the pairs, and which pairs the trie has."""
+    def code(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Codes of the pairs' gains, 0 for pairs that the trie lacks."""
         if not len(self.codes):
-            return np.zeros(len(left)), np.zeros(len(left), bool)
-        context = self.contexts.successor(left)
-        own = np.minimum(context, self.contexts.n - 1)
-        # Context-relative search: the successor within the context's base, which must end before the next context begins.
-        place = self.successors.successor(own * self.base + right)
-        follows = self.successors.successor(own * self.base + right + 1) > place
-        known = (context < self.contexts.n) & follows & (self.contexts.successor(left + 1) > context)
-        return np.where(known, self.codes[np.minimum(place, len(self.codes) - 1)] / STEP, 0.0), known
-
-
-def train_counts(src: DataFrame) -> DataFrame:
-    """``print, c`` of the training tokens; counted within tasks before rows move."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, counts, ends = np.empty(0, np.int64), np.empty(0, np.int64), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, np.bincount(where, weights=np.concatenate([h[1] for h in held]), minlength=len(keys)).astype(np.int64)
-
-        for batch in batches:
-            for texts in batches_of(x.as_py() for x in batch.column("text")):
-                ends += len(texts)
-                held.append(np.unique(word_prints(texts)[0].view(np.int64), return_counts=True))
-                if sum(len(h[0]) for h in held) > 3_000_000:
-                    held = [merge()]
-                    if len(held[0][0]) > 1_500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["print", "c"])
-                        held = []
-        prints, counts = merge() if held else (prints, counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(prints, END)), pa.array(np.append(counts, ends))], ["print", "c"])
-
-    return src.filter("NOT held_out").select("text").mapInArrow(count, "print bigint, c bigint").groupBy("print").agg(F.sum("c").alias("c")).filter("c > 0")
-
-
-def lm_scores(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    held: Column | None = None,
-    mu: float = 300.0,
-    broadcast_words: int = BROADCAST_WORDS,
-) -> DataFrame:
+            return np.zeros(len(left), np.int64)
+        own = np.minimum(self.contexts.successor(left), self.contexts.n - 1)
+        known = (self.contexts.get(own).astype(np.int64) == left) & (right < self.base)
+        # Context-relative search: the successor of the word inside the range that the context's pointers give.
+        begin, end = (self.pointers.get(own + k).astype(np.int64) for k in (0, 1))
+        key = own * self.base + np.minimum(right, self.base - 1)
+        place = self.successors.successor(key)
+        known &= (begin <= place) & (place < end)
+        place = np.minimum(place, len(self.codes) - 1)
+        known &= self.successors.get(place).astype(np.int64) == key
+        return np.where(known, self.codes[place].astype(np.int64), 0)
+
+
+def positions_of(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    words, sizes = split_words(texts)
+    return words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), sizes
+
+
+def number_words(rows: Iterator[tuple[str, int, bytes]], parts: int) -> Iterator[tuple[str, int, bytes]]:
+    """Numbers and training counts of the words of each range. Words are numbered in order, so that a task that runs
+    again gives the same numbers. A row without a batch tells how many words of the range occur in training."""
+    held: dict[int, list[tuple[str, list[str], np.ndarray]]] = {}
+    for name, part, data in rows:
+        letters, counts = unpack(data)
+        held.setdefault(part, []).append((name, letters.tobytes().decode().split("\n"), counts))
+    while held:
+        part, batches = held.popitem()
+        words = sorted({w for _, ws, _ in batches for w in ws})
+        place = {w: i for i, w in enumerate(words)}
+        total = np.zeros(len(words), np.int64)
+        at = [np.fromiter((place[w] for w in ws), np.int64, len(ws)) for _, ws, _ in batches]
+        for own, (_, _, counts) in zip(at, batches):
+            total[own] += counts
+        yield "", part, pack(np.array([np.count_nonzero(total)]))
+        for own, (name, _, _) in zip(at, batches):
+            yield name, part, pack(small(2 + own * parts + part), small(total[own]))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, mu: float = 300.0, salt: int = SALT) -> DataFrame:
     """Return ``doc_id, held_out, n_tokens, n_known, train_tokens long, base_score, score double`` for every row.
 
     * null and empty texts have one token, their end; very long texts are scored whole.
     * ``held`` marks the rows that nothing is learned from; repeated rows each count and each give a row.
     * without any training row every count is 0 and ``score`` equals ``base_score``; an empty table gives no rows.
     * null ids are training rows; other columns of the input are not read.
-    * ``broadcast_words`` steers the work only.
+    * ``salt`` steers the work only.
     """
-    from trivet.llm.bpe_words import count_limit
-
-    spark = docs.sparkSession
+    scratch = Scratch(docs.sparkSession)
     held = held_out(F.col(id_col)) if held is None else held
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    counts = cut(train_counts(src))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_all, norm = int(total.n), float(total.n + total.v + 1)
-    limit = count_limit(counts.withColumnRenamed("c", "n"), broadcast_words)
-    rows = counts.filter(F.col("c") >= limit).toArrow()
-    prints, c = rows.column("print").to_numpy(), rows.column("c").to_numpy()
-    texts_in = int(counts.filter(F.col("print") == END).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0])
-    # END and START are always of the vocabulary.
-    keep = ~np.isin(prints, [END, START])
-    prints, c = np.append(prints[keep], [END, START]), np.append(c[keep], [texts_in, texts_in])
-    order = np.argsort(prints, kind="stable")
-    vocabulary = spark.sparkContext.broadcast((prints[order], c[order]))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def look_up(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known, _ = vocabulary.value
-        at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-        return at, known[at] == words
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of ``batch, part, data``: packed bigrams and packed rare words for each part; the texts go to part -1,
-        bigrams with a word that did not travel to part -2."""
-        _, c = vocabulary.value
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            flags = batch.column("held_out").to_numpy(zero_copy_only=False)
-            done = 0
-            for texts in batches_of(x.as_py() for x in batch.column("text")):
-                k = len(texts)
-                is_held = flags[done : done + k]
-                words, sizes = word_prints(texts)
-                # Each text's words, and its end behind them.
-                ends = np.cumsum(sizes + 1) - 1
-                tokens = np.full(len(words) + k, END, np.int64)
-                inner = np.ones(len(tokens), bool)
-                inner[ends] = False
-                tokens[inner] = words.view(np.int64)
-                own = np.repeat(np.arange(k), sizes + 1)
-                distinct, where = np.unique(tokens, return_inverse=True)
-                at, ok = look_up(distinct)
-                ids, ok = at[where], ok[where]
-                count = np.where(ok, c[ids], 0)
-                if limit <= 2:  # a training word that is not among those seen twice is seen once
-                    count[~ok & ~is_held[own]] = 1
-                open_ = ~ok & (is_held[own] if limit <= 2 else True)
-                base = np.bincount(own, weights=np.where(open_, 0.0, np.log10((count + 1) / norm)), minlength=k)
-                known = np.bincount(own, weights=~open_ & (count > 0), minlength=k)
-                start = np.append(0, ends[:-1] + 1)
-                context, fits = np.empty_like(ids), np.empty_like(ok)
-                context[1:], fits[1:] = ids[:-1], ok[:-1]
-                context[start], fits[start] = look_up(np.array([START]))[0][0], True
-                # A word seen once or never leaves its context's gain, given here if all others travel; else counts decide.
-                gains = np.bincount(own, weights=np.where(fits & ~ok & (limit <= 2), np.log10(mu / (c[context] + mu)), 0.0), minlength=k)
-                name = f"{task}:{number}"
-                number += 1
-                meta = pa.array([{"doc_id": d, "held_out": bool(h), "n_tokens": int(s) + 1, "n_known": int(x), "base": b, "gain": g} for d, h, s, x, b, g in zip(batch.column("doc_id").slice(done, k).to_pylist(), is_held, sizes, known, base, gains)], META(batch.schema.field("doc_id").type))
-                done += k
-                out_part, out_data = [-1], [b""]
-                pair = fits & ok
-                keys = context[pair].astype(np.int64) << ID_BITS | ids[pair]
-                for what, key, who in ((b"b", keys, own[pair]), (b"r", tokens[open_], own[open_])):
-                    part = (mix(key.view(np.uint64)) % U(parts)).astype(np.int64)
-                    order = np.argsort(part, kind="stable")
-                    key, who, part = key[order], who[order], part[order]
-                    edges = np.searchsorted(part, np.arange(parts + 1))
-                    for p in np.flatnonzero(np.diff(edges)):
-                        some = slice(edges[p], edges[p + 1])
-                        who_p, each = np.unique(who[some], return_counts=True)
-                        out_part.append(int(p))
-                        out_data.append(what + packed(key[some], who_p, each, is_held[who_p], what == b"b"))
-                if limit > 2 and not pair.all():
-                    left = np.append(START, tokens[:-1])
-                    left[start] = START
-                    some = ~pair
-                    out_part.append(-2)
-                    out_data.append(packed_open(own[some], left[some], tokens[some], np.where(fits, c[context], -1)[some], np.where(ok, c[ids], -1)[some], is_held))
-                metas = pa.ListArray.from_arrays(pa.array([0, k] + [k] * (len(out_part) - 1), pa.int32()), meta)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(out_part)), pa.array(out_part, pa.int32()), pa.array(out_data, pa.binary()), metas], ["batch", "part", "data", "texts"])
-
-    def table_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, n = batch.column("print").to_numpy(), batch.column("c").to_numpy()
-            part = (mix(key.view(np.uint64)) % U(parts)).astype(np.int64)
-            for p in np.unique(part):
-                own = part == p
-                data = b"t" + np.int64(own.sum()).tobytes() + key[own].tobytes() + n[own].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([int(p)], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, pa.list_(META(doc_type)))], ["batch", "part", "data", "texts"])
+    parts = parts_for(src)
+    dealt = split(src, parts, positions_of, scratch)
+    numbered = scratch.cut(answered(dealt, parts, lambda rows: number_words(rows, parts)))
+    texts_in, words_in, distinct = totals(dealt, numbered)
+    n_all, norm = words_in + texts_in, float(words_in + texts_in + distinct + bool(texts_in) + 1)
+
+    def deal(ids: pa.Array, own: tuple[np.ndarray, np.ndarray, np.ndarray], found: list[list[np.ndarray]]) -> pa.Table:
+        """A row of a batch's texts (part -1), and a row of packed bigrams for each part."""
+        sizes, is_held, positions = own
+        number, count = (np.concatenate([*(f[k].astype(np.int64) for f in found), np.empty(0, np.int64)]) for k in (0, 1))
+        k = len(sizes)
+        text = np.repeat(np.arange(k), sizes + 1)
+        ends = np.cumsum(sizes + 1) - 1
+        inner = np.ones(len(text), bool)
+        inner[ends] = False
+        w, c = np.full(len(text), END, np.int64), np.full(len(text), texts_in, np.int64)
+        w[inner], c[inner] = number[positions], count[positions]
+        v, cv = np.append(START, w[:-1]), np.append(texts_in, c[:-1])
+        begin = np.append(0, ends[:-1] + 1)
+        v[begin], cv[begin] = START, texts_in
+        low = np.log10((c + 1) / norm)
+        base = np.bincount(text, weights=low, minlength=k)
+        away = base + np.bincount(text, weights=np.log10(mu / (cv + mu)), minlength=k)
+        known = np.bincount(text, weights=c > 0, minlength=k).astype(np.int64)
+        may = np.flatnonzero((c > 0) & (cv > 0))
+        turn = mix(w[may].astype(np.uint64)) % (cv[may] // salt + 1).astype(np.uint64)
+        part = (mix(v[may].astype(np.uint64) * U(0x9E3779B97F4A7C15) + turn) % U(parts)).astype(np.int64)
+        order = np.lexsort((w[may], v[may], part))
+        may, part = may[order], part[order]
+        at, starts = np.unique(part, return_index=True)
+        out = [pack(sizes + 1, known, base, away, is_held)]
+        code = np.rint(-low * STEP).astype(np.uint16)
+        for a, b in zip(starts, np.append(starts, len(may))[1:]):
+            i = may[a:b]
+            out.append(pack(small(np.diff(v[i], prepend=0)), small(w[i]), code[i], small(text[i]), is_held))
+        lists = pa.ListArray.from_arrays(pa.array([0] + [k] * len(out), pa.int32()), ids)
+        return pa.Table.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array(out, pa.binary()), lists], ["part", "data", "ids"])
+
+    named = with_answers(dealt, numbered.filter("batch <> ''"), deal, f"part int, data binary, ids array<{kind}>", name=True)
+    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts))).otherwise(F.col("part"))
+    doc_ids = pa.list_(pa.field("element", to_arrow(src.schema["doc_id"].dataType)))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts, trie and lookups of each part; sums of its texts go on under the name of their batch."""
-        ids, c = vocabulary.value
-        held_blobs: dict[int, list[tuple[str, bytes]]] = {}
+        """Texts' rows as they are; for each part its trie, and the sums of codes that its bigrams give to texts."""
+        held_blobs: dict[int, list[tuple[str, list[np.ndarray]]]] = {}
         for batch in batches:
             through = [i for i, p in enumerate(batch.column("part").to_pylist()) if p < 0]
             if through:
-                some = batch.take(pa.array(through))
-                yield pa.RecordBatch.from_arrays([some.column("batch"), some.column("texts"), pa.nulls(len(through), pa.binary())], ["batch", "texts", "sums"])
-            for name, p, data in zip(batch.column("batch").to_pylist(), batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+                yield batch.take(pa.array(through)).select(["batch", "data", "ids"])
+            for name, p, data in zip(*(batch.column(x).to_pylist() for x in ("batch", "part", "data"))):
                 if p >= 0:
-                    held_blobs.setdefault(p, []).append((name, data))
+                    held_blobs.setdefault(p, []).append((name, unpack(data)))
         while held_blobs:
             _, blobs = held_blobs.popitem()
-            pairs = [(name, *opened(data)) for name, data in blobs if data[:1] == b"b"]
-            rare = [(name, *opened(data)) for name, data in blobs if data[:1] == b"r"]
-            sums: dict[str, list[np.ndarray]] = {}
-            if pairs:
-                keys = np.concatenate([x[1] for x in pairs])
-                learn = ~np.concatenate([np.repeat(x[4], x[3]) for x in pairs])
-                distinct, where = np.unique(keys, return_inverse=True)
-                seen = np.bincount(where, weights=learn, minlength=len(distinct))
-                left, right = distinct >> ID_BITS, distinct & ((1 << ID_BITS) - 1)
-                p1 = (c[right] + 1) / norm
-                gains = np.log10((seen / p1 + mu) / (c[left] + mu))
-                had = seen > 0
-                trie = BigramTrie(left[had], right[had], gains[had])
-                found, has = trie.gain(left, right)
-                values = np.where(has, found, np.log10(mu / (c[left] + mu)))[where]
-                add_sums(sums, pairs, np.stack([values, np.zeros(len(values)), np.zeros(len(values))]))
-            if rare:
-                tables = [data for _, data in blobs if data[:1] == b"t"]
-                t_key = np.concatenate([*(opened_table(t)[0] for t in tables), np.empty(0, np.int64)])
-                t_c = np.concatenate([*(opened_table(t)[1] for t in tables), np.empty(0, np.int64)])
-                order = np.argsort(t_key)
-                t_key, t_c = np.append(t_key[order], np.iinfo(np.int64).max), np.append(t_c[order], 0)
-                keys = np.concatenate([x[1] for x in rare])
-                at = np.searchsorted(t_key, keys)
-                count = np.where(t_key[at] == keys, t_c[at], 0)
-                add_sums(sums, rare, np.stack([np.zeros(len(keys)), np.log10((count + 1) / norm), (count > 0).astype(float)]))
-            for name, arrays in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.nulls(1, pa.list_(META(doc_type))), pa.array([np.concatenate(arrays).tobytes()], pa.binary())], ["batch", "texts", "sums"])
-
-    def finish(rows):
+            for name, sums in looked_up(blobs, mu):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums], pa.binary()), pa.nulls(1, doc_ids)], ["batch", "data", "ids"])
+
+    settled = named.repartition(parts, place).mapInArrow(settle, f"batch string, data binary, ids array<{kind}>")
+
+    def finish(rows: pa.Table) -> pa.Table:
         """One batch of texts: its own row, and a row of sums from each part."""
-        texts, sums = None, []
-        for t, s in zip(rows.column("texts"), rows.column("sums")):
-            if s.is_valid:
-                sums.append(np.frombuffer(s.as_py(), np.float64).reshape(-1, 4))
+        ids = own = None
+        sums = []
+        for data, names in zip(rows.column("data"), rows.column("ids")):
+            if names.is_valid:
+                ids, own = names.values, unpack(data.as_py())
             else:
-                texts = t.values
-        n = len(texts)
-        total = np.zeros((n, 3))
-        if sums:
-            every = np.concatenate(sums)
-            every = every[np.lexsort(every.T)]  # one order of addition, whatever the order of arrival
-            for j in range(3):
-                total[:, j] = np.bincount(every[:, 0].astype(np.int64), weights=every[:, j + 1], minlength=n)
-        base = texts.field("base").to_numpy() + total[:, 1]
-        known = texts.field("n_known").to_numpy() + np.rint(total[:, 2]).astype(np.int64)
-        score = base + texts.field("gain").to_numpy() + total[:, 0]
+                sums.append(unpack(data.as_py()))
+        n, known, base, away, is_held = own
+        total = np.zeros(len(n), np.int64)
+        for text, codes in sums:
+            total[text] += codes
         return pa.Table.from_arrays(
-            [texts.field("doc_id"), texts.field("held_out"), texts.field("n_tokens"), pa.array(known), pa.array(np.full(n, n_all, np.int64)), pa.array(base), pa.array(score)],
+            [ids, pa.array(is_held.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(away + total / STEP)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    text_type = f"array<struct<doc_id:{kind},held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,gain:double>>"
-    doc_type = to_arrow(src.schema["doc_id"].dataType)
-    moved_schema = f"batch string, part int, data binary, texts {text_type}"
-    moved = src.mapInArrow(deal, moved_schema)
-    far = None
-    if limit > 2:
-        moved = cut(moved)
-        rest = counts.filter((F.col("c") > 1) & (F.col("c") < limit))
-        far = open_gains(moved.filter("part = -2").select("batch", "data"), rest, mu, norm).select("batch", F.lit(None).cast(text_type).alias("texts"), "sums")
-        moved = moved.filter("part > -2")
-    moved = moved.union(counts.filter(F.col("c") < limit).mapInArrow(table_parts, moved_schema))
-    # Texts' own rows, of part -1, spread over the tasks.
-    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts))).otherwise(F.col("part"))
-    settled = moved.repartition(parts, place).mapInArrow(settle, f"batch string, texts {text_type}, sums binary")
-    settled = settled if far is None else settled.union(far)
     return settled.groupBy("batch").applyInArrow(finish, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
-def open_gains(moved: DataFrame, rest: DataFrame, mu: float, norm: float) -> DataFrame:
-    """``batch, sums``: gains of bigrams with a word that did not travel, added up by text, from rows ``batch, data`` of
-    :func:`packed_open` and the counts (``print, c``) of the vocabulary's words that did not travel."""
+def totals(dealt: DataFrame, numbered: DataFrame) -> tuple[int, int, int]:
+    """Training texts, training words, and distinct training words; numbers only are collected."""
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist()):
-                who, n, held, left, right, c_left, c_right = np.frombuffer(data, np.int64).reshape(7, -1)
-                columns = [pa.array([name] * len(who)), *map(pa.array, (who, n, held, left, right, c_left, c_right))]
-                yield pa.RecordBatch.from_arrays(columns, ["batch", "t", "n", "held", "l", "r", "cl", "cr"])
+            own = [unpack(d)[:2] for d in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int((~h).sum()) for _, h in own], pa.int64()), pa.array([int(s[~h].sum()) for s, h in own], pa.int64())], ["texts", "words"])
 
-    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, c_left, c_right = (batch.column(x).to_numpy() for x in ("seen", "cl", "cr"))
-            gains = np.log10(mu / (c_left + mu))
-            had = (seen > 0) & (c_right > 0)
-            known = np.log10((seen[had] / ((c_right[had] + 1) / norm) + mu) / (c_left[had] + mu))
-            gains[had] = np.rint(known * STEP) / STEP
-            yield pa.RecordBatch.from_arrays([batch.column("l"), batch.column("r"), pa.array(np.rint(gains * FIXED).astype(np.int64))], ["l", "r", "gain"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, t, gain = batch.column("batch").dictionary_encode(), batch.column("t").to_numpy(), batch.column("gain").to_numpy() / FIXED
-            of = names.indices.to_numpy()
-            for i, name in enumerate(names.dictionary.to_pylist()):
-                own = of == i
-                sums = np.zeros((int(own.sum()), 4))
-                sums[:, 0], sums[:, 1] = t[own], gain[own]
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sums.tobytes()], pa.binary())], ["batch", "sums"])
-
-    each = cut(moved.mapInArrow(unpack, "batch string, t bigint, n bigint, held bigint, l bigint, r bigint, cl bigint, cr bigint"))
-    pairs = each.groupBy("l", "r").agg(F.sum(F.when(F.col("held") == 0, F.col("n")).otherwise(0)).alias("seen"), F.max("cl").alias("cl"), F.max("cr").alias("cr"))
-    for side in ("l", "r"):
-        # Words that travelled bring their counts: their rows are spread by the whole pair and match nothing that counts.
-        key = F.when(F.col(f"c{side}") < 0, F.col(side)).otherwise(F.xxhash64("l", "r"))
-        words = rest.select(F.col("print").alias("_print"), F.col("c").alias("_c"))
-        own = F.when(F.col(f"c{side}") < 0, F.coalesce("_c", F.lit(0))).otherwise(F.col(f"c{side}"))
-        pairs = pairs.withColumn("_key", key).join(words, F.col("_key") == F.col("_print"), "left").withColumn(f"c{side}", own).drop("_key", "_print", "_c")
-    # A context that is seen once or never has gain 0.
-    gains = cut(pairs.filter("cl > 0").mapInArrow(price, "l bigint, r bigint, gain bigint"))
-    sums = each.join(gains, ["l", "r"]).groupBy("batch", "t").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    return sums.mapInArrow(pack, "batch string, sums binary")
-
-
-def META(doc_type: pa.DataType) -> pa.DataType:
-    return pa.struct([("doc_id", doc_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+            yield pa.RecordBatch.from_arrays([pa.array([int(unpack(d)[0][0]) for d in batch.column("data").to_pylist()], pa.int64())], ["n"])
+
+    a = dealt.filter("part < 0").select("data").mapInArrow(texts, "texts bigint, words bigint").agg(F.sum("texts"), F.sum("words")).first()
+    b = numbered.filter("batch = ''").select("data").mapInArrow(words, "n bigint").agg(F.sum("n")).first()
+    return a[0] or 0, a[1] or 0, b[0] or 0
+
+
+def looked_up(blobs: list[tuple[str, list[np.ndarray]]], mu: float) -> Iterator[tuple[str, bytes]]:
+    """For each batch the texts that have bigrams of this part, and the sums of their codes."""
+    left = np.concatenate([np.cumsum(b[0].astype(np.int64)) for _, b in blobs])
+    right = np.concatenate([b[1].astype(np.int64) for _, b in blobs])
+    low = np.concatenate([b[2] for _, b in blobs])
+    learn = np.concatenate([~b[4][b[3]] for _, b in blobs])
+    order = np.lexsort((right, left))
+    left, right, low = left[order], right[order], low[order]
+    new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+    first = np.flatnonzero(new)
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    seen = np.bincount(which, weights=learn, minlength=len(first))
+    left, right, low = left[first], right[first], low[first]
+    had = seen > 0
+    gains = np.log10(1 + seen[had] * 10 ** (low[had] / STEP) / mu)
+    with Levels() as levels:
+        codes = BigramTrie(left[had], right[had], gains, levels).code(left, right)[which]
+    at = 0
+    for name, b in blobs:
+        n = len(b[0])
+        sums = np.bincount(b[3], weights=codes[at : at + n], minlength=1).astype(np.int64)
+        at += n
+        texts = np.flatnonzero(sums)
+        yield name, pack(small(texts), small(sums[texts]))
 
 
 def to_arrow(spark_type) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
     return to_arrow_type(spark_type)
-
-
-def packed(keys: np.ndarray, who: np.ndarray, each: np.ndarray, is_held: np.ndarray, narrow: bool) -> bytes:
-    """Keys (six bytes each if ``narrow``) in the order of the texts ``who``, ``each`` of them."""
-    body = keys.astype(np.uint32).tobytes() + (keys >> 32).astype(np.uint16).tobytes() if narrow else keys.tobytes()
-    return np.array([len(who), len(keys)], np.int64).tobytes() + who.astype(np.int32).tobytes() + each.astype(np.int32).tobytes() + is_held.astype(np.bool_).tobytes() + body
-
-
-def packed_open(own: np.ndarray, left: np.ndarray, right: np.ndarray, c_left: np.ndarray, c_right: np.ndarray, is_held: np.ndarray) -> bytes:
-    """Text, occurrences, whether the text is held out, both prints and both counts (-1: not known) of each text's bigrams."""
-    order = np.lexsort((right, left, own))
-    own, left, right, c_left, c_right = (x[order] for x in (own, left, right, c_left, c_right))
-    new = np.append(True, (own[1:] != own[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
-    each = np.diff(np.append(np.flatnonzero(new), len(own)))
-    return np.stack([own[new], each, is_held[own[new]], left[new], right[new], c_left[new], c_right[new]]).astype(np.int64).tobytes()
-
-
-def opened(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, texts, keys of each text, and whether the text is held out."""
-    texts, n = np.frombuffer(data, np.int64, 2, 1).tolist()
-    who = np.frombuffer(data, np.int32, texts, 17)
-    each = np.frombuffer(data, np.int32, texts, 17 + 4 * texts)
-    is_held = np.frombuffer(data, np.bool_, texts, 17 + 8 * texts)
-    at = 17 + 9 * texts
-    if data[:1] == b"b":
-        keys = np.frombuffer(data, np.uint32, n, at).astype(np.int64) | np.frombuffer(data, np.uint16, n, at + 4 * n).astype(np.int64) << 32
-    else:
-        keys = np.frombuffer(data, np.int64, n, at)
-    return keys, who, each, is_held
-
-
-def opened_table(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, np.int64, 1, 1)[0])
-    return np.frombuffer(data, np.int64, n, 9), np.frombuffer(data, np.int64, n, 9 + 8 * n)
-
-
-def add_sums(sums: dict[str, list[np.ndarray]], blobs: list[tuple], values: np.ndarray) -> None:
-    """Rows of text, gain, base and known for each batch, from the values of the blobs' keys in order."""
-    at = 0
-    for name, keys, who, each, _ in blobs:
-        starts = at + np.cumsum(each) - each
-        at += len(keys)
-        part = values[:, starts[0] : at]
-        rows = np.add.reduceat(part, starts - starts[0], axis=1)
-        sums.setdefault(name, []).append(np.concatenate([who[None].astype(float), rows]).T.ravel())
