@@ -4,14 +4,18 @@ Two deterministic transducers read a text. The first splits it into the pieces t
 fixed-size chunks of characters from every state at once, the resulting state maps compose by a parallel prefix scan, and
 only then is each chunk run again from its true state. The second reads a piece byte by byte; its transitions carry the
 change in the number of emitted tokens, so a piece's count is the sum along its path. It is compiled lazily: for every
-prefix there is exactly one last token that may follow the last token of the rest, which is all a transition needs.
+prefix there is exactly one last token that may follow the last token of the rest, which is all a transition needs. Its
+states are the prefixes, as many as there are pieces, so it has no table of all state maps to compose: the scan gives the
+pieces' borders, equal pieces of many texts (told apart by their bytes) run once, and texts add up their pieces' counts.
 
-A task keeps the transducer across batches, within a bound on its states; counts never depend on what is kept.
+A task keeps the transducer and the counts of recent pieces across batches, within bounds; a piece of any length runs in a
+window of states as long as the longest token. Counts never depend on what is kept.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -24,6 +28,9 @@ from pyspark.sql import functions as F
 CHUNK = 128
 GROUP_CHARS = 1_000_000
 MAX_STATES = 600_000
+RECENT = 300_000  # pieces whose counts are kept
+#: Between a letter and a space before a letter a piece ends, whatever stands around.
+BORDER = re.compile("[a-z](?= [a-z])")
 
 # Character classes. Letters that contractions need stand apart; BREAK parts texts from each other.
 L, STMD, R, V, E, LL, N, O, QUOTE, SPACE, WHITE, BREAK = range(12)
@@ -114,8 +121,9 @@ def piece_starts(classes: np.ndarray, to: np.ndarray, emit: np.ndarray) -> np.nd
 class PieceCounts:
     """The second transducer. A state is a prefix; ``count`` and ``last`` are its number of tokens and its last token."""
 
-    def __init__(self, vocab: dict[bytes, int], parts: dict[int, tuple[int, int]], merges: dict[tuple[int, int], int]):
-        self.vocab, self.parts, self.merges = vocab, parts, merges
+    def __init__(self, vocab: dict[bytes, int], parts: dict[int, tuple[int, int]], merges: dict[tuple[int, int], int], most: int = MAX_STATES):
+        self.vocab, self.parts, self.merges, self.most = vocab, parts, merges, most
+        self.recent: dict[bytes, int] = {}
         self.longest = max(map(len, vocab))
         self.fits: dict[int, bool] = {}
         self.reset()
@@ -124,6 +132,17 @@ class PieceCounts:
         self.edges: dict[int, int] = {}
         self.count, self.last, self.up = [0], [-1], [0]
 
+    def rebase(self, node: int) -> int:
+        """Forget all states but those that the next transitions from ``node`` can look at, which are then of this piece
+        only. Place 1 stands for what lies before them and is never looked at."""
+        chain = [node]
+        while len(chain) < self.longest:
+            chain.append(self.up[chain[-1]])
+        count, last = ([values[k] for k in reversed(chain)] for values in (self.count, self.last))
+        self.edges = {}
+        self.count, self.last, self.up = [0, 0, *count], [-1, -1, *last], [0, 1, *range(1, len(chain) + 1)]
+        return len(chain) + 1
+
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging leaves ``left`` and ``right`` apart when they meet: undo the latest merge of the two again
         and again, and see that no merge across the border would have come before it."""
@@ -166,16 +185,25 @@ class PieceCounts:
         raise ValueError("no token ends this prefix")
 
     def __call__(self, piece: bytes) -> int:
-        node, edges = 0, self.edges
+        known = self.recent.get(piece)
+        if known is not None:
+            return known
+        node, rebased = 0, False
         for i, byte in enumerate(piece):
             key = node << 8 | byte
-            to = edges.get(key)
+            to = self.edges.get(key)
             if to is None:
-                to = edges[key] = self.compile(node, piece[max(0, i + 1 - self.longest) : i + 1] if i >= self.longest else piece[: i + 1])
+                to = self.edges[key] = self.compile(node, piece[max(0, i + 1 - self.longest) : i + 1])
+                if len(self.up) > self.most and i >= self.longest:
+                    to, rebased = self.rebase(to), True
             node = to
         n = self.count[node]
-        if len(self.up) > MAX_STATES:
+        if rebased or len(self.up) > self.most:
             self.reset()
+        if len(self.recent) > RECENT:
+            self.recent.clear()
+        if len(piece) <= self.longest:
+            self.recent[piece] = n
         return n
 
 
@@ -212,12 +240,10 @@ def transducers(key: str, tables: dict) -> tuple:
 
 def count_group(texts: list[str], tables: dict, to: np.ndarray, emit: np.ndarray, counts: PieceCounts) -> list[int]:
     """Tokens of each text."""
-    out = [0] * len(texts)
+    out = np.zeros(len(texts), np.int64)
     parts, owner = [], []
     for i, text in enumerate(texts):
-        segments = [text]
-        for special in tables["special"]:
-            segments = [x for s in segments for x in s.split(special)]
+        segments = split_special(text, tables["special"])
         out[i] = len(segments) - 1
         parts += segments
         owner += [i] * len(segments)
@@ -226,24 +252,48 @@ def count_group(texts: list[str], tables: dict, to: np.ndarray, emit: np.ndarray
     codes = np.full(int(ends[-1]), 0x110000, np.uint32)
     inside = np.ones(len(codes), bool)
     inside[ends - 1] = False
-    codes[inside] = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    whole = "".join(parts)
+    codes[inside] = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
     starts = np.flatnonzero(piece_starts(tables["classes"][codes], to, emit))
-    sizes = np.diff(np.append(starts, len(codes)))
-    mixed = (codes.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(29)
-    powers = np.cumprod(np.full(int(sizes.max()), 0x94D049BB133111EB, np.uint64))
-    mixed *= powers[np.arange(len(codes)) - np.repeat(starts, sizes)]
-    prints = np.add.reduceat(mixed, starts) ^ (mixed[starts] >> np.uint64(31))
-    real = codes[starts] != 0x110000
-    _, first, inverse = np.unique(prints[real], return_index=True, return_inverse=True)
-    at, to_ = starts[real][first].tolist(), (starts[real][first] + sizes[real][first]).tolist()
-    raw = codes.tobytes()
-    each = np.fromiter((counts(raw[4 * a : 4 * b].decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")) for a, b in zip(at, to_)), np.int64, len(at))
-    if len(each):
-        segment = np.searchsorted(ends, starts[real], side="right")
-        text_of = np.asarray(owner)[segment]
-        sums = np.bincount(text_of, weights=each[inverse], minlength=len(texts)).astype(np.int64)
-        out = [a + b for a, b in zip(out, sums.tolist())]
+    starts = starts[codes[starts] != 0x110000]
+    if not len(starts):
+        return out.tolist()
+    # Pieces as slices of the UTF-8 bytes; equal ones are found by their bytes.
+    n_bytes = np.where(inside, 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000), 0)
+    at = np.cumsum(n_bytes) - n_bytes
+    raw = whole.encode("utf-8", "surrogatepass")
+    offsets = np.append(at[starts], len(raw)).astype(np.int64)
+    pieces = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    each = np.fromiter(map(counts, pieces.dictionary.to_pylist()), np.int64, len(pieces.dictionary))
+    text_of = np.asarray(owner)[np.searchsorted(ends, starts, side="right")]
+    return (out + np.bincount(text_of, weights=each[pieces.indices.to_numpy()], minlength=len(texts)).astype(np.int64)).tolist()
+
+
+def slices(text: str, chars: int) -> Iterator[str]:
+    """A long text cut between pieces, into parts of about ``chars`` characters."""
+    at = 0
+    while len(text) - at > chars and (border := BORDER.search(text, at + chars)):
+        yield text[at : border.end()]
+        at = border.end()
+    yield text[at:]
+
+
+def counts_of(texts: Iterable[str], tables: dict, live: tuple, chars: int = GROUP_CHARS) -> Iterator[int]:
+    """Tokens of each text; long texts are counted slice by slice."""
+    for group in groups(texts, chars):
+        if len(group) == 1 and len(group[0]) > chars:
+            cut_at = [s for segment in split_special(group[0], tables["special"]) for s in slices(segment, chars)]
+            specials = len(split_special(group[0], tables["special"])) - 1
+            yield specials + sum(count_group([s], tables, *live)[0] for s in cut_at)
+        else:
+            yield from count_group(group, tables, *live)
+
+
+def split_special(text: str, special: list[str]) -> list[str]:
+    """The stretches between special tokens' strings."""
+    out = [text]
+    for s in special:
+        out = [x for part in out for x in part.split(s)]
     return out
 
 
@@ -276,7 +326,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         live = transducers(tokenizer_path, tables)
         for batch in batches:
             texts = batch.column("text")
-            counts = [n for group in groups(texts.to_pylist()) for n in count_group(group, tables, *live)]
+            counts = list(counts_of(texts.to_pylist(), tables, live))
             n_bytes = pc.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
