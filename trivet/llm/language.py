@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-One bit-sliced Bloom filter answers for all languages at once: each place holds a mask with one bit per language, and the
-AND over an n-gram's places is the set of languages that contain it. A text's n-grams are looked up, a popcount per
+One bit-sliced Bloom filter answers for all languages at once: each place holds a mask with one bit per language (as many
+words of 64 bits as the languages need), and the AND over an n-gram's places is the set of languages that contain it. A text's n-grams are looked up, a popcount per
 language is taken, corrected for the false positives expected at the language's fill rate, and the largest one decides.
 """
 
@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet.llm.shingles import U, batches_of, mix
@@ -22,7 +22,6 @@ from trivet.llm.shingles import U, batches_of, mix
 SIZES = (2, 3, 4)
 HASHES = 3
 SPACE = 32
-MAX_LANGUAGES = 64
 GROUP_CHARS = 400_000  # characters looked up at once
 
 
@@ -72,18 +71,24 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Filter:
-    """``masks[place]`` has a bit for each language; a gram is in a language when all its places have the bit."""
+    """``masks[word, place]`` has a bit for each language; a gram is in a language when all its places have the bit."""
 
     def __init__(self, langs: list[str], prints: np.ndarray, members: np.ndarray):
+        """``members`` are places in ``langs``; a gram of several languages stands several times."""
         self.langs = langs
-        self.bits = max(16, int(np.ceil(np.log2(max(1, len(prints)) * 10))))
-        kind = np.uint8 if len(langs) <= 8 else np.uint64
-        self.masks = np.zeros(1 << self.bits, kind)
+        self.bits = max(16, int(np.ceil(np.log2(max(1, len(np.unique(prints))) * 10))))
+        self.kind = np.uint8 if len(langs) <= 8 else np.uint64
+        self.width = 8 * self.kind().nbytes
+        self.masks = np.zeros((-(-len(langs) // self.width), 1 << self.bits), self.kind)
+        bit = np.left_shift(self.kind(1), (members % self.width).astype(self.kind))
         for place in self.places(prints):
-            np.bitwise_or.at(self.masks, place, members.astype(kind))
-        fill = np.array([((self.masks >> kind(i)) & kind(1)).mean() for i in range(len(langs))])
+            np.bitwise_or.at(self.masks, (members // self.width, place), bit)
+        fill = np.array([self._bit(self.masks[i // self.width], i).mean() for i in range(len(langs))])
         self.chance = np.minimum(fill**HASHES, 0.99)
 
+    def _bit(self, words: np.ndarray, lang: int) -> np.ndarray:
+        return (words >> self.kind(lang % self.width)) & self.kind(1)
+
     def places(self, prints: np.ndarray) -> Iterator[np.ndarray]:
         step = (prints >> U(40)) | U(1)
         for k in range(HASHES):
@@ -92,29 +97,31 @@ class Filter:
     def hits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Corrected share of each text's n-grams that each language contains, the texts' n-grams, and who has letters."""
         prints, owners, has = grams(texts)
-        mask = None
-        for place in self.places(prints):
-            mask = self.masks[place] if mask is None else mask & self.masks[place]
+        places = list(self.places(prints))
         total = np.bincount(owners, minlength=len(texts))
-        found = np.stack([np.bincount(owners, weights=(mask >> mask.dtype.type(i)) & mask.dtype.type(1), minlength=len(texts)) for i in range(len(self.langs))], 1)
+        found = np.empty((len(texts), len(self.langs)))
+        for i in range(len(self.langs)):
+            if i % self.width == 0:
+                words = self.masks[i // self.width]
+                mask = np.bitwise_and.reduce([words[place] for place in places])
+            found[:, i] = np.bincount(owners, weights=self._bit(mask, i), minlength=len(texts))
         n = np.maximum(total, 1)[:, None]
         return np.clip((found - n * self.chance) / (1 - self.chance) / n, 0, 1), total, has
 
 
 def fit(docs: DataFrame, per_language: int = 3000, share: float = 0.25, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Filter | None:
     """Learn from about ``per_language`` labelled texts of each language (a sample by print of id and text, so the model's
-    size does not grow with the input), none of them held out. A language contains an n-gram that occurs in it twice or
+    size grows with the number of languages only), none of them held out. Every language is learned. A language contains an n-gram that occurs in it twice or
     more, at ``share`` or more of the rate that the n-gram has where it is most frequent. None without labelled texts."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     src = src.filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in src.groupBy("lang").count().collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
     luck = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chance = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)])
-    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)])
-    sample = src.select("text", place[F.col("lang")].alias("l"), (luck < chance[F.col("lang")]).alias("ok")).filter("ok").select("text", "l")
+    of_lang = docs.sparkSession.createDataFrame([(lang, i, per_language / sizes[lang]) for i, lang in enumerate(langs)], "lang string, l int, chance double")
+    sample = src.withColumn("luck", luck).join(F.broadcast(of_lang), "lang").filter("luck < chance").select("text", "l")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +136,12 @@ def fit(docs: DataFrame, per_language: int = 3000, share: float = 0.25, id_col:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "g", "n"])
 
     counts = sample.mapInArrow(count, "l int, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
-    rates = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("l")))  # bounded by the sample
-    best = rates.withColumn("top", F.max("rate").over(Window.partitionBy("g")))
-    kept = best.filter((F.col("n") >= 2) & (F.col("rate") >= share * F.col("top")))
-    masks = kept.groupBy("g").agg(F.expr("bit_or(shiftleft(1L, l))").alias("m")).toArrow()
-    return Filter(langs, masks.column("g").to_numpy().view(np.uint64), masks.column("m").to_numpy().view(np.uint64))
+    totals = counts.groupBy("l").agg(F.sum("n").alias("all"))  # a row for each language
+    rates = counts.join(F.broadcast(totals), "l").withColumn("rate", F.col("n") / F.col("all"))
+    best = rates.groupBy("g").agg(F.max("rate").alias("top"), F.collect_list(F.struct("l", "n", "rate")).alias("each"))  # of languages at most
+    kept = best.select("g", "top", F.explode("each").alias("x")).filter((F.col("x.n") >= 2) & (F.col("x.rate") >= share * F.col("top")))
+    members = kept.select("g", "x.l").toArrow()  # bounded by the sample
+    return Filter(langs, members.column("g").to_numpy().view(np.uint64), members.column("l").to_numpy().astype(np.int64))
 
 
 def identify(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
