@@ -1,94 +1,174 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
-A text is unwrapped and cut into sentences, each sentence is normalised, known sentences become identifiers, and a licence
+A text is cut into sentences, each sentence is unwrapped and normalised, known sentences become identifiers, and a licence
 is found where its rule, an ordered list of identifiers, is a subsequence of the text's identifiers.
 """
 
 from __future__ import annotations
 
+import json
+import re
+from collections import Counter
+from collections.abc import Iterable
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trivet.llm.common import let
 
-#: Licence sentences in normal form (lower case, letters and digits only). Wording of public licences.
-#: Every sentence holds one of ANCHORS.
-SENTENCES: dict[str, int] = {
-    "released under the mit license": 1,
-    "licensed under the mit license": 2,
+NOT_WORD = r"[^a-z0-9]+"
+#: Licences: name, SPDX identifiers, and how texts call them, in normal form. Public names.
+LICENCES: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
+    ("0bsd", ("0BSD",), ("zero clause bsd license", "0bsd license")),
+    ("afl-3.0", ("AFL-3.0",), ("academic free license version 3 0", "academic free license 3 0")),
+    ("agpl-3.0", ("AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL-3.0"), ("gnu affero general public license version 3", "affero gpl version 3", "agplv3", "agpl 3 0")),
+    ("apache-2.0", ("Apache-2.0",), ("apache license version 2 0", "apache license 2 0", "apache 2 0 license", "apache 2 0")),
+    ("artistic-2.0", ("Artistic-2.0",), ("artistic license 2 0", "artistic license version 2 0")),
+    ("bsd-2-clause", ("BSD-2-Clause",), ("bsd 2 clause license", "simplified bsd license", "2 clause bsd license", "freebsd license")),
+    ("bsd-3-clause", ("BSD-3-Clause",), ("bsd 3 clause license", "new bsd license", "3 clause bsd license", "modified bsd license")),
+    ("bsl-1.0", ("BSL-1.0",), ("boost software license version 1 0", "boost software license 1 0")),
+    ("cc0-1.0", ("CC0-1.0",), ("creative commons zero v1 0 universal license", "cc0 1 0 universal license", "cc0 1 0", "cc0")),
+    ("cc-by-3.0", ("CC-BY-3.0",), ("cc by 3 0", "creative commons attribution 3 0 license")),
+    ("cc-by-4.0", ("CC-BY-4.0",), ("cc by 4 0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0 license")),
+    ("cc-by-nc-4.0", ("CC-BY-NC-4.0",), ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license")),
+    ("cc-by-nc-nd-4.0", ("CC-BY-NC-ND-4.0",), ("cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international license")),
+    ("cc-by-nc-sa-4.0", ("CC-BY-NC-SA-4.0",), ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license")),
+    ("cc-by-nd-4.0", ("CC-BY-ND-4.0",), ("cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license")),
+    ("cc-by-sa-3.0", ("CC-BY-SA-3.0",), ("cc by sa 3 0", "creative commons attribution sharealike 3 0 license")),
+    ("cc-by-sa-4.0", ("CC-BY-SA-4.0",), ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0 license")),
+    ("cddl-1.0", ("CDDL-1.0",), ("common development and distribution license version 1 0", "common development and distribution license 1 0")),
+    ("epl-1.0", ("EPL-1.0",), ("eclipse public license version 1 0", "eclipse public license v1 0", "eclipse public license 1 0")),
+    ("epl-2.0", ("EPL-2.0",), ("eclipse public license version 2 0", "eclipse public license v2 0", "eclipse public license 2 0")),
+    ("eupl-1.2", ("EUPL-1.2",), ("european union public licence version 1 2", "european union public licence 1 2", "eupl 1 2")),
+    ("gpl-2.0", ("GPL-2.0-only", "GPL-2.0-or-later", "GPL-2.0"), ("gnu general public license version 2", "gnu gpl version 2", "gpl version 2", "gplv2", "gnu general public license v2 0")),
+    ("gpl-3.0", ("GPL-3.0-only", "GPL-3.0-or-later", "GPL-3.0"), ("gnu general public license version 3", "gnu gpl version 3", "gpl version 3", "gplv3", "gnu general public license v3 0")),
+    ("isc", ("ISC",), ("isc license",)),
+    ("lgpl-2.1", ("LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-2.1"), ("gnu lesser general public license version 2 1", "gnu lgpl version 2 1", "lgplv2 1")),
+    ("lgpl-3.0", ("LGPL-3.0-only", "LGPL-3.0-or-later", "LGPL-3.0"), ("gnu lesser general public license version 3", "gnu lgpl version 3", "lgplv3")),
+    ("mit", ("MIT",), ("mit license", "terms of the mit license", "expat license")),
+    ("mit-0", ("MIT-0",), ("mit no attribution license", "mit 0 license")),
+    ("mpl-1.1", ("MPL-1.1",), ("mozilla public license version 1 1", "mozilla public license 1 1")),
+    ("mpl-2.0", ("MPL-2.0",), ("mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0")),
+    ("ms-pl", ("MS-PL",), ("microsoft public license",)),
+    ("odbl-1.0", ("ODbL-1.0",), ("open database license version 1 0", "open data commons open database license")),
+    ("ofl-1.1", ("OFL-1.1",), ("sil open font license version 1 1", "sil open font license 1 1")),
+    ("osl-3.0", ("OSL-3.0",), ("open software license version 3 0", "open software license 3 0")),
+    ("postgresql", ("PostgreSQL",), ("postgresql license",)),
+    ("python-2.0", ("Python-2.0",), ("python software foundation license version 2", "psf license")),
+    ("unlicense", ("Unlicense",), ("unlicense",)),
+    ("upl-1.0", ("UPL-1.0",), ("universal permissive license version 1 0", "universal permissive license v 1 0")),
+    ("wtfpl", ("WTFPL",), ("do what the fuck you want to public license", "wtfpl")),
+    ("zlib", ("Zlib",), ("zlib license", "zlib libpng license")),
+)
+#: Beginnings of sentences that name a licence; ``the`` may stand before the name.
+PHRASES = ("licensed under", "released under", "distributed under", "available under", "made available under", "this work is licensed under", "this project is licensed under", "this software is licensed under", "this file is licensed under", "this code is released under", "this program is licensed under", "this content is licensed under", "published under", "dual licensed under")
+
+#: Sentences of licence texts in normal form (lower case, letters and digits only), as :func:`sentences` yields them from
+#: the notices. Wording of public licences.
+NOTICES: dict[str, int] = {
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": 3,
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": 4,
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": 5,
-    "licensed under the apache license version 2 0": 6,
     "licensed under the apache license version 2 0 the license": 7,
     "you may not use this file except in compliance with the license": 8,
     "you may obtain a copy of the license at": 9,
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": 10,
-    "this work is licensed under the gnu general public license version 3": 11,
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": 12,
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": 13,
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": 13,
     "without even the implied warranty of merchantability or fitness for a particular purpose": 14,
-    "licensed under cc by nc 4 0": 15,
-    "licensed under cc by 4 0": 16,
-    "licensed under cc by sa 4 0": 17,
-    "this work is licensed under a creative commons attribution 4 0 international license": 18,
+    "either version 2 of the license or at your option any later version": 15,
+    "either version 3 of the license or at your option any later version": 16,
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": 17,
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": 18,
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": 19,
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": 20,
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": 21,
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": 22,
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": 23,
-    "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": 24,
-    "this source code form is subject to the terms of the mozilla public license v 2 0": 25,
-    "if a copy of the mpl was not distributed with this file you can obtain one at": 26,
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": 24,
+    "this source code form is subject to the terms of the mozilla public license v": 25,
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": 26,
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": 26,
     "this is free and unencumbered software released into the public domain": 27,
-    "spdx license identifier mit": 28,
-    "spdx license identifier apache 2 0": 29,
-    "spdx license identifier gpl 3 0 or later": 30,
-    "spdx license identifier gpl 2 0 or later": 31,
-    "spdx license identifier bsd 3 clause": 32,
-    "spdx license identifier mpl 2 0": 33,
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": 28,
+    "either version 2 1 of the license or at your option any later version": 29,
+    "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law including all related and neighboring rights to the extent allowed by law": 30,
+    "this software is provided as is without any express or implied warranty": 31,
+    "in no event will the authors be held liable for any damages arising from the use of this software": 32,
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": 33,
+    "boost software license version 1 0 august 17th 2003": 34,
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": 35,
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation": 36,
 }
 
 #: A licence and the ordered identifiers that its presence needs; other known sentences may stand between them.
-RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
-    ("apache-2.0", (6,)),
+NOTICE_RULES: tuple[tuple[str, tuple[int, ...]], ...] = (
+    ("agpl-3.0", (35, 14)),
+    ("agpl-3.0", (36, 16, 14)),
     ("apache-2.0", (7, 8, 9, 10)),
-    ("apache-2.0", (29,)),
     ("bsd-2-clause", (19, 20, 21)),
     ("bsd-3-clause", (19, 20, 21, 22)),
-    ("bsd-3-clause", (32,)),
-    ("cc-by-4.0", (16,)),
-    ("cc-by-4.0", (18,)),
-    ("cc-by-nc-4.0", (15,)),
-    ("cc-by-sa-4.0", (17,)),
-    ("gpl-2.0", (13, 14)),
-    ("gpl-2.0", (31,)),
-    ("gpl-3.0", (11,)),
+    ("bsl-1.0", (34,)),
+    ("cc0-1.0", (30,)),
+    ("gpl-2.0", (13, 15, 14)),
     ("gpl-3.0", (12, 14)),
-    ("gpl-3.0", (30,)),
+    ("gpl-3.0", (13, 16, 14)),
     ("isc", (23, 24)),
-    ("mit", (1,)),
-    ("mit", (2,)),
+    ("lgpl-2.1", (18, 29, 14)),
+    ("lgpl-3.0", (17, 14)),
+    ("lgpl-3.0", (18, 16, 14)),
     ("mit", (3, 4, 5)),
-    ("mit", (28,)),
-    ("mpl-2.0", (25,)),
-    ("mpl-2.0", (26,)),
-    ("unlicense", (27,)),
+    ("mpl-2.0", (25, 26)),
+    ("unlicense", (27, 28)),
+    ("zlib", (31, 32, 33)),
 )
+NAMED = 1000  # the identifier of the first licence's name; sentences that only name a licence say the same
 
-#: Lower-case stems; a text without any of them has no known sentence and is not cut up.
-ANCHORS = "licen[sc]|permission|warrant|redistribut|copyright|distributed|public domain|spdx"
 
-#: A single line break inside a sentence, with comment marks after it, is a space. (No look-around: SQL shares these.)
-WRAPPED = r"([^.;:!?\n])\r?\n[ \t]*(?:[#*/;]+[ \t]*)?([a-z(])"
-SENTENCE_END = r"[.;:!?][ \t\r\n]+|[ \t\r]*\n[ \t\r\n]*"
-NOT_WORD = r"[^a-z0-9]+"
+def normal(name: str) -> str:
+    """The normal form of ASCII text."""
+    return " ".join(re.sub(NOT_WORD, " ", name.lower()).split())
+
+
+#: All known sentences: those of notices, and by rule every phrase with every name and every SPDX tag.
+SENTENCES: dict[str, int] = NOTICES | {
+    sentence: NAMED + i
+    for i, (_, tags, names) in enumerate(LICENCES)
+    for sentence in (*(f"spdx license identifier {normal(t)}" for t in tags), *(f"{phrase}{the} {name}" for phrase, the, name in product(PHRASES, ("", " the"), names)))
+}
+RULES = NOTICE_RULES + tuple((name, (NAMED + i,)) for i, (name, _, _) in enumerate(LICENCES))
+
+#: Where sentences end: marks before white space, and lines that are empty but for a comment's mark. (No look-around: SQL
+#: shares these.)
+SENTENCE_END = r"[.;:!?][ \t\r\n]+|[ \t\r]*\n[ \t]*(?:[#*/;]+)?[ \t]*\r?\n[ \t\r\n]*"
+#: A tag and its value are one sentence.
+TAG = r"(?i)(spdx-license-identifier):"
+#: A line break inside a sentence, with comment marks after it.
+LINE_BREAK = r"[ \t]*\r?\n[ \t]*(?:[#*/;]+[ \t]*)?"
+
+
+def words(text: Column) -> Column:
+    """The normal form."""
+    return F.trim(F.regexp_replace(F.lower(text), NOT_WORD, " "))
 
 
 def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order; empty ones stay, so positions count every cut."""
-    unwrapped = F.regexp_replace(text, WRAPPED, "$1 $2")
-    return F.transform(F.split(unwrapped, SENTENCE_END, -1), lambda s: F.trim(F.regexp_replace(F.lower(s), NOT_WORD, " ")))
+    """A text's sentences, in order, lines in them still broken; empty ones stay, so positions count every end."""
+    return F.split(F.regexp_replace(text, TAG, "$1"), SENTENCE_END, -1)
+
+
+def stems(known: Iterable[str]) -> str:
+    """A pattern of letters that every known sentence holds: a text without any of them has no known sentence. Built from
+    the sentences: the most frequent words first, until each sentence has one."""
+    left = {s: set(s.split()) for s in known}
+    found: list[str] = []
+    while left:
+        top = Counter(w for ws in left.values() for w in ws)
+        word = max(top, key=lambda w: (top[w] * (len(w) > 4) or top[w] / 1000, len(w), w))
+        found.append(word)
+        left = {s: ws for s, ws in left.items() if word not in ws}
+    return "|".join(sorted(found))
 
 
 def rule_pattern(ids: tuple[int, ...]) -> str:
@@ -102,25 +182,35 @@ def scan_licenses(
     text_col: str = "text",
     known: dict[str, int] = SENTENCES,
     rules: tuple[tuple[str, tuple[int, ...]], ...] = RULES,
-    anchors: str = ANCHORS,
 ) -> DataFrame:
     """Return ``doc_id, hits array<struct<position,sentence_id>>, licenses array<string>`` for every row.
 
-    ``position`` counts sentences from 0. ``licenses`` is sorted and distinct.
+    A sentence is known as a whole, its line breaks taken as spaces, or else by single lines of it. ``position`` counts
+    sentences from 0. ``licenses`` is sorted and distinct. The table of sentences is a literal of the plan: it has the size
+    of ``known``, whatever the input.
 
     * null and empty texts, and texts without a known sentence, have empty arrays; an empty table gives no rows.
     * repeated rows each give a row; a sentence that repeats is a hit each time. Very long texts are scanned whole.
     * where several rules of one licence hold, it is named once; other columns of the input are not read.
     """
-    by_sentence = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    may = stems(known)
+    by_sentence = F.from_json(F.lit(json.dumps(known)), "map<string,int>")
+    by_sentence = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]) if len(known) <= 20 else by_sentence
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    def hits_in(sentence: Column, position: Column, table: Column) -> Column:
+        sid = lambda part: F.when(part.rlike(f"(?i){may}"), F.try_element_at(table, words(part)))
+        hit = lambda part: F.struct(position.alias("position"), sid(part).alias("sentence_id"))
+        whole = hit(F.regexp_replace(sentence, LINE_BREAK, " "))
+        lines = lambda h: F.when(h["sentence_id"].isNotNull() | ~F.contains(sentence, F.lit("\n")), F.array(h)).otherwise(F.transform(F.split(sentence, "\n"), hit))
+        return let(whole, lines)
+
     def hits_of(parts: Column) -> Column:
-        ids = F.transform(parts, lambda s, i: F.struct(i.alias("position"), F.try_element_at(by_sentence, s).alias("sentence_id")))
-        return F.filter(ids, lambda h: h["sentence_id"].isNotNull())
+        every = F.flatten(F.transform(parts, lambda s, i: hits_in(s, i, by_sentence)))
+        return F.filter(every, lambda h: h["sentence_id"].isNotNull())
 
     none = F.from_json(F.lit("[]"), "array<struct<position:int,sentence_id:int>>")
-    hits = F.when(F.lower("text").rlike(anchors), let(sentences(F.col("text")), hits_of)).otherwise(none)
+    hits = F.when(F.col("text").rlike(f"(?i){may}"), let(sentences(F.col("text")), hits_of)).otherwise(none)
     scanned = src.select("doc_id", hits.alias("hits"))
 
     def licenses_of(seq: Column) -> Column:
@@ -147,16 +237,23 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _oracle() -> str:
     known = ", ".join(f"('{s}', {i})" for s, i in SENTENCES.items())
     named = ", ".join(f"CASE WHEN regexp_matches(seq, '{rule_pattern(ids)}') THEN '{name}' END" for name, ids in RULES)
+    norm = lambda part: f"trim(regexp_replace(lower({part}), '{NOT_WORD}', ' ', 'g'))"
     return f"""
 WITH known(sentence, sid) AS (VALUES {known}),
 parts AS (
   SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) - 1 AS position
-  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '{WRAPPED}', '\\1 \\2', 'g'), '{SENTENCE_END}') AS p
-        FROM documents)),
-hits AS (
-  SELECT doc_id, position, sid FROM parts JOIN known ON sentence = trim(regexp_replace(lower(part), '{NOT_WORD}', ' ', 'g'))),
+  FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(coalesce(text, ''), '{TAG}', '\\1', 'g'), '{SENTENCE_END}') AS p FROM documents)),
+whole AS (
+  SELECT doc_id, position, 0 AS line, sid FROM parts JOIN known ON sentence = {norm(f"regexp_replace(part, '{LINE_BREAK}', ' ', 'g')")}),
+lines AS (
+  SELECT doc_id, position, line, sid FROM (
+    SELECT doc_id, position, unnest(l) AS part, generate_subscripts(l, 1) AS line
+    FROM (SELECT p.doc_id, p.position, string_split(part, chr(10)) AS l FROM parts p ANTI JOIN whole w ON p.doc_id = w.doc_id AND p.position = w.position
+          WHERE contains(part, chr(10))))
+  JOIN known ON sentence = {norm("part")}),
+hits AS (SELECT * FROM whole UNION ALL SELECT * FROM lines),
 seqs AS (
-  SELECT doc_id, count(*) AS n_hits, string_agg(sid::VARCHAR, ',' ORDER BY position) AS sentence_ids, min(position) AS first_position
+  SELECT doc_id, count(*) AS n_hits, string_agg(sid::VARCHAR, ',' ORDER BY position, line) AS sentence_ids, min(position) AS first_position
   FROM hits GROUP BY doc_id),
 named AS (
   SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([{named}], lambda x: x IS NOT NULL))), ',') AS licenses
