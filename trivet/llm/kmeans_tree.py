@@ -3,7 +3,7 @@
 The tree is fitted on a bounded sample of vectors; every vector is put in its leaf. A query walks the tree with a priority
 queue of nodes, best centre first, and visits leaves in the order in which they come off the queue. How many it visits is
 calibrated: a few queries are compared with all vectors, and the number is the one at which their true neighbours are
-found at the wanted rate. Leaf contents and the queries that visit them meet in blocks of bounded size.
+found at the wanted rate. Leaf contents and the queries that visit them meet in blocks of bounded size on both sides.
 
 Equal vectors are one entry with their smallest ids, as many as any result can hold, so copies cost nothing twice.
 """
@@ -23,10 +23,12 @@ from trivet.llm.common import cut
 
 SAMPLE = 20_000  # vectors that the tree is fitted on, about
 BRANCHES = 8
-LEAVES = 64  # leaves that the tree has, about; blocks part large ones
+LEAVES = 64  # leaves that the tree has at the least, about, where there are vectors enough
+LEAF_ROWS = 2000  # vectors in a leaf of a large table, about: leaves grow with the table, as far as the sample can tell them apart
 LEAF = 40  # sampled vectors in a leaf, at the least
 TRIALS = 200  # queries of the calibration, about
 BLOCK_ROWS = 4096
+BLOCK_QUERIES = 2048
 
 
 @dataclass
@@ -155,7 +157,7 @@ def nearest(
     n = rows.count()
     luck = F.pmod(F.xxhash64("v", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
     fitted = matrix(rows.filter(luck < sample / max(n, 1)).select("v").distinct().orderBy("v").toArrow().column("v").combine_chunks())
-    tree = Tree(fitted, leaf=max(leaf, len(fitted) // LEAVES))
+    tree = Tree(fitted, leaf=max(leaf, len(fitted) // max(LEAVES, n // LEAF_ROWS)))
     shared = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,11 +167,16 @@ def nearest(
 
     indexed = cut(entries.mapInArrow(place, f"{schema}, e bigint, leaf int"))
     asked = cut(rows.filter(queries).select("vec_id", "v"))
-    wanted = cut(asked.select("v").distinct().withColumn("q", F.xxhash64("v")))  # a vector is looked up once
+    # A vector is looked up once, under 128 bits of its digest.
+    wanted = cut(asked.select("v").distinct().withColumn("q", F.unhex(F.md5(F.array_join(F.col("v").cast("array<string>"), ",")))))
     per_leaf = {r.leaf: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # bounded by the tree
     n_visits = calibrate(wanted, indexed, tree, k, recall)
     blocks = {i: -(-c // BLOCK_ROWS) for i, c in per_leaf.items()}
-    q_blocks = 64
+    n_wanted = wanted.count()
+    # Queries of a leaf are dealt over as many turns as keep a turn's queries few; a block's rows come to each turn.
+    turns = max(1, -(-n_wanted * n_visits // (max(1, tree.n_leaves) * BLOCK_QUERIES)))
+    q_blocks = max(64, n_wanted // BLOCK_QUERIES)
+    turn_of = F.pmod(F.xxhash64("q"), F.lit(turns)).cast("int")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,8 +219,10 @@ def nearest(
 
     block_of = F.create_map(*[F.lit(x) for i, b in sorted(blocks.items()) for x in (i, b)]) if blocks else F.create_map(F.lit(0), F.lit(1))
     filed = indexed.select("v", "ids", "leaf", F.pmod(F.xxhash64("v", F.lit(2)), block_of[F.col("leaf")]).cast("int").alias("block"))
-    visiting = wanted.repartition(q_blocks, "q").mapInArrow(walk, "q bigint, v array<double>, leaf int, block int")
-    hits = visiting.groupBy("leaf", "block").cogroup(filed.groupBy("leaf", "block")).applyInArrow(search, "q bigint, s double, ids array<bigint>")
+    filed = filed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    visiting = wanted.repartition(q_blocks, "q").mapInArrow(walk, "q binary, v array<double>, leaf int, block int").withColumn("turn", turn_of)
+    keys = ["leaf", "block", "turn"]
+    hits = visiting.groupBy(*keys).cogroup(filed.groupBy(*keys)).applyInArrow(search, "q binary, s double, ids array<bigint>")
     best = _merge(hits, k + 1).groupBy("q").agg(F.collect_list(F.struct("s", "ids")).alias("found"))
     named = cut(wanted.join(best, "q").select("v", "found"))
     # Every query of a vector takes its list, without itself.
