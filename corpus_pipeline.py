@@ -21,13 +21,19 @@ MIXTURE = mixing.Mixture(budget="cover")
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text belongs to a language; null texts and texts without letters go. What is learned comes from
-    the documents given."""
+    """Documents whose text belongs to a language; null and empty texts and texts without letters go. What is learned comes
+    from the documents given. Repeated rows share their fate, ids may be null, texts of any length are read whole, an empty
+    table gives no rows; a tie between languages goes to the first by name and decides nothing here."""
     found = language.language_of(spark, language.fit(docs))(F.col("text"))
     rows = docs.select("*", found.alias("_found"))
     return rows.filter((F.col("_found.lang_pred") != "und") & (F.col("_found.score") >= LEAST_SCORE)).drop("_found")
 
 
+def digest(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.unhex(F.md5(text))
+
+
 def text_print(text: Column, digest: Callable[[Column], Column]) -> Column:
     """What equal texts, in the sense of ``exact_dedup``, have in common."""
     return digest(ascii_lower(F.coalesce(text, F.lit(""))))
@@ -45,27 +51,30 @@ def only(docs: DataFrame, digest: Callable[[Column], Column], kept: DataFrame) -
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts; rows that repeat its id and its text stay with it. A group of null ids
-    only keeps one row."""
+    """One document of each group of equal texts, that of the largest id; rows that repeat its id and its text stay with
+    it. A group of null ids only keeps one row, the least. Null and empty texts are equal to each other."""
     found = exact_dedup.exact_dedup(docs).filter("kept AND doc_id IS NOT NULL OR keep_id IS NULL")
     return only(docs, lambda t: F.sha2(t, 256), found.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_own")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that links join; documents without words stay. Among rows of one id
-    the print of the text decides, and so it does in a group of null ids only."""
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_print(F.col("text"), F.xxhash64).alias("own"))
+    """The document of the smallest id of each group that links join; documents without words stay, null and empty texts
+    among them. Among rows of one id the digest of the text decides, and so it does in a group of null ids only."""
+    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_print(F.col("text"), digest).alias("own"))
     found = ngram_join.jaccard_join(docs.select(name.alias("doc_id"), "text")).filter("doc_id = component_id")
-    return only(docs, F.xxhash64, found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.own").alias("_own")))
+    return only(docs, digest, found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.own").alias("_own")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's weight asks for, once at least."""
+    """Documents as often as their source's weight asks for, once at least. A null source is a source; repeated rows and
+    null ids count as documents, ties in the blocks' order go by the digest of the row, empty texts weigh nothing and stay
+    once, texts of any length weigh their tokens."""
     return mixing.realise(docs, MIXTURE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and its digest after decoding."""
+    """Token ids of every document, and its digest after decoding. A row for each row: repeated rows and null ids too; a
+    null text has no tokens; texts of any length are encoded whole."""
     return bpe_words.encode_decode(docs, tokenizer("word_bpe_49k.json"))
 
 
