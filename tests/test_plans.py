@@ -103,15 +103,15 @@ def test_benchmark_evaluate_distill(spark):
     cases = benchmark.smoke_cases(spark)
     rows = benchmark.bench_rows(cases, {"native": triage.native_provider}, ("direct_json", "tool_assisted"))
     summary = {r.strategy: r for r in metrics.benchmark_summary(rows).collect()}
-    assert summary["direct_json"].n == 6 and summary["direct_json"].recall == 1.0
+    assert summary["direct_json"].n == 7 and summary["direct_json"].recall == 0.5
     pairs = cases.select("record_id", F.lit("p").alias("prompt"), "status", "is_credentials", F.lit("{}").alias("completion"))
     answered = benchmark.timed(lambda p: '{"status": "REAL"}')(pairs)
     scored = benchmark.evaluate(answered)
-    assert scored.filter("predicted_binary = 1 AND latency_ms >= 0 AND json_valid AND NOT schema_valid").count() == 6
+    assert scored.filter("predicted_binary = 1 AND latency_ms >= 0 AND json_valid AND NOT schema_valid").count() == 7
     teacher = triage.callable_provider(lambda p, s, m, t: '{"reasoning": "because", "evidence": "one"}')
     done = pairs.select("record_id").limit(2)
     out = benchmark.distill(pairs, teacher, "t", done).collect()
-    assert len(out) == 4 and out[0].evidence == ["one"]
+    assert len(out) == 5 and out[0].evidence == ["one"]
     arrays = benchmark.training_arrays(pairs, lambda s: [ord(c) for c in s], length=6).first()
     assert arrays.input_ids == [112, 10, 123, 125, 0, 0] and arrays.labels == [-100, -100, 123, 125, -100, -100] and arrays.attention_mask == [1, 1, 1, 1, 0, 0]
 

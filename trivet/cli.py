@@ -62,7 +62,7 @@ def run_distill(spark: SparkSession, a: argparse.Namespace) -> None:
 def run_smoke(spark: SparkSession, a: argparse.Namespace) -> None:
     cases = benchmark.smoke_cases(spark)
     rows = benchmark.bench_rows(cases.withColumn("is_credentials", is_real(F.col("status"))), {"native": triage.native_provider}, ("direct_json",))
-    print(writers.small_json(metrics.benchmark_summary(rows)))
+    print(writers.small_json(benchmark.smoke_summary(rows)))
 
 
 def parser() -> argparse.ArgumentParser:

@@ -60,7 +60,7 @@ def build(
         writers.write_inspection(split.filter(F.col("split") == name), f"{out}/{name}_inspection")
     writers.write_inspection(rows, f"{out}/merged_inspection")
     writers.write_inspection(rows, f"{out}/merged_head", head=500)
-    writers.write_json_lines(writers.instruction_rows(pairs, INSTRUCTION), f"{out}/instructions")
+    writers.write_json_array(writers.instruction_rows(pairs, INSTRUCTION), f"{out}/instructions")
     report = merge_report(rows) | {"splits": {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}}
     spark.createDataFrame([(json.dumps(report, indent=2),)], "value string").coalesce(1).write.text(f"{out}/report")
     return report

@@ -491,10 +491,14 @@ def synthetic_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return synth.generate(spark)
 
 
-@query()
+@query(f"""WITH {REC}, run AS (SELECT record_id, 'synthetic/training_sample' AS file_path, 'documents' AS source, 'PASSWORD' AS pattern_name, coalesce(password, 'None') AS matched_value, context FROM rec),
+  s AS (SELECT CASE WHEN {_HARMLESS} THEN 'FALSE_POSITIVE' WHEN {_LIKELY} THEN 'REAL' ELSE 'REVIEW' END AS status FROM run)
+  SELECT 'native' AS model, strategy, count(*) AS n, 0::BIGINT AS tp, count_if(status <> 'REAL') AS tn, count_if(status = 'REAL') AS fp, 0::BIGINT AS fn, round(avg((status = 'REVIEW')::INT), 6) AS review_rate, 1.0::DOUBLE AS json_valid_rate,
+    CASE WHEN strategy = 'self_consistency' THEN round(avg((status = 'REVIEW')::INT), 6) END AS escalation_rate FROM s, (SELECT unnest({list(triage.STRATEGIES)}) AS strategy) GROUP BY strategy""")
 def strategy_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    recs = _records(spark, sf)
-    return metrics.benchmark_summary(benchmark.bench_rows(recs, {"native": triage.native_provider}))
+    """Every strategy on the records of all documents."""
+    rows = clusters.written(benchmark.bench_rows(_records(spark, sf), {"native": triage.native_provider}))
+    return metrics.benchmark_summary(rows).select("model", "strategy", "n", "tp", "tn", "fp", "fn", *[_r(c).alias(c) for c in ("review_rate", "json_valid_rate", "escalation_rate")])
 
 
 def _streamed(spark: SparkSession, sf: str, name: str, make: Callable[[DataFrame], DataFrame], complete: bool) -> DataFrame:

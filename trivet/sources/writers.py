@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +51,38 @@ def small_json(rows: DataFrame, most: int = 10_000) -> str:
     return json.dumps([r.asDict(recursive=True) for r in got], indent=2, ensure_ascii=False, default=str)
 
 
-def write_text(df: DataFrame, path: str) -> None:
-    """A one-column frame as text lines."""
-    df.write.text(path)
+def write_framed(lines: DataFrame, path: str, head: str, tail: str, between: str = ",") -> None:
+    """One text column as files that are whole by themselves: a head, the lines with ``between`` after all but the last,
+    and a tail. Each task writes its own file line by line, so no file is put together in one place."""
+
+    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": [head]})
+        held = None
+        for batch in batches:
+            rows = list(batch.iloc[:, 0])
+            if rows:
+                yield pd.DataFrame({"value": [r + between for r in ([] if held is None else [held]) + rows[:-1]]})
+                held = rows[-1]
+        yield pd.DataFrame({"value": ([] if held is None else [held]) + [tail]})
+
+    lines.mapInPandas(frame, "value string").write.text(path)
+
+
+def write_tuples(rows: DataFrame, path: str, title: str = "labelled findings") -> None:
+    """``context, username, password`` as tuple files, which :func:`trivet.sources.readers.read_tuples` reads."""
+
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            none = lambda x: None if x is None or x != x else x
+            yield pd.DataFrame({"value": [f"    {(none(c), none(u), none(p))!r}" for c, u, p in zip(b["context"], b["username"], b["password"])]})
+
+    lines = rows.select("context", "username", "password").mapInPandas(spell, "value string")
+    write_framed(lines, path, f"# {title}\ndataset = [", "]")
+
+
+def write_json_array(rows: DataFrame, path: str) -> None:
+    """Files that each hold one JSON array; nulls are written too."""
+    write_framed(rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")), path, "[", "]")
 
 
 def append_missing(rows: DataFrame, done: DataFrame | None, path: str, id_col: str = "record_id") -> None:
