@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from trivet.llm.common import Scratch, no_cycles
+from trivet.llm.common import no_cycles
 from trivet.llm.word_parts import answered, pack, parts_for, small, split, unpack, with_answers
 
+BATCH_CHARS = 6_000_000  # of texts whose distinct words move once
+
 _SPACE = "\t-\r \x85\xa0  -     　"
 _ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACE}\p{{L}}\p{{N}}]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -126,7 +128,6 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     * very long texts are encoded whole; other columns of the input are not read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     special = special_pattern(WordCoder.of(spec).special)
@@ -138,12 +139,15 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         with no_cycles():
             return positions_of(group, special)
 
-    dealt = split(src, parts, tokenise, scratch)
+    dealt = split(src, parts, tokenise, BATCH_CHARS)
 
     def encode(rows: Iterator[tuple[str, int, bytes]]) -> Iterator[tuple[str, int, bytes]]:
         """Each distinct word of a range is encoded when it is met first."""
         coder, known = WordCoder.of(shared.value), {}
         for name, part, data in rows:
+            if part < 0:
+                yield name, part, data
+                continue
             words = unpack(data)[0].tobytes().decode().split("\n")
             new = [w for w in words if w not in known]
             known.update(zip(new, (np.array(ids, np.uint32) for ids in coder.encode(new))))
@@ -167,7 +171,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             columns += [pa.array([[int(x) for x in t.split()] for t in coded], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
         return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if texts else [])])
 
-    return with_answers(dealt, answered(dealt, parts, encode), finish, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return with_answers(answered(dealt, parts, encode), finish, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
 
 
 class Spelling:

@@ -207,8 +207,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     kind = src.schema["doc_id"].dataType.simpleString()
     parts = parts_for(src)
-    dealt = split(src, parts, positions_of, scratch)
-    numbered = scratch.cut(answered(dealt, parts, lambda rows: number_words(rows, parts)))
+    dealt = scratch.cut(split(src, parts, positions_of))
+    numbered = scratch.cut(answered(dealt.filter("part >= 0"), parts, lambda rows: number_words(rows, parts)))
     texts_in, words_in, distinct = totals(dealt, numbered)
     n_all, norm = words_in + texts_in, float(words_in + texts_in + distinct + bool(texts_in) + 1)
 
@@ -244,7 +244,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         lists = pa.ListArray.from_arrays(pa.array([0] + [k] * len(out), pa.int32()), ids)
         return pa.Table.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array(out, pa.binary()), lists], ["part", "data", "ids"])
 
-    named = with_answers(dealt, numbered.filter("batch <> ''"), deal, f"part int, data binary, ids array<{kind}>", name=True)
+    named = with_answers(dealt.filter("part < 0").unionByName(numbered.filter("batch <> ''")), deal, f"part int, data binary, ids array<{kind}>", name=True)
     place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts))).otherwise(F.col("part"))
     doc_ids = pa.list_(pa.field("element", to_arrow(src.schema["doc_id"].dataType)))
 

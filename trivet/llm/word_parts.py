@@ -17,7 +17,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivet.llm.common import Scratch, batches_of_rows
 from trivet.llm.shingles import U, batches_of
 
 BATCH_CHARS = 3_000_000
@@ -91,8 +90,8 @@ def runs_of(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[lis
         yield out()
 
 
-def split(src: DataFrame, parts: int, words_of: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], scratch: Scratch) -> DataFrame:
-    """``batch, part, data, ids`` of texts (``doc_id, text, held_out``), written. A batch's own row has part -1, the ids of
+def split(src: DataFrame, parts: int, words_of: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], chars: int = BATCH_CHARS) -> DataFrame:
+    """``batch, part, data, ids`` of texts (``doc_id, text, held_out``). A batch's own row has part -1, the ids of
     its texts, and packed words of each text, flags, words of each part, counts and positions; the others have packed
     words and their counts in texts that are not held out. ``words_of`` gives the distinct words of texts, every position's
     word by number, and each text's number of words. Words hold no line break."""
@@ -100,7 +99,7 @@ def split(src: DataFrame, parts: int, words_of: Callable[[list[str]], tuple[list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for number, (texts, held, ids) in enumerate(runs_of(batches, BATCH_CHARS)):
+        for number, (texts, held, ids) in enumerate(runs_of(batches, chars)):
             words, positions, sizes = words_of(texts)
             names = np.array(words, object)
             part = (hash_array(names, hash_key=KEY, categorize=False) % U(parts)).astype(np.int64) if words else np.empty(0, np.int64)
@@ -121,19 +120,41 @@ def split(src: DataFrame, parts: int, words_of: Callable[[list[str]], tuple[list
             lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(data), pa.int32()), ids)
             yield pa.RecordBatch.from_arrays([pa.array([f"{task}:{number}"] * len(data)), pa.array([-1, *own.tolist()], pa.int32()), pa.array(data, pa.binary()), lists], ["batch", "part", "data", "ids"])
 
-    with batches_of_rows(src.sparkSession, 2000):
-        return scratch.cut(src.mapInArrow(run, f"batch string, part int, data binary, ids array<{kind}>"))
+    return src.mapInArrow(run, f"batch string, part int, data binary, ids array<{kind}>")
 
 
 def answered(dealt: DataFrame, parts: int, answer: Callable[[Iterator[tuple[str, int, bytes]]], Iterator[tuple[str, int, bytes]]]) -> DataFrame:
-    """``batch, part, data``: what ``answer`` makes of the words of each range, a row for each batch's words."""
+    """``batch, part, data, ids``: what ``answer`` makes of the words of each range, a row for each batch's words. Batches'
+    own rows, where ``dealt`` has them, pass by."""
+    ids = dealt.schema["ids"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((n, p, d) for batch in batches for n, p, d in zip(*(batch.column(c).to_pylist() for c in ("batch", "part", "data"))))
-        for name, part, data in answer(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary())], ["batch", "part", "data"])
-
-    return dealt.filter("part >= 0").select("batch", "part", "data").repartition(parts, "part").mapInArrow(run, "batch string, part int, data binary")
+        kind = None
+        own: list[pa.RecordBatch] = []
+
+        def words() -> Iterator[tuple[str, int, bytes]]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema
+                parts_ = batch.column("part").to_pylist()
+                if min(parts_) < 0:
+                    own.append(batch.filter(pa.array([p < 0 for p in parts_])))
+                for name, part, data in zip(batch.column("batch").to_pylist(), parts_, batch.column("data").to_pylist()):
+                    if part >= 0:
+                        yield name, part, data
+                    elif own:
+                        yield "", -1, b""  # gives way to the batches' own rows
+
+        for name, part, data in answer(words()):
+            while own:
+                yield own.pop()
+            if part >= 0:
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, kind.field("ids").type)], schema=kind)
+        while own:
+            yield own.pop()
+
+    place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
+    return dealt.repartition(parts, place).mapInArrow(run, f"batch string, part int, data binary, ids {ids.simpleString()}")
 
 
 def positions_in(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,11 +164,9 @@ def positions_in(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return sizes.astype(np.int64), held.astype(np.bool_), ranks(counts)[numbers] if len(counts) else np.empty(0, np.int64)
 
 
-def with_answers(dealt: DataFrame, answers: DataFrame, finish: Callable[[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray], list[list[np.ndarray]]], pa.Table], schema: str, name: bool = False) -> DataFrame:
-    """What ``finish`` makes of each batch: its ids, what :func:`positions_in` gives, and the arrays of its answers by
-    part; with ``name`` the batch's name stands before."""
-    none = F.lit(None).cast(dealt.schema["ids"].dataType)
-    both = dealt.filter("part < 0").unionByName(answers.select("batch", "part", "data", none.alias("ids")))
+def with_answers(both: DataFrame, finish: Callable[[pa.Array, tuple[np.ndarray, np.ndarray, np.ndarray], list[list[np.ndarray]]], pa.Table], schema: str, name: bool = False) -> DataFrame:
+    """What ``finish`` makes of each batch from its own row and its answers: it takes the batch's ids, what
+    :func:`positions_in` gives, and the arrays of the answers by part; with ``name`` the batch's name stands before."""
 
     def run(rows: pa.Table) -> pa.Table:
         order = np.argsort(rows.column("part").to_numpy())
