@@ -65,6 +65,21 @@ class Levels:
         self.file.close()
 
 
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+_ONES = _BITS.sum(1, dtype=np.uint8)
+#: The place of each byte's k-th one.
+_PLACE = np.array([[*np.flatnonzero(b), *[0] * (8 - b.sum())] for b in _BITS], np.int64)
+
+
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The place of the ``k``-th one, counted from 0, in each row of eight bytes."""
+    upto = np.cumsum(_ONES[words], axis=1, dtype=np.uint8)
+    byte = (upto > k[:, None]).argmax(1)
+    row = np.arange(len(k))
+    own = words[row, byte]
+    return byte * 8 + _PLACE[own, k - (upto[row, byte] - _ONES[own])]
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary with zero counts for each 64-bit word."""
 
@@ -108,10 +123,9 @@ class EliasFano:
         before = np.where(word > 0, self.zeros[word - 1], 0)
         out = np.empty(len(bucket), np.int64)
         for i in range(0, len(bucket), 200_000):
-            w = word[i : i + 200_000]
-            bits = np.unpackbits(self.high.reshape(-1, 8)[w], axis=1, bitorder="little") == 0
-            place = (np.cumsum(bits, axis=1, dtype=np.uint8) > (bucket[i : i + 200_000] - before[i : i + 200_000])[:, None]).argmax(1)
-            out[i : i + 200_000] = w * 64 + place - bucket[i : i + 200_000]
+            part = slice(i, i + 200_000)
+            place = select(~self.high.reshape(-1, 8)[word[part]], bucket[part] - before[part])
+            out[part] = word[part] * 64 + place - bucket[part]
         return out
 
     def successor(self, x: np.ndarray) -> np.ndarray:
@@ -129,13 +143,15 @@ class EliasFano:
         return np.where(beyond, self.n, np.minimum(lo, end))
 
     def get(self, at: np.ndarray) -> np.ndarray:
-        """The values at places ``at``."""
-        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), self.buckets - 1, np.int64)
-        while (open_ := lo < hi).any():  # the first bucket that ends behind the place
-            mid = (lo + hi) // 2
-            behind = self.bucket_ends(mid) > at
-            hi, lo = np.where(open_ & behind, mid, hi), np.where(open_ & ~behind, mid + 1, lo)
-        return lo.astype(np.uint64) << U(self.low_bits) | self.lows(at)
+        """The values at places ``at``: the place of the one that stands for each, less the ones before it."""
+        ones = 64 * np.arange(1, len(self.zeros) + 1) - self.zeros
+        word = np.searchsorted(ones, at, side="right")
+        before = np.where(word > 0, ones[word - 1], 0)
+        high = np.empty(len(at), np.int64)
+        for i in range(0, len(at), 200_000):
+            part = slice(i, i + 200_000)
+            high[part] = word[part] * 64 + select(self.high.reshape(-1, 8)[word[part]], at[part] - before[part]) - at[part]
+        return high.astype(np.uint64) << U(self.low_bits) | self.lows(at)
 
 
 class BigramTrie:
