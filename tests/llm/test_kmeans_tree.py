@@ -51,3 +51,22 @@ def test_few_rows_and_empty_table(spark):
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in kmeans_tree.nearest(docs).collect()] == [(0, 1, 1, 4.0)]
     assert kmeans_tree.nearest(docs.limit(0)).count() == 0
     assert kmeans_tree.nearest(docs.filter("vec_id = 1")).count() == 0
+
+
+def test_recall_of_the_query_against_all_rows(spark):
+    from trivet.llm import queries
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in table if r.embedding is not None and None not in r.embedding]
+    rows = [(i, v) for i, v in rows if np.isfinite(v).all() and v.any()]
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    got = {}
+    for r in queries.op10_nearest(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = total = 0
+    for q, v in rows:
+        if q % 20 == 0:
+            scores = np.where(ids == q, -np.inf, vectors @ v)
+            best = {int(i) for i in ids[np.lexsort((ids, -scores))[:20]]}
+            hits, total = hits + len(best & got[q]), total + len(best)
+    assert total == 20 * sum(i % 20 == 0 for i in ids.tolist()) and hits / total >= 0.9
