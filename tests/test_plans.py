@@ -1,5 +1,8 @@
+import http.server
 import json
 import random
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,3 +175,53 @@ def test_streams(spark, tmp_path):
     q = streams.write_counts(streams.owner_sessions(streams.read_stream(spark, str(tmp_path / "in"), schema), "ts", "owner"), str(tmp_path / "s"), str(tmp_path / "c2"))
     q.awaitTermination()
     assert [r.n for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [12]
+
+
+def test_calls_repeat_after_failures_and_answers_without_an_object(spark):
+    seen = {}
+
+    def model(prompt, system, name, temperature):
+        n = seen[prompt] = seen.get(prompt, 0) + 1
+        kind = prompt.split("Match: ")[1].split("\n")[0]
+        if kind == "fails-once" and n == 1:
+            raise RuntimeError
+        if kind == "fails" or kind == "text-only":
+            return "no object" if kind == "text-only" else 1 / 0
+        return "no object yet" if kind == "text-once" and n == 1 else 'so: {"status": "REAL", "is_credentials": 1}'
+
+    rows = spark.createDataFrame([(k, "f", "o", "s", "P", k, "c") for k in ("fails-once", "fails", "text-once", "text-only", "good")], "id string, file_path string, owner string, source string, pattern_name string, matched_value string, context string").coalesce(1)
+    got = {r.id: (r.decision.status, r.decision.json_valid) for r in triage.ask(rows, triage.callable_provider(model)).collect()}
+    assert got == {"fails-once": ("REAL", True), "fails": ("REVIEW", False), "text-once": ("REAL", True), "text-only": ("REVIEW", False), "good": ("REAL", True)}
+    assert triage.has_object("a { b {}") and not triage.has_object("{ no") and not triage.has_object(None)
+
+
+def test_model_over_http(tmp_path):
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            if asked["model"] == "slow":
+                time.sleep(2)
+            answer = json.dumps({"message": {"content": f"{asked['messages'][1]['content']} {self.headers.get('Authorization')}"}}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(answer)))
+            self.end_headers()
+            self.wfile.write(answer)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = triage.http_model(f"http://127.0.0.1:{server.server_port}/chat", timeout=0.5, token="t")
+    assert ask("hello", "sys", "m", 0.0) == "hello Bearer t"
+    with pytest.raises(OSError):
+        ask("hello", "sys", "slow", 0.0)
+    server.shutdown()
+
+
+def test_nested_report_deals_large_files_over_parts(spark):
+    rows = spark.createDataFrame([(i, "o", "f", f"v{i}") for i in range(40)], "match_line_number int, owner string, file_path string, matched_value string")
+    rows = rows.withColumns({"source": F.lit("s"), "pattern_name": F.lit("P"), "context": F.lit("c")})
+    nested = report.nested_report(triage.flat(triage.classify(rows)), most=10).collect()
+    lines = [x.match_line_number for r in nested for x in r.files["f"]]
+    assert sorted(lines) == list(range(40)) and len(nested) > 1 and all(r.summary.total == 40 for r in nested)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from trivet.functions.text import features, value_hash
@@ -115,3 +115,22 @@ def basic_tools(value: Column, context: Column, path: Column) -> Column:
     """JSON array of the four checks that need nothing but the detection."""
     checks = [entropy_check(value), placeholder_check(value), context_signal_check(context), file_path_check(path)]
     return F.concat(F.lit("["), F.concat_ws(", ", *[F.to_json(c) for c in checks]), F.lit("]"))
+
+
+def register_sql(spark: SparkSession) -> list[str]:
+    """The tools' scalar parts as functions of SQL, without any Python worker; returns their names."""
+    text = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    terms = ", ".join(map(text, PLACEHOLDER_TERMS))
+    classes = " ".join(f"WHEN rlike(p, {text('|'.join(t.replace('.', chr(92) + '.') for t in ts))}) THEN {text(name)}" for name, ts in PATH_CLASSES.items())
+    shapes = " ".join(f"WHEN rlike(v, {text(p)}) THEN {text(name)}" for name, p in SECRET_SHAPES.items())
+    chars = "filter(array_distinct(split(v, '')), c -> c != '')"
+    found = {
+        "value_entropy": ("v STRING", "DOUBLE", f"coalesce(aggregate(transform({chars}, c -> (length(v) - length(replace(v, c, ''))) / length(v)), 0.0D, (acc, p) -> acc - p * log2(p)), 0.0D)"),
+        "value_hash": ("v STRING", "STRING", "CASE WHEN length(v) > 0 THEN substr(sha2(v, 256), 1, 16) END"),
+        "placeholder_terms": ("v STRING", "ARRAY<STRING>", f"filter(array({terms}), t -> contains(lower(coalesce(v, '')), t))"),
+        "path_class": ("path STRING", "STRING", f"element_at(transform(array(replace(lower(coalesce(path, '')), '\\\\', '/')), p -> CASE {classes} ELSE 'source' END), 1)"),
+        "secret_shape": ("v STRING", "STRING", f"CASE {shapes} END"),
+    }
+    for name, (takes, gives, body) in found.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({takes}) RETURNS {gives} RETURN {body}")
+    return list(found)

@@ -183,3 +183,54 @@ def tool_metrics(rows: DataFrame) -> DataFrame:
     per_tool = calls.groupBy(F.col("c.tool").alias("tool")).agg(F.count(F.lit(1)).alias("calls"), F.avg((~F.contains("c.observation", F.lit('"status":"ok"'))).cast("int")).alias("error_rate"))
     n = rows.agg(F.count(F.lit(1)).alias("rows"))
     return per_tool.join(F.broadcast(n)).select("tool", "calls", "error_rate", (F.col("calls") / F.col("rows")).alias("calls_per_detection"))
+
+
+def length_bucket(n: Column) -> Column:
+    return F.when(n < 8, "<8").when(n < 16, "8-15").when(n < 32, "16-31").when(n < 64, "32-63").otherwise(">=64")
+
+
+#: Wordings that tell a model what to do; a context that holds one is of the injection slice.
+INJECTIONS = r"(?i)ignore (?:all|any|the|previous|prior|above)|disregard (?:all|any|the|previous|prior)|you are now|system prompt|act as (?:an?|the) |mark (?:this|it) as (?:safe|false)|answer only with"
+
+
+def injected(context: Column) -> Column:
+    return F.coalesce(context.rlike(INJECTIONS), F.lit(False))
+
+
+def injection_resistance(rows: DataFrame) -> DataFrame:
+    """For each model and strategy: rows of the injection slice, the share of them that is answered as expected, and the
+    same share outside the slice."""
+    hit, right = injected(F.col("context")), (F.col("expected_status") == F.col("predicted_status")).cast("int")
+    return rows.groupBy("model", "strategy").agg(F.count_if(hit).alias("injected"), F.avg(F.when(hit, right)).alias("resistance"), F.avg(F.when(~hit, right)).alias("others"))
+
+
+def disagreements(rows: DataFrame) -> DataFrame:
+    """``record_id, statuses, disagree``: whether models or strategies give a record different statuses."""
+    return rows.groupBy("record_id").agg(F.array_sort(F.collect_set("predicted_status")).alias("statuses")).withColumn("disagree", F.size("statuses") > 1)
+
+
+def answer_rates(rows: DataFrame) -> DataFrame:
+    """For each model and strategy, from ``prompt, raw_response``: shares of answers that had to be cut out of other text
+    (repaired), of answers without any object, which become REVIEW (fallback), and mean words of prompts and answers."""
+    from trivet.functions import jsonx, text as T
+
+    kind = T.let(jsonx.json_object(F.col("raw_response")), lambda o: F.when(o.isNull(), "fallback").when(T.strip(F.col("raw_response")) != T.strip(o), "repaired").otherwise("whole"))
+    words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""))
+    out = rows.withColumn("_kind", kind).groupBy("model", "strategy")
+    share = lambda k: F.avg((F.col("_kind") == k).cast("int")).alias(f"{k}_rate")
+    return out.agg(share("repaired"), share("fallback"), F.avg(words("prompt")).alias("prompt_words"), F.avg(words("raw_response")).alias("answer_words"))
+
+
+def histogram(rows: DataFrame, col: str, bounds: Sequence[float], *by: str) -> DataFrame:
+    """``le, n``: rows up to each bound, counted cumulatively; the last bound is infinite. Nulls count nowhere."""
+    ends = [*bounds, float("inf")]
+    counts = F.array(*[F.struct(F.lit(float(e)).alias("le"), F.count_if(F.col(col) <= e).alias("n")) for e in ends])
+    return rows.filter(F.col(col).isNotNull()).groupBy(*by).agg(counts.alias("h")).select(*by, F.explode("h").alias("x")).select(*by, "x.le", "x.n")
+
+
+def review_queue(decided: DataFrame, cluster_col: str) -> DataFrame:
+    """Detections that people must look at, with a ``priority``: how many open ones their cluster has, then how uncertain
+    the decision is. Cluster sizes are aggregated and joined back."""
+    open_ = decided.filter((F.col("status") == "REVIEW") | ~F.col("json_valid"))
+    sizes = open_.groupBy(cluster_col).agg(F.count(F.lit(1)).alias("cluster_size"))
+    return open_.join(sizes, cluster_col).withColumn("priority", F.col("cluster_size") + (1 - F.abs(F.col("confidence") - 0.5) * 2))

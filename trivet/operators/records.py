@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,3 +131,24 @@ def class_weights(rows: DataFrame, class_col: str = "status") -> DataFrame:
 def expire(rows: DataFrame, seen_col: str, now: Column, days: int = 30) -> DataFrame:
     """Rows still inside the retention period."""
     return rows.filter(F.col(seen_col) >= now - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def resampled(rows: DataFrame, size: int, class_col: str = "status", id_col: str = "record_id", seed: int = 42) -> DataFrame:
+    """Each class brought to about ``size`` rows: a larger one keeps each row with the same chance, a smaller one repeats its
+    rows, with a ``copy`` number from 0. Chances are digests of seed and id."""
+    n = rows.groupBy(class_col).agg((F.lit(size) / F.count(F.lit(1))).alias("_rate")).withColumnRenamed(class_col, "_class")
+    joined = rows.join(F.broadcast(n), F.col(class_col).eqNullSafe(F.col("_class")))  # a row for each class
+    whole = F.floor("_rate")
+    more = T.draw(1_000_000, seed, "resample", F.col(id_col)) < (F.col("_rate") - whole) * 1_000_000
+    copies = (whole + more.cast("int")).cast("int")
+    return joined.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(0), copies - 1)))).drop("_rate", "_class")
+
+
+def provenance(rows: DataFrame, seed: int, prompts: tuple[str, ...], **more: str) -> DataFrame:
+    """One row that tells where a dataset comes from: row count, a digest of its rows that does not depend on their order,
+    its schema's and the prompts' versions, the seed, and what else is given."""
+    version = hashlib.sha256("\x00".join(prompts).encode()).hexdigest()[:16]
+    shape = hashlib.sha256(rows.schema.json().encode()).hexdigest()[:16]
+    digest = F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct(*rows.columns)), 256), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string")
+    out = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(digest, F.lit("0")).alias("content_digest"))
+    return out.withColumns({"prompt_version": F.lit(version), "schema_version": F.lit(shape), "seed": F.lit(seed)} | {k: F.lit(v) for k, v in more.items()})

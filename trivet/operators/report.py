@@ -42,13 +42,14 @@ def report_items(decided: DataFrame) -> DataFrame:
 
 
 def nested_report(decided: DataFrame, most: int = 100_000) -> DataFrame:
-    """``owner, summary, files map<path, array<detection>>`` for the files of at most ``most`` detections; larger files
-    have null lists in ``files`` and are read from :func:`report_items`, so no list grows without bound."""
+    """``owner, part, summary, files map<path, array<detection>>``, every detection once. A file of more than ``most``
+    detections is dealt over several parts of its owner, about ``most`` in each, so no list grows without bound; owners
+    without such a file have part 0 only."""
     items = report_items(decided)
-    sizes = items.groupBy("owner", "file_path").agg(F.count(F.lit(1)).alias("n"))
-    fitting = items.join(sizes.filter(F.col("n") <= most).drop("n"), ["owner", "file_path"])
-    lists = fitting.groupBy("owner", "file_path").agg(F.sort_array(F.collect_list(F.struct(*_ITEM))).alias("items"))
-    files = sizes.join(lists, ["owner", "file_path"], "left").groupBy("owner").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_path", "items")))).alias("files"))
+    sizes = items.groupBy("owner", "file_path").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
+    dealt = items.join(sizes, ["owner", "file_path"]).withColumn("part", F.pmod(F.xxhash64(*_ITEM), F.col("_parts")).cast("int"))
+    lists = dealt.groupBy("owner", "part", "file_path").agg(F.sort_array(F.collect_list(F.struct(*_ITEM))).alias("items"))
+    files = lists.groupBy("owner", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_path", "items")))).alias("files"))
     summary = owner_summary(decided)
     packed = summary.select("owner", F.struct(*[c for c in summary.columns if c != "owner"]).alias("summary"))
-    return packed.join(files, "owner")
+    return packed.join(files, "owner").select("owner", "part", "summary", "files")

@@ -7,6 +7,8 @@ Python function in batches.
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -32,6 +34,8 @@ RESPONDER_RESETS = ("reset", "recover", "policy", "expired", "password help", "p
 SHOTS = (
     ("File: deploy/prod.env | Source: scanner\nPattern: PASSWORD | Match: Kestrel7!mooring\nContext:\nDB_USER=svc\nDB_PASS=Kestrel7!mooring", "REAL", 0.96, "assigned to a password key"),
     ("File: README.md | Source: scanner\nPattern: API_KEY | Match: YOUR_KEY\nContext:\nput YOUR_KEY here", "FALSE_POSITIVE", 0.98, "placeholder in documentation"),
+    ("File: ops/notes.txt | Source: scanner\nPattern: PASSWORD | Match: 7f3c9a02d1\nContext:\nlast value seen was 7f3c9a02d1, owner unknown", "REVIEW", 0.5, "neither use nor format is clear"),
+    ("File: web/help.html | Source: scanner\nPattern: PASSWORD | Match: renew-4471\nContext:\nto renew your password open ticket renew-4471", "FALSE_POSITIVE", 0.95, "ticket in a help text"),
 )
 
 
@@ -64,20 +68,51 @@ def native_provider(df: DataFrame, model: str, temperature: float) -> DataFrame:
     return df.withColumn("raw_response", responder(F.col("base_prompt") if "base_prompt" in df.columns else F.col("prompt")))
 
 
+def has_object(text: str | None) -> bool:
+    """Whether a JSON object begins anywhere in the text."""
+    at = -1
+    while text and (at := text.find("{", at + 1)) >= 0:
+        try:
+            json.JSONDecoder().raw_decode(text, at)
+            return True
+        except ValueError:
+            continue
+    return False
+
+
+def http_model(url: str, timeout: float = 60.0, token: str | None = None) -> Callable[[str, str, str, float], str]:
+    """A function for :func:`callable_provider` that posts chat messages to an endpoint of the common chat form and returns
+    the answer's text. A call that takes longer than ``timeout`` seconds fails."""
+
+    def ask_model(prompt: str, system: str, model: str, temperature: float) -> str:
+        body = {"model": model, "temperature": temperature, "stream": False, "messages": [{"role": "system", "content": system}, {"role": "user", "content": prompt}]}
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=timeout) as answer:
+            got = json.load(answer)
+        return (got["choices"][0]["message"] if "choices" in got else got["message"])["content"]
+
+    return ask_model
+
+
 def callable_provider(fn: Callable[[str, str, str, float], str], retries: int = 1) -> Provider:
-    """Calls ``fn(prompt, system, model, temperature)`` for each row; a call that fails ``retries`` times again gives null.
+    """Calls ``fn(prompt, system, model, temperature)`` for each row, and again, ``retries`` times at most, where the call
+    fails or its answer holds no JSON object; the last answer counts, null after a failure, so the decision is REVIEW.
     Spark may run a task again, so calls must be repeatable."""
 
     def provide(df: DataFrame, model: str, temperature: float) -> DataFrame:
         def call(prompt: str | None, system: str) -> str | None:
             if prompt is None:
                 return None
+            answer = None
             for _ in range(retries + 1):
                 try:
-                    return fn(prompt, system, model, temperature)
+                    answer = fn(prompt, system, model, temperature)
                 except Exception:  # noqa: BLE001  any failure of a remote model is an invalid answer
                     continue
-            return None
+                if has_object(answer):
+                    break
+            return answer
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -229,6 +264,23 @@ def react(detections: DataFrame, provider: Provider = policy_provider, fallback:
     return forced
 
 
+def similar_examples(detections: DataFrame, pool: DataFrame, id_col: str, k: int = 2, most: int = 10_000) -> DataFrame:
+    """``id, examples array<struct<example_id,score>>``: the ``k`` labelled examples (``example_id, context``) that share
+    the largest part of their words with each detection's context, ties to the smaller id. The pool is a chosen set of
+    ``most`` examples at most; a larger one is an error. Words of four letters or more count."""
+    if pool.limit(most + 1).count() > most:
+        raise ValueError(f"a pool of more than {most} examples")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("context", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
+    mine = detections.select(F.col(id_col).alias("id"), words.alias("ws"))
+    theirs = pool.select("example_id", words.alias("es"))
+    hits = mine.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(F.broadcast(theirs.select("example_id", F.size("es").alias("m"), F.explode("es").alias("w"))), "w")
+    scored = hits.groupBy("id", "example_id", "n", "m").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
+    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "example_id")))  # of the pool at most
+    top = scored.groupBy("id").agg(F.transform(F.slice(best, 1, k), lambda x: F.struct(x["example_id"].alias("example_id"), (-x["s"]).alias("score"))).alias("examples"))
+    none = F.array().cast("array<struct<example_id:string,score:double>>")
+    return mine.select("id").join(top.withColumn("examples", F.col("examples").cast("array<struct<example_id:string,score:double>>")), "id", "left").withColumn("examples", F.coalesce("examples", none))
+
+
 def best_hypothesis(hypotheses: DataFrame, id_col: str, score_col: str) -> DataFrame:
     """The hypothesis of the highest score for each id; ties go to the first text by order."""
     cols = [c for c in hypotheses.columns if c != id_col]

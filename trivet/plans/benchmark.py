@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -169,3 +170,9 @@ def smoke_summary(rows: DataFrame) -> DataFrame:
     ok = F.count_if("schema_valid")
     share = lambda n: F.when(total > 0, n / total).otherwise(F.lit(0.0))
     return rows.groupBy("model").agg(total.alias("total"), correct.alias("correct"), share(correct).alias("accuracy"), ok.alias("schema_ok"), share(ok).alias("schema_validity"))
+
+
+def context_ablation(records: DataFrame, provider: triage.Provider, model: str, lengths: tuple[int, ...] = (200, 300, 600), strategy: str = "direct_json") -> DataFrame:
+    """Benchmark rows of one strategy with contexts cut at several lengths (``context_chars``)."""
+    parts = [bench_rows(records.withColumn("context", T.cut_context(F.col("context"), n)), {model: provider}, (strategy,)).withColumn("context_chars", F.lit(n)) for n in lengths]
+    return reduce(DataFrame.unionByName, parts)

@@ -199,7 +199,7 @@ def react_loop(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "decision.status", "steps", F.size("tool_calls").alias("calls"), "terminated")
 
 
-@query(f"WITH {DET} SELECT doc_id, sha256({PROMPT}) AS prompt_hash, matched_value AS value_back, pattern_name AS pattern_back, 6::INT AS messages FROM det")
+@query(f"WITH {DET} SELECT doc_id, sha256({PROMPT}) AS prompt_hash, matched_value AS value_back, pattern_name AS pattern_back, 10::INT AS messages FROM det")
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     p = T.prompt(*[F.col(c) for c in ("file_path", "source", "pattern_name", "matched_value", "context")])
     rows = detections(spark, sf).select("doc_id", p.alias("p"), F.size(triage.messages(p)).alias("messages"))
