@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from trivet.llm import pii
@@ -57,3 +58,23 @@ def test_ibans_before_words_and_digits(spark):
     assert got == dict(enumerate(texts.values()))
     at = {r.doc_id: [(s["start"], s["end"]) for s in r.spans if s["kind"] == "iban"] for r in pii.find_pii(docs).collect()}
     assert all([t[a:b] for a, b in at[i]] == want for i, (t, want) in enumerate(texts.items()))
+
+
+def test_random_texts_and_repeated_rows(spark):
+    rng = random.Random(8)
+    pieces = ["a.b@c.dd", "x@y", "@", ".", "1.2.3.4", "256.1.1.1", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 010-9999", "+", "-", " ", "é", "🙂", "12", "7", "\n", "mail ", "phone: ", "card no "]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(1, 40))) for _ in range(400)]
+    rows = [(i % 390, t) for i, t in enumerate(texts)] + [(3, texts[3]), (3, texts[3])]
+    got = pii.pii_report(spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, spans string")).collect()
+    want = sorted((i, hashlib.sha256(",".join(brute(t)).encode()).hexdigest()) for i, t in rows)
+    assert sorted((r.doc_id, r.base_sha256) for r in got) == want
+    for r in got:
+        spans, scores = (x.split(",") if x else [] for x in (r.spans, r.scores))
+        assert len(spans) == len(scores) and all(0 < float(s) <= 1 for s in scores)
+
+
+def test_context_words_raise_scores(spark):
+    texts = ["call 555-010-9999 now", "5550109999 or 555 010 9999", "ssn 123-45-6789", "number 123-45-6789"]
+    got = {r.doc_id: {s["kind"]: round(s["score"], 2) for s in r.spans} for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0].get("local_phone") == 0.7 and got[2].get("national_id") == 0.7
+    assert "local_phone" not in got[1] and "national_id" not in got[3]

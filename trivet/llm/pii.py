@@ -206,8 +206,13 @@ def _line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _scores(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"], 2).cast("string")), ",")
+
+
 def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of the base kinds, the digest of the base spans, and all spans as text, derived from :func:`find_pii`."""
+    """Counts of the base kinds, the digest of the base spans, all spans as text and their scores in the same order,
+    derived from :func:`find_pii`."""
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE_KINDS))
 
@@ -216,4 +221,4 @@ def pii_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     counts = [count(k) for k in BASE_KINDS]
     found = find_pii(docs, id_col, text_col)
-    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line(spans).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_line(base), 256).alias("base_sha256"), _line(spans).alias("spans"), _scores(spans).alias("scores"))
