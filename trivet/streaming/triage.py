@@ -73,17 +73,23 @@ def distinct_values(detections: DataFrame, time_col: str, late: str = "1 day") -
     return _timed(detections, time_col).withColumn("value_hash", value_hash(F.col("matched_value"))).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["value_hash"])
 
 
-def mark_duplicates(detections: DataFrame, id_col: str = "event_id") -> DataFrame:
+def mark_duplicates(detections: DataFrame, id_col: str = "event_id", forget_after_ms: int | None = None) -> DataFrame:
     """``value_hash, id, is_duplicate`` for every row of the stream: whether the run has seen the value before. The state
-    of a value is one number; rows of a batch arrive in pieces and are ordered by id inside a piece."""
+    of a value is one number; rows of a batch arrive in pieces and are ordered by id inside a piece. A value that has not
+    come for ``forget_after_ms`` is forgotten; unless that is given, the run remembers all its values."""
 
     def seen(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n = state.get[0] if state.exists else 0
         for part in rows:
             part = part.sort_values(id_col)
             yield pd.DataFrame({"value_hash": key[0], "id": part[id_col], "is_duplicate": [n + i > 0 for i in range(len(part))]})
             n += len(part)
         state.update((n,))
+        if forget_after_ms:
+            state.setTimeoutDuration(forget_after_ms)
 
     rows = detections.withColumn("value_hash", value_hash(F.col("matched_value"))).filter("value_hash IS NOT NULL")
-    return rows.groupBy("value_hash").applyInPandasWithState(seen, "value_hash string, id bigint, is_duplicate boolean", "n bigint", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("value_hash").applyInPandasWithState(seen, "value_hash string, id bigint, is_duplicate boolean", "n bigint", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_after_ms else GroupStateTimeout.NoTimeout)
