@@ -1,4 +1,13 @@
+import hashlib
+import random
+from collections import Counter
+
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
+from tests.llm import test_language as language_test
+from tests.llm import test_ngram_join as join_test
 from trivet.llm import language
 
 EN = "the cat and the dog are in the house of the old man who reads books every long evening with his friends by fire"
@@ -63,3 +72,36 @@ def test_stages_keep_one_of_the_copies_without_an_id(spark):
     assert [i for i, t in left if t.startswith(a)] == [None]
     assert sorted(t for i, t in left if i is not None) == sorted([c + " z" * 40, b + " si"])
     assert sorted(t for i, t in left if i is None and not t.startswith(a)) == sorted([c, d])
+
+
+def test_run_equals_stages_by_brute_force(spark, tmp_path):
+    """Kept documents by exact sets of n-grams, equal texts and all pairs of shingle sets; codes by the library."""
+    rng = random.Random(12)
+    base = [(i, t, lang, "ab"[i % 2]) for i, t, lang in language_test.corpus(4, per=14, seed=4) if t]
+    rows = [*base, (500, None, "l000", "a"), (501, "!!! 12", "l001", "b"), (502, "ꙮꙮꙮ ꙮꙮꙮꙮ", None, "a")]
+    for k in range(0, 40, 5):  # copies in other case, and copies with a word more
+        i, t, lang, source = base[k]
+        rows += [(600 + k, t.upper(), lang, source), (700 + k, f"{t} {rng.choice(t.split())}", lang, "c")]
+    docs_of(spark, [(i, t, lang, s, len(t or "")) for i, t, lang, s in rows]).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = cp.run(spark, str(tmp_path)).collect()
+
+    found = language_test.brute([(i, t, lang) for i, t, lang, _ in rows])
+    assert all(abs(score - cp.LEAST_SCORE) > 0.05 for lang, score, _ in found.values() if lang != "und")
+    kept = [r for r in rows if found[r[0]][0] != "und" and found[r[0]][1] >= cp.LEAST_SCORE]
+    last = {}
+    for i, t, _, _ in sorted(kept):
+        last["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)] = i
+    texts = {i: t for i, t, _, _ in kept if i in set(last.values())}
+    root = {i: component for i, (_, component) in join_test.brute(list(texts.items())).items()}
+    left = {i: t for i, t in texts.items() if root[i] == i}
+    assert {r.doc_id for r in got} == set(left) and 502 not in left and len(left) < len(texts) < len(kept) < len(rows)
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    source = {r[0]: r for r in rows}
+    docs = docs_of(spark, [(i, t, source[i][2], source[i][3], len(t)) for i, t in left.items()])
+    copies = Counter(r.doc_id for r in cp.mix(spark, docs, "").collect())
+    assert Counter(r.doc_id for r in got) == copies and min(copies.values()) >= 1
+    for r in got:
+        ids = tok.encode(left[r.doc_id], add_special_tokens=False).ids
+        assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
