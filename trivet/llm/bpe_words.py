@@ -12,6 +12,7 @@ import hashlib
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,14 +101,17 @@ class WordCoder:
 
 def positions_of(texts: list[str], special: re.Pattern | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words, every position's word by number, and each text's number of words."""
-    each = [tokens_of(t, special) for t in texts]
-    sizes = np.fromiter(map(len, each), np.int64, len(each))
-    tokens = pa.array([t for ts in each for t in ts], pa.large_string()).dictionary_encode()
+    tokens: dict[str, int] = {}
+    found, sizes = array("I"), np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):  # one text's tokens at a time; only distinct ones stay
+        own = [tokens.setdefault(t, len(tokens)) for t in tokens_of(text, special)]
+        sizes[i] = len(own)
+        found.extend(own)
     number: dict[str, int] = {}
-    of_token = [[number.setdefault(w, len(number)) for w in words_of(t)] for t in tokens.dictionary.to_pylist()]
+    of_token = [[number.setdefault(w, len(number)) for w in words_of(t)] for t in tokens]
     counts = np.fromiter(map(len, of_token), np.int64, len(of_token))
     flat = np.fromiter((w for ws in of_token for w in ws), np.int64, int(counts.sum()))
-    at = tokens.indices.to_numpy()
+    at = np.frombuffer(found, np.uint32).astype(np.int64)
     positions = spread(flat, counts, at)
     ends = np.append(0, np.cumsum(counts[at]))[np.append(0, np.cumsum(sizes))]
     return list(number), positions, np.diff(ends)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,14 @@ def no_cycles() -> Iterator[None]:
         gc.enable()
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker outlives its task, and what it still holds would stand beside the
+    next one's data."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` to a lambda variable, so that ``body`` may use it many times and it is evaluated once."""
     return F.transform(F.array(value), body)[0]

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trivet.llm.common import Scratch, batches_of_rows
+from trivet.llm.common import Scratch, batches_of_rows, give_back
 from trivet.llm.graph import components
 from trivet.llm.shingles import U, Index, Lanes, batches_of, mix, set_print, shingle_sets
 from trivet.llm.word_parts import pack, small, unpack
@@ -154,6 +154,7 @@ def short_lists(src: DataFrame, kind: str, parts_log2: int, share: int, size: in
                 [pa.concat_arrays([ids, pa.nulls(b, ids.type)]), pa.array(sids + [None] * b, pa.binary()), pa.array(ns + [0] * b, pa.int64()), pa.array([None] * a + [int(p) for p in parts], pa.int32()), pa.array([None] * a + blobs, pa.binary())],
                 ["doc_id", "sid", "n", "part", "data"],
             )
+        give_back()
 
     return src.mapInArrow(run, f"doc_id {kind}, sid binary, n bigint, part int, data binary")
 
@@ -248,6 +249,7 @@ def candidates(lists: DataFrame, parts_log2: int, share: int, short: int) -> Dat
                 ],
                 ["print", "a", "b", "c", "needed", "n"],
             )
+            give_back()
 
     return lists.repartition(1 << parts_log2, "part").mapInArrow(run, "print bigint, a binary, b binary, c bigint, needed bigint, n bigint")
 

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trivet.llm.common import give_back
 from trivet.llm.shingles import U, batches_of
 
 BATCH_CHARS = 3_000_000
@@ -119,6 +120,7 @@ def split(src: DataFrame, parts: int, words_of: Callable[[list[str]], tuple[list
                 data.append(pack(joined(names[order[a:b]].tolist()), small(seen[a:b]), level=9))
             lists = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(data), pa.int32()), ids)
             yield pa.RecordBatch.from_arrays([pa.array([f"{task}:{number}"] * len(data)), pa.array([-1, *own.tolist()], pa.int32()), pa.array(data, pa.binary()), lists], ["batch", "part", "data", "ids"])
+        give_back()
 
     return src.mapInArrow(run, f"batch string, part int, data binary, ids array<{kind}>")
 
@@ -152,6 +154,7 @@ def answered(dealt: DataFrame, parts: int, answer: Callable[[Iterator[tuple[str,
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary()), pa.nulls(1, kind.field("ids").type)], schema=kind)
         while own:
             yield own.pop()
+        give_back()
 
     place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("int")).otherwise(F.col("part"))
     return dealt.repartition(parts, place).mapInArrow(run, f"batch string, part int, data binary, ids {ids.simpleString()}")
@@ -174,6 +177,7 @@ def with_answers(both: DataFrame, finish: Callable[[pa.Array, tuple[np.ndarray,
         data = rows.column("data")
         ids = rows.column("ids")[first].values
         out = finish(ids, positions_in(unpack(data[first].as_py())), [unpack(data[int(i)].as_py()) for i in order[1:]])
+        give_back()
         return out.add_column(0, "batch", pa.array([rows.column("batch")[0].as_py()] * out.num_rows)) if name else out
 
     return both.groupBy("batch").applyInArrow(run, f"batch string, {schema}" if name else schema)
