@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trivet.llm import bpe_words, exact_dedup, kmeans_tree, language, licenses, lm_trie, mixing, ngram_join, pii, token_count
+from trivet.llm import bpe_words, exact_dedup, kmeans_tree, language, licenses, lm_trie, mixing, ngram_join, pii, repair, runs, secrets, token_count
 from trivet.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_tree.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.runs_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +83,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_nearest": op10_nearest,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_join": ngram_join.ORACLE,
