@@ -249,10 +249,13 @@ def _word_lengths(text: str) -> list[int]:
     return [len(w) for w in text.removesuffix("\n").split(" ")]
 
 
-@query("""SELECT 'native' AS model, 7::BIGINT AS total, 6::BIGINT AS correct, round(6 / 7.0, 6)::DOUBLE AS accuracy, 7::BIGINT AS schema_ok, 1.0::DOUBLE AS schema_validity""")
+@query(f"""WITH {REC}, run AS (SELECT 'synthetic/training_sample' AS file_path, 'documents' AS source, 'PASSWORD' AS pattern_name, coalesce(password, 'None') AS matched_value, context FROM rec), s AS (SELECT NOT ({_HARMLESS}) AND ({_LIKELY}) AS hit FROM run)
+  SELECT 'native' AS model, count(*) + 7 AS total, (count_if(NOT hit) + 6)::BIGINT AS correct, round((count_if(NOT hit) + 6) / (count(*) + 7), 6) AS accuracy, count(*) + 7 AS schema_ok, 1.0::DOUBLE AS schema_validity FROM s""")
 def smoke(spark: SparkSession, sf: str) -> DataFrame:
-    """The seven cases whose answers are known; the rule responder does not know one issued format."""
-    rows = benchmark.bench_rows(benchmark.smoke_cases(spark), {"native": triage.native_provider}, ("direct_json",))
+    """The seven cases whose answers are known, among the records of all documents; the rule responder does not know one
+    issued format."""
+    cases = benchmark.smoke_cases(spark).unionByName(_records(spark, sf), allowMissingColumns=True)
+    rows = benchmark.bench_rows(cases, {"native": triage.native_provider}, ("direct_json",))
     return benchmark.smoke_summary(rows).withColumn("accuracy", _r("accuracy"))
 
 

@@ -473,22 +473,31 @@ class _DuckInk(synth.Ink):
         return f"array_to_string(list_transform(range(1, {n + 1}), lambda i: substr({self.lit(alphabet)}, ({self.draw(len(alphabet), slot, 'i')} + 1)::INT, 1)), '')"
 
 
-def _generated(wanted: dict[str, int], seed: int = 42, extra: float = 1.5) -> str:
-    """SQL of ``synth.generate`` without mined words, where the first attempt has rows enough."""
+_MINED = " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(list_distinct(regexp_extract_all(text, '{p}', 1))) AS value FROM documents" for k, p in synth.MINED.items())
+
+
+def _generated(wanted: dict[str, str], seed: int = 42, extra: float = 1.5) -> str:
+    """SQL of ``synth.generate`` with words mined from ``documents``, where the first attempt has rows enough; the wanted numbers
+    are SQL."""
     every = []
     for rank, (label, n) in enumerate(wanted.items()):
-        rows = "SELECT range AS n, " + ", ".join(f"NULL::VARCHAR AS mined_{k}" for k in synth.MINED) + f" FROM range({int(n * extra) + 20})"
+        joins = " ".join(f"LEFT JOIN voc v_{k} ON v_{k}.kind = '{k}' AND v_{k}.i = {_draw(f'v_{k}.size', f"'{seed}'", f"'{label}'", "'mined'", f"'{k}'", 'b.n')}" for k in synth.MINED)
+        rows = "SELECT b.n, " + ", ".join(f"v_{k}.value AS mined_{k}" for k in synth.MINED) + f" FROM (SELECT unnest(range((SELECT floor({n} * {extra})::BIGINT + 20 FROM size))) AS n) b {joins}"
         for stage in synth.LABELS[label](synth.Writer(_DuckInk(seed))):
             rows = "SELECT *, " + ", ".join(f"{text} AS {name}" for name, text in stage.items()) + f" FROM ({rows})"
-        every.append(f"SELECT n, substr(context, 1, {synth.CONTEXT_CHARS}) AS context, nullif(username, '') AS username, nullif(password, '') AS password, '{label}' AS label, category, {rank} AS rank, {n} AS wanted FROM ({rows})")
-    return f"""WITH every AS ({" UNION ALL ".join(every)}),
+        every.append(f"SELECT n, substr(context, 1, {synth.CONTEXT_CHARS}) AS context, nullif(username, '') AS username, nullif(password, '') AS password, '{label}' AS label, category, {rank} AS rank, (SELECT {n} FROM size) AS wanted FROM ({rows})")
+    return f"""WITH size AS (SELECT count(*) AS docs FROM documents), voc AS (SELECT kind, value, row_number() OVER (PARTITION BY kind ORDER BY substr(md5(value), 1, 3), value) - 1 AS i, count(*) OVER (PARTITION BY kind) AS size FROM (SELECT DISTINCT kind, value FROM ({_MINED}))),
+  every AS ({" UNION ALL ".join(every)}),
   uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY context ORDER BY rank, n) AS k FROM every) WHERE k = 1)
   SELECT context, username, password, label, category FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n) AS place FROM uniq) WHERE place <= wanted"""
 
 
-@query(_generated({"REAL": 4000, "FALSE_POSITIVE": 4000, "REVIEW": 700}))
+@query(_generated({"REAL": "4 * docs", "FALSE_POSITIVE": "4 * docs", "REVIEW": "docs * 7 // 10"}))
 def synthetic_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.generate(spark)
+    """Findings in numbers that follow the documents', with the words that documents hold."""
+    docs = _table(spark, sf, "documents")
+    n = docs.count()
+    return synth.generate(spark, 4 * n, 4 * n, n * 7 // 10, vocabulary=clusters.written(synth.mine_vocabulary(docs)))
 
 
 @query(f"""WITH {REC}, run AS (SELECT record_id, 'synthetic/training_sample' AS file_path, 'documents' AS source, 'PASSWORD' AS pattern_name, coalesce(password, 'None') AS matched_value, context FROM rec),

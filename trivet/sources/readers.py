@@ -2,90 +2,11 @@
 
 from __future__ import annotations
 
-import ast
-import io
-import tokenize
-from collections.abc import Iterator
-from itertools import islice
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet import schema
-
-#: Fixed value: a tuple of a triple-quoted context, a user name and a password in text that is no valid literal.
-TUPLE = r'(?s)\(\s*"""(.*?)"""\s*,\s*(None|"[^"]*"|\'[^\']*\'|[^,)]*)\s*,\s*(None|"[^"]*"|\'[^\']*\'|[^)]*)\s*\)'
-
-PIECE = 10_000
-
-
-def tuple_rows(text: str) -> Iterator[tuple]:
-    """Rows of the first list that a file assigns to ``dataset``, read token by token, so that only one row is held as a
-    value. Rows of fewer than three items are left out. ValueError where the text is no such Python file."""
-    try:
-        compile(text, "rows", "exec", dont_inherit=True)
-        tokens = [t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type not in (tokenize.COMMENT, tokenize.NL)]
-    except (SyntaxError, tokenize.TokenError) as e:
-        raise ValueError("no Python file") from e
-    level = depth = 0
-    begin = None
-    for i, t in enumerate(tokens):
-        level += (t.type == tokenize.INDENT) - (t.type == tokenize.DEDENT)
-        starts = i == 0 or tokens[i - 1].type in (tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENCODING) or tokens[i - 1].string == ";"
-        if starts and level == 0 and [x.string for x in tokens[i : i + 2]] == ["dataset", "="]:
-            begin = i + 2
-            break
-    if begin is None or tokens[begin].string != "[":
-        raise ValueError("no list is assigned to dataset")
-    item: list[str] = []
-    for i in range(begin, len(tokens)):
-        t = tokens[i]
-        if t.type == tokenize.OP:
-            depth += t.string in "([{"
-            depth -= t.string in ")]}"
-        if depth > 1 or depth == 1 and i > begin and t.string != ",":
-            item.append(t.string)
-        elif item:
-            try:
-                row = ast.literal_eval(" ".join(item))
-            except SyntaxError as e:
-                raise ValueError("no literal") from e
-            item = []
-            if isinstance(row, (tuple, list)) and len(row) >= 3:
-                yield tuple(None if x is None else str(x) for x in row[:3])
-        if depth == 0:
-            if tokens[i + 1].type not in (tokenize.NEWLINE, tokenize.ENDMARKER) and tokens[i + 1].string != ";":
-                raise ValueError("no literal")
-            return
-
-
-def read_tuples(spark: SparkSession, path: str, fallback: bool = True) -> DataFrame:
-    """``source_file, source_index (from 1), context, username, password`` of labelled tuple files, one task a file, rows
-    leaving in pieces. Files that are no Python literal are searched with a pattern instead, in the JVM, unless ``fallback``
-    is false."""
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source_file"), F.col("value").alias("text"))
-    columns = ["source_file", "source_index", "context", "username", "password", "text"]
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, text in zip(batch["source_file"], batch["text"]):
-                try:
-                    n = sum(1 for _ in tuple_rows(text))  # a file is a literal to its end or not at all
-                    rows = ((name, i, *r, None) for i, r in enumerate(tuple_rows(text), 1))
-                except ValueError:
-                    n, rows = 1, iter([(name, None, None, None, None, text)])
-                for _ in range(0, n, PIECE):
-                    yield pd.DataFrame(list(islice(rows, PIECE)), columns=columns).astype({"source_index": "Int32"})
-
-    parsed = files.mapInPandas(parse, "source_file string, source_index int, context string, username string, password string, text string")
-    literal = parsed.filter("source_index IS NOT NULL").drop("text")
-    if not fallback:
-        return literal
-    parts = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(TUPLE), F.lit(i)).alias(k) for i, k in ((1, "context"), (2, "username"), (3, "password"))])
-    searched = parsed.filter("source_index IS NULL").select("source_file", F.posexplode(parts).alias("i", "r"))
-    return literal.unionByName(searched.select("source_file", (F.col("i") + 1).alias("source_index"), "r.context", "r.username", "r.password"))
-
+from trivet.sources.tuple_files import read_tuples  # noqa: F401  one of the sources
 
 def read_detections(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Detections from JSON arrays or lines; a byte order mark is no hindrance. Missing fields are null."""
