@@ -3,12 +3,14 @@ import random
 from collections import Counter
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from tests.llm import test_language as language_test
 from tests.llm import test_ngram_join as join_test
 from trivet.llm import language
+from trivet.llm.common import cut as clean_cut
 
 EN = "the cat and the dog are in the house of the old man who reads books every long evening with his friends by fire"
 FR = "le chat et le chien sont dans la maison du vieil homme qui lit des livres chaque longue soirée avec ses amis près du feu"
@@ -105,3 +107,22 @@ def test_run_equals_stages_by_brute_force(spark, tmp_path):
         ids = tok.encode(left[r.doc_id], add_special_tokens=False).ids
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Values of columns that helpers might use come back as they were."""
+    names = ["id", "own", "row", "_id", "_own", "_print", "_found", "found", "block", "n"]
+    base = corpus(spark).filter("doc_id < 12 OR doc_id IN (100, 200)")
+    null = base.filter("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long"))
+    docs = base.unionByName(null)
+    for name in names:
+        docs = docs.withColumn(name, F.concat(F.lit(f"{name}:"), F.md5(F.coalesce("text", F.lit("")))))
+    docs = docs.withColumn("more", F.create_map(F.lit("k"), F.col("text")))
+    for _, stage in cp.STAGES[:-1]:
+        docs = clean_cut(stage(spark, docs, ""))
+        rows = docs.collect()
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names, "more"] and len(rows) >= 10
+        for r in rows:
+            own = hashlib.md5((r.text or "").encode()).hexdigest()
+            assert all(r[name] == f"{name}:{own}" for name in names) and r.more == {"k": r.text}
+    assert cp.encode(spark, docs, "").count() == docs.count()
