@@ -147,14 +147,16 @@ def merge_report(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "counter string, value string, n long")
 
 
-@query(f"""WITH {DET}{CLS}, i AS (SELECT coalesce(nullif(owner, ''), 'unknown') AS owner, pattern_name, match_line_number, status, confidence, substr(sha256(matched_value), 1, 16) AS value_hash FROM dec)
-  SELECT owner, pattern_name AS file, string_agg(match_line_number || ':' || status || ':' || coalesce(value_hash, '-'), ',' ORDER BY match_line_number) AS items FROM i GROUP BY 1, 2""")
+@query(f"""WITH {DET}{CLS}, i AS (SELECT coalesce(nullif(owner, ''), 'unknown') AS owner, pattern_name, match_line_number, status, confidence, substr(sha256(matched_value), 1, 16) AS value_hash FROM dec),
+  s AS (SELECT owner, count(*) AS total FROM i GROUP BY 1)
+  SELECT owner, pattern_name AS file, match_line_number AS line, status, value_hash, total FROM i JOIN s USING (owner)""")
 def nested_owner_report(spark: SparkSession, sf: str) -> DataFrame:
-    """The nested report, item by item."""
-    decided = triage.flat(triage.classify(detections(spark, sf))).withColumn("file_path", F.col("pattern_name"))
-    files = report.nested_report(decided).select("owner", F.explode("files").alias("file", "items"))
-    one = lambda x: F.concat_ws(":", x["match_line_number"].cast("string"), x["status"], F.coalesce(x["value_hash"], F.lit("-")))
-    return files.select("owner", "file", F.array_join(F.transform(F.sort_array(F.transform("items", lambda x: F.struct(x["match_line_number"].alias("k"), x["status"].alias("status"), x["value_hash"].alias("value_hash"), x["match_line_number"].alias("match_line_number")))), one), ",").alias("items"))
+    """The nested report in parts, item by item, and each owner's summary."""
+    decided = clusters.written(triage.flat(triage.classify(detections(spark, sf))).withColumn("file_path", F.col("pattern_name")).drop("context"))
+    nested = clusters.written(report.nested_report(decided, most=100))
+    items = nested.select("owner", F.explode("files").alias("file", "items")).select("owner", "file", F.explode("items").alias("x"))
+    total = nested.filter("part = 0").select("owner", "summary.total")
+    return items.select("owner", "file", F.col("x.match_line_number").alias("line"), "x.status", "x.value_hash").join(total, "owner")
 
 
 @query(f"WITH {REC} SELECT record_id, 'synthetic/training_sample' AS file_path, 'unknown' AS owner, 'documents' AS source, 'PASSWORD' AS pattern_name, coalesce(password, 'None') AS matched_value, h AS context_hash FROM rec")

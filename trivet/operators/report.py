@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trivet.operators.clusters import written
+
 _ITEM = ("pattern_name", "match_line_number", "is_credentials", "status", "confidence", "reasoning", "evidence", "json_valid", "value_hash")
 
 
@@ -41,15 +49,65 @@ def report_items(decided: DataFrame) -> DataFrame:
     return rows.select("owner", "file_path", *_ITEM)
 
 
-def nested_report(decided: DataFrame, most: int = 100_000) -> DataFrame:
-    """``owner, part, summary, files map<path, array<detection>>``, every detection once. A file of more than ``most``
-    detections is dealt over several parts of its owner, about ``most`` in each, so no list grows without bound; owners
-    without such a file have part 0 only."""
-    items = report_items(decided)
-    sizes = items.groupBy("owner", "file_path").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
-    dealt = items.join(sizes, ["owner", "file_path"]).withColumn("part", F.pmod(F.xxhash64(*_ITEM), F.col("_parts")).cast("int"))
-    lists = dealt.groupBy("owner", "part", "file_path").agg(F.sort_array(F.collect_list(F.struct(*_ITEM))).alias("items"))
-    files = lists.groupBy("owner", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("file_path", "items")))).alias("files"))
+def nested_report(decided: DataFrame, most: int = 20_000) -> DataFrame:
+    """``owner, part, summary, files map<path, array<detection>>``, every detection once, detections of a file in order of pattern,
+    line and hash. A part has ``most`` detections at most, so an owner of many files and a file of many detections, equal ones too,
+    go over several parts; ``summary`` stands in part 0, which is the only one of most owners.
+
+    No owner and no file is brought together: rows are sorted by range, with a salt behind all else, and each task cuts its
+    sorted rows into parts as they pass. Parts of an owner are then numbered by counts, a row for each owner of a task.
+    """
+    item = F.struct(*_ITEM).alias("item")
+    order = ["owner", "file_path", "pattern_name", "match_line_number", "value_hash", "_salt"]
+    rows = report_items(decided).withColumn("_salt", F.monotonically_increasing_id())
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("owner", "file_path", item)
+    kind = laid.schema["item"].dataType.simpleString()
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        owner, file, seq, count, held = None, None, -1, 0, 0
+        owners, seqs, files, names, sizes, items = [], [], [], [], [], []
+
+        def flush() -> pa.RecordBatch:
+            ends = lambda n: pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            lists = pa.ListArray.from_arrays(ends(sizes), pa.concat_arrays(items))
+            maps = pa.MapArray.from_arrays(ends(files), pa.array(names, pa.string()), lists)
+            out = pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array([task] * len(owners), pa.int32()), pa.array(seqs, pa.int64()), maps], ["owner", "task", "seq", "files"])
+            for column in (owners, seqs, files, names, sizes, items):
+                column.clear()
+            return out
+
+        for batch in batches:
+            who, where = batch.column("owner").to_numpy(zero_copy_only=False), batch.column("file_path").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((who[1:] != who[:-1]) | (where[1:] != where[:-1])) + 1
+            for a, b in pairwise([0, *cuts.tolist(), len(who)]):
+                while a < b:
+                    new = who[a] != owner
+                    if new or count >= most:
+                        seq, count = 0 if new else seq + 1, 0
+                        if held >= most or len(owners) >= 1_000:
+                            yield flush()
+                            held = 0
+                        owners.append(who[a])
+                        seqs.append(seq)
+                        files.append(0)
+                    if new or count == 0 or where[a] != file:
+                        names.append(where[a])
+                        sizes.append(0)
+                        files[-1] += 1
+                    owner, file = who[a], where[a]
+                    n = min(b - a, most - count)
+                    items.append(batch.column("item").slice(a, n))
+                    sizes[-1] += n
+                    a, count, held = a + n, count + n, held + n
+        if owners:
+            yield flush()
+
+    cut = written(laid.mapInArrow(parts, f"owner string, task int, seq bigint, files map<string,array<{kind}>>"))
+    counts = cut.groupBy("owner", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("owner").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
+    starts = counts.select("owner", "task", F.coalesce(before, F.lit(0)).alias("start")).filter("start > 0")
+    numbered = cut.join(starts, ["owner", "task"], "left").select("owner", (F.coalesce("start", F.lit(0)) + F.col("seq")).alias("part"), "files")
     summary = owner_summary(decided)
-    packed = summary.select("owner", F.struct(*[c for c in summary.columns if c != "owner"]).alias("summary"))
-    return packed.join(files, "owner").select("owner", "part", "summary", "files")
+    packed = summary.select("owner", F.lit(0).cast("long").alias("part"), F.struct(*[c for c in summary.columns if c != "owner"]).alias("summary"))
+    return numbered.join(packed, ["owner", "part"], "left").select("owner", "part", "summary", "files")

@@ -173,8 +173,9 @@ def owner_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {DET}{CLS} SELECT coalesce(nullif(owner, ''), 'unknown') AS owner, count(DISTINCT pattern_name) AS files, count(*) AS items FROM dec GROUP BY 1""")
 def owner_report(spark: SparkSession, sf: str) -> DataFrame:
-    nested = report.nested_report(_classified(spark, sf).withColumn("file_path", F.col("pattern_name")))
-    return nested.select("owner", F.size("files").cast("long").alias("files"), F.col("summary.total").alias("items"))
+    nested = report.nested_report(clusters.written(_classified(spark, sf).withColumn("file_path", F.col("pattern_name")).drop("context")))
+    each = nested.select("owner", F.col("summary.total").alias("total"), F.explode(F.map_keys("files")).alias("file"))
+    return each.groupBy("owner").agg(F.countDistinct("file").alias("files"), F.max("total").alias("items"))
 
 
 @query(f"""WITH {DET}{CLS} SELECT doc_id, CASE WHEN low THEN 'prefilter' ELSE 'model' END AS way, route FROM (SELECT *,
