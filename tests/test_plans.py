@@ -168,7 +168,7 @@ def test_streams(spark, tmp_path):
     for k in range(2):
         data.filter(f"event_id % 2 = {k}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = "event_id long, matched_value string, owner string, ts timestamp"
-    q = streams.write_stream(streams.mark_duplicates(streams.read_stream(spark, str(tmp_path / "in"), schema, files=1)), str(tmp_path / "dup"), str(tmp_path / "c1"))
+    q = streams.write_stream(streams.mark_duplicates(streams.read_stream(spark, str(tmp_path / "in"), schema, files=1), "ts", wait=False), str(tmp_path / "dup"), str(tmp_path / "c1"))
     q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "dup"))
     assert got.count() == 12 and got.filter("NOT is_duplicate").count() == 3

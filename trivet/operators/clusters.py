@@ -26,9 +26,11 @@ def written(df: DataFrame) -> DataFrame:
 
 def mark_duplicates(detections: DataFrame, order_col: str, value_col: str = "matched_value") -> DataFrame:
     """``value_hash`` and ``is_duplicate``: whether an earlier row of the run has the value. The first row of each value
-    is found by aggregation and joined back, so a value of very many rows is no window of one task."""
+    is found by aggregation over a written table of two columns, so the values are made once more only where rows are marked, and a
+    value of very many rows is no window of one task."""
+    light = written(detections.select(value_hash(F.col(value_col)).alias("value_hash"), F.col(order_col).alias("_at")).filter("value_hash IS NOT NULL"))
+    first = light.groupBy("value_hash").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     rows = detections.withColumn("value_hash", value_hash(F.col(value_col)))
-    first = rows.filter("value_hash IS NOT NULL").groupBy("value_hash").agg(F.min(order_col).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     return rows.join(first, "value_hash", "left").withColumn("is_duplicate", F.coalesce(F.col(order_col) > F.col("_first"), F.lit(False))).drop("_first")
 
 

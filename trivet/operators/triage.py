@@ -8,12 +8,18 @@ Python function in batches.
 from __future__ import annotations
 
 import json
+import queue
+import threading
+import time
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from trivet.functions import jsonx, tools
 from trivet.functions import text as T
@@ -95,20 +101,59 @@ def http_model(url: str, timeout: float = 60.0, token: str | None = None) -> Cal
     return ask_model
 
 
-def callable_provider(fn: Callable[[str, str, str, float], str], retries: int = 1) -> Provider:
-    """Calls ``fn(prompt, system, model, temperature)`` for each row, and again, ``retries`` times at most, where the call
-    fails or its answer holds no JSON object; the last answer counts, null after a failure, so the decision is REVIEW.
-    Spark may run a task again, so calls must be repeatable."""
+def called(fn: Callable[[Any], Any], items: Iterable[Any], at_once: int, deadline: float | None = None) -> Iterator[tuple[int, Any, float]]:
+    """``place, fn(item), milliseconds`` for every item as answers come, with ``at_once`` calls in flight at most. A call that fails,
+    or has run ``deadline`` seconds, gives None; the one that runs on is left to itself."""
+    done: queue.Queue = queue.Queue()
+    begun: dict[int, float] = {}
+    ms = lambda i: (time.perf_counter() - begun.pop(i)) * 1000
+
+    def work(i: int, item: Any) -> None:
+        try:
+            done.put((i, fn(item)))
+        except Exception:  # noqa: BLE001  any failure of a remote model is no answer
+            done.put((i, None))
+
+    items, more = iter(enumerate(items)), True
+    while more or begun:
+        while more and len(begun) < at_once:
+            try:
+                i, item = next(items)
+            except StopIteration:
+                more = False
+                break
+            begun[i] = time.perf_counter()
+            threading.Thread(target=work, args=(i, item), daemon=True).start()
+        if not begun:
+            return
+        try:
+            i, answer = done.get(timeout=None if deadline is None else max(0.0, min(begun.values()) + deadline - time.perf_counter()))
+            if i in begun:  # else it has been given up
+                yield i, answer, ms(i)
+        except queue.Empty:
+            now = time.perf_counter()
+            for i in [i for i, t in begun.items() if now - t >= deadline]:
+                yield i, None, ms(i)
+
+
+def callable_provider(fn: Callable[[str, str, str, float], str], retries: int = 1, at_once: int = 8, deadline: float | None = None) -> Provider:
+    """Calls ``fn(prompt, system, model, temperature)`` once for every distinct prompt (and sample, in strategies that draw several), and
+    again, ``retries`` times at most, where the call fails or its answer holds no JSON object; the last answer counts, null after a
+    failure, so the decision is REVIEW. Adds ``raw_response`` and ``latency_ms``.
+
+    Prompts are brought together by digest and dealt over all cores; each task has ``at_once`` calls in flight and gives one up
+    after ``deadline`` seconds. Answers are written before they are joined back, so no later stage repeats a call; a task that Spark runs
+    again does, so calls must be repeatable. On a stream rows are asked as they come."""
 
     def provide(df: DataFrame, model: str, temperature: float) -> DataFrame:
-        def call(prompt: str | None, system: str) -> str | None:
-            if prompt is None:
-                return None
+        def call(ask: tuple[str | None, str]) -> str | None:
             answer = None
-            for _ in range(retries + 1):
+            for left in range(retries, -1, -1):
                 try:
-                    answer = fn(prompt, system, model, temperature)
-                except Exception:  # noqa: BLE001  any failure of a remote model is an invalid answer
+                    answer = fn(*ask, model, temperature)
+                except Exception:  # noqa: BLE001
+                    if not left:
+                        return answer
                     continue
                 if has_object(answer):
                     break
@@ -116,11 +161,21 @@ def callable_provider(fn: Callable[[str, str, str, float], str], retries: int =
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                yield batch.assign(raw_response=[call(p, s) for p, s in zip(batch["prompt"], batch["system"])])
-
-        from pyspark.sql.types import StringType, StructType
-
-        return df.mapInPandas(run, StructType([*df.schema.fields]).add("raw_response", StringType()))
+                asked = batch["prompt"].notna().to_numpy()
+                places = asked.nonzero()[0]
+                texts, took = [None] * len(batch), [None] * len(batch)
+                for i, answer, ms in called(call, zip(batch["prompt"][asked], batch["system"][asked]), at_once, deadline):
+                    texts[places[i]], took[places[i]] = answer, ms
+                yield batch.assign(raw_response=pd.Series(texts, batch.index, object), latency_ms=pd.Series(took, batch.index, float))
+
+        if df.isStreaming:
+            return df.mapInPandas(run, StructType([*df.schema.fields]).add("raw_response", StringType()).add("latency_ms", DoubleType()))
+        key = ["system", "prompt", *(["sample"] if "sample" in df.columns else [])]
+        rows = df.withColumn("_ask", F.when(F.col("prompt").isNotNull(), F.sha2(F.to_json(F.struct(*key)), 256)))
+        asks = rows.filter("_ask IS NOT NULL").groupBy("_ask").agg(F.first("prompt").alias("prompt"), F.first("system").alias("system"))
+        asks = asks.repartition(df.sparkSession.sparkContext.defaultParallelism, "_ask")
+        answers = written(asks.mapInPandas(run, "_ask string, prompt string, system string, raw_response string, latency_ms double").select("_ask", "raw_response", "latency_ms"))
+        return rows.join(answers, "_ask", "left").drop("_ask")
 
     return provide
 
@@ -145,13 +200,6 @@ def messages(prompt: Column) -> Column:
     return F.array(m("system", F.lit(SYSTEM)), *shots, m("user", prompt))
 
 
-def guarded(df: DataFrame, cheap: Column, if_cheap: Callable[[DataFrame], DataFrame], if_dear: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rows that satisfy ``cheap`` take one way, all others the other: the dear way never sees what the cheap one settles
-    (inside one expression, a Python function would)."""
-    flagged = F.coalesce(cheap, F.lit(False))
-    return if_cheap(df.filter(flagged)).unionByName(if_dear(df.filter(~flagged)))
-
-
 def _decided(df: DataFrame, strategy: str, model: str) -> DataFrame:
     return df.withColumn("decision", jsonx.decision(jsonx.json_object(F.col("raw_response")), F.lit(strategy), F.lit(model)))
 
@@ -186,43 +234,46 @@ def flat(decided: DataFrame) -> DataFrame:
     return decided.select("*", *[F.col(f"decision.{c}").alias(c) for c in ("is_credentials", "status", "confidence", "reasoning", "evidence", "json_valid")]).drop("decision")
 
 
+def _waited(rows: DataFrame) -> Column:
+    """What a provider says that its call took, or null."""
+    return F.col("latency_ms") if "latency_ms" in rows.columns else F.lit(None).cast("double")
+
+
 def self_consistency(detections: DataFrame, id_col: str, provider: Provider = native_provider, model: str = "native", samples: int = 5, temperature: float = 0.3) -> DataFrame:
     """One greedy call; rows of REVIEW or middling confidence get more samples and a majority vote.
 
-    A tie between statuses goes to the one of higher mean confidence, then to REVIEW. ``escalated``, ``votes_real`` and
-    ``sample_statuses`` tell what happened. Samples of a row are few by construction.
+    A tie between statuses goes to the one of higher mean confidence, then to REVIEW. ``escalated``, ``votes_real``,
+    ``sample_statuses`` and ``latency_ms`` (of all calls) tell what happened. Ids tell rows apart and are not null: answers are
+    written and voted on by id, and texts are joined back once. Samples of a row are few by construction.
     """
-    first = written(ask(detections, provider, "self_consistency", model))  # both ways read it; no call is made twice
-    gate = (F.col("decision.status") == "REVIEW") | F.col("decision.confidence").between(LOWER, UPPER)
-    names = detections.columns
-
-    def settle(df: DataFrame) -> DataFrame:
-        return df.select(*names, "decision", F.lit(False).alias("escalated"), F.lit(None).cast("long").alias("votes_real"), F.array("decision.status").alias("sample_statuses"))
-
-    def vote(df: DataFrame) -> DataFrame:
-        again = df.select(*names).withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))))
-        more = written(ask(again, provider, "self_consistency", model, temperature).select(*names, "sample", "decision"))
-        every = df.select(*names, F.lit(0).alias("sample"), "decision").unionByName(more)
-        s = F.col("decision.status")
-        of = lambda name: F.struct(F.count_if(s == name).alias("n"), F.coalesce(F.avg(F.when(s == name, F.col("decision.confidence"))), F.lit(0.0)).alias("c"), F.lit(int(name == "REVIEW")).alias("r"), F.lit(name).alias("status"))
-        voted = every.groupBy(id_col).agg(
-            F.first(F.struct(*names)).alias("row"),
-            F.sum("decision.is_credentials").alias("votes_real"),
-            F.avg("decision.confidence").alias("mean"),
-            F.greatest(of("FALSE_POSITIVE"), of("REVIEW")).alias("other"),
-            F.transform(F.sort_array(F.collect_list(F.struct("sample", s.alias("s")))), lambda x: x["s"]).alias("sample_statuses"),
-            F.bool_and("decision.json_valid").alias("ok"),
-        )
-        real = F.col("votes_real") > samples / 2
-        d = F.struct(
-            F.when(real, 1).otherwise(0).alias("is_credentials"), F.when(real, "REAL").when(F.col("other.n") > 0, F.col("other.status")).otherwise("FALSE_POSITIVE").alias("status"),
-            F.col("mean").alias("confidence"), F.lit("Majority of repeated samples.").alias("reasoning"), F.array(F.lit("self-consistency majority vote")).alias("evidence"),
-            F.struct(F.lit("self_consistency").alias("strategy"), F.array().cast("array<string>").alias("checks"), F.lit(model).alias("model")).alias("agent_trace"),
-            F.col("ok").alias("json_valid"), F.lit(False).alias("label_conflict"),
-        )
-        return voted.select("row.*", d.alias("decision"), F.lit(True).alias("escalated"), "votes_real", "sample_statuses")
-
-    return guarded(first, ~gate, settle, vote)
+    asked = ask(detections, provider, "self_consistency", model)
+    first = written(asked.select(id_col, "decision", _waited(asked).alias("waited")))  # both ways read it; no call is made twice
+    gate = F.coalesce((F.col("decision.status") == "REVIEW") | F.col("decision.confidence").between(LOWER, UPPER), F.lit(False))
+    again = detections.join(first.filter(gate).select(id_col), id_col, "left_semi")
+    again = again.withColumn("sample", F.explode(F.sequence(F.lit(1), F.lit(samples - 1))))
+    more = ask(again, provider, "self_consistency", model, temperature)
+    more = written(more.select(id_col, "sample", "decision", _waited(more).alias("waited")))
+    every = first.filter(gate).select(id_col, F.lit(0).alias("sample"), "decision", "waited").unionByName(more)
+    s = F.col("decision.status")
+    of = lambda name: F.struct(F.count_if(s == name).alias("n"), F.coalesce(F.avg(F.when(s == name, F.col("decision.confidence"))), F.lit(0.0)).alias("c"), F.lit(int(name == "REVIEW")).alias("r"), F.lit(name).alias("status"))
+    voted = every.groupBy(id_col).agg(
+        F.sum("decision.is_credentials").alias("votes_real"),
+        F.avg("decision.confidence").alias("mean"),
+        F.greatest(of("FALSE_POSITIVE"), of("REVIEW")).alias("other"),
+        F.transform(F.sort_array(F.collect_list(F.struct("sample", s.alias("s")))), lambda x: x["s"]).alias("sample_statuses"),
+        F.bool_and("decision.json_valid").alias("ok"),
+        F.sum("waited").alias("latency_ms"),
+    )
+    real = F.col("votes_real") > samples / 2
+    d = F.struct(
+        F.when(real, 1).otherwise(0).alias("is_credentials"), F.when(real, "REAL").when(F.col("other.n") > 0, F.col("other.status")).otherwise("FALSE_POSITIVE").alias("status"),
+        F.col("mean").alias("confidence"), F.lit("Majority of repeated samples.").alias("reasoning"), F.array(F.lit("self-consistency majority vote")).alias("evidence"),
+        F.struct(F.lit("self_consistency").alias("strategy"), F.array().cast("array<string>").alias("checks"), F.lit(model).alias("model")).alias("agent_trace"),
+        F.col("ok").alias("json_valid"), F.lit(False).alias("label_conflict"),
+    )
+    told = voted.select(id_col, d.alias("decision"), F.lit(True).alias("escalated"), "votes_real", "sample_statuses", "latency_ms")
+    settled = first.filter(~gate).select(id_col, "decision", F.lit(False).alias("escalated"), F.lit(None).cast("long").alias("votes_real"), F.array("decision.status").alias("sample_statuses"), F.col("waited").alias("latency_ms"))
+    return detections.join(settled.unionByName(told), id_col)
 
 
 def policy_provider(df: DataFrame, model: str, temperature: float) -> DataFrame:
@@ -235,33 +286,34 @@ def policy_provider(df: DataFrame, model: str, temperature: float) -> DataFrame:
 
 
 def react(detections: DataFrame, provider: Provider = policy_provider, fallback: Provider = native_provider, model: str = "native", max_steps: int = 3) -> DataFrame:
-    """A bounded loop of tool calls. Each step sees only the rows that are still open; rows without a final answer after
-    ``max_steps``, or with an answer that is neither tool nor final, get a direct call. Adds ``decision, tool_calls, steps,
-    terminated``."""
+    """A bounded loop of tool calls. Each step sees only the rows that are still open, and is written once; rows without a final
+    answer after ``max_steps``, or with an answer that is neither tool nor final, get a direct call. Adds ``decision, tool_calls,
+    steps, terminated, latency_ms`` (of all calls)."""
     names = detections.columns
-    fields = set(names)
-    active = detections.withColumn("tool_calls", F.array().cast("array<struct<tool:string,args:map<string,string>,observation:string>>")).withColumn("steps", F.lit(0))
+    state = ["tool_calls", "steps", "waited"]
+    active = detections.withColumns({"tool_calls": F.array().cast("array<struct<tool:string,args:map<string,string>,observation:string>>"), "steps": F.lit(0), "waited": F.lit(None).cast("double")})
     done: list[DataFrame] = []
-    stuck: list[DataFrame] = []
+    rest: list[DataFrame] = []
     for step in range(max_steps):
-        asked = provider(_prompted(active, "react_triage").withColumn("prompt", F.concat("prompt", F.when(F.size("tool_calls") > 0, F.concat(F.lit("\n\nSo far:\n"), F.to_json("tool_calls"))).otherwise(""))), model, 0.0)
+        so_far = F.when(F.size("tool_calls") > 0, F.concat(F.lit("\n\nSo far:\n"), F.to_json("tool_calls"))).otherwise("")
+        asked = provider(_prompted(active, "react_triage").withColumn("prompt", F.concat("prompt", so_far)), model, 0.0)
+        waited = F.coalesce(F.col("waited") + _waited(asked), _waited(asked), F.col("waited"))
         turn = F.from_json(jsonx.json_object(F.col("raw_response")), "final string, action string, args map<string,string>")
-        asked = written(asked.withColumn("turn", turn).withColumn("steps", F.lit(step + 1)))  # ended and open rows both read it
-        ended = asked.filter(F.coalesce(F.col("turn.final").startswith("{"), F.lit(False)))
-        done.append(ended.select(*names, jsonx.decision(F.col("turn.final"), F.lit("react_triage"), F.lit(model)).alias("decision"), "tool_calls", "steps", F.lit("final").alias("terminated")))
-        open_ = asked.filter(~F.coalesce(F.col("turn.final").startswith("{"), F.lit(False)))
+        asked = asked.withColumns({"waited": waited, "turn": turn, "steps": F.lit(step + 1)})
+        ended = F.coalesce(F.col("turn.final").startswith("{"), F.lit(False))
         args = F.coalesce("turn.args", F.create_map().cast("map<string,string>"))
-        open_ = written(open_.withColumn("seen", tools.observation(F.col("turn.action"), args, fields)).withColumn("args", args))
-        call = F.struct(F.col("turn.action").alias("tool"), F.col("args").alias("args"), F.col("seen").alias("observation"))
-        stuck.append(open_.filter("seen IS NULL").select(*names, "tool_calls", "steps"))
-        active = open_.filter("seen IS NOT NULL").select(*names, F.array_append("tool_calls", call).alias("tool_calls"), "steps")
-    rest = active
-    for s in stuck:
-        rest = rest.unionByName(s)
-    forced = ask(rest, fallback, "direct_json", model).select(*names, "decision", "tool_calls", "steps", F.lit("fallback_direct_json").alias("terminated"))
-    for d in done:
-        forced = forced.unionByName(d)
-    return forced
+        asked = asked.withColumn("ended", ended).withColumn("args", args)
+        asked = asked.withColumn("seen", F.when(~F.col("ended"), tools.observation(F.col("turn.action"), F.col("args"), set(names))))
+        asked = written(asked.select(*names, *state, "ended", "seen", "args", F.when(F.col("ended"), F.col("turn.final")).alias("final"), F.col("turn.action").alias("action")))  # no call is made twice
+        final = asked.filter("ended")
+        done.append(final.select(*names, jsonx.decision(F.col("final"), F.lit("react_triage"), F.lit(model)).alias("decision"), *state, F.lit("final").alias("terminated")))
+        call = F.struct(F.col("action").alias("tool"), F.col("args").alias("args"), F.col("seen").alias("observation"))
+        rest.append(asked.filter("NOT ended AND seen IS NULL").select(*names, *state))
+        active = asked.filter("NOT ended AND seen IS NOT NULL").select(*names, F.array_append("tool_calls", call).alias("tool_calls"), "steps", "waited")
+    asked = ask(reduce(DataFrame.unionByName, [active, *rest]), fallback, "direct_json", model)
+    waited = F.coalesce(F.col("waited") + _waited(asked), _waited(asked), F.col("waited")).alias("waited")
+    forced = asked.select(*names, "decision", "tool_calls", "steps", waited, F.lit("fallback_direct_json").alias("terminated"))
+    return reduce(DataFrame.unionByName, [forced, *done]).withColumnRenamed("waited", "latency_ms")
 
 
 def similar_examples(detections: DataFrame, pool: DataFrame, id_col: str, k: int = 2, most: int = 10_000) -> DataFrame:

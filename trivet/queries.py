@@ -33,7 +33,8 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
         return lambda v: F.struct(F.lit(name).alias("name"), v.alias("value"), v.isNotNull().alias("ok"))
 
     of = lambda name, p, rest: T.let(T.let(first(p), found(name)), lambda f: F.when(f["ok"], f).otherwise(rest))
-    match = of("TOKEN", r'token = "([0-9a-f]+)"', of("EMAIL", r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)", T.let(first(r"([^\x00-\x20]+)"), found("WORD"))))
+    mail = T.let(F.when(F.contains(x, F.lit("@")), first(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+)")), found("EMAIL"))  # tried where it can be
+    match = of("TOKEN", r'token = "([0-9a-f]+)"', T.let(mail, lambda f: F.when(f["ok"], f).otherwise(T.let(first(r"([^\x00-\x20]+)"), found("WORD")))))
     folder = F.get(F.array(*map(F.lit, ("src", "docs", "tests", "config"))), (F.col("doc_id") % 4).cast("int"))
     return _table(spark, sf, "documents").withColumn("match", match).select(
         "doc_id",
@@ -535,6 +536,42 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, "events", lambda d: streams.owner_sessions(d, "ts", "user_id", late="400 days"), True)
 
 
-@query("SELECT event_id AS id, substr(sha256(event_type || '-' || user_id), 1, 16) AS value_hash, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) > 1 AS is_duplicate FROM events")
+def _in_batches(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], files: int = 6) -> DataFrame:
+    """What a stream makes of ``events`` in several files, one a batch, not in order of time; a last row of a far day moves the
+    watermark behind all others."""
+    base = f"{clusters.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = _table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    dealt = events.repartition(files, F.crc32(F.col("event_id").cast("string")))
+    dealt.write.parquet(f"{base}/in")
+    end = events.agg(F.lit(-1).cast("long").alias("event_id"), F.coalesce(F.max("ts"), F.lit(0).cast("timestamp")).alias("ts")).withColumn("ts", F.expr("ts + INTERVAL 1000 DAYS"))
+    end.select("event_id", "ts", F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value")).write.mode("append").parquet(f"{base}/in")
+    rows = make(streams.read_stream(spark, f"{base}/in", "event_id long, ts timestamp, event_type string, value double", files=1))
+    streams.write_stream(rows, f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{base}/out")
+
+
+@query("SELECT event_id AS id, substr(sha256(event_type), 1, 16) AS value_hash, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) > 1 AS is_duplicate FROM events")
 def stream_duplicates(spark: SparkSession, sf: str) -> DataFrame:
-    return _streamed(spark, sf, "events", lambda d: streams.mark_duplicates(d.withColumn("matched_value", F.concat_ws("-", "event_type", F.col("user_id").cast("string")))), False)
+    """Few values of many rows, in batches that are out of order: the first row is the first by time all the same."""
+    return _in_batches(spark, sf, lambda d: streams.mark_duplicates(d.withColumn("matched_value", F.col("event_type")), "ts", late="900 days"))
+
+
+@query("SELECT DISTINCT substr(sha256(event_type || ':' || floor(value / 10)::BIGINT), 1, 16) AS value_hash FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL")
+def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Every value once, whatever batch it comes in."""
+    named = F.concat_ws(":", "event_type", F.floor(F.col("value") / 10).cast("string"))
+    rows = _in_batches(spark, sf, lambda d: streams.distinct_values(d.filter("event_type IS NOT NULL AND value IS NOT NULL").withColumn("matched_value", named), "ts", late="900 days"))
+    return rows.select("value_hash")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(value) AS n, round(avg(value), 6) AS mean, true AS p50_holds, true AS p95_holds FROM events GROUP BY 1 HAVING count(value) > 0")
+def stream_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of days from the sketches of hours that a stream writes; each is held against the exact ranks of its day."""
+    hours = _in_batches(spark, sf, lambda d: streams.window_sketches(d, "ts", "value", "1 hour", late="900 days"))
+    days = streams.merged_quantiles(clusters.written(hours), "1 day", (50, 95))
+    exact = _table(spark, sf, "events").filter("value IS NOT NULL").select(F.window(F.col("ts").cast("timestamp"), "1 day")["start"].alias("day"), "value")
+    below = lambda p: F.avg((F.col("value") < F.col(p)).cast("int")) - 0.05  # noqa: E731  three times the sketch's error
+    upto = lambda p: F.avg((F.col("value") <= F.col(p)).cast("int")) + 0.05
+    held = days.join(exact, F.col("window_start") == F.col("day")).groupBy("window_start", "n", "mean")
+    held = held.agg(*[((below(f"p{q}") <= q / 100) & (upto(f"p{q}") >= q / 100)).alias(f"p{q}_holds") for q in (50, 95)])
+    return held.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", _r("mean").alias("mean"), "p50_holds", "p95_holds")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trivet.functions.text import value_hash
 from trivet.operators import triage
@@ -24,9 +25,15 @@ def classify_stream(detections: DataFrame, provider: triage.Provider = triage.na
 
 
 def write_stream(rows: DataFrame, path: str, checkpoint: str, kind: str = "parquet", once: bool = True) -> StreamingQuery:
-    """Appends exactly once: the sink's log and the checkpoint name every batch."""
-    w = rows.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return w.trigger(availableNow=True).start() if once else w.start()
+    """Appends exactly once: the sink's log and the checkpoint name every batch. State is kept in RocksDB, beyond the heap."""
+    conf, key = rows.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(key)
+    conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")  # a query keeps what it starts with
+    try:
+        w = rows.writeStream.format(kind).option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+        return w.trigger(availableNow=True).start() if once else w.start()
+    finally:
+        conf.set(key, before)
 
 
 def write_counts(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -73,17 +80,96 @@ def distinct_values(detections: DataFrame, time_col: str, late: str = "1 day") -
     return _timed(detections, time_col).withColumn("value_hash", value_hash(F.col("matched_value"))).withWatermark(time_col, late).dropDuplicatesWithinWatermark(["value_hash"])
 
 
-def mark_duplicates(detections: DataFrame, id_col: str = "event_id") -> DataFrame:
-    """``value_hash, id, is_duplicate`` for every row of the stream: whether the run has seen the value before. The state
-    of a value is one number; rows of a batch arrive in pieces and are ordered by id inside a piece."""
+class FirstOfValue(StatefulProcessor):
+    """Which row of a value is its first, by time and id, whatever order and pieces the rows come in.
 
-    def seen(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n = state.get[0] if state.exists else 0
-        for part in rows:
-            part = part.sort_values(id_col)
-            yield pd.DataFrame({"value_hash": key[0], "id": part[id_col], "is_duplicate": [n + i > 0 for i in range(len(part))]})
-            n += len(part)
-        state.update((n,))
+    The state of a value is one row, the earliest so far. A row that is later than it is a duplicate at once; an earlier one
+    takes its place, and the one before is the duplicate. The earliest is told to be the first when the watermark has passed it,
+    or with ``wait`` false at the end of the batch that brings it. ``forget`` milliseconds of event time later the state goes.
+    """
+
+    def __init__(self, wait: bool, forget: int | None):
+        self.wait, self.forget = wait, forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("first", "at bigint, id bigint, settled boolean")
+
+    def _told(self, key: tuple, ids: list[int], duplicate: bool) -> pd.DataFrame:
+        return pd.DataFrame({"value_hash": pd.Series([key[0]] * len(ids), dtype=object), "id": pd.Series(ids, dtype="int64"), "is_duplicate": pd.Series([duplicate] * len(ids), dtype=bool)})
 
-    rows = detections.withColumn("value_hash", value_hash(F.col("matched_value"))).filter("value_hash IS NOT NULL")
-    return rows.groupBy("value_hash").applyInPandasWithState(seen, "value_hash string, id bigint, is_duplicate boolean", "n bigint", "append", GroupStateTimeout.NoTimeout)
+    def _settle(self, key: tuple, at: int, row_id: int) -> pd.DataFrame:
+        self.state.update((at, row_id, True))
+        if self.forget is not None:
+            self.handle.registerTimer(at // 1000 + self.forget)
+        return self._told(key, [row_id], False)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        known = self.state.get() if self.state.exists() else None
+        if known and known[2] and self.forget is not None and timerValues.getCurrentWatermarkInMs() >= known[0] // 1000 + self.forget:
+            known = None  # its timer comes behind these rows
+        first, settled = (known[0], known[1]) if known else None, bool(known and known[2])
+        for part in rows:
+            if settled:
+                yield self._told(key, part["id"].tolist(), True)
+                continue
+            every = sorted(zip(part["at"].tolist(), part["id"].tolist())) + ([first] if first else [])
+            first = min(every)
+            every.remove(first)
+            yield self._told(key, [row_id for _, row_id in every], True)
+        if not settled and first:
+            if not self.wait:
+                yield self._settle(key, *first)
+            elif known is None or first != (known[0], known[1]):
+                self.state.update((*first, False))
+                self.handle.registerTimer(first[0] // 1000 + 1)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            return
+        at, row_id, settled = self.state.get()
+        if settled:
+            if self.forget is not None and expiredTimerInfo.getExpiryTimeInMs() >= at // 1000 + self.forget:
+                self.state.clear()
+        elif timerValues.getCurrentWatermarkInMs() > at // 1000:
+            yield self._settle(key, at, row_id)
+
+    def close(self) -> None:
+        pass
+
+
+def mark_duplicates(detections: DataFrame, time_col: str, id_col: str = "event_id", late: str = "1 day", wait: bool = True, forget: int | None = None) -> DataFrame:
+    """``value_hash, id, is_duplicate`` for every row of the stream: whether the run has an earlier row of the value, by time,
+    then id. With ``wait`` a value's first row is told when the watermark has passed it, and the result does not depend on how rows
+    come; rows later than ``late`` are left out. Without, it is told with its batch. Rows without a value or a time are left
+    out. The state of a value is one row, of the whole run unless ``forget`` (milliseconds behind its first row) is given.
+
+    The query needs the RocksDB state store, which :func:`write_stream` sets.
+    """
+    timed = _timed(detections, time_col).withColumn("value_hash", value_hash(F.col("matched_value")))
+    rows = timed.withWatermark(time_col, late).filter(F.col("value_hash").isNotNull() & F.col(time_col).isNotNull())
+    light = rows.select("value_hash", F.col(id_col).cast("long").alias("id"), F.unix_micros(time_col).alias("at"), time_col)
+    return light.groupBy("value_hash").transformWithStateInPandas(FirstOfValue(wait, forget), "value_hash string, id bigint, is_duplicate boolean", "append", "eventTime")
+
+
+def window_sketches(rows: DataFrame, time_col: str, value_col: str, width: str = "5 minutes", late: str = "1 hour", k: int = 200) -> DataFrame:
+    """``window_start, n, sum, sketch``: a KLL sketch of a value in each window. Sketches merge, so a window of any width can be
+    answered from narrower ones by :func:`merged_quantiles`; with ``k`` 200 ranks are within 1.7 % (99 of 100 times), and exact in
+    windows of up to ``k`` values."""
+    timed = _timed(rows, time_col).withWatermark(time_col, late)
+    value = F.col(value_col).cast("double")
+    out = timed.groupBy(F.window(time_col, width).alias("w")).agg(F.count(value).alias("n"), F.sum(value).alias("sum"), F.kll_sketch_agg_double(value, k).alias("sketch"))
+    return out.select(F.col("w.start").alias("window_start"), "n", "sum", "sketch")
+
+
+def merged_quantiles(sketches: DataFrame, width: str = "1 hour", percents: Sequence[float] = (50, 95, 99)) -> DataFrame:
+    """``window_start, n, mean, p50, p95, ...`` of wider windows from written sketches, and from several runs or regions."""
+    wide = sketches.filter("n > 0").groupBy(F.window("window_start", width).alias("w")).agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    marks = [F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100)).alias(f"p{p:g}") for p in percents]
+    return wide.select(F.col("w.start").alias("window_start"), "n", (F.col("sum") / F.col("n")).alias("mean"), *marks)
+
+
+def observed(decided: DataFrame, name: str = "decisions") -> DataFrame:
+    """The same rows, with counters that every batch reports (``query.lastProgress["observedMetrics"]``, listeners)."""
+    s = F.col("status")
+    return decided.observe(name, F.count(F.lit(1)).alias("n"), F.count_if(s == "REAL").alias("real"), F.count_if(s == "REVIEW").alias("review"), F.count_if(~F.col("json_valid")).alias("json_invalid"))
