@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trivet.operators import clusters, metrics, records, report, synth, triage
-from trivet.plans import benchmark, dataset
+from trivet.plans import artifacts, benchmark, dataset
 from trivet.sources import readers, writers
 from trivet.streaming import triage as streams
 
@@ -47,10 +47,10 @@ def test_build_end_to_end(spark, tmp_path):
     out = str(tmp_path / "out")
     done = dataset.build(spark, *[f"{source}/{n}.txt" for n in ("tp", "fp", "rv")], out)
     assert done["status"]["REAL"] == 60 and done["status"]["REVIEW"] == 20 and done["status"]["FALSE_POSITIVE"] > 200
-    merged = spark.read.json(f"{out}/merged_records")
+    merged = spark.read.json(artifacts.artifact(spark, out, "merged_records"))
     assert merged.filter("augmentation_parent_id IS NOT NULL AND is_credentials <> 0").isEmpty()
-    assert sum(spark.read.json(f"{out}/{n}").count() for n in ("train", "validation", "test")) == merged.count()
-    assert spark.read.csv(f"{out}/merged_head", header=True, multiLine=True, escape='"').count() == min(500, merged.count())
+    assert sum(spark.read.json(artifacts.artifact(spark, out, n)).count() for n in ("train", "validation", "test")) == merged.count()
+    assert spark.read.csv(artifacts.artifact(spark, out, "merged_head"), header=True, multiLine=True, escape='"').count() == min(500, merged.count())
     with pytest.raises(ValueError):
         dataset.build(spark, f"{source}/tp.txt", f"{source}/fp.txt", None, f"{source}/out")
 

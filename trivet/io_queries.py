@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable
 
@@ -9,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet import schema
-from trivet.functions import jsonx, tools
+from trivet.functions import jsonx, tokens, tools
 from trivet.functions import text as T
-from trivet.operators import clusters, metrics, records, report, triage
+from trivet.operators import clusters, investigate, metrics, records, report, similar, triage
 from trivet.plans import benchmark, dataset
 from trivet.queries import _HARMLESS, _LIKELY, _ONLY_BENCH, CLS, DET, ENT, REC, _answers, bench, _r, _records, _table, detections, query
-from trivet.sources import readers, writers
+from trivet.sources import daily, readers, writers
 
 
 def _folder(spark: SparkSession) -> str:
@@ -261,8 +262,18 @@ def smoke(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark.smoke_summary(rows).withColumn("accuracy", _r("accuracy"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01' - INTERVAL 30 DAYS")
+@query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-02-14 12:00:00' - INTERVAL 30 DAYS OR ts IS NULL")
 def retention(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of a table of days: whole days go, of the border day what is older, later files stay as they are."""
+    path = _folder(spark)
+    rows = _table(spark, sf, "events").select("event_id", "ts")
+    daily.write_daily(rows, "ts", path)
+    daily.expire_daily(spark, path, "ts", dt.datetime(2024, 2, 14, 12))
+    return spark.read.schema(rows.schema).parquet(path).select("event_id", "ts")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate >= DATE '1998-01-01' - INTERVAL 30 DAYS")
+def retention_filter(spark: SparkSession, sf: str) -> DataFrame:
     return records.expire(_table(spark, sf, "orders"), "o_orderdate", F.lit("1998-01-01").cast("date")).select("o_orderkey")
 
 
@@ -363,3 +374,64 @@ def similar_examples(spark: SparkSession, sf: str) -> DataFrame:
     pool = docs.filter("doc_id < 40").select(F.col("doc_id").cast("string").alias("example_id"), F.col("text").alias("context"))
     out = triage.similar_examples(docs.withColumnRenamed("text", "context"), pool, "doc_id")
     return out.select("id", F.array_join(F.transform("examples", lambda x: x["example_id"]), ",").alias("examples"))
+
+
+_CALL_STATUS = "list_extract(['REAL', 'FALSE_POSITIVE', 'REVIEW'], (event_id % 3)::INT + 1)"
+
+
+@query(f"""WITH x AS (SELECT event_id, user_id, date_trunc('hour', ts) AS h, event_type = 'click' AS is_call, 't' || (event_id % 4) AS tool, value, CASE WHEN event_type <> 'click' THEN {_CALL_STATUS} END AS status FROM events),
+  y AS (SELECT *, last_value(status IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY h, is_call, event_id ROWS UNBOUNDED PRECEDING) AS b,
+    first_value(status IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY h, is_call, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM x)
+  SELECT tool, count(*) AS calls, round(avg(value), 6) AS avg_latency_ms, round(avg((a <> b)::INT), 6) AS changed_rate, round(avg((a <> 'REVIEW')::INT) FILTER (b = 'REVIEW'), 6) AS review_resolved_rate FROM y WHERE is_call GROUP BY 1""")
+def tool_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """Calls among the decisions of their user; many times tie, and first calls have no decision before them."""
+    e = F.col("event_id")
+    rows = _table(spark, sf, "events").select("user_id", F.date_trunc("hour", "ts").alias("at"), "event_id", "event_type", F.col("value").alias("latency_ms"))
+    calls = rows.filter("event_type = 'click'").select("user_id", "at", "event_id", "latency_ms", F.concat(F.lit("t"), (e % 4).cast("string")).alias("tool"))
+    status = F.get(F.array(*map(F.lit, ("REAL", "FALSE_POSITIVE", "REVIEW"))), (e % 3).cast("int"))
+    decisions = rows.filter("event_type <> 'click'").select("user_id", "at", "event_id", status.alias("status"))
+    out = metrics.tool_effects(metrics.asof_decisions(calls, decisions, "user_id", "at", "event_id"))
+    return out.select("tool", "calls", *[_r(c).alias(c) for c in ("avg_latency_ms", "changed_rate", "review_resolved_rate")])
+
+
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS id, p.vec_id AS example_id, list_cosine_similarity(q.e, p.e) AS score FROM v q JOIN v p ON q.vec_id % 10 = 3 AND p.vec_id % 10 <> 3)
+  SELECT id, k AS rank, example_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, example_id) AS k FROM s) WHERE k <= 4""")
+def similar_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples of a pool by cosine, for a stated set of queries."""
+    rows = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    pool = rows.filter("id % 10 <> 3").withColumnRenamed("id", "example_id")
+    out = similar.most_similar(rows.filter("id % 10 = 3"), pool, 4)
+    return out.select("id", F.posexplode("examples").alias("rank", "x")).select("id", (F.col("rank") + 1).cast("long").alias("rank"), "x.example_id", _r("x.score").alias("score"))
+
+
+_SIGNS = {h: [f"contains(g, '{w}')::INT" for w in words] for h, words in investigate.SIGNS.items()}
+
+
+@query(f"""WITH {DET}, g AS (SELECT doc_id, lower(context || ' ' || coalesce(matched_value, '') || ' ' || file_path) AS g FROM det),
+  h AS (SELECT doc_id, {{'h': h.h, 'i': h.i}} AS x, CASE h.h {" ".join(f"WHEN '{h}' THEN ({' + '.join(s)}) / 3.0" for h, s in _SIGNS.items())} END AS score FROM g, (SELECT unnest({list(_SIGNS)}) AS h, unnest(range({len(_SIGNS)})) AS i) h),
+  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, x.i) AS k FROM h)
+  SELECT a.doc_id, a.x.h AS hypothesis, b.x.h AS second, round((a.score + b.score) / 2, 6) AS score, CASE a.x.h WHEN 'REAL' THEN 'REAL' WHEN 'ROTATED' THEN 'REVIEW' ELSE 'FALSE_POSITIVE' END AS status
+  FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.k = 1 AND b.k = 2""")
+def hypotheses(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of a beam search; equal paths in another order tie, and the better first hypothesis by order leads."""
+    out = investigate.investigate(detections(spark, sf), "doc_id")
+    return out.select("doc_id", "hypothesis", F.col("path")[1]["hypothesis"].alias("second"), _r("score").alias("score"), "status")
+
+
+PIECES = tuple("the and ing ion ent tion die der und ch sch en er que les ou éc el la os de in on an re st th he ha ver keit un ie ei ll es".split()) + (" the", " und", ". ", ", ", "  ")
+_BY_LENGTH = "|".join(p.replace(".", "[.]") for p in sorted(PIECES, key=lambda p: -len(p)))
+
+
+@query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?s){_BY_LENGTH}|.')) AS n_tokens FROM documents")
+def token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy longest matches of a vocabulary in whole texts."""
+    return _table(spark, sf, "documents").select("doc_id", tokens.counter(spark, PIECES)(F.col("text")).alias("n_tokens"))
+
+
+@query("SELECT o_orderpriority || ':' || o_orderstatus AS value, count(*) AS n, 1::BIGINT AS calls FROM orders GROUP BY 1")
+def model_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Few distinct prompts of very many rows: each is asked once (every answer names its call)."""
+    fixed = {c: F.lit(c) for c in ("file_path", "source", "pattern_name", "context")}
+    rows = _table(spark, sf, "orders").select(F.concat_ws(":", "o_orderpriority", "o_orderstatus").alias("matched_value")).withColumns(fixed)
+    asked = triage.ask(rows, triage.callable_provider(lambda *_: f'{{"status": "REVIEW", "reasoning": "{uuid.uuid4()}"}}'))
+    return asked.groupBy(F.col("matched_value").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("decision.reasoning").alias("calls"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,6 +185,46 @@ def tool_metrics(rows: DataFrame) -> DataFrame:
     return per_tool.join(F.broadcast(n)).select("tool", "calls", "error_rate", (F.col("calls") / F.col("rows")).alias("calls_per_detection"))
 
 
+def asof_decisions(calls: DataFrame, decisions: DataFrame, key: str, time_col: str, id_col: str, width: str = "1 day") -> DataFrame:
+    """``calls`` with ``before`` and ``after``: the status of the last decision up to a call's time, and of the first one later;
+    null where there is none. ``decisions`` has key, time, id and ``status``; of decisions of one time the largest id is the last.
+
+    Rows are put in order inside ``width`` of a key's time only; what stands at the borders comes from the key's other stretches, a
+    row for each. So a key of very many rows is many tasks.
+    """
+    columns = [c for c in calls.columns if c not in (key, time_col, id_col)]
+    row = lambda rows, is_call: rows.select(key, time_col, id_col, F.lit(is_call).alias("_call"), (F.lit(None).cast("string") if is_call else F.col("status")).alias("_status"), (F.struct(*columns) if is_call else F.lit(None).cast(calls.select(F.struct(*columns)).schema[0].dataType)).alias("_row"))
+    both = row(calls, True).unionByName(row(decisions.filter("status IS NOT NULL"), False))
+    both = both.withColumn("_stretch", F.window(F.col(time_col).cast("timestamp"), width)["start"])
+    place = F.struct(time_col, "_call", id_col)
+    inside = Window.partitionBy(key, "_stretch").orderBy(time_col, "_call", id_col)
+    near = both.withColumns({
+        "_before": F.last("_status", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+        "_after": F.first("_status", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+    }).filter("_call")
+    ends = both.groupBy(key, "_stretch").agg(F.min_by("_status", F.when(F.col("_status").isNotNull(), place)).alias("_first"), F.max_by("_status", F.when(F.col("_status").isNotNull(), place)).alias("_last"))
+    along = Window.partitionBy(key).orderBy("_stretch")
+    ends = ends.select(
+        F.col(key).alias("_key"), F.col("_stretch").alias("_at"),
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("_later"),
+    )
+    joined = near.join(ends, F.col(key).eqNullSafe(F.col("_key")) & F.col("_stretch").eqNullSafe(F.col("_at")))
+    return joined.select(key, time_col, id_col, "_row.*", F.coalesce("_before", "_earlier").alias("before"), F.coalesce("_after", "_later").alias("after"))
+
+
+def tool_effects(calls: DataFrame) -> DataFrame:
+    """For each tool, from calls with ``before`` and ``after`` (:func:`asof_decisions`): calls, mean latency, the share of decisions that
+    changed, and the share of REVIEW that was resolved; calls without a decision on either side count in neither share."""
+    both = F.col("before").isNotNull() & F.col("after").isNotNull()
+    return calls.groupBy("tool").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.avg("latency_ms").alias("avg_latency_ms"),
+        F.avg(F.when(both, (F.col("before") != F.col("after")).cast("int"))).alias("changed_rate"),
+        F.avg(F.when(both & (F.col("before") == "REVIEW"), (F.col("after") != "REVIEW").cast("int"))).alias("review_resolved_rate"),
+    )
+
+
 def length_bucket(n: Column) -> Column:
     return F.when(n < 8, "<8").when(n < 16, "8-15").when(n < 32, "16-31").when(n < 64, "32-63").otherwise(">=64")
 
@@ -209,16 +249,19 @@ def disagreements(rows: DataFrame) -> DataFrame:
     return rows.groupBy("record_id").agg(F.array_sort(F.collect_set("predicted_status")).alias("statuses")).withColumn("disagree", F.size("statuses") > 1)
 
 
-def answer_rates(rows: DataFrame) -> DataFrame:
+def answer_rates(rows: DataFrame, tokens: Callable[[Column], Column] | None = None) -> DataFrame:
     """For each model and strategy, from ``prompt, raw_response``: shares of answers that had to be cut out of other text
-    (repaired), of answers without any object, which become REVIEW (fallback), and mean words of prompts and answers."""
+    (repaired), of answers without any object, which become REVIEW (fallback), and mean words of prompts and answers; with
+    ``tokens`` (:func:`trivet.functions.tokens.counter`) also their mean tokens."""
     from trivet.functions import jsonx, text as T
 
     kind = T.let(jsonx.json_object(F.col("raw_response")), lambda o: F.when(o.isNull(), "fallback").when(T.strip(F.col("raw_response")) != T.strip(o), "repaired").otherwise("whole"))
     words = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda w: w != ""))
-    out = rows.withColumn("_kind", kind).groupBy("model", "strategy")
+    counted = {"_prompt_tokens": tokens(F.col("prompt")), "_answer_tokens": tokens(F.col("raw_response"))} if tokens else {}
+    out = rows.withColumns({"_kind": kind} | counted).groupBy("model", "strategy")
     share = lambda k: F.avg((F.col("_kind") == k).cast("int")).alias(f"{k}_rate")
-    return out.agg(share("repaired"), share("fallback"), F.avg(words("prompt")).alias("prompt_words"), F.avg(words("raw_response")).alias("answer_words"))
+    more = [F.avg("_prompt_tokens").alias("prompt_tokens"), F.avg("_answer_tokens").alias("answer_tokens")] if tokens else []
+    return out.agg(share("repaired"), share("fallback"), F.avg(words("prompt")).alias("prompt_words"), F.avg(words("raw_response")).alias("answer_words"), *more)
 
 
 def histogram(rows: DataFrame, col: str, bounds: Sequence[float], *by: str) -> DataFrame:

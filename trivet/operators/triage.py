@@ -319,13 +319,14 @@ def react(detections: DataFrame, provider: Provider = policy_provider, fallback:
 def similar_examples(detections: DataFrame, pool: DataFrame, id_col: str, k: int = 2, most: int = 10_000) -> DataFrame:
     """``id, examples array<struct<example_id,score>>``: the ``k`` labelled examples (``example_id, context``) that share
     the largest part of their words with each detection's context, ties to the smaller id. The pool is a chosen set of
-    ``most`` examples at most; a larger one is an error. Words of four letters or more count."""
+    ``most`` examples at most; a larger one is an error (:func:`trivet.operators.similar.most_similar` takes a pool of any size, by
+    vectors). Words of four letters or more count; Spark broadcasts the pool's words only where it knows them to be few."""
     if pool.limit(most + 1).count() > most:
         raise ValueError(f"a pool of more than {most} examples")
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("context", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
     mine = detections.select(F.col(id_col).alias("id"), words.alias("ws"))
     theirs = pool.select("example_id", words.alias("es"))
-    hits = mine.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(F.broadcast(theirs.select("example_id", F.size("es").alias("m"), F.explode("es").alias("w"))), "w")
+    hits = mine.select("id", F.size("ws").alias("n"), F.explode("ws").alias("w")).join(theirs.select("example_id", F.size("es").alias("m"), F.explode("es").alias("w")), "w")
     scored = hits.groupBy("id", "example_id", "n", "m").agg(F.count(F.lit(1)).alias("c")).withColumn("score", F.col("c") / (F.col("n") + F.col("m") - F.col("c")))
     best = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "example_id")))  # of the pool at most
     top = scored.groupBy("id").agg(F.transform(F.slice(best, 1, k), lambda x: F.struct(x["example_id"].alias("example_id"), (-x["s"]).alias("score"))).alias("examples"))
