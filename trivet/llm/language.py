@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivet.llm.common import give_back
 from trivet.llm.shingles import U, batches_of, mix
 
 SIZES = (2, 3, 4)
 HASHES = 3
 SPACE = 32
-GROUP_CHARS = 400_000  # characters looked up at once
+GROUP_CHARS = 200_000  # characters looked up at once
 
 
 def held_out(doc_id: Column) -> Column:
@@ -134,6 +135,7 @@ def fit(docs: DataFrame, per_language: int = 3000, share: float = 0.25, id_col:
                 for i in np.unique(lang):
                     own, n = np.unique(prints[lang == i], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), i, np.int32)), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], ["l", "g", "n"])
+        give_back()
 
     counts = sample.mapInArrow(count, "l int, g bigint, n bigint").groupBy("l", "g").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("l").agg(F.sum("n").alias("all"))  # a row for each language
@@ -176,5 +178,6 @@ def language_of(spark: SparkSession, model: Filter | None) -> Callable[[Column],
                 names += [found.langs[b] if h else "und" for b, h in zip(part.argmax(1), has)]
                 scores += np.where(has, part.max(1), 0.0).tolist()
             yield pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": pd.Series(scores, dtype=float)})
+        give_back()
 
     return F.pandas_udf(predict, "lang_pred string, score double")
