@@ -70,3 +70,16 @@ def test_recall_of_the_query_against_all_rows(spark):
             best = {int(i) for i in ids[np.lexsort((ids, -scores))[:20]]}
             hits, total = hits + len(best & got[q]), total + len(best)
     assert total == 20 * sum(i % 20 == 0 for i in ids.tolist()) and hits / total >= 0.9
+
+
+def test_slices_of_visits_are_bounded():
+    """A million visits of few queries: every one is there, in slices of bounded rows."""
+    blocks = {leaf: leaf % 7 for leaf in range(400)}
+    total, largest, pairs = 0, 0, set()
+    for at, leaf, block in kmeans_tree.visiting_rows((range(400) for _ in range(850)), blocks):
+        total, largest = total + len(at), max(largest, len(at))
+        pairs |= {(x, b) for x, b in zip(leaf, block)}
+        assert len(at) == len(leaf) == len(block)
+    assert largest == 4096 and total == 850 * sum(blocks.values()) > 1_000_000
+    assert pairs == {(x, b) for x, n in blocks.items() for b in range(n)}
+    assert list(kmeans_tree.visiting_rows([], blocks)) == []

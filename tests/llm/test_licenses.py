@@ -35,12 +35,26 @@ def wrapped(text, mark, width=72, end="\n"):
     return end.join(lines)
 
 
+def ids_of(part, known):
+    form = re.sub("[^a-z0-9]+", " ", part.lower()).strip()
+    if form in known:
+        return [known[form]]
+    for pattern, to in licenses.SLOTS:
+        form = re.sub(pattern, to, form, count=1)
+    if form in known:
+        return [known[form]]
+    names = re.split(" (?:and|or) (?:the )?", form.removeprefix("licensed under ")) if form.startswith("licensed under ") else []
+    return [known[f"licensed under {n}"] for n in names if f"licensed under {n}" in known]
+
+
 def brute(text, known=licenses.SENTENCES, rules=licenses.RULES):
-    norm = lambda t: re.sub("[^a-z0-9]+", " ", t.lower()).strip()
     hits = []
-    for i, s in enumerate(re.split(licenses.SENTENCE_END, re.sub(licenses.TAG, r"\1", text or ""))):
-        whole = known.get(norm(re.sub(licenses.LINE_BREAK, " ", s)))
-        hits += [(i, x) for x in ([whole] if whole is not None else [known.get(norm(x)) for x in s.split("\n")] if "\n" in s else []) if x is not None]
+    for i, s in enumerate(re.split(licenses.SENTENCE_END, re.sub(licenses.ABBREVIATED, r"\1\2", re.sub(licenses.TAG, r"\1", text or "")))):
+        for m in re.finditer(licenses.EXPRESSION, s):
+            tags = ["spdx " + re.sub("[^a-z0-9]+", " ", t.lower()).strip() for t in re.split(r"[ \t()]+", m[1])]
+            hits += [(i, known[t]) for t in tags if t in known]
+        whole = ids_of(re.sub(licenses.LINE_BREAK, " ", s), known)
+        hits += [(i, x) for x in whole or ([x for line in s.split("\n") for x in ids_of(line, known)] if "\n" in s else [])]
 
     def holds(ids):
         rest = iter([x for _, x in hits])
@@ -89,6 +103,51 @@ def test_empty_table_and_null_ids(spark):
     assert licenses.scan_licenses(rows.limit(0)).count() == 0
 
 
+WORDINGS = {
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": ["cc-by-4.0"],
+    "This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License. To view a copy, visit the site.": ["cc-by-sa-3.0"],
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/\n": ["epl-2.0"],
+    "SPDX-License-Identifier: Apache-2.0 OR MIT": ["apache-2.0", "mit"],
+    "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": ["bsd-3-clause", "gpl-2.0"],
+    "# SPDX-License-Identifier: MIT\n# isc zlib unlicense are words here": ["mit"],
+    "SPDX-License-Identifier: LicenseRef-Own": [],
+    "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE\nTERMS AND CONDITIONS\n\n  0. You just DO WHAT THE FUCK YOU WANT TO.": ["wtfpl"],
+    "Dual licensed under the MIT license and the Apache License, Version 2.0.": ["apache-2.0", "mit"],
+    "Licensed under either the MIT License or the Apache License 2.0, at your choice": ["mit"],
+    "The library is released under the terms of the Mozilla Public License 2.0; see LICENSE.": ["mpl-2.0"],
+    "This data is made available under the Open Database License: http://opendatacommons.org/licenses/odbl/1.0/.": ["odbl-1.0"],
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.": ["ofl-1.1"],
+    "Licensed under the Academic Free License version 3.0": ["afl-3.0"],
+    "It is published under the GNU GPL v3 or later.": ["gpl-3.0"],
+    "Licensed under the EUPL, Version 1.2 or - as soon they will be approved - later": ["eupl-1.2"],
+    "This text is not licensed under the MIT License.": [],
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use it otherwise.": ["mpl-1.1"],
+    "The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").": ["cddl-1.0"],
+    "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\").": ["epl-1.0"],
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. ": ["0bsd"],
+    "If you use the software, you accept this license.": ["ms-pl"],
+    "under the mit license nothing is said": [],
+}
+
+
+def test_common_wordings(spark):
+    got = found(spark, list(WORDINGS))
+    for i, (text, want) in enumerate(WORDINGS.items()):
+        assert got[i] == brute(text), text
+        if want or got[i][1]:
+            assert got[i][1] == want, (text, got[i])
+
+
+@pytest.mark.parametrize("holder", ["the University of Somewhere", "Example, Inc.", "the <organization>", "Jane Doe"])
+def test_named_holders(spark, holder):
+    third = f"Neither the name of {holder} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    older = f"The name of {holder} may not be used to endorse or promote products derived from this software without specific prior written permission."
+    for clause in (third, older):
+        for text in (f"{BSD2}\n\n3. {clause}", wrapped(f"{BSD2}\n\n3. {clause}", " * ", 50)):
+            (hits, names) = found(spark, [text])[0]
+            assert names == ["bsd-2-clause", "bsd-3-clause"] and (hits, names) == brute(text)
+
+
 @pytest.mark.parametrize("sentence", ["mit license", "under"])
 def test_stems_hold_in_every_sentence(sentence):
     assert all(re.search(licenses.stems(licenses.SENTENCES), s) for s in licenses.SENTENCES)

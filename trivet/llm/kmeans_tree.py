@@ -11,7 +11,7 @@ Equal vectors are one entry with their smallest ids, as many as any result can h
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -127,6 +127,23 @@ def _merge(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("place", best).filter(F.col("place") <= k)
 
 
+def visiting_rows(leaves: Iterable[Iterable[int]], blocks: dict[int, int], most: int = 4_096) -> Iterator[tuple[list[int], list[int], list[int]]]:
+    """Query, leaf and block of every visit, ``most`` at once: a slice's vectors are what a task holds, however many leaves
+    are visited and however many blocks they have."""
+    at, leaf_out, block_out = [], [], []
+    for i, visited in enumerate(leaves):
+        for x in visited:
+            for b in range(blocks.get(x, 0)):
+                at.append(i)
+                leaf_out.append(x)
+                block_out.append(b)
+                if len(at) == most:
+                    yield at, leaf_out, block_out
+                    at, leaf_out, block_out = [], [], []
+    if at:
+        yield at, leaf_out, block_out
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column | None = None,
@@ -180,15 +197,10 @@ def nearest(
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, leaf_out, block_out = [], [], []
-            for i, query in enumerate(matrix(batch.column("v"))):
-                for x in shared.value.visits(query, n_visits):
-                    for b in range(blocks.get(x, 0)):
-                        at.append(i)
-                        leaf_out.append(x)
-                        block_out.append(b)
-            take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(take), batch.column("v").take(take), pa.array(leaf_out, pa.int32()), pa.array(block_out, pa.int32())], ["q", "v", "leaf", "block"])
+            leaves = (shared.value.visits(query, n_visits) for query in matrix(batch.column("v")))
+            for at, leaf_out, block_out in visiting_rows(leaves, blocks):
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("q").take(take), batch.column("v").take(take), pa.array(leaf_out, pa.int32()), pa.array(block_out, pa.int32())], ["q", "v", "leaf", "block"])
 
     def search(left, right):
         """All queries that visit a block, against its rows; the best k + 1 entries of each."""
