@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trivet import schema
 from trivet.functions.text import is_real
-from trivet.operators import metrics, report, synth, triage
+from trivet.operators import metrics, records, report, synth, triage
 from trivet.operators.clusters import written
 from trivet.plans import artifacts, benchmark, dataset
 from trivet.sources import readers, writers
@@ -45,7 +45,7 @@ def run_generate(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def _records(spark: SparkSession, path: str, limit: int) -> DataFrame:
     rows = readers.read_json_lines(spark, artifacts.resolved(spark, path), schema.RECORD)
-    return rows.orderBy("record_id").limit(limit) if limit else rows
+    return records.first_records(rows, limit)
 
 
 def run_benchmark(spark: SparkSession, a: argparse.Namespace) -> None:

@@ -70,7 +70,8 @@ def augment_false_positives(false_positives: DataFrame, pool: DataFrame | None =
     if pool is not None:
         size = pool.count()
         if size:
-            rows = rows.withColumn("_i", F.when(F.col("_v.kind") == "hard_negative", T.draw(size, seed, "pool", rid)))
+            spread = -1 - F.pmod(F.xxhash64(rid), F.lit(4096))  # numbers of no pool row, so that other variants do not meet in one task
+            rows = rows.withColumn("_i", F.when(F.col("_v.kind") == "hard_negative", T.draw(size, seed, "pool", rid)).otherwise(spread))
             rows = rows.join(pool, F.col("_i") == F.col("pool_index"), "left")
             value = F.coalesce("pool_value", "_v.value")
     out = rows.select(

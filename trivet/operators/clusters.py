@@ -12,8 +12,14 @@ from trivet.graph import components
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/trivet-scratch"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset one in the warehouse, unless that
+    is local to each machine of a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if house.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = house + "/trivet-scratch"
     return base.rstrip("/")
 
 

@@ -68,6 +68,11 @@ def cap_per_class(rows: DataFrame, cap: int, seed: int = 42, class_col: str = "s
     return rows.withColumn("_place", place).filter(F.col("_place") <= cap).drop("_place")
 
 
+def first_records(rows: DataFrame, limit: int, id_col: str = "record_id") -> DataFrame:
+    """The first ``limit`` rows by id, all of them if it is 0 or less. Spark keeps the first of each partition before rows move."""
+    return rows.orderBy(id_col).limit(limit) if limit > 0 else rows
+
+
 def assign_splits(rows: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 42, group_col: str = "source_context_hash") -> DataFrame:
     """A ``split`` for every row such that a group is in one split: of the groups in seeded order, the first
     ``floor(n * test)`` are test, the next ``floor(n * val)`` validation.

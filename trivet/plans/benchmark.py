@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet.functions import jsonx
@@ -149,6 +149,14 @@ def hub_id(name: str) -> str:
     return next((v for k, v in HUB_IDS.items() if k in name.lower()), name)
 
 
+def hub_ids(name: Column) -> Column:
+    """:func:`hub_id` of a column of names: the first part that a name holds decides, other names stay."""
+    out = name
+    for part, full in reversed(HUB_IDS.items()):
+        out = F.when(F.contains(F.lower(name), F.lit(part)), full).otherwise(out)
+    return out
+
+
 def smoke_cases(spark: SparkSession) -> DataFrame:
     """Seven cases whose answers are known. They must equal those that models have been checked with."""
     rows = [
