@@ -92,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op3_license_scan": licenses.ORACLE,
     "op8_source_mix": mixing.ORACLE,
+    "op12_conversation_repair": repair.ORACLE,
 }

@@ -516,3 +516,47 @@ def repair_report(conversations: DataFrame) -> DataFrame:
     rows = every.join(found, F.col("e.conv_id").eqNullSafe(F.col("f.conv_id")), "left")
     zeros = [F.coalesce(f"f.{c}", F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return rows.select("e.conv_id", *zeros, F.coalesce("f.audit", F.lit("")).alias("audit"), F.coalesce("f.repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _oracle() -> str:
+    """DuckDB SQL of :func:`repair_report`: a forward programme over rows, one recursion step each, with the edits as texts."""
+    white = r"[\x20\x09-\x0D]"
+    then = lambda v, cost, letter, line="''": f"CASE WHEN {v} IS NOT NULL THEN {{'c': {v}.c + {cost}, 'a': {v}.a || '{letter}', 'o': {v}.o || {line}}} END"
+    put = lambda v, name: then(v, INSERT, "I", f"chr(10) || '{name}:'")
+    stays = "fault IN ('plain', 'truncated')"
+    more = f"CASE WHEN fault = 'truncated' THEN {TRUNCATED} ELSE 0 END"
+    keep = lambda v, initial: f"CASE WHEN {stays} AND left(role, 1) = '{initial}' THEN {then(v, more, 'K', 'chr(10) || role || chr(58) || text')} END"
+    name = lambda v, to: f"CASE WHEN {stays} THEN {then(v, f'{REROLE} + {more}', 'R', f'chr(10) || {chr(39)}{to}:{chr(39)} || text')} END"
+    gone = lambda v: then(v, DELETE, "D")
+    nothing = "{'c': 0, 'a': '', 'o': ''}"
+    none = "NULL::STRUCT(c INTEGER, a VARCHAR, o VARCHAR)"
+
+    def free(source: str, *more: str) -> str:
+        """States n0 to n3 of ``source``, with rows put in."""
+        second = f"SELECT *, least(n2, {put('n0', 'user')}, {put('n1', 'user')}, {put('n3', 'user')}) AS t2 FROM ({source})"
+        return f"SELECT {', '.join(more)}, n0 AS s0, n1 AS s1, t2 AS s2, least(n3, {put('t2', 'assistant')}) AS s3 FROM ({second})"
+
+    step = f"""SELECT d.conv_id, d.i, {gone("s0")} AS n0, least({gone("s1")}, {keep("s0", "s")}) AS n1,
+      least({gone("s2")}, {keep("s0", "u")}, {keep("s1", "u")}, {keep("s3", "u")}, {name("s0", "user")}, {name("s1", "user")}, {name("s3", "user")}) AS n2,
+      least({gone("s3")}, {keep("s2", "a")}, {name("s2", "assistant")}) AS n3 FROM st JOIN d ON d.conv_id IS NOT DISTINCT FROM st.conv_id AND d.i = st.i + 1"""
+    return f"""
+WITH RECURSIVE tbl AS (SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+x AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(4294967295, list_reduce([4294967295] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda l: ascii(l)::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS h FROM conversations, tbl),
+y AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM y),
+d AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(regexp_replace(text, '{white}+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'plain' END AS fault FROM z),
+first AS (SELECT conv_id, 0::BIGINT AS i, {nothing} AS n0, {none} AS n1, {none} AS n2, {none} AS n3 FROM (SELECT DISTINCT conv_id FROM d)),
+st AS ({free("SELECT * FROM first", "conv_id", "i")} UNION ALL {free(step, "conv_id", "i")}),
+ended AS (SELECT conv_id, least(arg_max(s0, i), arg_max(s3, i)) AS r FROM st GROUP BY conv_id),
+seen AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated,
+  count_if(before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM d) GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(r.c, 0)::BIGINT AS cost, coalesce(r.a, '') AS audit, sha256(substr(coalesce(r.o, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN seen s ON e.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN ended ON e.conv_id IS NOT DISTINCT FROM ended.conv_id
+"""
+
+
+ORACLE = _oracle()
