@@ -90,3 +90,17 @@ def test_words_that_sums_of_powers_confuse(spark, rounds):
     rows = [(1, x + rest), (2, y + rest), (3, x + rest)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
+
+
+def test_hubs_are_on_the_probing_side(spark):
+    """A document of half of all pairs is ``a`` in each of them, and its partners are dealt into turns."""
+    hub, n = b"h", 20 * ngram_join.PARTNERS
+    rows = [(hub, b"p%d" % i) if i % 2 else (b"p%d" % i, hub) for i in range(n)] + [(b"p%d" % i, b"q%d" % i) for i in range(n)]
+    got = ngram_join.oriented(spark.createDataFrame(rows, "a binary, b binary")).collect()
+    assert sorted(sorted((bytes(r.a), bytes(r.b))) for r in got) == sorted(sorted(r) for r in rows)
+    mine = [r for r in got if hub in (bytes(r.a), bytes(r.b))]
+    assert all(bytes(r.a) == hub for r in mine)
+    turns = {}
+    for r in mine:
+        turns[r.turn] = turns.get(r.turn, 0) + 1
+    assert len(turns) == 20 and max(turns.values()) < 2 * ngram_join.PARTNERS and all(r.turn == 0 for r in got if bytes(r.a) != hub)

@@ -283,11 +283,23 @@ def sets_of(data: pa.ChunkedArray, size: int) -> list[Lanes]:
     return [u for part in batches_of(unpack(x).decode() for x in data.to_pylist()) for u in shingle_sets(part, size)]
 
 
+def oriented(pairs: DataFrame) -> DataFrame:
+    """``a, b, turn``: of each pair the document of more pairs is ``a``, whose partners are dealt into turns. So the text of a hub moves
+    once a turn, and no document is the ``b`` of very many pairs. Only documents of more pairs than a turn has are looked up."""
+    ends = pairs.select(F.col("a").alias("x")).unionAll(pairs.select(F.col("b").alias("x")))
+    many = ends.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PARTNERS)
+    for x in ("a", "b"):
+        pairs = pairs.join(many.select(F.col("x").alias(x), F.col("n").alias(f"n_{x}")), x, "left")
+    na, nb = (F.coalesce(f"n_{x}", F.lit(1)) for x in ("a", "b"))
+    a, b = F.when(nb > na, F.col("b")).otherwise(F.col("a")), F.when(nb > na, F.col("a")).otherwise(F.col("b"))
+    both = pairs.select(a.alias("a"), b.alias("b"), F.ceil(F.greatest(na, nb) / PARTNERS).alias("turns"))
+    return both.select("a", "b", F.pmod(F.xxhash64("b"), F.col("turns")).alias("turn"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, share: int, size: int, scratch: Scratch) -> DataFrame:
     """The pairs whose sets reach the similarity, by exact overlap. Partners come to one document, ``PARTNERS`` at a time,
     into one index that its shingles probe."""
-    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).alias("groups"))
-    dealt = pairs.select("a", "b").join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("turn"))
+    dealt = scratch.cut(oriented(pairs))
     theirs = dealt.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "turn", "b", "data")
     mine = dealt.select(F.col("a").alias("own"), F.col("turn").alias("own_turn")).distinct().join(texts.select(F.col("sid").alias("own"), F.col("data").alias("own_data")), "own")
 
@@ -300,7 +312,9 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int, size: int, scratch:
         take = np.flatnonzero(100 * both >= share * (len(x[0]) + index.sizes - both))
         return right.select(["a", "b"]).take(pa.array(take))
 
-    return scratch.cut(mine.groupBy("own", "own_turn").cogroup(theirs.groupBy("a", "turn")).applyInArrow(probe, "a binary, b binary"))
+    found = scratch.cut(mine.groupBy("own", "own_turn").cogroup(theirs.groupBy("a", "turn")).applyInArrow(probe, "a binary, b binary"))
+    scratch.free(dealt)
+    return found
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
