@@ -18,12 +18,14 @@ from trivet.llm.queries import tokenizer
 LEAST_SCORE = 0.4
 #: Every document is taken once at least; small sources repeat within the mixture's limit.
 MIXTURE = mixing.Mixture(budget="cover")
+#: Characters of texts whose words are encoded together: executors that run all stages have less room than one query has.
+ENCODED_CHARS = 2_000_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """From now on Python gets texts in batches of 8 MB and 2,000 rows at most, for as long as the session runs: rows are texts, and
+    """From now on Python gets texts in batches of 4 MB and 1,000 rows at most, for as long as the session runs: rows are texts, and
     a batch is held in the JVM and in the worker."""
-    for key, most in (("maxRecordsPerBatch", 2_000), ("maxBytesPerBatch", 8 << 20)):
+    for key, most in (("maxRecordsPerBatch", 1_000), ("maxBytesPerBatch", 4 << 20)):
         key = f"spark.sql.execution.arrow.{key}"
         now = int(spark.conf.get(key).rstrip("b"))
         if not 0 < now <= most:
@@ -92,7 +94,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and its digest after decoding. A row for each row: repeated rows and null ids too; a
     null text has no tokens; texts of any length are encoded whole."""
     small_batches(spark)
-    return bpe_words.encode_decode(docs, tokenizer("word_bpe_49k.json"))
+    return bpe_words.encode_decode(docs, tokenizer("word_bpe_49k.json"), batch_chars=ENCODED_CHARS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -123,13 +123,14 @@ def spread(flat: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[np.repeat(starts - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, batch_chars: int = BATCH_CHARS) -> DataFrame:
     """Return ``doc_id, n_tokens long, ids_sha256, decoded_sha256`` for every row, with ``texts`` also ``ids array<int>``
     and ``decoded string``.
 
     * null and empty texts have no tokens and decode to the empty text; an empty table gives no rows.
     * repeated rows each give a row; null ids are allowed; special strings inside texts are their tokens.
     * very long texts are encoded whole; other columns of the input are not read.
+    * ``batch_chars`` steers the work only: smaller batches of texts take less memory and more of the exchange.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -143,7 +144,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         with no_cycles():
             return positions_of(group, special)
 
-    dealt = split(src, parts, tokenise, BATCH_CHARS)
+    dealt = split(src, parts, tokenise, batch_chars)
 
     def encode(rows: Iterator[tuple[str, int, bytes]]) -> Iterator[tuple[str, int, bytes]]:
         """Each distinct word of a range is encoded when it is met first."""
