@@ -6,10 +6,10 @@ import os
 import duckdb
 import pytest
 
-from trivet import io_queries, queries
+from trivet import io_queries, plan_queries, queries
 
 SF = "/root/testdata/sf0.001"
-assert io_queries  # its queries are registered with the others
+assert io_queries and plan_queries  # their queries are registered with the others
 
 
 def canonical(rows, cols):

@@ -52,7 +52,7 @@ def report_items(decided: DataFrame) -> DataFrame:
 def nested_report(decided: DataFrame, most: int = 20_000) -> DataFrame:
     """``owner, part, summary, files map<path, array<detection>>``, every detection once, detections of a file in order of pattern,
     line and hash. A part has ``most`` detections at most, so an owner of many files and a file of many detections, equal ones too,
-    go over several parts; ``summary`` stands in part 0, which is the only one of most owners.
+    go over several parts; most owners have part 0 only. Each part has its owner's ``summary``.
 
     No owner and no file is brought together: rows are sorted by range, with a salt behind all else, and each task cuts its
     sorted rows into parts as they pass. Parts of an owner are then numbered by counts, a row for each owner of a task.
@@ -106,8 +106,7 @@ def nested_report(decided: DataFrame, most: int = 20_000) -> DataFrame:
     cut = written(laid.mapInArrow(parts, f"owner string, task int, seq bigint, files map<string,array<{kind}>>"))
     counts = cut.groupBy("owner", "task").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("owner").orderBy("task").rowsBetween(Window.unboundedPreceding, -1))  # a row for each task
-    starts = counts.select("owner", "task", F.coalesce(before, F.lit(0)).alias("start")).filter("start > 0")
-    numbered = cut.join(starts, ["owner", "task"], "left").select("owner", (F.coalesce("start", F.lit(0)) + F.col("seq")).alias("part"), "files")
     summary = owner_summary(decided)
-    packed = summary.select("owner", F.lit(0).cast("long").alias("part"), F.struct(*[c for c in summary.columns if c != "owner"]).alias("summary"))
-    return numbered.join(packed, ["owner", "part"], "left").select("owner", "part", "summary", "files")
+    packed = summary.select("owner", F.struct(*[c for c in summary.columns if c != "owner"]).alias("summary"))
+    starts = counts.select("owner", "task", F.coalesce(before, F.lit(0)).alias("start")).join(packed, "owner")
+    return cut.join(starts, ["owner", "task"]).select("owner", (F.col("start") + F.col("seq")).alias("part"), "summary", "files")
