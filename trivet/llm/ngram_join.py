@@ -299,7 +299,7 @@ def oriented(pairs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, share: int, size: int, scratch: Scratch) -> DataFrame:
     """The pairs whose sets reach the similarity, by exact overlap. Partners come to one document, ``PARTNERS`` at a time,
     into one index that its shingles probe."""
-    dealt = scratch.cut(oriented(pairs))
+    dealt = oriented(pairs)
     theirs = dealt.join(texts.withColumnRenamed("sid", "b"), "b").select("a", "turn", "b", "data")
     mine = dealt.select(F.col("a").alias("own"), F.col("turn").alias("own_turn")).distinct().join(texts.select(F.col("sid").alias("own"), F.col("data").alias("own_data")), "own")
 
@@ -312,9 +312,7 @@ def verified(pairs: DataFrame, texts: DataFrame, share: int, size: int, scratch:
         take = np.flatnonzero(100 * both >= share * (len(x[0]) + index.sizes - both))
         return right.select(["a", "b"]).take(pa.array(take))
 
-    found = scratch.cut(mine.groupBy("own", "own_turn").cogroup(theirs.groupBy("a", "turn")).applyInArrow(probe, "a binary, b binary"))
-    scratch.free(dealt)
-    return found
+    return scratch.cut(mine.groupBy("own", "own_turn").cogroup(theirs.groupBy("a", "turn")).applyInArrow(probe, "a binary, b binary"))
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
