@@ -152,13 +152,14 @@ def normal(name: str) -> str:
 
 #: What stands before a name of a licence, and before an identifier of an SPDX expression, in the table of sentences.
 UNDER, SPDX = "licensed under ", "spdx "
+VERBS = "licensed|released|distributed|available|published|provided|offered|covered"
 #: Slots, in order: what sentences of a kind have in place of a common form. Names of holders and projects, the subject and the
 #: verb of a grant (twenty words at most stand before it), and where a licence can be read. A grant that is denied is none.
 SLOTS: tuple[tuple[str, str], ...] = (
     (r"^neither the names? of .+ nor the names of (?:its|their|the) contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
     (r"^(?:the )?names? of .+ may not be used to endorse or promote products", "the name of the author may not be used to endorse or promote products"),
-    (r"^(?:[a-z0-9]+ ){0,20}not (?:licensed|released|distributed|available|published|provided|offered|covered) under .*", ""),
-    (r"^(?:[a-z0-9]+ ){0,20}(?:licensed|released|distributed|available|published|provided|offered|covered) under (?:the terms (?:and conditions )?of )?(?:either )?(?:the |an? )?", UNDER),
+    (rf"^(?:[a-z0-9]+ ){{0,20}}not (?:{VERBS}) under .*", ""),
+    (rf"^(?:[a-z0-9]+ ){{0,20}}(?:{VERBS}) under (?:the terms (?:and conditions )?of )?(?:either )?(?:the |an? )?", UNDER),
     (r"^(licensed under .+?) (?:which|that|see|as published by|as found in|found in|https?|with the|the license$|or at your option|or any later|or later).*$", r"\1"),
 )
 #: Between names that a grant offers together.
@@ -205,9 +206,10 @@ def sentences(text: Column) -> Column:
 
 def stems(known: Iterable[str]) -> str:
     """A pattern of letters that every known sentence holds, whatever its slots: a text without any of them has no known sentence.
-    Built from the sentences: the most frequent words first, until each sentence has one. Of a grant the name counts, of an
+    Built from the sentences: the most frequent words first, until each sentence has one. Of a grant the verb counts, of an
     SPDX identifier the tag."""
-    sources = {SPDX.strip() if s.startswith(SPDX) else s.removeprefix(UNDER) for s in known}
+    known = list(known)
+    sources = {s for s in known if not s.startswith((UNDER, SPDX))}
     fixed = [to for pattern, to in SLOTS[:2] if to and any(s.startswith(to) for s in sources)]
     left = {s: set(s.split()) - {"copyright", "holder", "author", "neither", "names", "its"} if any(s.startswith(f) for f in fixed) else set(s.split()) for s in sources}
     found: list[str] = []
@@ -216,7 +218,9 @@ def stems(known: Iterable[str]) -> str:
         word = max(top, key=lambda w: (top[w] * (len(w) > 4) or top[w] / 1000, len(w), w))
         found.append(word)
         left = {s: ws for s, ws in left.items() if word not in ws}
-    return "|".join(sorted(found))
+    grants = VERBS.split("|") if any(s.startswith(UNDER) for s in known) else []
+    tags = [SPDX.strip()] if any(s.startswith(SPDX) for s in known) else []
+    return "|".join(sorted({*found, *grants, *tags}))
 
 
 def rule_pattern(ids: tuple[int, ...]) -> str:
