@@ -88,6 +88,12 @@ def fixture_check(path: Column, value: Column) -> Column:
     return _tool("fixture_check", is_fixture=(path_class(path) == "test_fixture") | (F.size(placeholder_terms(value)) > 0))
 
 
+def git_blame_check(author: Column, changed_at: Column, scanned_at: Column) -> Column:
+    """Who changed the line last, as a hash, and how many days before the scan; for detections that have these columns."""
+    days = F.datediff(F.to_date(scanned_at), F.to_date(changed_at))
+    return _tool("git_blame_check", author_hash=value_hash(author), age_days=days)
+
+
 #: Tools by name: (fields of the detection that they take, function of these columns). Add an entry to add a tool.
 REGISTRY: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     "entropy_check": (("matched_value",), entropy_check),
@@ -97,6 +103,7 @@ REGISTRY: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     "duplicate_secret_check": (("matched_value", "seen_before"), duplicate_secret_check),
     "pattern_check": (("matched_value",), pattern_check),
     "fixture_check": (("file_path", "matched_value"), fixture_check),
+    "git_blame_check": (("author", "changed_at", "scanned_at"), git_blame_check),
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trivet.functions import tools
 from trivet.io_queries import _folder
 from trivet.operators import augment, metrics, records, triage
 from trivet.plans import benchmark, dataset
@@ -126,3 +127,12 @@ def summary_order(spark: SparkSession, sf: str) -> DataFrame:
 def error_rates(spark: SparkSession, sf: str) -> DataFrame:
     rows = metrics.binary_metrics(bench(spark, sf), "model", true="expected_is_credentials", pred="predicted_is_credentials")
     return rows.select("model", *[_r(c).alias(c) for c in ("fpr", "fnr", "balanced_accuracy")])
+
+
+@query("SELECT o_orderkey, substr(sha256('c' || o_custkey), 1, 16) AS author_hash, date_diff('day', o_orderdate::DATE, DATE '1999-01-01')::INT AS age_days FROM orders")
+def git_blame(spark: SparkSession, sf: str) -> DataFrame:
+    """The tool that takes a line's history, called by name with the columns of the detection."""
+    rows = _table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("author"), F.col("o_orderdate").alias("changed_at"), F.lit("1999-01-01").alias("scanned_at"))
+    seen = tools.observation(F.lit("git_blame_check"), F.create_map().cast("map<string,string>"), set(rows.columns))
+    out = rows.select("o_orderkey", F.from_json(seen, "author_hash string, age_days int").alias("x"))
+    return out.select("o_orderkey", "x.author_hash", "x.age_days")
