@@ -536,20 +536,38 @@ def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, "events", lambda d: streams.owner_sessions(d, "ts", "user_id", late="400 days"), True)
 
 
-def _in_batches(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame], files: int = 6) -> DataFrame:
-    """What a stream makes of ``events`` in several files, one a batch, not in order of time; a last row of a far day moves the
-    watermark behind all others."""
+def _files_of_events(spark: SparkSession, sf: str, files: int = 6) -> str:
+    """``events`` in several files, not in order of time; a last row of a far day moves the watermark behind all others."""
     base = f"{clusters.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events = _table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     dealt = events.repartition(files, F.crc32(F.col("event_id").cast("string")))
     dealt.write.parquet(f"{base}/in")
     end = events.agg(F.lit(-1).cast("long").alias("event_id"), F.coalesce(F.max("ts"), F.lit(0).cast("timestamp")).alias("ts")).withColumn("ts", F.expr("ts + INTERVAL 1000 DAYS"))
     end.select("event_id", "ts", F.lit("end").alias("event_type"), F.lit(None).cast("double").alias("value")).write.mode("append").parquet(f"{base}/in")
-    rows = make(streams.read_stream(spark, f"{base}/in", "event_id long, ts timestamp, event_type string, value double", files=1))
+    return base
+
+
+_EVENT = "event_id long, ts timestamp, event_type string, value double"
+
+
+def _in_batches(spark: SparkSession, sf: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream makes of ``events``, one file a batch."""
+    base = _files_of_events(spark, sf)
+    rows = make(streams.read_stream(spark, f"{base}/in", _EVENT, files=1))
     streams.write_stream(rows, f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{base}/out")
 
 
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of days, of which each batch writes what it changes; the last word on every day is the count of all rows."""
+    base = _files_of_events(spark, sf)
+    rows = streams.windowed_counts(streams.read_stream(spark, f"{base}/in", _EVENT, files=1), "ts", "event_type", "1 day", late="900 days")
+    streams.write_updates(rows, f"{base}/out", f"{base}/state").awaitTermination()
+    out = streams.latest(spark, f"{base}/out", "window_start", "event_type").filter("event_type <> 'end'")
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 @query("SELECT event_id AS id, substr(sha256(event_type), 1, 16) AS value_hash, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) > 1 AS is_duplicate FROM events")
 def stream_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     """Few values of many rows, in batches that are out of order: the first row is the first by time all the same."""

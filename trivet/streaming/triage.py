@@ -42,6 +42,20 @@ def write_counts(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return rows.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
 
 
+def write_updates(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """What each batch changes of an aggregation, in a folder of its own; a batch that runs again replaces itself, and what does not
+    change is not written again. :func:`latest` reads the current state."""
+    save = lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")
+    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The current rows of :func:`write_updates`: of each key what the last batch has written."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("r")).select(*keys, "r.*")
+
+
 def _timed(rows: DataFrame, time_col: str) -> DataFrame:
     """Watermarks need a timestamp with a time zone; times without one are read in the session's."""
     return rows.withColumn(time_col, F.col(time_col).cast("timestamp"))
