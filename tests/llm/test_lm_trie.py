@@ -62,6 +62,26 @@ def test_words_that_sums_of_powers_confuse_and_long_texts(spark):
         assert got[i].base_score == pytest.approx(base, rel=1e-12) and got[i].score == pytest.approx(score, abs=n / 500)
 
 
+def test_a_very_common_pair_is_a_few_entries_of_each_batch(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, "hot pair " * 200 + " ".join(rng.choice(["hot", "pair", "x", "y"], 20))) for i in range(120)] + [(500 + i, "hot pair") for i in range(60)]
+    texts = [t for _, t in rows]
+    n = sum(len(t.split()) for t in texts)
+    text = np.repeat(np.arange(len(texts)), [len(t.split()) for t in texts])
+    word = np.array([{"hot": 0, "pair": 1, "x": 2, "y": 3}[x] for t in texts for x in t.split()])
+    held = np.arange(len(texts)) % 3 == 0
+    own, parts, blobs = lm_trie.dealt_pairs(word[:-1], word[1:], np.ones(n - 1, np.uint16), text[:-1], np.zeros(n - 1, np.int64), held)
+    few, often = lm_trie.unpack(blobs[0])[:5], lm_trie.unpack(blobs[0])[5:]
+    assert parts == [0] and len(own[0]) == n - 1 - len(few[0]) and len(often[0]) <= 16 and len(few[0]) < 16 * lm_trie.REPEATED
+    assert often[3].sum() == (~held[text[:-1]]).sum() - (~held[few[3]]).sum()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for repeated in (1, 4, 1 << 40):
+        got = {r.doc_id: r for r in lm_trie.lm_scores(docs, mu=30.0, salt=50, repeated=repeated).collect()}
+        for i, (tokens, known, total, base, score) in brute(rows, 30.0).items():
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, total)
+            assert got[i].score == pytest.approx(score, abs=tokens / 500)
+
+
 def test_repeated_rows_empty_table_and_no_training(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
     from pyspark.sql import functions as F

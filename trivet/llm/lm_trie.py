@@ -10,10 +10,12 @@ seen in training the gain log10(1 + c(v, w) / (mu * p1(w))). Every word and ever
 Words are told apart by their letters. The distinct words of each batch of texts go to the ranges that their hash names and
 come back with a number and their count in training (:mod:`trivet.llm.word_parts`). Then every bigram of known words goes,
 packed, to the part of its context; a context of more than ``SALT`` occurrences is dealt over several parts by successor.
-There the training counts become a trie: contexts, monotone pointers to their successors, and the successors of all
-contexts in Elias-Fano form with quantised gains, written to a file that is mapped into memory. Bigrams of all texts are
-looked up in it, by successor search inside their context's range, and sums go back to the texts. No word list, count or
-part of the model is ever in the driver or in one place, and what a part holds is bounded by the number of parts.
+A bigram of ``REPEATED`` occurrences or more in a batch goes there once, with its count, and its gain comes back to them: so
+no part gets more than a few entries of a batch for one bigram, however common it is. There the training counts become a
+trie: contexts, monotone pointers to their successors, and the successors of all contexts in Elias-Fano form with quantised
+gains, written to a file that is mapped into memory. Bigrams of all texts are looked up in it, by successor search inside
+their context's range, and sums go back to the texts. No word list, count or part of the model is ever in the driver or in
+one place, and what a part holds is bounded by the number of parts.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from pyspark.sql import functions as F
 from trivet.llm.common import Scratch
 from trivet.llm.shingles import U, mix
 from trivet.llm.shingles import words_of as split_words
-from trivet.llm.word_parts import answered, pack, parts_for, small, split, unpack, with_answers
+from trivet.llm.word_parts import answered, pack, parts_for, planes, ranks, small, split, unpack, with_answers
 
 START, END = 0, 1  # numbers of the context that begins a text, and of the token that ends one; words follow
 STEP = 512  # quantisation: steps in one unit of log10
 SALT = 200_000  # training occurrences of a context in one part, about
+REPEATED = 4  # occurrences in a batch from which a bigram goes to its part once, with its count
 
 
 def held_out(doc_id: Column) -> Column:
@@ -209,14 +212,14 @@ def number_words(rows: Iterator[tuple[str, int, bytes]], parts: int) -> Iterator
             yield name, part, pack(small(2 + own * parts + part), small(total[own]))
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, mu: float = 300.0, salt: int = SALT) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, mu: float = 300.0, salt: int = SALT, repeated: int = REPEATED) -> DataFrame:
     """Return ``doc_id, held_out, n_tokens, n_known, train_tokens long, base_score, score double`` for every row.
 
     * null and empty texts have one token, their end; very long texts are scored whole.
     * ``held`` marks the rows that nothing is learned from; repeated rows each count and each give a row.
     * without any training row every count is 0 and ``score`` equals ``base_score``; an empty table gives no rows.
     * null ids are training rows; other columns of the input are not read.
-    * ``salt`` steers the work only.
+    * ``salt`` and ``repeated`` steer the work only.
     """
     scratch = Scratch(docs.sparkSession)
     held = held_out(F.col(id_col)) if held is None else held
@@ -249,16 +252,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         may = np.flatnonzero((c > 0) & (cv > 0))
         turn = mix(w[may].astype(np.uint64)) % (cv[may] // salt + 1).astype(np.uint64)
         part = (mix(v[may].astype(np.uint64) * U(0x9E3779B97F4A7C15) + turn) % U(parts)).astype(np.int64)
-        order = np.lexsort((w[may], v[may], part))
-        may, part = may[order], part[order]
-        at, starts = np.unique(part, return_index=True)
-        out = [pack(sizes + 1, known, base, away, is_held)]
-        code = np.rint(-low * STEP).astype(np.uint16)
-        for a, b in zip(starts, np.append(starts, len(may))[1:]):
-            i = may[a:b]
-            out.append(pack(small(np.diff(v[i], prepend=0)), small(w[i]), code[i], small(text[i]), is_held))
+        own, at, blobs = dealt_pairs(v[may], w[may], np.rint(-low[may] * STEP).astype(np.uint16), text[may], part, is_held, repeated)
+        out = [pack(sizes + 1, known, base, away, is_held, *own), *blobs]
         lists = pa.ListArray.from_arrays(pa.array([0] + [k] * len(out), pa.int32()), ids)
-        return pa.Table.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array(out, pa.binary()), lists], ["part", "data", "ids"])
+        return pa.Table.from_arrays([pa.array([-1, *at], pa.int32()), pa.array(out, pa.binary()), lists], ["part", "data", "ids"])
 
     named = with_answers(dealt.filter("part < 0").unionByName(numbered.filter("batch <> ''")), deal, f"part int, data binary, ids array<{kind}>", name=True)
     place = F.when(F.col("part") < 0, F.pmod(F.xxhash64("batch"), F.lit(parts))).otherwise(F.col("part"))
@@ -290,10 +287,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
                 ids, own = names.values, unpack(data.as_py())
             else:
                 sums.append(unpack(data.as_py()))
-        n, known, base, away, is_held = own
+        n, known, base, away, is_held, *often = own
         total = np.zeros(len(n), np.int64)
-        for text, codes in sums:
+        for text, codes, _, _ in sums:
             total[text] += codes
+        total += repeated_gains(often, [(x[2], x[3]) for x in sums], len(n))
         return pa.Table.from_arrays(
             [ids, pa.array(is_held.astype(bool)), pa.array(n), pa.array(known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base), pa.array(away + total / STEP)],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
@@ -319,12 +317,56 @@ def totals(dealt: DataFrame, numbered: DataFrame) -> tuple[int, int, int]:
     return a[0] or 0, a[1] or 0, b[0] or 0
 
 
+def dealt_pairs(v: np.ndarray, w: np.ndarray, code: np.ndarray, text: np.ndarray, part: np.ndarray, is_held: np.ndarray, repeated: int = REPEATED) -> tuple[list[np.ndarray], list[int], list[bytes]]:
+    """A batch's bigrams, given in the order of its texts: what the batch keeps of those of ``repeated`` occurrences or more,
+    parts, and for each part its bigrams packed. There the rarer ones stand once an occurrence, the others once, with their
+    training occurrences and a number by which their gains come back."""
+    order = np.lexsort((w, v, part))
+    sv, sw, sp = v[order], w[order], part[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sp[1:] != sp[:-1]) | (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
+    group = np.cumsum(new) - 1
+    often = np.bincount(group)[group] >= repeated if len(group) else np.zeros(0, bool)
+    heads, loose = np.flatnonzero(new & often), np.flatnonzero(~often)
+    learned = np.bincount(group, weights=~is_held[text[order]], minlength=1)[group[heads]].astype(np.int64)
+    # The batch's own occurrences of repeated bigrams, by text, with numbers that are small for frequent ones.
+    number = np.empty(len(heads), np.int64)
+    number[ranks(np.bincount(group, minlength=1)[group[heads]])] = np.arange(len(heads))
+    of_group = np.zeros(group[-1] + 1 if len(group) else 0, np.int64)
+    of_group[group[heads]] = number
+    at = np.full(len(order), -1, np.int64)
+    at[order[often]] = of_group[group[often]]
+    mine = np.flatnonzero(at >= 0)
+    own = [small(np.diff(text[mine], prepend=0)), *planes(at[mine], len(heads))]
+    parts, blobs = np.unique(sp), []
+    edges = [np.append(np.searchsorted(sp[x], parts), len(x)) for x in (loose, heads)]
+    for i in range(len(parts)):
+        a, b = (x[e[i] : e[i + 1]] for x, e in zip((loose, heads), edges))
+        few = [small(np.diff(sv[a], prepend=0)), small(sw[a]), code[order[a]], small(text[order[a]]), is_held]
+        more = slice(*edges[1][i : i + 2])
+        blobs.append(pack(*few, small(np.diff(sv[b], prepend=0)), small(sw[b]), code[order[b]], small(learned[more]), small(number[more])))
+    return own, parts.tolist(), blobs
+
+
+def repeated_gains(own: list[np.ndarray], answers: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """Sums of codes of a batch's repeated bigrams for each of its ``n`` texts; numbers without an answer have no gain."""
+    steps, *bytes_ = own
+    at = sum((b.astype(np.int64) << 8 * k for k, b in enumerate(bytes_)), np.int64(0))
+    if not len(steps):
+        return np.zeros(n, np.int64)
+    codes = np.zeros(int(at.max()) + 1, np.int64)
+    for number, code in answers:
+        codes[number] = code
+    return np.bincount(np.cumsum(steps.astype(np.int64)), weights=codes[at], minlength=n).astype(np.int64)
+
+
 def looked_up(blobs: list[tuple[str, list[np.ndarray]]], mu: float) -> Iterator[tuple[str, bytes]]:
-    """For each batch the texts that have bigrams of this part, and the sums of their codes."""
-    left = np.concatenate([np.cumsum(b[0].astype(np.int64)) for _, b in blobs])
-    right = np.concatenate([b[1].astype(np.int64) for _, b in blobs])
-    low = np.concatenate([b[2] for _, b in blobs])
-    learn = np.concatenate([~b[4][b[3]] for _, b in blobs])
+    """For each batch the texts that have bigrams of this part, the sums of their codes, and numbers and codes of repeated bigrams."""
+    sides = [b[i : i + 3] for i in (0, 5) for _, b in blobs]
+    left = np.concatenate([np.cumsum(x[0].astype(np.int64)) for x in sides])
+    right = np.concatenate([x[1].astype(np.int64) for x in sides])
+    low = np.concatenate([x[2] for x in sides])
+    learn = np.concatenate([*(~b[4][b[3]] for _, b in blobs), *(b[8] for _, b in blobs)]).astype(np.float64)
     order = np.lexsort((right, left))
     left, right, low = left[order], right[order], low[order]
     new = np.append(True, (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
@@ -337,13 +379,13 @@ def looked_up(blobs: list[tuple[str, list[np.ndarray]]], mu: float) -> Iterator[
     gains = np.log10(1 + seen[had] * 10 ** (low[had] / STEP) / mu)
     with Levels() as levels:
         codes = BigramTrie(left[had], right[had], gains, levels).code(left, right)[which]
-    at = 0
+    at, more = 0, sum(len(b[0]) for _, b in blobs)
     for name, b in blobs:
-        n = len(b[0])
-        sums = np.bincount(b[3], weights=codes[at : at + n], minlength=1).astype(np.int64)
-        at += n
-        texts = np.flatnonzero(sums)
-        yield name, pack(small(texts), small(sums[texts]))
+        sums = np.bincount(b[3], weights=codes[at : at + len(b[0])], minlength=1).astype(np.int64)
+        own = codes[more : more + len(b[5])]
+        at, more = at + len(b[0]), more + len(b[5])
+        texts, some = np.flatnonzero(sums), np.flatnonzero(own)
+        yield name, pack(small(texts), small(sums[texts]), b[9][some], small(own[some]))
 
 
 def to_arrow(spark_type) -> pa.DataType:
