@@ -1,3 +1,7 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from trivet.llm import exact_dedup, licenses, mixing
@@ -13,6 +17,27 @@ def test_groups_and_edge_cases(spark):
     assert exact_dedup.exact_dedup(docs.limit(0)).count() == 0
 
 
+def test_random_texts_equal_brute_force(spark):
+    rng = np.random.default_rng(6)
+    alphabet = list("abMSTm st\n\t.É\u2028ß")
+    pool = ["".join(rng.choice(alphabet, int(rng.integers(0, n)))) for n in (3, 40, 300, 2000, 9000) for _ in range(25)]
+    texts = [pool[k].swapcase() if rng.random() < 0.3 else pool[k].upper() if rng.random() < 0.2 else pool[k] for k in rng.integers(0, len(pool), 400)]
+    rows = [(int(rng.integers(0, 300)) if rng.random() < 0.95 else None, t) for t in texts] + [(k, "The same text. " * 200) for k in range(1000, 1300)]
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[lower(t)].append(i)
+    want = Counter()
+    for t, ids in groups.items():
+        best = max((i for i in ids if i is not None), default=None)
+        for i in ids:
+            want[i, best, len(ids), len(ids) == 1 or (i is not None and i == best), hashlib.sha256(t.encode()).hexdigest()] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for more in ({}, {"min_chunk": 4, "max_chunk": 16, "salts": 3}):
+        got = exact_dedup.exact_dedup(docs, **more).collect()
+        assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+
+
 def test_ambiguous_identifiers_are_noticed(spark):
     docs = spark.createDataFrame([(i, f"text number {i} " * 200) for i in range(20)], "doc_id long, text string")
     weak = (lambda c: F.length(c).cast("long"), lambda c: F.sha2(c, 256))
