@@ -43,27 +43,30 @@ def investigate(detections: DataFrame, id_col: str, provider: triage.Provider =
 
     Ids tell detections apart and are not null. A round's answers are written by id and path, so calls are not repeated and texts are
     not written; a provider of :func:`trivet.operators.triage.callable_provider` asks each distinct hypothesis once. A detection has
-    ``beam`` times five paths in a round at most, so keeping the best is an aggregation of bounded lists.
+    ``beam`` times five paths in a round at most, so keeping the best is an aggregation of bounded lists; they meet the texts again
+    as one row a detection, and are dealt out by id on both sides, never broadcast.
     """
     rank = F.create_map(*[x for i, h in enumerate(HYPOTHESES) for x in (F.lit(h), F.lit(i))])
     base = triage._prompted(detections, "direct_json").withColumn("system", F.lit(triage.SYSTEM))
-    paths = detections.select(id_col, F.array().cast(PATH).alias("path"))
+    held = base.withColumn("_beam", F.array(F.array().cast(PATH)))
     for _ in range(rounds):
-        free = F.filter(F.array(*map(F.lit, HYPOTHESES)), lambda h: ~F.exists("path", lambda p: p["hypothesis"] == h))
-        step = F.struct(F.col("h").alias("hypothesis"), F.lit(None).cast("double").alias("score"))
-        longer = paths.select(id_col, "path", F.explode(free).alias("h")).select(id_col, F.array_append("path", step).cast(PATH).alias("path"))
+        step = lambda h: F.struct(h.alias("hypothesis"), F.lit(None).cast("double").alias("score"))
+        free = lambda path: F.filter(F.array(*map(F.lit, HYPOTHESES)), lambda h: ~F.exists(path, lambda p: p["hypothesis"] == h))
+        longer = F.flatten(F.transform("_beam", lambda path: F.transform(free(path), lambda h: F.array_append(path, step(h)).cast(PATH))))
+        text = jsonx.grounding_text(F.col("context"), F.col("matched_value"), F.col("file_path"))
+        asked = held.withColumn("_text", text).withColumn("path", F.explode(longer)).drop("_beam")
         names = F.array_join(F.transform("path", lambda p: p["hypothesis"]), " > ")
-        asked = base.join(longer, id_col).withColumn("prompt", F.concat("prompt", F.lit("\n\nHypothesis: "), names, F.lit("\nGive the evidence for the last one.")))
+        asked = asked.withColumn("prompt", F.concat("prompt", F.lit("\n\nHypothesis: "), names, F.lit("\nGive the evidence for the last one.")))
         asked = provider(asked, model, 0.0)
-        text = jsonx.grounding_text(F.col("context"), F.col("matched_value"), F.col("file_path"))
         last = F.element_at("path", F.size("path"))["hypothesis"]
-        scored = F.concat(F.slice("path", 1, F.size("path") - 1), F.array(F.struct(last.alias("hypothesis"), _grounding(text).alias("score"))))
+        scored = F.concat(F.slice("path", 1, F.size("path") - 1), F.array(F.struct(last.alias("hypothesis"), _grounding(F.col("_text")).alias("score"))))
         scored = written(asked.select(id_col, scored.cast(PATH).alias("path")))
         mean = F.aggregate("path", F.lit(0.0), lambda a, p: a + p["score"]) / F.size("path")
         entry = F.struct((-mean).alias("s"), F.transform("path", lambda p: -p["score"]).alias("t"), F.transform("path", lambda p: rank[p["hypothesis"]]).alias("r"), F.col("path").alias("path"))
         best = scored.groupBy(id_col).agg(F.slice(F.sort_array(F.collect_list(entry)), 1, beam).alias("b"))
-        paths = best.select(id_col, F.explode("b").alias("b")).select(id_col, "b.path", "b")
-    top = paths.groupBy(id_col).agg(F.min("b").alias("b"))
+        # Paths are a few bytes each where they are written, so that Spark would take them for a table to broadcast.
+        held = base.join(best.select(id_col, F.col("b.path").alias("_beam")).hint("merge"), id_col)
+    top = best.select(id_col, F.get("b", 0).alias("b"))
     name = F.col("b.path")[0]["hypothesis"]
     status = F.create_map(*[F.lit(x) for kv in HYPOTHESES.items() for x in kv])
     return top.select(id_col, name.alias("hypothesis"), status[name].alias("status"), (-F.col("b.s")).alias("score"), "b.path")
@@ -74,7 +77,7 @@ def settle_disagreements(voted: DataFrame, id_col: str, provider: triage.Provide
     finds (``investigated``)."""
     unlike = F.size(F.array_distinct("sample_statuses")) > 1
     found = investigate(voted.filter(unlike), id_col, provider, model).select(id_col, F.col("status").alias("_status"))
-    joined = voted.join(found, id_col, "left")
+    joined = voted.join(found.hint("merge"), id_col, "left")
     own = {"status": F.coalesce("_status", "decision.status"), "is_credentials": F.coalesce((F.col("_status") == "REAL").cast("int"), "decision.is_credentials")}
     decision = F.struct(*[own.get(c, F.col(f"decision.{c}")).alias(c) for c in voted.schema["decision"].dataType.names])
     return joined.withColumn("decision", decision).withColumn("investigated", F.col("_status").isNotNull()).drop("_status")
