@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trivet import schema
+from trivet.sources.json_arrays import read_elements
 from trivet.sources.tuple_files import read_tuples  # noqa: F401  one of the sources
 
 def read_detections(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Detections from JSON arrays or lines; a byte order mark is no hindrance. Missing fields are null."""
-    text = spark.read.text(path, wholetext=multi_line).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter("length(trim(value)) > 0")
+    """Detections from JSON arrays of any size (``multi_line``) or lines; a byte order mark is no hindrance. Missing fields are null."""
+    if multi_line:
+        return read_elements(spark, path, schema.DETECTION)
+    text = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).filter("length(trim(value)) > 0")
     return text.select(F.inline(F.from_json("value", f"array<struct<{schema.DETECTION}>>")))
 
 

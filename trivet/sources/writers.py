@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trivet.functions.text import preview
+from trivet.sources.batches import small_batches
 
 
 def write_json_lines(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -51,33 +52,27 @@ def small_json(rows: DataFrame, most: int = 10_000) -> str:
     return json.dumps([r.asDict(recursive=True) for r in got], indent=2, ensure_ascii=False, default=str)
 
 
-def write_framed(lines: DataFrame, path: str, head: str, tail: str, between: str = ",") -> None:
-    """One text column as files that are whole by themselves: a head, the lines with ``between`` after all but the last,
-    and a tail. Each task writes its own file line by line, so no file is put together in one place."""
+def write_framed(rows: DataFrame, path: str, head: str, tail: str, between: str = ",", spell: Callable[..., str] = str) -> None:
+    """Rows as files that are whole by themselves: a head, a line for each row with ``between`` after all but the last, and a tail. A
+    line is ``spell`` of the row's columns. Each task writes its own file line by line, so no file is put together in one place."""
 
-    def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [head]})
-        held = None
+    def frame(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = lambda values: pa.RecordBatch.from_pydict({"value": pa.array(values, pa.string())})
+        yield lines([head])
+        held = []
         for batch in batches:
-            rows = list(batch.iloc[:, 0])
-            if rows:
-                yield pd.DataFrame({"value": [r + between for r in ([] if held is None else [held]) + rows[:-1]]})
-                held = rows[-1]
-        yield pd.DataFrame({"value": ([] if held is None else [held]) + [tail]})
+            now = held + [spell(*row) for row in zip(*(c.to_pylist() for c in batch.columns))]
+            held = now[-1:]
+            yield lines([line + between for line in now[:-1]])
+        yield lines([*held, tail])
 
-    lines.mapInPandas(frame, "value string").write.text(path)
+    with small_batches(rows.sparkSession):
+        rows.mapInArrow(frame, "value string").write.text(path)
 
 
 def write_tuples(rows: DataFrame, path: str, title: str = "labelled findings") -> None:
     """``context, username, password`` as tuple files, which :func:`trivet.sources.readers.read_tuples` reads."""
-
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            none = lambda x: None if x is None or x != x else x
-            yield pd.DataFrame({"value": [f"    {(none(c), none(u), none(p))!r}" for c, u, p in zip(b["context"], b["username"], b["password"])]})
-
-    lines = rows.select("context", "username", "password").mapInPandas(spell, "value string")
-    write_framed(lines, path, f"# {title}\ndataset = [", "]")
+    write_framed(rows.select("context", "username", "password"), path, f"# {title}\ndataset = [", "]", spell=lambda *row: f"    {row!r}")
 
 
 def write_json_array(rows: DataFrame, path: str) -> None:
