@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trivet.operators.clusters import written
+from trivet.sources.batches import small_batches
 
 #: Fixed value: a tuple of a triple-quoted context, a user name and a password in text that is no valid literal.
 TUPLE = r'(?s)\(\s*"""(.*?)"""\s*,\s*(None|"[^"]*"|\'[^\']*\'|[^,)]*)\s*,\s*(None|"[^"]*"|\'[^\']*\'|[^)]*)\s*\)'
@@ -37,6 +38,7 @@ ENDS = {COMMENT: re.compile(r"\n")} | {q: re.compile(rf"\\.|{q}" + (r"|\n" if le
 DEEPEST = 64
 SEARCHED_AHEAD = 1_000_000  # characters behind a match of the pattern that may change it
 FEW_BLOCKS = 200_000
+HELD_CHARS = 1_000_000  # of rows that a task holds before it hands them on
 
 Event = tuple[int, int, str]
 
@@ -183,14 +185,18 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     names = [c.split()[0] for c in PARSED.split(", ")]
     types = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4]
-    key, plan, item, around, place, no, open_item = None, {}, [], [], 0, 0, False
+    key, plan, item, around, place, no, open_item, held = None, {}, [], [], 0, 0, False, 0
 
     def batch() -> pa.RecordBatch:
+        nonlocal held
+        held = 0
         out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
         rows.clear()
         return out
 
     def add(kind: str, values: tuple = (None, None, None), text: str | None = None) -> None:
+        nonlocal held
+        held += 100 + sum(len(x) for x in (*values, text) if x)
         rows.append((*key, kind, place, *values, text))
 
     def border() -> None:
@@ -252,7 +258,7 @@ def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             around.append(text[at:] if started else text)
         no += 1
-        if len(rows) >= 2_000:
+        if held >= HELD_CHARS:
             yield batch()
     if key and plan["ok"]:
         end()
@@ -304,14 +310,16 @@ def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     begin = re.compile(r'\(\s*"""', re.A)
     key, held, index, wait, size, pieces, left = None, "", 0, 0, 0, [], 0
     rows: list[tuple] = []
+    found = 0
 
     def search(last: bool) -> None:
-        nonlocal held, index, wait, pieces, size
+        nonlocal held, index, wait, pieces, size, found
         held, pieces = held + "".join(pieces), []
         at = 0
         while (m := pattern.search(held, at)) and (last or len(held) - m.end() >= SEARCHED_AHEAD):
             index += 1
             rows.append((key, index, *m.groups()))
+            found += 100 + m.end() - m.start()
             at = m.end()
         m = begin.search(held, at)
         held = held[m.start() if m else max(at, len(held) - SEARCHED_AHEAD) :]
@@ -321,7 +329,9 @@ def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         types = [pa.string(), pa.int32(), *[pa.string()] * 3]
         out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["file", "source_index", "context", "username", "password"])
+        nonlocal found
         rows.clear()
+        found = 0
         return out
 
     def finish() -> None:
@@ -338,7 +348,7 @@ def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, left = size + len(text), left - n
         if size >= wait:
             search(False)
-        if len(rows) >= 2_000:
+        if found >= HELD_CHARS:
             yield batch()
     if key is not None:
         finish()
@@ -359,15 +369,17 @@ def read_tuples(spark: SparkSession, path: str, fallback: bool = True) -> DataFr
     lines = spark.read.option("lineSep", ")").text(path)
     meta = [F.col(f"_metadata.{c}") for c in ("file_path", "file_block_start", "file_size")]
     pieces = lines.select("value", meta[0].alias("file"), meta[1].alias("block"), meta[2].alias("file_size"))
-    told = pieces.mapInArrow(blocks_told, "file string, block bigint, size bigint, whole bigint, told string")
-    plan = written(told.groupBy("file").applyInPandas(chained, PLAN))
+    with small_batches(spark):
+        told = pieces.mapInArrow(blocks_told, "file string, block bigint, size bigint, whole bigint, told string")
+        plan = written(told.groupBy("file").applyInPandas(chained, PLAN))
     keys = ["file", "block"]
     with_plan = pieces.select("value", *keys, F.monotonically_increasing_id().alias("i"))
     if plan.limit(FEW_BLOCKS + 1).count() <= FEW_BLOCKS:  # about 100 bytes each
         with_plan = with_plan.join(F.broadcast(plan), keys)
     else:
         with_plan = with_plan.join(plan, keys).repartition(*keys).sortWithinPartitions(*keys, "i")
-    found = written(with_plan.drop("i").mapInArrow(parsed, PARSED))
+    with small_batches(spark):
+        found = written(with_plan.drop("i").mapInArrow(parsed, PARSED))
     mend = found.filter("kind IN ('head', 'mid', 'tail', 'around')").groupBy("file")
     mended_rows = written(mend.applyInPandas(mended, "file string, block bigint, kind string, place int, context string, username string, password string"))
     both = found.filter("kind IN ('row', 'bad')").drop("text").unionByName(mended_rows)
@@ -382,5 +394,6 @@ def read_tuples(spark: SparkSession, path: str, fallback: bool = True) -> DataFr
         return literal
     stream = pieces.withColumn("i", F.monotonically_increasing_id()).join(bad, "file", "left_semi")
     stream = stream.repartition("file").sortWithinPartitions("file", "block", "i").drop("i")
-    again = stream.mapInArrow(searched, "file string, source_index int, context string, username string, password string")
+    with small_batches(spark):
+        again = written(stream.mapInArrow(searched, "file string, source_index int, context string, username string, password string"))
     return literal.unionByName(again.select(name, "source_index", "context", "username", "password"))
