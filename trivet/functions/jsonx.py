@@ -102,7 +102,12 @@ def schema_valid(obj: Column, exact_case: bool = True) -> Column:
 
 def extract_status(text: Column) -> Column:
     """The status of model text: of its JSON, else after ``"status":``, else the first label that occurs, else REVIEW."""
-    parsed = F.upper(raw_fields(json_object(text))["status"])
+    return status_of(text, raw_fields(json_object(text))["status"])
+
+
+def status_of(text: Column, parsed: Column) -> Column:
+    """:func:`extract_status` of a text whose JSON has been parsed: ``parsed`` is the status there."""
+    parsed = F.upper(parsed)
     quoted = F.regexp_extract(text, r'"status"\s*:\s*"([A-Z_]+)"', 1)
     up = F.upper(text)
     out = F.when(parsed.isin(*STATUSES), parsed).when(quoted.isin(*STATUSES), quoted)

@@ -95,15 +95,16 @@ def timed(fn: Callable[[str], str]) -> Callable[[DataFrame], DataFrame]:
 def evaluate(rows: DataFrame) -> DataFrame:
     """Expected and predicted values of stored answers (``prompt, completion, raw_response`` and optional labels)."""
     has = lambda c: F.col(c) if c in rows.columns else F.lit(None)
-    own = F.upper(has("status").cast("string"))
-    truth_of = lambda text: jsonx.truth(jsonx.raw_fields(jsonx.json_object(text))["is_credentials"])
-    expected = F.coalesce(own, jsonx.extract_status(F.col("completion")))
-    predicted = jsonx.extract_status(F.coalesce("raw_response", F.lit("")))
-    obj = jsonx.json_object(F.col("raw_response"))
-    out = rows.withColumn("expected_status", expected).withColumn("predicted_status", predicted)
-    out = out.withColumn("expected_binary", F.coalesce(has("is_credentials").cast("int"), truth_of(F.col("completion")), (F.col("expected_status") == "REAL").cast("int")))
-    out = out.withColumn("predicted_binary", F.coalesce(truth_of(F.col("raw_response")), (F.col("predicted_status") == "REAL").cast("int")))
-    return out.withColumn("json_valid", obj.isNotNull()).withColumn("schema_valid", F.coalesce(jsonx.schema_valid(obj, exact_case=False), F.lit(False)))
+    own, flag = F.upper(has("status").cast("string")), has("is_credentials").cast("int")
+    labels = lambda o: T.let(jsonx.raw_fields(o), lambda raw: F.struct(raw["status"].alias("status"), jsonx.truth(raw["is_credentials"]).alias("flag")))
+    wanted = T.let(jsonx.json_object(F.when(own.isNull() | flag.isNull(), F.col("completion"))), labels)
+    given = T.let(jsonx.json_object(F.col("raw_response")), lambda o: F.struct(labels(o).alias("labels"), o.isNotNull().alias("json"), jsonx.schema_valid(o, exact_case=False).alias("schema")))
+    out = rows.withColumn("_wanted", wanted).withColumn("_given", given)  # each text is parsed once
+    out = out.withColumn("expected_status", F.coalesce(own, jsonx.status_of(F.col("completion"), F.col("_wanted.status"))))
+    out = out.withColumn("predicted_status", jsonx.status_of(F.coalesce("raw_response", F.lit("")), F.col("_given.labels.status")))
+    out = out.withColumn("expected_binary", F.coalesce(flag, "_wanted.flag", (F.col("expected_status") == "REAL").cast("int")))
+    out = out.withColumn("predicted_binary", F.coalesce("_given.labels.flag", (F.col("predicted_status") == "REAL").cast("int")))
+    return out.withColumn("json_valid", F.col("_given.json")).withColumn("schema_valid", F.coalesce("_given.schema", F.lit(False))).drop("_wanted", "_given")
 
 
 def evaluation_report(rows: DataFrame) -> dict[str, DataFrame]:
