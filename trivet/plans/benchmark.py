@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from trivet.functions import jsonx
 from trivet.functions import text as T
 from trivet.operators import metrics, triage
+from trivet.operators.clusters import written
 
 TEACHER = "Explain in one or two sentences why the label fits, with evidence from the input, as JSON with reasoning and evidence."
 
@@ -46,8 +47,8 @@ def run_strategy(detections: DataFrame, strategy: str, model: str = "native", pr
 
 def bench_rows(records: DataFrame, models: dict[str, triage.Provider], strategies: tuple[str, ...] = triage.STRATEGIES) -> DataFrame:
     """A row for each model, strategy and record. Cells are few and each is one plan; records are never multiplied before
-    a model is called."""
-    detections = as_detections(records)
+    a model is called, and are made once."""
+    detections = written(as_detections(records))  # every strategy and step reads them
     out = None
     for model, provider in models.items():
         for strategy in strategies:
