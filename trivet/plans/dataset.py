@@ -15,7 +15,8 @@ INSTRUCTION = "Decide whether the detected value is a real credential and answer
 
 def merged(true_positives: DataFrame, false_positives: DataFrame, reviews: DataFrame | None = None, per_parent: int = 3, seed: int = 42) -> DataFrame:
     """Records of all labels and variants of the false positives, one of each key."""
-    pool = augment.password_pool(true_positives)
+    true_positives, false_positives = written(true_positives), written(false_positives)  # read again for the pool and for variants
+    pool = written(augment.password_pool(true_positives))
     every = true_positives.unionByName(false_positives)
     if reviews is not None:
         every = every.unionByName(reviews)
